@@ -29,6 +29,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.quality import classify
+
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.lm import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.licenses import scan_licenses
 
@@ -60,15 +72,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_token_files": op3_token_files,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scores": op5_lm_scores,
     "op6_license_scan": op6_license_scan,
     "op7_warc": op7_warc,
     "op8_topk": op8_topk,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

@@ -151,7 +151,7 @@ def _thresholds(scanned: DataFrame, rate: float) -> dict[tuple[int, int], int]:
     return out
 
 
-def scan_secrets(docs: DataFrame, rate: float = 0.01, least_p: float = 0.001, id_column: str = "doc_id", text_column: str = "text", keep_text: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, rate: float = 0.01, least_p: float = 0.001, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random and found.
 
     found is the array of all spans (start, kind number, kind, end) by start,
@@ -159,17 +159,54 @@ def scan_secrets(docs: DataFrame, rate: float = 0.01, least_p: float = 0.001, id
     points. Random spans that lie inside a base span are left out. rate: the
     false-discovery rate; least_p: the battery's level. A null or empty text
     has no spans. Repeated rows stay, null ids stay null; other columns are
-    not read. With keep_text the text follows.
+    not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+    return _scanned(rows, ["doc_id"], rate, least_p)
+
+
+def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01, least_p: float = 0.001, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """All rows and columns, with each found span (overlapping ones as one) replaced by ``mark``.
+
+    Where the text changes, the length column follows if there is one; all
+    else stays as it is, null texts included.
+    """
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+    rows = _scanned(rows, ["_row", "_text"], rate, least_p)
+    text = F.col("_text")
+
+    def step(acc: Column, s: Column) -> Column:
+        """Copy what lies before the span; a span that begins inside the last one adds nothing but its end."""
+        fresh = s["start"] >= acc["at"]
+        piece = F.when(fresh, F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    new = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    changed = F.size("found") > 0
+    rows = rows.withColumn("_new", F.when(changed, new))
+    columns = []
+    for name, kind in docs.dtypes:
+        value = F.col("_row")[name]
+        if name == text_column:
+            value = F.when(changed, F.col("_new")).otherwise(value)
+        elif name == length_column:
+            value = F.when(changed, F.length("_new")).otherwise(value).cast(kind)
+        columns.append(value.alias(name))
+    return rows.select(*columns)
+
+
+def _scanned(rows: DataFrame, carry: list[str], rate: float, least_p: float) -> DataFrame:
+    """Scan the column _text; the carried columns come first in the result."""
     rows = _spans(rows, "assign", ASSIGN, lambda s: F.length(F.regexp_extract(s["s"], f"^{ASSIGN}$", 1)) >= 8)
     rows = _spans(rows, "access", ACCESS, lambda s: s["end"] - s["start"] >= 16)
     rows = _spans(rows, "hex", HEX)
     rows = _spans(rows, "_runs", CANDIDATE)
     base = F.concat(*[_named(F.col(kind), k) for k, kind in enumerate(KINDS[:3])])
-    rows = rows.select("doc_id", *["_text"] * keep_text, F.size("assign").cast("long").alias("n_assign"), F.size("access").cast("long").alias("n_access"), F.size("hex").cast("long").alias("n_hex"), F.array_sort(base).alias("base"), _tested(F.col("_runs")).alias("candidates"))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
+    rows = rows.select(*carry, *counts, F.array_sort(base).alias("base"), _tested(F.col("_runs")).alias("candidates"))
     rows = saved(rows, "secrets")
-    return _with_found(rows, _rule(rows, rate), least_p, keep_text)
+    return _with_found(rows, _rule(rows, rate), least_p, carry)
 
 
 def _named(spans: Column, k: int) -> Column:
@@ -189,9 +226,8 @@ def _rule(rows: DataFrame, rate: float):
     return passed
 
 
-def _with_found(rows: DataFrame, passed, least_p: float, keep_text: bool) -> DataFrame:
+def _with_found(rows: DataFrame, passed, least_p: float, carry: list[str]) -> DataFrame:
     kept = F.filter("candidates", lambda c: passed(c) & (c["p_random"] >= least_p) & ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
-    random = _named(kept, 3)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    rows = rows.withColumn("found", F.array_sort(F.concat("base", random))).withColumn("n_random", F.size(kept).cast("long"))
-    return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), "n_random", "found", *["_text"] * keep_text)
+    rows = rows.withColumn("_kept", kept).withColumn("found", F.array_sort(F.concat("base", _named(F.col("_kept"), 3))))
+    return rows.select(*carry, *[f"n_{kind}" for kind in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size("_kept").cast("long").alias("n_random"), "found")

@@ -63,26 +63,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array, table: np.ndarray = BLANK_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string array in order, and where each text's words start (one more entry at the end). Null is empty."""
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string array end to end, and where each text starts (one more entry at the end). Null is empty."""
     if texts.null_count:
         texts = texts.fill_null("")
     n = len(texts)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
     data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
-    offsets -= offsets[0]
-    hashes, places, at = [], [], 0
+    return data, offsets - offsets[0]
+
+
+def word_hashes(texts: pa.Array, table: np.ndarray = BLANK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a string array in order, and where each text's words start (one more entry at the end). Null is empty."""
+    return word_and_stem_hashes(texts, table, 0)[::2]
+
+
+def word_and_stem_hashes(texts: pa.Array, table: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, hashes of their first ``stem`` bytes, and where each text's words start."""
+    data, offsets = text_bytes(texts)
+    hashes, stems, places, at = [], [], [], 0
     while at < len(data):
         end = _between_words(data, at, offsets, table)
-        h, s = _segment(data[at:end], np.unique(np.clip(offsets, at, end)) - at, table)
+        h, p, s = _segment(data[at:end], np.unique(np.clip(offsets, at, end)) - at, table, stem)
         hashes.append(h)
+        stems.append(p)
         places.append(s + at)
         at = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    return np.concatenate(hashes), np.concatenate(stems), np.searchsorted(np.concatenate(places), offsets)
 
 
 def _between_words(data: np.ndarray, at: int, offsets: np.ndarray, table: np.ndarray) -> int:
@@ -98,7 +109,7 @@ def _between_words(data: np.ndarray, at: int, offsets: np.ndarray, table: np.nda
     return min(end, int(edge), len(data))
 
 
-def _segment(data: np.ndarray, edges: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _segment(data: np.ndarray, edges: np.ndarray, table: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = table[data]
     inside = low != 0
     before = np.empty_like(inside)
@@ -110,8 +121,12 @@ def _segment(data: np.ndarray, edges: np.ndarray, table: np.ndarray) -> tuple[np
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CODES[low] * _POW(len(data))[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _INVERSE(len(data))[starts]
-    return mix(h + (ends - starts).astype(np.uint64)), starts
+    inverse = _INVERSE(len(data))[starts]
+    h = mix((sums[ends] - sums[starts]) * inverse + (ends - starts).astype(np.uint64))
+    if not stem:
+        return h, h, starts
+    ends = np.minimum(ends, starts + stem)
+    return h, mix((sums[ends] - sums[starts]) * inverse + (ends - starts).astype(np.uint64)), starts
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
