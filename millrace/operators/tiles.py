@@ -7,7 +7,7 @@ once and serve all features, windows and offsets on the same columns.
 Boundary of a spine row: its time cut to the unit of the granularity. A tile
 counts if it is complete at the boundary B (start + g <= B) and lies in the
 window: B - W - O <= start < B - O. With no tile in the window sums and counts
-are 0, other results null, arrays of secondary keys empty.
+(distinct ones too) are 0, other results null, arrays of secondary keys empty.
 """
 
 from __future__ import annotations
@@ -240,7 +240,7 @@ def merge_tiles(spine: DataFrame, tiles: DataFrame, spec: TileSpec, spine_ts: st
         out = out.join(merged, [*spec.keys, "_boundary"], "left")
     if forever:
         out = _lifetime(out, tiles, spec, forever)
-    blanks = {"sum": F.lit(0), "count": F.lit(0)}
+    blanks = {"sum": F.lit(0), "count": F.lit(0), "approx_count_distinct": F.lit(0)}
     for f in windowed:
         if spec.secondary_key:
             out = out.withColumn(f.output, F.coalesce(f.output, F.array().cast(dict(out.dtypes)[f.output])))
