@@ -12,7 +12,8 @@
    A pair of nodes is left when the sizes, the largest possible overlap or an
    equal component rule out any new link. Large buckets are cut into chunks,
    and pairs of chunks go to different tasks.
-5. Pairs that no bitmap rules out are verified on the whole sets.
+5. Pairs that these bitmaps don't rule out are tested with finer ones, whose
+   length follows the set's, and then verified on the whole sets.
 
 No link is lost: a linking pair shares a bucket, and it is either inside one
 component already or met in the traversal.
@@ -32,8 +33,8 @@ from millrace.llm.base import saved, slices
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
-#: Bits of a class's token bitmap.
-SIGNATURE = 1024
+#: Bits of a class's token bitmap in the trees, and most bits of the finer one that single pairs are tested with (four bits a token).
+SIGNATURE, MOST_BITS = 1024, 1 << 20
 #: Members of a leaf and children of a node; members that go to one task at once.
 LEAF, FANOUT, CHUNK = 16, 8, 4096
 #: Frequent shingles: seen in so many classes of the sample (one class in SAMPLE), at most so many of them. They only set the order.
@@ -64,7 +65,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
     links = saved(_verified(spark, rows, _possible(star.select("a", "b"), nodes, percent), n, percent), "links")
     labels = saved(connected_components(links), "labels")
 
-    more = saved(_traversed(buckets, nodes, labels, percent), "pairs")
+    more = _possible(saved(_traversed(buckets, nodes, labels, percent), "pairs"), nodes, percent)
     more = saved(_verified(spark, rows, more, n, percent), "links")
     labels = connected_components(links.union(more))
 
@@ -152,18 +153,23 @@ def _nodes(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
     """Bitmaps of the classes in buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(((k, len(t), bitmap(t)) for _, k, t in _sets(batches, n)), {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary()})
+        yield from _rows(((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for _, k, t in _sets(batches, n)), {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary()}, 1024)
 
     asked = buckets.select("key").distinct()
-    return rows.mapInArrow(run, "key long, n long, signature binary").join(asked, "key", "left_semi").dropDuplicates(["key"])
+    return rows.mapInArrow(run, "key long, n long, signature binary, fine binary").dropDuplicates(["key"]).join(asked, "key", "left_semi")
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE, dtype=bool)
-    bits[(tokens % np.uint64(SIGNATURE)).astype(np.int64)] = True
+def bitmap(tokens: np.ndarray, size: int) -> bytes:
+    bits = np.zeros(size, dtype=bool)
+    bits[(tokens % np.uint64(size)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def fine_bits(n: int) -> int:
+    """A power of two of four to eight bits a token."""
+    return min(MOST_BITS, max(SIGNATURE, 1 << (4 * n - 1).bit_length()))
+
+
 # --- pairs ---------------------------------------------------------------------------------------------------
 
 
@@ -177,21 +183,29 @@ def _bits(signatures: pa.Array) -> np.ndarray:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that their bitmaps don't rule out."""
-    a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+    """Pairs (a, b) that their finer bitmaps don't rule out."""
+    a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
+    b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n_a, n_b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-                s_a, s_b = _bits(batch.column(4)), _bits(batch.column(5))
-                most = most_overlap(s_a, s_b, n_a - _count(s_a), n_b - _count(s_b))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(most * (100 + percent) >= percent * (n_a + n_b)))
+            keep = []
+            for n_a, n_b, s_a, s_b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = _folded(*(np.frombuffer(s.as_buffer(), np.uint64)[None] for s in (s_a, s_b)))
+                most = most_overlap(x, y, n_a - _count(x), n_b - _count(y))[0]
+                keep.append(most * (100 + percent) >= percent * (n_a + n_b))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def _folded(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both bitmaps at the shorter length: a token's place there is its place in the longer one modulo that length."""
+    size = min(x.shape[1], y.shape[1])
+    fold = lambda z: np.bitwise_or.reduce(z.reshape(-1, size), axis=0)[None]
+    return fold(x), fold(y)
+
+
 def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
