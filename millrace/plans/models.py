@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import inspect
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
@@ -56,6 +57,18 @@ def validate_input(df: DataFrame, schema: StructType, strict: bool = False) -> D
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *[c for c in df.columns if c not in schema.fieldNames()])
 
 
+def _pickled(model: CustomModel) -> bytes:
+    """The model with the code of its class, so that executors need not import its module."""
+    module = inspect.getmodule(type(model))
+    if module is None or module.__name__ == "__main__":
+        return cloudpickle.dumps(model)
+    cloudpickle.register_pickle_by_value(module)
+    try:
+        return cloudpickle.dumps(model)
+    finally:
+        cloudpickle.unregister_pickle_by_value(module)
+
+
 class ModelVersion:
     def __init__(self, spark: SparkSession, name: str, version: str, record: dict) -> None:
         self.spark, self.name, self.version, self.record = spark, name, version, record
@@ -80,7 +93,7 @@ class ModelVersion:
                 return rows.groupBy(key).applyInPandas(lambda frame: whole(frame.drop(columns=key))[outputs.fieldNames()], schema)
             kind_of = dict(df.dtypes)[key]
 
-            def each(k, frame: pd.DataFrame) -> pd.DataFrame:
+            def each(k, frame):
                 out = whole(frame)[[c for c in outputs.fieldNames()]]
                 out.insert(0, key, k[0])
                 return out
@@ -115,7 +128,7 @@ class Registry:
     def log_model(self, model: CustomModel, name: str, version: str, signature: dict, metrics: dict | None = None, comment: str = "") -> ModelVersion:
         if self.catalog.get(name, version):
             raise ValueError(f"{name} {version} exists")
-        record = {"model": base64.b64encode(cloudpickle.dumps(model)).decode(), "methods": model.methods(), "signature": signature, "metrics": metrics or {}, "tags": {}, "comment": comment}
+        record = {"model": base64.b64encode(_pickled(model)).decode(), "methods": model.methods(), "signature": signature, "metrics": metrics or {}, "tags": {}, "comment": comment}
         self.catalog.put(name, version, record)
         about = self.catalog.get("_models", name) or {"default": version, "aliases": {}}
         self.catalog.put("_models", name, about)
@@ -252,7 +265,7 @@ def search_in_tasks(df: DataFrame, candidates: Sequence[dict], evaluate: Callabl
     tagged = df.withColumn("_fold", F.pmod(F.xxhash64(*(key or df.columns)), F.lit(folds)))
     every = tagged.withColumn("candidate", F.explode(F.array(*[F.lit(i) for i in range(len(candidates))]))).withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(folds)])))
 
-    def run(k, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(k, frame):
         return pd.DataFrame({"candidate": [k[0]], "fold": [k[1]], "score": [float(evaluate(frame, candidates[k[0]]))]})
 
     return jobs.join(every.groupBy("candidate", "fold").applyInPandas(run, "candidate int, fold int, score double"), ["candidate", "fold"], "left")

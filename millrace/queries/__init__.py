@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.queries import features, preprocess
+from millrace.queries import features, flows, preprocess
 
-QUERIES = {**features.QUERIES, **preprocess.QUERIES}
-ORACLES = {**features.ORACLES, **preprocess.ORACLES}
+QUERIES = {**features.QUERIES, **preprocess.QUERIES, **flows.QUERIES}
+ORACLES = {**features.ORACLES, **preprocess.ORACLES, **flows.ORACLES}
