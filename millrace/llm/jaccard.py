@@ -12,11 +12,14 @@
    A pair of nodes is left when the sizes, the largest possible overlap or an
    equal component rule out any new link. Large buckets are cut into chunks,
    and pairs of chunks go to different tasks.
+   A group with many possible pairs first gives the likeliest partners of each
+   class only; what they join is one component when the group is met again,
+   with four times as many partners, until all its possible pairs are out.
 5. Pairs that these bitmaps don't rule out are tested with finer ones, whose
    length follows the set's, and then verified on the whole sets.
 
 No link is lost: a linking pair shares a bucket, and it is either inside one
-component already or met in the traversal.
+component already or met in a traversal.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import saved, slices
@@ -35,8 +38,8 @@ from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
 #: Bits of a class's token bitmap in the trees, and most bits of the finer one that single pairs are tested with (four bits a token).
 SIGNATURE, MOST_BITS = 1024, 1 << 20
-#: Members of a leaf and children of a node; members that go to one task at once.
-LEAF, FANOUT, CHUNK = 16, 8, 4096
+#: Members of a leaf and children of a node; members that go to one task at once; pairs for each member up to which a group gives all of them.
+LEAF, FANOUT, CHUNK, MANY = 16, 8, 4096, 4
 #: Frequent shingles: seen in so many classes of the sample (one class in SAMPLE), at most so many of them. They only set the order.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 65_536
 #: Bits that tell the scan which classes' sets are asked for (the join behind it drops those that only share a bit).
@@ -54,20 +57,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
     gives no rows. Extra columns are not read. Shingles and sets are told
     apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long"), "members")
-    buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(rows, n)), "token long, key long, n int")), "buckets")
+    members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, sample binary"), "members")
+    buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
     nodes = saved(_nodes(rows, buckets, n), "nodes")
 
     star = buckets.where("key != pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).distinct()
     star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    links = saved(_verified(spark, rows, _possible(star.select("a", "b"), nodes, percent), n, percent), "links")
+    links = saved(_verified(nodes, _possible(star.select("a", "b"), nodes, percent), percent), "links")
     labels = saved(connected_components(links), "labels")
 
-    more = _possible(saved(_traversed(buckets, nodes, labels, percent), "pairs"), nodes, percent)
-    more = saved(_verified(spark, rows, more, n, percent), "links")
-    labels = connected_components(links.union(more))
+    partners = 1
+    while True:
+        met = saved(_traversed(buckets, nodes, labels, percent, partners), "pairs")
+        more = saved(_verified(nodes, _possible(met.select("a", "b").distinct(), nodes, percent), percent), "links")
+        labels = saved(connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
+        left = met.where("not whole").select("token").distinct()
+        if not left.limit(1).count():
+            break
+        buckets, partners = saved(buckets.join(left, "token", "left_semi"), "buckets"), 4 * partners
 
     first = members.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     first = first.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label"))
@@ -113,20 +121,28 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, once: bool = True) -> Itera
 
 def _classes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(((d, len(t), k) for d, k, t in _sets(batches, n, once=False)), {"doc_id": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64()})
+        seen: set[int] = set()
+
+        def rows() -> Iterator[tuple]:
+            for d, k, t in _sets(batches, n, once=False):
+                drawn = k % SAMPLE == 0 and k not in seen
+                seen.add(k)
+                yield d, len(t), k, t.astype("<u8").tobytes() if drawn else None
+
+        yield from _rows(rows(), {"doc_id": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sample": pa.binary()})
 
     return run
 
 
-def _frequent(rows: DataFrame, n: int) -> np.ndarray:
-    """Shingles that a sample of the classes shows often, the most frequent ones at most."""
+def _frequent(members: DataFrame) -> np.ndarray:
+    """Shingles that the sampled classes show often, the most frequent ones at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, key, tokens in _sets(batches, n):
-            if key % SAMPLE == 0:
-                yield pa.RecordBatch.from_pydict({"token": _signed(tokens), "key": np.full(len(tokens), key)})
+        for batch in batches:
+            for x in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"token": np.frombuffer(x.as_buffer(), "<i8")})
 
-    counts = rows.mapInArrow(run, "token long, key long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = members.where("sample is not null").select("sample").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).collect()  # bounded by MOST_FREQUENT
     return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
 
@@ -149,14 +165,30 @@ def _shared(entries: DataFrame) -> DataFrame:
     return entries.withColumn("pivot", pivot).withColumn("_last", F.max("key").over(w)).where("pivot.key != _last").drop("_last")
 
 
+def _wanted(keys: DataFrame):
+    """A test for the table's keys that may also let others pass: WANTED_BITS bits, gathered by partial aggregation."""
+    place = F.pmod("key", F.lit(WANTED_BITS))
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # WANTED_BITS bits at most
+    bits = {r["at"]: bytes(r["bits"]) for r in parts}
+
+    def test(key: int) -> bool:
+        at = key % WANTED_BITS
+        bucket, bit = (1 + (at - 1) // 32768, (at - 1) % 32768) if at > 0 else (0, 0)
+        part = bits.get(bucket)
+        return part is not None and bool(part[bit >> 3] >> (bit & 7) & 1)
+
+    return test
+
+
 def _nodes(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
-    """Bitmaps of the classes in buckets."""
+    """Bitmaps and sets of the classes in buckets, once for each task that meets a class; some others may be among them."""
+    asked = _wanted(buckets.select("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for _, k, t in _sets(batches, n)), {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary()}, 1024)
+        found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t))), t.astype("<u8").tobytes()) for _, k, t in _sets(batches, n) if asked(k))
+        yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary(), "tokens": pa.binary()}, 256)
 
-    asked = buckets.select("key").distinct()
-    return rows.mapInArrow(run, "key long, n long, signature binary, fine binary").dropDuplicates(["key"]).join(asked, "key", "left_semi")
+    return rows.mapInArrow(run, "key long, n long, signature binary, fine binary, tokens binary")
 
 
 def bitmap(tokens: np.ndarray, size: int) -> bytes:
@@ -184,8 +216,9 @@ def _bits(signatures: pa.Array) -> np.ndarray:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their finer bitmaps don't rule out."""
-    a = nodes.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
-    b = nodes.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
+    one = nodes.select("key", "n", "fine").dropDuplicates(["key"])
+    a = one.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
+    b = one.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,22 +243,14 @@ def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def _verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link, by their whole sets."""
-    pairs = saved(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    place = F.pmod("key", F.lit(WANTED_BITS))
-    parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # WANTED_BITS bits at most
-    bits = {r["at"]: bytes(r["bits"]) for r in parts}
+def _verified(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link, by their whole sets; only sets that a pair asks for are moved."""
+    pairs = saved(pairs, "pairs")
+    asked = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("key")))
 
-    def asked(key: int) -> bool:
-        at = key % WANTED_BITS
-        bucket, bit = (1 + (at - 1) // 32768, (at - 1) % 32768) if at > 0 else (-at // 32768, -at % 32768)
-        part = bits.get(bucket)
-        return part is not None and bool(part[bit >> 3] >> (bit & 7) & 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(((k, t.astype("<u8").tobytes()) for _, k, t in _sets(batches, n) if asked(k)), {"key": pa.int64(), "tokens": pa.binary()}, 256)
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([asked(k) for k in batch.column(0).to_pylist()], pa.bool_()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,13 +261,17 @@ def _verified(spark: SparkSession, rows: DataFrame, pairs: DataFrame, n: int, pe
                 keep.append((100 + percent) * both >= percent * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = saved(rows.mapInArrow(run, "key long, tokens binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = nodes.select("key", "tokens").mapInArrow(chosen, "key long, tokens binary").dropDuplicates(["key"])
     a, b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(count, "a long, b long")
 
 
-def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that the trees of their buckets don't rule out."""
+def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, partners: int) -> DataFrame:
+    """token, a, b, whole: pairs of classes in different components that the trees of their buckets don't rule out.
+
+    whole: the group has given all its pairs; else it has given each class's
+    likeliest ``partners``.
+    """
     labelled = buckets.select("token", "key").distinct().join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("label"))
     many = labelled.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("_who"))
     one = many.where("_a != _b").groupBy("size", "_who").agg(F.min("token").alias("token"))  # buckets with the same members: one of them
@@ -251,7 +280,8 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     # a chunk meets itself and each other chunk in groups (x, y), x <= y
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = dealt.select("token", "key", "label", "part", other).select("token", "key", "label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    full = dealt.join(nodes, "key").select("token", "x", "y", "side", "key", "label", "n", "signature")
+    light = nodes.select("key", "n", "signature").dropDuplicates(["key"])
+    full = dealt.join(light, "key").select("token", "x", "y", "side", "key", "label", "n", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -260,10 +290,43 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
             left = Tree(key[side == 0], label[side == 0], n[side == 0], bits[side == 0])
             same = group.column(1)[0].as_py() == group.column(2)[0].as_py()
             right = left if same else Tree(key[side == 1], label[side == 1], n[side == 1], bits[side == 1])
-            for a, b in traverse(left, right, percent):
-                yield pa.RecordBatch.from_pydict({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+            a, b, whole = likeliest(traverse(left, right, percent), partners, MANY * len(key))
+            if len(a):
+                token = np.full(len(a), group.column(0)[0].as_py())
+                yield pa.RecordBatch.from_pydict({"token": token, "a": np.maximum(a, b), "b": np.minimum(a, b), "whole": np.full(len(a), whole)})
+
+    return full.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "token long, a long, b long, whole boolean")
+
+
+def likeliest(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], partners: int, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """All pairs if there are no more than ``limit``; else each key's ``partners`` likeliest, of which the running list is kept short."""
+    a, b, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    whole = True
+
+    def shortened() -> None:
+        nonlocal a, b, score, whole
+        n = len(a)
+        a, b, score = _best(a, b, score, partners)
+        whole = whole and len(a) == n
+
+    for x, y, s in found:
+        a, b, score = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([score, s])
+        if len(a) > max(limit, 1 << 18):
+            shortened()
+    if not whole or len(a) > limit:
+        shortened()
+    return a, b, whole
+
 
-    return full.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long").distinct()
+def _best(a: np.ndarray, b: np.ndarray, score: np.ndarray, partners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keep = np.zeros(len(a), bool)
+    for key, other in ((a, b), (b, a)):
+        order = np.lexsort((other, -score, key))
+        k = key[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        rank = np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))
+        keep[order[rank < partners]] = True
+    return a[keep], b[keep], score[keep]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.RecordBatch]:
@@ -308,8 +371,8 @@ class Tree:
             width = FANOUT
 
 
-def traverse(left: Tree, right: Tree, percent: int, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys of the pairs that stay possible; trees of unequal height are met by descending the higher one first."""
+def traverse(left: Tree, right: Tree, percent: int, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of the pairs that stay possible, and the share of their tokens that may be common; trees of unequal height are met by descending the higher one first."""
     if not len(left.key) or not len(right.key):
         return
     same = left is right
@@ -325,7 +388,8 @@ def traverse(left: Tree, right: Tree, percent: int, at_once: int = 1 << 16) -> I
             if same:
                 i, j = i[i < j], j[i < j]
             if len(i):
-                yield left.key[i], right.key[j]
+                (bits_a, n_a, _, excess_a), (bits_b, n_b, _, excess_b) = ([x[k] for x in t.levels[0][:4]] for t, k in ((left, i), (right, j)))
+                yield left.key[i], right.key[j], most_overlap(bits_a, bits_b, excess_a, excess_b) / (n_a + n_b)
             continue
         if p >= q:
             i, j = _below(left.first[p], i, j)
