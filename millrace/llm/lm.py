@@ -44,7 +44,7 @@ class Settings:
     least: int = 2
     sample: int = 16
     frequent: int = 16
-    most_frequent: int = 65_536
+    most_frequent: int = 4_096
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
