@@ -1,0 +1,322 @@
+"""Operators on whole tables against brute force: WARC, top-k, decontamination, Jaccard join, scores, classifier, pipeline."""
+
+import gzip
+import hashlib
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from millrace.llm import decontaminate, jaccard, lm, quality, topk, warc
+from millrace.llm.components import connected_components
+from millrace.llm.wordhash import BLANK_WORDS, word_hashes
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, key string, n long, token long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], DOCS)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+# --- WARC
+
+
+def test_warc(spark, root):
+    big, other = "<p>ä</p>" * 200, "z" * 1000
+    pages = spark.createDataFrame([(1, "u1", big), (7, "u\n7", big), (3, None, big), (4, "u4", None), (5, "u5", "short"), (6, "u6", "short"), (8, "u8", other), (None, "n", other)], "page_id long, url string, html string")
+    rows = warc.warc_digest(pages).collect()
+    got = {r["page_id"]: tuple(r)[1:] for r in rows}
+    size, digest = len(big.encode()), hashlib.sha1(big.encode()).hexdigest()
+    assert len(rows) == 8
+    assert got[1] == got[3] == (size, digest, "revisit", 7) and got[7] == (size, digest, "response", None)
+    assert got[4] == (0, hashlib.sha1(b"").hexdigest(), "response", None) and got[5][2] == got[6][2] == "response"
+    assert got[8][2] == "response" and got[None][2:] == ("revisit", 8)
+    manifest = warc.write_warc(pages, f"{root}/w", compress=False)
+    assert manifest.groupBy().sum("records").first()[0] == 8
+    back = warc.read_warc(spark, f"{root}/w", partition_bytes=1)
+    assert back.where("record_type = 'revisit'").count() == 3 and back.where("page_id in (1, 5)").count() == 2
+    assert back.where("page_id = 7").first()["payload"].decode() == big
+    assert warc.read_warc(spark, f"{root}/w", payload=False).where("payload is not null").count() == 0
+    assert warc.warc_digest(pages.limit(0)).count() == 0
+
+
+def test_warc_filters_reach_the_scan_and_spare_payloads(tmp_path, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    rows = [{"page_id": i, "url": "u", "html": "x" * 50, "payload_digest": "0" * 40, "record_type": "response", "refers_to": None} for i in range(5)]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(warc._record(r, "2024-01-01T00:00:00Z")) for r in rows))
+    reader = warc.WarcReader({"path": str(path)}, warc._COLUMNS)
+    left = list(reader.pushFilters([EqualTo(("page_id",), 3), GreaterThan(("payload_bytes",), 1)]))
+    assert len(left) == 1 and isinstance(left[0], GreaterThan)
+    reads = []
+    monkeypatch.setattr(warc.Block, "read", lambda self, f=warc.Block.read: reads.append(1) or f(self))
+    out = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [r[3] for r in out] == [3] and len(reads) == 1 and out[0][7] == b"x" * 50
+
+
+# --- top-k
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in rng.normal(size=8).round(1)], "v") for i in range(400)]
+    rows += [(500, None, "v"), (501, [1.0, None] * 4, "v"), (502, [math.inf] * 8, "v"), (503, [math.nan] * 8, "v"), (None, [1.0] * 8, "v"), (504, [0.5] * 3, "v"), (505, [], "v")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string")
+    fine = [(i, np.floor(1024 * np.pad(np.array(v, dtype=np.float32).astype(float), (0, 8 - len(v)))).astype(int)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    want = {(q, r + 1, j, -s) for q, x in fine if q % 100 == 0 for r, (s, j) in enumerate(sorted((-int(x @ y), j) for j, y in fine if j != q)[:10])}
+    v = topk.quantized(df)
+    for block in (1024, 2):
+        assert {tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0"), query_block=block, batch_rows=64).collect()} == want
+    few = v.where("vec_id < 4")
+    assert topk.top_k(few, few.where("vec_id = 0")).count() == 3
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+# --- decontamination
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def text(rng, n):
+    return " ".join(rng.choice(WORDS, n))
+
+
+def brute_leaks(documents, items, k=5, least=0.75):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    out = {}
+    for d, t in documents:
+        w = words(t)
+        for i, it in items:
+            x = words(it)
+            n = min(k, len(x))
+            span = min(len(x), len(w))
+            if not x or span < n:
+                continue
+            b = grams(x, n)
+            best = max((((a & b).total() / (a | b).total()), -s) for s in range(len(w) - span + 1) for a in [grams(w[s : s + span], n)])
+            if best[0] >= least:
+                out[d, i] = (-best[1], best[0])
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    items = [(i, text(rng, int(rng.integers(1, 40)))) for i in range(25)] + [(90, ""), (91, None), (92, "a b a b a b a b a b")]
+    documents = [(i, text(rng, int(rng.integers(0, 150)))) for i in range(30)]
+    for d in range(30, 60):
+        item = items[int(rng.integers(25))][1].split()
+        if len(item) > 12:
+            item[int(rng.integers(0, 3))] = "changed"
+        documents.append((d, f"{text(rng, 20)}. {' '.join(item).upper()}! {text(rng, 15)}"))
+    documents += [(100, None), (101, ""), (102, "a b a b a b a b a b a b"), (103, "z " * 30_000 + (items[3][1] or ""))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks([x for x in documents if x[0] != 103], items)
+    for options in ({}, {"items_at_once": 7}):
+        rows = decontaminate.find_leaks(docs(spark, documents), bench, **options).collect()
+        got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["similarity"]) for r in rows}
+        assert {k for k in got if k[0] != 103} == set(want)
+        assert all(abs(got[k][1] - want[k][1]) < 1e-12 and got[k][0] == want[k][0] for k in want)
+        assert (103, 3) in got
+    left = decontaminate.drop_leaks(docs(spark, [*documents, (None, "plain")]), bench)
+    assert {r["doc_id"] for r in left.collect()} == {d for d, _ in documents} - {d for d, _ in got} | {None}
+    assert decontaminate.find_leaks(docs(spark, documents), bench.limit(0)).count() == 0
+
+
+def test_multi_index_finds_all_within_radius():
+    rng = np.random.default_rng(2)
+    index = decontaminate.ItemIndex([(i, text(rng, 20)) for i in range(60)], decontaminate.Settings(radius=19))
+    prints = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    flips = np.array([np.uint64(sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 24)), replace=False))) for _ in range(600)])
+    prints = np.concatenate([prints, np.tile(index.prints, 10) ^ flips])
+    row, item, distance = index.near(prints)
+    full = np.bitwise_count(prints[:, None] ^ index.prints[None])
+    assert {*zip(row.tolist(), item.tolist())} == {*zip(*(x.tolist() for x in np.nonzero(full <= 19)))} and (distance == full[row, item]).all()
+
+
+# --- Jaccard join
+
+
+def brute_components(documents, n=5):
+    sets = {}
+    for k, (d, t) in enumerate(documents):
+        w = tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(t)))
+        sets[k] = {w[i : i + n] for i in range(len(w) - n + 1)} if len(w) >= n else {w} if w else set()
+    parent = list(range(len(documents)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (d, _) in enumerate(documents):
+        if d is not None:
+            least[find(k)] = min(d, least.get(find(k), d))
+    return sorted(((d, len(sets[k]), least.get(find(k)) if sets[k] else d) for k, (d, _) in enumerate(documents)), key=str)
+
+
+def family(rng, size, n_words, changes):
+    base = text(rng, n_words).split()
+    out = []
+    for _ in range(size):
+        w = list(base)
+        for _ in range(int(rng.integers(0, changes + 1))):
+            w[int(rng.integers(len(w)))] = f"x{int(rng.integers(10**6))}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_match_brute_force(spark, seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    passage = text(rng, 40)
+    texts = [text(rng, int(rng.integers(1, 80))) for _ in range(40)] + family(rng, 60, 70, 3) + family(rng, 25, 120, 8) + [f"{passage} {text(rng, 60)}" for _ in range(30)]
+    texts += ["", None, " \t", "one", "One", "one two three", "a b c d e", "A B C D E", "b c d e f"] + texts[40:44] * 3
+    order = rng.permutation(len(texts))
+    documents = [(int(i) * 3, texts[k]) for i, k in enumerate(order)] + [(None, texts[40]), (9, texts[41])]
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "MANY", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    got = jaccard.near_duplicates(docs(spark, documents)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(documents)
+    kept = [r["doc_id"] for r in jaccard.keep_first(docs(spark, documents)).collect()]
+    assert sorted(kept, key=str) == sorted({c for d, _, c in brute_components(documents) if d is not None} | {None}, key=str)
+    assert jaccard.near_duplicates(docs(spark, documents).limit(0)).count() == 0
+
+
+def test_tree_traversal_keeps_every_linking_pair():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(rng.choice(base, int(rng.integers(20, 200)))) for _ in range(150)] + [np.unique(np.append(base[:80], rng.integers(0, 1 << 63, int(k), dtype=np.uint64))) for k in rng.integers(0, 20, 60)]
+    key, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    bits = np.frombuffer(b"".join(jaccard.bitmap(s, jaccard.SIGNATURE) for s in sets), np.uint64).reshape(len(sets), -1)
+    tree = jaccard.Tree(key, key, n, bits)
+    got = {(min(a, b), max(a, b)) for x, y, _ in jaccard.traverse(tree, tree, 75, at_once=500) for a, b in zip(x.tolist(), y.tolist())}
+    links = {(a, b) for a in key.tolist() for b in key.tolist() if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert links and links <= got and len(got) < len(sets) ** 2 / 3
+    one = jaccard.Tree(key, np.zeros_like(key), n, bits)
+    assert not list(jaccard.traverse(one, one, 75))
+
+
+def test_connected_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (101, 101), (None, 3), (200, 200), (100, 102)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- language model
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(WORDS[:30], int(rng.integers(0, 60)))) for _ in range(80)] + [None, "", "  ", "once", "W1 w2\nw1 w2"]
+    documents = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1])]
+    words = [lower(t).split() for _, t in documents]
+    uni = Counter(w for ws in words for w in ws)
+    pairs = Counter(p for ws in words for p in zip(ws, ws[1:]))
+    names = sorted(uni)
+    buckets = word_hashes(pa.array([" ".join(names)]), BLANK_WORDS)[0] >> np.uint64(42)
+    assert len(set(buckets.tolist())) == len(names)
+    total = sum(uni.values())
+
+    def score(ws):
+        s = 0.0
+        for i, w in enumerate(ws):
+            if i and pairs[ws[i - 1], w] >= 2:
+                s += math.log(pairs[ws[i - 1], w] / uni[ws[i - 1]])
+            else:
+                s += math.log((0.4 if i else 1) * uni[w] / total)
+        return s
+
+    want = sorted(((d, len(w), round(score(w), 3)) for (d, _), w in zip(documents, words)), key=str)
+    for frequent in (16, 1):
+        rows = lm.score_documents(docs(spark, documents), lm.Settings(sample=1, frequent=frequent)).collect()
+        assert sorted(((r["doc_id"], r["n_words"], round(r["log_score"] + 0.0, 3) + 0.0) for r in rows), key=str) == want
+        assert all((r["per_word"] is None) == (r["n_words"] == 0) for r in rows)
+    assert lm.score_documents(docs(spark, documents).limit(0)).count() == 0
+
+
+# --- quality
+
+
+def test_expectation_maximisation_recovers_accuracies():
+    rng = np.random.default_rng(8)
+    truth = rng.random(20_000) < 0.3
+    right = [0.95, 0.8, 0.7, 0.9]
+    votes = np.stack([np.where(rng.random(len(truth)) < r, truth, ~truth).astype(int) for r in right], axis=1)
+    votes[rng.random(votes.shape) < 0.2] = quality.NONE
+    patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    post, found = quality.expectation_maximisation(patterns, counts)
+    assert np.abs(found.mean(axis=1) - right).max() < 0.03
+    assert ((post[place.ravel()] > 0.5) == truth).mean() > 0.93
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(d, labels.where("doc_id % 2 = 0"))
+    r = {(x["quality"], x["toxic"], x["keep"]): x["count"] for x in quality.score(d, model).join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("quality", "toxic", "keep").count().collect()}
+    share = lambda q, t: r.get((q, t, False), 0) / max(1, r.get((q, t, False), 0) + r.get((q, t, True), 0))
+    assert share(1, 1) > 0.95 and share(0, 1) > 0.95 and share(0, 0) > 0.9 and share(1, 0) < 0.02
+    assert 0.5 < model.accuracy["symbols"][1] <= 1
+
+
+def test_classifier_edge_cases(spark):
+    documents = docs(spark, [(1, None), (2, ""), (3, "!!! ???"), (None, "a fine and ordinary text of some words"), (1, "again the id one here"), (4, "word " * 20_000)])
+    labels = spark.createDataFrame([(1, 1, None), (1, 0, 1), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    for given in (labels, labels.limit(0)):
+        rows = quality.classify(documents, given).collect()
+        assert len(rows) == 6 and all(0 <= r["score"] <= 1 and r["keep"] == (r["score"] < 0.5) for r in rows)
+        assert [r["keep"] for r in rows if r["doc_id"] == 2] == [False]
+        assert quality.keep_good(documents, given).columns == documents.columns
+    assert quality.classify(documents.limit(0), labels).count() == 0
+
+
+# --- all together
+
+
+def test_queries_and_pipeline(spark):
+    import corpus_pipeline
+    from millrace.llm.registry import ORACLES, QUERIES
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "packing"]
+    assert corpus_pipeline.ORACLE_SQL is None and set(ORACLES) <= set(QUERIES) and "pipeline" in QUERIES
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    frames = [source]
+    for _, stage in corpus_pipeline.STAGES:
+        frames.append(stage(spark, frames[-1], SF))
+    assert all(f.columns == source.columns for f in frames[1:-1])
+    texts = {r["doc_id"]: r["text"] for r in frames[-2].collect()}
+    assert 0 < len(texts) < source.count() and {r["doc_id"] for r in frames[-1].select("doc_id").collect()} == set(texts)
+    bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not any(b and b in (t or "") for b in bench for t in texts.values())
+
+
+def test_oracles(spark):
+    import duckdb
+    from millrace.llm.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        df = QUERIES[name](spark, SF)
+        r = con.execute(sql)
+        order = [[d[0] for d in r.description].index(c) for c in df.columns]
+        assert sorted(map(repr, (tuple(x) for x in df.collect()))) == sorted(repr(tuple(x[i] for i in order)) for x in r.fetchall()), name
