@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import inspect
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
@@ -57,6 +58,12 @@ def validate_input(df: DataFrame, schema: StructType, strict: bool = False) -> D
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *[c for c in df.columns if c not in schema.fieldNames()])
 
 
+@functools.lru_cache(maxsize=4)
+def _loaded(blob: bytes) -> CustomModel:
+    """One copy of a model in each Python worker."""
+    return cloudpickle.loads(blob)
+
+
 def _pickled(model: CustomModel) -> bytes:
     """The model with the code of its class, so that executors need not import its module."""
     module = inspect.getmodule(type(model))
@@ -83,9 +90,9 @@ class ModelVersion:
             raise ValueError(f"no method {function_name}; there are {sorted(self.record['methods'])}")
         inputs, outputs = (StructType.fromJson(self.record["signature"][k]) for k in ("inputs", "outputs"))
         df = validate_input(df, inputs, strict_input_validation)
-        model, names, params = self.model(), inputs.fieldNames(), params or {}
+        blob, names, params = base64.b64decode(self.record["model"]), inputs.fieldNames(), params or {}
         if kind == "partitioned":
-            whole = lambda frame: getattr(model, function_name)(frame, **params)
+            whole = lambda frame: getattr(_loaded(blob), function_name)(frame, **params)
             key = partition_column or "_all"
             rows = df if partition_column else df.withColumn("_all", F.lit(1))
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outputs.fields)
@@ -105,6 +112,7 @@ class ModelVersion:
             full = full.add(f.name if f.name not in clash else f"{f.name}_output", f.dataType)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = _loaded(blob)
             for frame in frames:
                 out = getattr(model, function_name)(frame[names], **params)[outputs.fieldNames()]
                 joined = pd.concat([frame.reset_index(drop=True), out.reset_index(drop=True)], axis=1)
@@ -223,6 +231,55 @@ class Estimator:
         return accuracy_score(out, "_y", self.output) if classifier else r2_score(out, "_y", self.output)
 
 
+class VectorTransformer:
+    """A pyspark.ml feature stage (PCA, selectors) with plain columns in and out: <output>_0, <output>_1, ..."""
+
+    def __init__(self, stage, input_cols: Sequence[str], output: str = "OUTPUT", label_col: str | None = None, input_param: str = "inputCol") -> None:
+        self.stage, self.input_cols, self.output, self.label, self.input_param, self.model = stage, list(input_cols), output, label_col, input_param, None
+
+    def _assembled(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+
+        return VectorAssembler(inputCols=self.input_cols, outputCol="_features").transform(df)
+
+    def fit(self, df: DataFrame) -> "VectorTransformer":
+        stage = self.stage.copy({self.stage.getParam(self.input_param): "_features", self.stage.getParam("outputCol"): "_out"})
+        if self.label:
+            stage = stage.copy({stage.getParam("labelCol"): self.label})
+        self.model = stage.fit(self._assembled(df))
+        first = self.model.transform(self._assembled(df)).select("_out").first()
+        self.size = len(first["_out"]) if first else 0
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            raise ValueError("fit first")
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.model.transform(self._assembled(df)).withColumn("_out", vector_to_array("_out"))
+        return out.select(*df.columns, *[F.col("_out")[i].alias(f"{self.output}_{i}") for i in range(self.size)])
+
+
+def windowed_metrics(df: DataFrame, ts: str, window: str, metrics: dict[str, "F.Column"], segments: Sequence[str] = ()) -> DataFrame:
+    """Monitoring: aggregates by time window (its start in seconds since 1970) and segment."""
+    from millrace.functions.intervals import parse_interval, slice_start
+
+    start = slice_start(F.col(ts), parse_interval(window)).alias("window_start")
+    return df.where(F.col(ts).isNotNull()).groupBy(start, *segments).agg(*[c.alias(n) for n, c in metrics.items()])
+
+
+def drift(base: DataFrame, now: DataFrame, column: str, bins: int = 10, eps: float = 1e-4) -> float:
+    """Population stability index of a numeric column over equal-weight bins of the base."""
+    edges = base.agg(F.percentile(column, [i / bins for i in range(1, bins)])).first()[0]
+    code = sum(((F.col(column) >= e).cast("int") for e in edges[1:]), (F.col(column) >= edges[0]).cast("int"))
+    shares = []
+    for df in (base, now):
+        counts = {r["b"]: r["count"] for r in df.where(F.col(column).isNotNull()).groupBy(code.alias("b")).count().collect()}
+        total = max(sum(counts.values()), 1)
+        shares.append([max(counts.get(i, 0) / total, eps) for i in range(bins)])
+    return float(sum((b - a) * np.log(b / a) for a, b in zip(*shares, strict=True)))
+
+
 def estimator_classes() -> dict[str, type]:
     """Families with an equal or close pyspark.ml class, by name."""
     from pyspark.ml import classification as c

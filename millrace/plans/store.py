@@ -15,12 +15,14 @@ from datetime import UTC, datetime
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.operators.asof import asof_join
 from millrace.operators.tiles import Feature, TileSpec, build_tiles, merge_tiles, read_at, rollup_tiles
 from millrace.sources.catalog import JsonCatalog
 from millrace.sources.connector import key_filter
 from millrace.sources.dataset import Dataset, DatasetVersion, extend_schema
+from millrace.streaming.stream import StreamSource
 
 
 @dataclass(frozen=True)
@@ -273,6 +275,53 @@ class FeatureStore:
             return self._source(view)
         return self.spark.read.parquet(self._path(view)).drop("_batch")
 
+    # stream sources
+
+    def register_stream_source(self, name: str, schema: StructType, desc: str = "") -> StreamSource:
+        if self.catalog.get("stream", name.upper()):
+            raise ValueError(f"stream source {name} exists")
+        self.catalog.put("stream", name.upper(), {"name": name, "schema": schema.jsonValue(), "desc": desc})
+        return self.get_stream_source(name)
+
+    def get_stream_source(self, name: str) -> StreamSource:
+        if (d := self.catalog.get("stream", name.upper())) is None:
+            raise ValueError(f"no stream source {name}")
+        return StreamSource(d["name"], StructType.fromJson(d["schema"]), f"{self.root}/landing/{name.upper()}")
+
+    def list_stream_sources(self) -> DataFrame:
+        rows = [(d["name"], d["desc"]) for n in self.catalog.names("stream") if (d := self.catalog.get("stream", n))]
+        return self.spark.createDataFrame(rows, "name string, desc string")
+
+    def update_stream_source(self, name: str, desc: str) -> None:
+        self.get_stream_source(name)
+        self.catalog.put("stream", name.upper(), self.catalog.get("stream", name.upper()) | {"desc": desc})
+
+    def delete_stream_source(self, name: str) -> None:
+        self.get_stream_source(name)
+        self.catalog.delete("stream", name.upper())
+        self.catalog.remove_tree("..", "landing", name.upper())
+
+    def stream_ingest(self, name: str, records: Sequence[dict]) -> int:
+        return self.get_stream_source(name).ingest(self.spark, records)
+
+    def backfill_state(self, view: str, state: str | None = None) -> str | None:
+        """RUNNING, COMPLETED or FAILED of a view's backfill; sets it if given."""
+        if state is not None:
+            if state not in ("RUNNING", "COMPLETED", "FAILED"):
+                raise ValueError(f"state: {state!r}")
+            self.catalog.put("backfill", view.upper(), {"state": state, "at": self.clock().isoformat()})
+        return (self.catalog.get("backfill", view.upper()) or {}).get("state")
+
+    def run_backfill(self, view: str, rows: DataFrame) -> None:
+        """Write history to the view's landing table, with the state kept around the job."""
+        self.backfill_state(view, "RUNNING")
+        try:
+            rows.write.mode("overwrite").parquet(f"{self.root}/backfill/{view.upper()}")
+        except Exception:
+            self.backfill_state(view, "FAILED")
+            raise
+        self.backfill_state(view, "COMPLETED")
+
     # groups
 
     def register_feature_group(self, group: FeatureGroup) -> FeatureGroup:

@@ -177,16 +177,31 @@ def linear_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(m.coefficients[0]), 3), round(float(m.intercept), 1))], "slope double, intercept double")
 
 
+def monitored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and largest value by day and event type."""
+    from millrace.plans.models import windowed_metrics
+
+    return windowed_metrics(_table(spark, sf_dir, "events"), "ts", "1d", {"n": F.count("*"), "most": F.max("value")}, ["event_type"])
+
+
+def run_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes as columns: orders of each customer by status."""
+    orders = _table(spark, sf_dir, "orders")
+    return orders.groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).select("o_custkey", *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s.lower()) for s in "FOP"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         streaming_tiles, streaming_append, backfill_range, incremental_refresh, store_training_set, store_feature_group, dataset_versions, fileset_roundtrip, sharded_read, keys_filtered, category_union_except,
-        realtime_view, model_run, model_run_partitioned, linear_regression,
+        realtime_view, model_run, model_run_partitioned, linear_regression, monitored_windows, run_pivot,
     )
 }
 
 _TILES = f"WITH {_EVENTS_SQL} SELECT user_id, h AS tile_start, round(sum(value), 6) AS sum_value, count(value) AS count_value FROM e GROUP BY user_id, h"
 ORACLES = {
+    "monitored_windows": "SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS window_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
+    "run_pivot": "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey",
     "streaming_tiles": _TILES,
     "streaming_append": "SELECT event_id, value * 2 AS twice FROM events",
     "backfill_range": "SELECT event_id, value * 2 AS twice FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'",

@@ -175,3 +175,36 @@ def test_realtime_and_streams(spark, root, events):
     tiles = build_tiles(events.where("amount < 30"), spec)
     late = events.where("amount = 30")
     assert sorted(map(str, refresh_tiles(events, tiles, spec, late).collect())) == sorted(map(str, build_tiles(events, spec).collect()))
+
+
+def test_stream_sources_in_the_store(store, spark):
+    schema = spark.createDataFrame([], "a int, b string").schema
+    store.register_stream_source("clicks", schema)
+    with pytest.raises(ValueError, match="exists"):
+        store.register_stream_source("clicks", schema)
+    assert store.stream_ingest("clicks", [{"a": 1, "b": "x"}, {"a": 2, "b": "y"}]) == 2
+    store.update_stream_source("clicks", "new")
+    assert store.list_stream_sources().first()["desc"] == "new"
+    assert spark.read.schema(schema).json(store.get_stream_source("CLICKS").path).count() == 2
+    store.run_backfill("v", spark.range(3))
+    assert store.backfill_state("V") == "COMPLETED"
+    with pytest.raises(Exception):
+        store.run_backfill("v", spark.range(1).select(F.raise_error(F.lit("no"))))
+    assert store.backfill_state("v") == "FAILED"
+    store.delete_stream_source("clicks")
+    with pytest.raises(ValueError):
+        store.get_stream_source("clicks")
+
+
+def test_vector_stages_and_monitoring(spark):
+    from pyspark.ml.feature import PCA, VarianceThresholdSelector
+
+    from millrace.plans.models import VectorTransformer, drift, windowed_metrics
+
+    df = spark.createDataFrame([(float(i), 2.0 * i, 1.0) for i in range(50)], "a double, b double, c double")
+    assert VectorTransformer(PCA(k=1), ["a", "b"]).fit(df).transform(df).columns == ["a", "b", "c", "OUTPUT_0"]
+    kept = VectorTransformer(VarianceThresholdSelector(varianceThreshold=0.0), ["a", "c"], "S", input_param="featuresCol").fit(df).transform(df)
+    assert kept.columns[-1] == "S_0" and [r["S_0"] for r in kept.collect()] == [r["a"] for r in df.collect()]
+    assert drift(df, df, "a") == 0 and drift(df, df.withColumn("a", F.col("a") + 25), "a") > 0.2
+    timed = df.withColumn("ts", F.lit("2024-01-01 05:00:00").cast("timestamp_ntz"))
+    assert windowed_metrics(timed, "ts", "1h", {"n": F.count("*")}).first()["n"] == 50
