@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.intervals import seconds_of
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str] | None = None, prefix: str = "", strict: bool = False, per_column: bool = False, tolerance_seconds: int | None = None) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str] | None = None, prefix: str = "", strict: bool = False, per_column: bool = False, tolerance_seconds: int | None = None, spread: int = 1) -> DataFrame:
     """All left rows, each with ``columns`` of the latest right row with equal keys and right_ts <= left_ts.
 
     Both sides are united and sorted by key and time once; ``last`` over the
@@ -20,7 +22,15 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
     with one match nothing. Among right rows with equal time the one with the
     largest values wins. Repeated left rows stay. The right time is available
     as a column of ``columns`` if it is named there.
+
+    spread > 1 is for keys that hold a large share of the rows: time is cut
+    into so many parts at quantiles, each (key, part) is sorted by itself, and
+    the last right row of the parts before is joined to it.
     """
+    if spread > 1:
+        if per_column or tolerance_seconds is not None:
+            raise ValueError("spread goes with whole rows and no tolerance only")
+        return _spread_join(left, right, list(on), left_ts, right_ts, columns, prefix, strict, spread)
     names = list(columns) if columns is not None else [c for c in right.columns if c not in on and c != right_ts]
     if clash := {prefix + c for c in names} & set(left.columns):
         raise ValueError(f"columns on both sides: {sorted(clash)}; give a prefix")
@@ -55,6 +65,28 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
     return matched.unionByName(rest)
 
 
+def _spread_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, columns: Sequence[str] | None, prefix: str, strict: bool, spread: int) -> DataFrame:
+    names = list(columns) if columns is not None else [c for c in right.columns if c not in on and c != right_ts]
+    kind = dict(right.dtypes)[right_ts]
+    number = seconds_of if kind.startswith("timestamp") or kind == "date" else lambda c: c.cast("double")
+    cuts = sorted(set(right.where(F.col(right_ts).isNotNull()).select(number(F.col(right_ts)).cast("double").alias("t")).approxQuantile("t", [i / spread for i in range(1, spread)], 0.5 / spread)))
+
+    def part(ts: str) -> Column:
+        return reduce(lambda a, c: a + (number(F.col(ts)) > F.lit(c)).cast("int"), cuts, F.lit(0))
+
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on], F.col(right_ts).isNotNull())
+    rows = right.where(known).select(*on, F.col(right_ts).alias("_rt"), F.struct(*[F.col(c).alias(prefix + c) for c in names]).alias("_hit"), part(right_ts).alias("_part"))
+    lefts = left.withColumn("_part", part(left_ts))
+    inside = asof_join(lefts, rows, [*on, "_part"], left_ts, "_rt", ["_hit"], strict=strict)
+    newest = rows.groupBy(*on, "_part").agg(F.max(F.struct("_rt", "_hit")).alias("_m"))
+    parts = lefts.select(*on, "_part").distinct().join(newest, [*on, "_part"], "full")
+    w = Window.partitionBy(*on).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.dropna(subset=[*on, "_part"]).select(*on, "_part", F.last(F.col("_m._hit"), ignorenulls=True).over(w).alias("_before"))
+    found = F.when(F.col("_hit").isNotNull(), F.col("_hit")).otherwise(F.col("_before"))
+    joined = inside.join(before, [*on, "_part"], "left").withColumn("_found", found)
+    return joined.select(*left.columns, *[F.col("_found")[prefix + c].alias(prefix + c) for c in names])
+
+
 def range_join_binned(left: DataFrame, right: DataFrame, on: Sequence[str], point: str, low: str, high: str, width: int, how: str = "inner") -> DataFrame:
     """Pairs with equal keys and low <= point < high, as an equi-join on bins of ``width``.
 

@@ -141,12 +141,15 @@ def log_loss(df: DataFrame, y_true: str, y_pred: Names, labels: Sequence | None
 # --- ranking --------------------------------------------------------------------------------------------------
 
 
-def score_counts(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None) -> DataFrame:
-    """One row for each distinct score, with running weights from the highest score down: score, pos, neg, run_pos, run_neg."""
+def _by_score(df: DataFrame, y_true: str, y_score: str, pos_label, sample_weight: str | None) -> DataFrame:
     w, hit = _weight(sample_weight), F.col(y_true) == F.lit(pos_label)
     rows = df.where(F.col(y_true).isNotNull() & F.col(y_score).isNotNull())
-    by = rows.groupBy(F.col(y_score).cast("double").alias("score")).agg(F.sum(F.when(hit, w).otherwise(0.0)).alias("pos"), F.sum(F.when(hit, 0.0).otherwise(w)).alias("neg"))
-    return running_sums(by, "score", ["pos", "neg"], descending=True)
+    return rows.groupBy(F.col(y_score).cast("double").alias("score")).agg(F.sum(F.when(hit, w).otherwise(0.0)).alias("pos"), F.sum(F.when(hit, 0.0).otherwise(w)).alias("neg"))
+
+
+def score_counts(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None) -> DataFrame:
+    """One row for each distinct score, with running weights from the highest score down: score, pos, neg, run_pos, run_neg."""
+    return running_sums(_by_score(df, y_true, y_score, pos_label, sample_weight), "score", ["pos", "neg"], descending=True)
 
 
 def _class_weights(df: DataFrame, y_true: str, pos_label, sample_weight: str | None) -> tuple[float, float]:
@@ -173,11 +176,15 @@ def precision_recall_curve(df: DataFrame, y_true: str, y_score: str, pos_label=1
 
 def roc_auc_score(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None) -> float:
     """Area under the ROC curve: for each score its positives times the negatives below, ties counting half."""
-    p, n = _class_weights(df, y_true, pos_label, sample_weight)
-    if not p or not n:
-        raise ValueError("the area is defined for two classes only")
-    below = F.lit(n) - F.col("run_neg") + F.col("neg") / 2
-    return score_counts(df, y_true, y_score, pos_label, sample_weight).agg(F.sum(F.col("pos") * below)).first()[0] / (p * n)
+    by = _by_score(df, y_true, y_score, pos_label, sample_weight).persist()
+    try:
+        p, n = (float(x or 0) for x in by.agg(F.sum("pos"), F.sum("neg")).first())
+        if not p or not n:
+            raise ValueError("the area is defined for two classes only")
+        below = F.lit(n) - F.col("run_neg") + F.col("neg") / 2
+        return running_sums(by, "score", ["neg"], descending=True).agg(F.sum(F.col("pos") * below)).first()[0] / (p * n)
+    finally:
+        by.unpersist()
 
 
 def roc_auc_multiclass(df: DataFrame, y_true: str, scores: Sequence[str], labels: Sequence, average: str = "macro", multi_class: str = "ovr") -> float:

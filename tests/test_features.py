@@ -119,3 +119,16 @@ def test_asof(spark):
     assert filled["a", 5] == ("x", 2)
     with pytest.raises(ValueError):
         asof_join(left.withColumn("v", F.lit(1)), right, ["k"], "t", "rt", ["v"])
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_spread_over_time(spark, strict):
+    import random
+
+    rng = random.Random(5)
+    left = spark.createDataFrame([(i, rng.choice(["hot", "hot", "b", None]), rng.choice([None, *range(60)])) for i in range(300)], "id int, k string, t int")
+    right = spark.createDataFrame([(rng.choice(["hot", "b", None]), rng.choice([None, *range(0, 60, 3)]), rng.choice([None, i])) for i in range(120)], "k string, rt int, v int")
+    plain = asof_join(left, right, ["k"], "t", "rt", ["v"], prefix="p_", strict=strict)
+    spread = asof_join(left, right, ["k"], "t", "rt", ["v"], prefix="p_", strict=strict, spread=7)
+    assert spread.columns == plain.columns
+    assert sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
