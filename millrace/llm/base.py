@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, about; Spark's own default is eight times that.
+BATCH_BYTES = 8 << 20
+
+
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """Ask for Arrow batches of BATCH_BYTES where the session allows larger ones: texts and sets are wide rows, and an executor holds several batches at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(conf.get(key, "67108864")).rstrip("b")) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most_bytes`` of ``column`` (one row at least)."""
     for batch in batches:
@@ -53,6 +76,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> I
                 part = part.slice(0, max(1, part.num_rows // 8))
             yield part
             at += part.num_rows
+        del batch, part
+    give_back()
 
 
 def text_column(batch: pa.RecordBatch, column: str) -> pa.Array:
@@ -63,7 +88,5 @@ def sliced_bytes(array: pa.Array) -> int:
     """Bytes of a string array's own slice."""
     if len(array) == 0:
         return 0
-    import numpy as np
-
     offsets = np.frombuffer(array.buffers()[1], dtype=np.int32)
     return int(offsets[array.offset + len(array)] - offsets[array.offset])

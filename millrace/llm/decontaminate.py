@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices
+from millrace.llm.base import narrow_batches, slices
 from millrace.llm.wordhash import LETTER_WORDS, ngram_hashes, word_hashes
 
 HITS = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
@@ -190,7 +190,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], settings: Settings, id_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(scan, HITS)
+    return narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(scan, HITS)
 
 
 def _touched(words: np.ndarray, at: np.ndarray, index: ItemIndex) -> list[int]:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import saved, slices
+from millrace.llm.base import narrow_batches, saved, slices
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
@@ -57,7 +57,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
     gives no rows. Extra columns are not read. Shingles and sets are told
     apart by 64-bit hashes.
     """
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
     nodes = saved(_nodes(rows, buckets, n), "nodes")

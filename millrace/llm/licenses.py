@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices
+from millrace.llm.base import narrow_batches, slices
 
 SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string"
 
@@ -138,12 +138,16 @@ def parse_expression(text: str):
     until one that binds less or a bracket comes. Words of a sentence that
     follows the expression end it.
     """
-    parts = _PART.findall(text)
-    for n in range(len(parts), 0, -1):
-        tree = _yard(parts[:n])
-        if tree is not None:
-            return tree
-    return None
+    parts, depth, whole, operand_next = _PART.findall(text), 0, 0, True
+    for i, part in enumerate(parts):  # one pass finds where the last complete expression ends
+        joins, closes = part.upper() in _BINDS, part == ")"
+        if operand_next == (joins or closes) or closes and not depth:
+            break
+        depth += (part == "(") - closes
+        operand_next = joins or part == "("
+        if not operand_next and not depth:
+            whole = i + 1
+    return _yard(parts[:whole]) if whole else None
 
 
 def _yard(parts: list[str]):
@@ -234,4 +238,4 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             names = [c.split()[0] for c in SCAN.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(scan, SCAN)
+    return narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(scan, SCAN)

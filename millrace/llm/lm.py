@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices
+from millrace.llm.base import narrow_batches, slices
 from millrace.llm.wordhash import BLANK_WORDS, word_hashes
 
 SCORES = "doc_id long, n_words long, log_score double, per_word double"
@@ -125,7 +125,7 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Repeated rows and ids are scored row by row; null ids stay null. Other
     columns are not read. An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     unigrams = _unigrams(rows)
     logs = np.log(np.maximum(unigrams, 1)).astype(np.float32)
     log_n, log_back = float(np.log(max(int(unigrams.sum()), 1))), float(np.log(settings.backoff))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices
+from millrace.llm.base import narrow_batches, slices
 from millrace.llm.tokens import default_tokenizer, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
@@ -200,7 +200,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
 
         yield from _batches(pack_tokens(rows(), limits, cut, TaskContext.get().partitionId() << 33), with_ids)
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(pack, _schema(with_ids))
+    return narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(pack, _schema(with_ids))
 
 
 def pack_conversations(conversations: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), end_id: int = 1, loss_role: str = "assistant") -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import slices
+from millrace.llm.base import narrow_batches, slices
 from millrace.llm.wordhash import BLANK_WORDS, LETTER_WORDS, mix, text_bytes, word_and_stem_hashes, word_hashes
 
 SCORES = "doc_id long, score double, keep boolean, n_words long"
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     """
     model = Model(settings)
     one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    rows = narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.sample)
     drawn = rows.join(F.broadcast(sample), "doc_id").select("text", "quality", "toxic")  # the sample is bounded
 
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model, keep_columns: list[str] | None = None)
             s[n == 0] = 1.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(s < model.settings.reject), pa.array(n)], names=["doc_id", "score", "keep", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SCORES)
+    return narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, SCORES)
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.base import fresh_dir, saved, slices
+from millrace.llm.base import fresh_dir, narrow_batches, saved, slices
 from millrace.llm.tokens import default_tokenizer, encoder
 
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
@@ -57,7 +57,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 out.add(doc_id, ids if end_id is None else np.append(ids, dtype.type(end_id)))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": pa.array([out.docs], pa.int64()), "n_tokens": pa.array([out.tokens], pa.int64())})
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     return saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "token-manifest")
 
 

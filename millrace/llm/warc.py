@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 
-from millrace.llm.base import fresh_dir, saved
+from millrace.llm.base import fresh_dir, narrow_batches, saved
 
 SCHEMA = "record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -82,7 +82,7 @@ def write_warc(pages: DataFrame, path: str, compress: bool = True, date: datetim
         fs.move(temporary, local)
         yield pa.RecordBatch.from_pydict({"path": [name], "records": pa.array([n], pa.int64())})
 
-    return saved(with_revisits(pages).mapInArrow(write, "path string, records long"), "warc-manifest")
+    return saved(narrow_batches(with_revisits(pages)).mapInArrow(write, "path string, records long"), "warc-manifest")
 
 
 def _record(row: dict, when: str) -> bytes:
