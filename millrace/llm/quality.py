@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import narrow_batches, slices
+from millrace.llm.base import give_back, narrow_batches, slices
 from millrace.llm.wordhash import BLANK_WORDS, LETTER_WORDS, mix, text_bytes, word_and_stem_hashes, word_hashes
 
 SCORES = "doc_id long, score double, keep boolean, n_words long"
@@ -146,29 +146,35 @@ def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int
     return post, right
 
 
-def _lexicon(features: list[np.ndarray], toxic: np.ndarray, low: int, high: int, precision: float) -> np.ndarray:
-    """Features from low to high that stand in at least four toxic texts and hardly in others."""
-    if not len(features):
-        return np.zeros(0, np.int64)
-    flat, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
-    inside = (flat >= low) & (flat < high)
-    names, place = np.unique(flat[inside], return_inverse=True)
-    t = np.bincount(place, weights=toxic[row[inside]].astype(float), minlength=len(names))
-    n = np.bincount(place, minlength=len(names))
-    return names[(t >= 4) & (t >= precision * n)]
+class Sample:
+    """Features of the sampled rows end to end, as 32-bit places in the feature space, and the row of each."""
 
+    def __init__(self, rows: list[np.ndarray], space: int) -> None:
+        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f in rows])
+        self.space, self.rows = space, len(rows)
 
-def _train(features: list[np.ndarray], target: np.ndarray, steps: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
+    def counts(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each feature how many rows have it, and the sum of their weights."""
+        return np.bincount(self.flat, minlength=self.space), np.bincount(self.flat, weights=weights[self.row], minlength=self.space)
+
+
+def _lexicon(sample: Sample, toxic: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words and stems that stand in at least four toxic texts and hardly in others."""
+    n, t = sample.counts(toxic.astype(np.float64))
+    clear = lambda low, high, precision: np.flatnonzero((t[low:high] >= 4) & (t[low:high] >= precision * n[low:high])) + low
+    return clear(0, buckets, 0.9), clear(buckets, 2 * buckets, 0.8)
+
+
+def _train(sample: Sample, target: np.ndarray, steps: int = 200) -> tuple[float, np.ndarray, np.ndarray]:
     """Logistic regression on soft labels, over features that clearly go with either class (|z| of 4 or more)."""
-    flat, row = np.concatenate(features), np.repeat(np.arange(len(features)), [len(f) for f in features])
-    names, place = np.unique(flat, return_inverse=True)
-    n = np.bincount(place, minlength=len(names)).astype(float)
-    b = np.bincount(place, weights=target[row], minlength=len(names))
+    n, b = sample.counts(target)
     share = np.clip(target.mean(), 1e-4, 1 - 1e-4)
-    z = (b - n * share) / np.sqrt(n * share * (1 - share))
+    z = (b - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
     clear = (np.abs(z) >= 4) & (n >= 4)
-    keep = clear[place]
-    place, row, names = (np.cumsum(clear) - 1)[place[keep]], row[keep], names[clear]
+    names = np.flatnonzero(clear)
+    keep = clear[sample.flat]
+    place, row = np.searchsorted(names, sample.flat[keep]), sample.row[keep]
     w, bias = np.zeros(len(names)), float(np.log(share / (1 - share)))
     m_w, v_w, m_b, v_b = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     size = max(len(target), 1)
@@ -206,10 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([v.tobytes() for v in looks], pa.binary()), pa.array(both, pa.binary())], names=["quality", "toxic", "looks", "features"])
 
     got = drawn.mapInArrow(features, "quality int, toxic int, looks binary, features binary").limit(settings.sample).collect()
-    hashed = [np.frombuffer(r["features"], "<i4").astype(np.int64) for r in got]
+    hashed = [np.frombuffer(r["features"], "<i4") for r in got]
     toxic = np.array([r["toxic"] or 0 for r in got])
     b = settings.buckets
-    model.words, model.stems = _lexicon(hashed, toxic, 0, b, 0.9), _lexicon(hashed, toxic, b, 2 * b, 0.8)
+    space = 2 * b + len(LOOKS) + len(TOXICITY)
+    model.words, model.stems = _lexicon(Sample(hashed, space), toxic, b)
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -240,8 +247,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         t = NONE if r["toxic"] is None else BAD if r["toxic"] else GOOD
         p_q, p_t = tables[0].get((*looks.tolist(), q), 0.5), tables[1].get((*tox.tolist(), t), 0.5)
         target.append(1 - (1 - p_q) * (1 - p_t))
-        full.append(np.concatenate([f, np.flatnonzero(np.concatenate([looks, tox]) == BAD) + 2 * b]))
-    model.bias, model.features, model.weights = _train(full, np.array(target))
+        full.append(np.concatenate([f, (np.flatnonzero(np.concatenate([looks, tox]) == BAD) + 2 * b).astype(np.int32)]))
+    model.bias, model.features, model.weights = _train(Sample(full, space), np.array(target))
+    del got, hashed, full
+    give_back()
     return model
 
 
