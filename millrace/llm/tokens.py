@@ -9,8 +9,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Pieces kept by each Python worker (about 150 MB at most), and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 600_000, 128
+#: Pieces kept by each Python worker (about 75 MB), and the longest piece that is kept.
+CACHE_PIECES, CACHE_CHARS = 450_000, 128
 
 
 def default_tokenizer() -> str:

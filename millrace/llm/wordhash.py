@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Hashed at once; longer texts are cut between words.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 _RNG = np.random.default_rng(20240229)
 _CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

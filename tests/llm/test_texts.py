@@ -156,7 +156,7 @@ TOKEN_TEXTS = [*TEXTS[:3], "y" * 5000, " \t\n", "a  b\n\n c <|endoftext|> it's 1
 def test_cached_encoder(plain, monkeypatch):
     from millrace.llm import tokens
 
-    for size in (600_000, 3):
+    for size in (450_000, 3):
         monkeypatch.setattr(tokens, "CACHE_PIECES", size)
         e = tokens.PieceEncoder(default_tokenizer())
         for _ in range(2):
