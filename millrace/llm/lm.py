@@ -1,120 +1,202 @@
-"""Language-model scores: stupid backoff over word pairs, computed relationally.
-
-S(w | c) = count(c w) / count(c) where the pair is in the table (seen
-``least`` times or more), else backoff * count(w) / N. The log-score of a
-document is the sum over its words; the first word has no context and scores
-count(w) / N.
-
-* Words are told apart by 2**22 hash buckets, so the unigram table is an array
-  of fixed size that every task can hold, and a pair is a 44-bit key.
-* The pair table is partitioned by a hash of the key. The exploded pairs of
-  the documents are dealt out by the same hash, so that one exchange brings
-  each pair's occurrences together: their sum is its entry in the table, and
-  joining it to the occurrences needs no second one.
-* Very frequent pairs (found in a sample, a bounded list) are counted by
-  partial sums and scored where the document is read; they never meet in one
-  task.
-* What each task has summed for a document is added up by document.
+"""Language-model scores: stupid backoff over word n-grams, computed relationally.
+
+S(w | c) = count(c w) / count(c) where the n-gram c w is in the table (seen
+``least`` times or more), else backoff * S(w | c without its first word); at
+the end count(w) / N. The log-score of a document is the sum over its words;
+a word's context ends at the start of its document.
+
+* Words and n-grams are told apart by 64-bit hashes. All orders share one
+  space of keys and one table of counts.
+* A document slice of some megabytes (a chunk) gives each of its distinct keys
+  once, with the number of times it has it: partial sums, so that a frequent
+  n-gram brings a task one entry from each chunk at most.
+* The table is cut into ranges of keys, as many as the number of words asks
+  for. A chunk's sorted keys go to the ranges as packed blocks, a range adds up
+  the counts, and gives each chunk the counts of its keys in the same order.
+* The chunk's words travel along as numbers in its own list of words. With the
+  counts of its keys back, a chunk scores its documents by itself.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import narrow_batches, slices
-from millrace.llm.wordhash import BLANK_WORDS, word_hashes
+from millrace.llm.base import give_back, narrow_batches, slices
+from millrace.llm.wordhash import BLANK_WORDS, ngram_hashes, word_hashes
 
 SCORES = "doc_id long, n_words long, log_score double, per_word double"
-BUCKET_BITS = 22
-_MASK = (1 << BUCKET_BITS) - 1
+#: Bytes of text in a chunk, and words for each range of keys (both bound what a task holds).
+CHUNK, RANGE_WORDS = 8 << 20, 1 << 20
+_BLOCKS = "chunk long, part int, keys binary, counts binary, words binary, doc_ids array<long>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """backoff: factor of the lower order. least: smallest count of a pair in the table. frequent: pairs seen so often in one document of sample are scored apart, most_frequent of them at most (this only says where they are counted)."""
+    """backoff: factor of the lower order. least: smallest count of an n-gram in the table. order: words of the longest n-gram. sample and frequent said where frequent pairs were counted; they have no effect."""
 
     backoff: float = 0.4
     least: int = 2
     sample: int = 16
     frequent: int = 16
-    most_frequent: int = 4_096
+    order: int = 2
 
 
-def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash bucket of each word, and where each text's words start."""
-    words, at = word_hashes(texts, BLANK_WORDS)
-    return (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), at
+def grams(words: np.ndarray, order: int) -> np.ndarray:
+    """Key of the n-gram from each place on, across the ends of texts too."""
+    return words if order == 1 else ngram_hashes(words, order)
 
 
-def _pairs(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each pair of neighbours in a text, and the text's number."""
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    same = text[1:] == text[:-1]
-    return ((words[:-1] << BUCKET_BITS) | words[1:])[same], text[1:][same]
+def _within(text: np.ndarray, order: int) -> np.ndarray:
+    """Whether the n-gram from each place on lies in one text."""
+    return text[: max(len(text) - order + 1, 0)] == text[order - 1 :]
 
 
-def _counted(keys: np.ndarray) -> pa.RecordBatch:
-    key, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_pydict({"key": key, "n": n})
+def _keys(words: np.ndarray, text: np.ndarray, order: int) -> np.ndarray:
+    """Keys of all n-grams of all orders, sorted, each as often as it occurs."""
+    found = np.concatenate([grams(words, k)[_within(text, k)] for k in range(1, order + 1)])
+    found.sort()
+    return found
 
 
-def _unigrams(rows: DataFrame) -> np.ndarray:
-    """Count of each bucket: an array of 2**BUCKET_BITS, whatever the input."""
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys starts, and its length."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def _edges(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each range's keys start in sorted keys (one more entry at the end)."""
+    starts = np.array([(p << 64) // parts for p in range(parts)], dtype=np.uint64)
+    return np.append(np.searchsorted(keys, starts), len(keys))
+
+
+# --- blocks: numbers as planes of bytes, so that equal high bytes pack well
+
+
+def pack(values: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
+
+
+def unpack(block: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(block[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(block[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
 
+def unpack_sorted(block: bytes) -> np.ndarray:
+    return np.cumsum(unpack(block, np.uint64), dtype=np.uint64)
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    names = [c.split()[0] for c in _BLOCKS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+# --- steps
+
+
+def _n_words(rows: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-        for batch in slices(batches, "text", 4 << 20):
-            total += np.bincount(buckets(batch.column(1))[0], minlength=len(total))
-        key = np.flatnonzero(total)
-        for a in range(0, len(key), 65_536):
-            yield pa.RecordBatch.from_pydict({"key": key[a : a + 65_536], "n": total[key[a : a + 65_536]]})
-
-    table = rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    counts[table.column("key").to_numpy()] = table.column("n").to_numpy()
-    return counts
-
-
-def _frequent(rows: DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and exact counts of very frequent pairs."""
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            words, at = buckets(batch.column(1))
-            pairs, text = _pairs(words, at)
-            first = np.append(words, 0)[np.minimum(at[:-1], len(words))]
-            chosen = (first + np.diff(at)) % settings.sample == 0
-            yield _counted(pairs[chosen[text]])
-
-    few = rows.mapInArrow(sampled, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= settings.frequent)
-    keys = np.sort(np.array([r[0] for r in few.orderBy(F.desc("n"), "key").limit(settings.most_frequent).collect()], dtype=np.int64))  # bounded
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), dtype=np.int64)
-        for batch in slices(batches, "text", 4 << 20):
-            pairs, _ = _pairs(*buckets(batch.column(1)))
-            place, known = _find(keys, pairs)
-            total += np.bincount(place[known], minlength=len(keys))
-        yield pa.RecordBatch.from_pydict({"key": keys, "n": total})
+        n = sum(len(word_hashes(batch.column(1), BLANK_WORDS)[0]) for batch in slices(batches, "text", CHUNK))
+        yield pa.RecordBatch.from_pydict({"n": np.array([n], dtype=np.int64)})
 
-    if not len(keys):
-        return keys, keys
-    counted = {r[0]: r[1] for r in rows.mapInArrow(exact, "key long, n long").groupBy("key").agg(F.sum("n")).collect()}
-    return keys, np.array([counted[k] for k in keys.tolist()], dtype=np.int64)
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return place, keys[place] == wanted
+def _chunks(order: int, parts: int):
+    """For each chunk a block of keys and counts for each range, and one of its own words (part: any range, keys: its list of words, counts: words of each text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", CHUNK):
+            words, at = word_hashes(batch.column(1), BLANK_WORDS)
+            n = np.diff(at)
+            listed, number = np.unique(words, return_inverse=True)
+            own = (pack_sorted(listed), pack(n.astype(np.int64)), pack(number.astype(np.uint32)))
+            yield _blocks([(chunk, chunk % parts if parts > 1 else 0, *own, batch.column(0).to_pylist())])
+            keys = _keys(words, np.repeat(np.arange(len(n)), n), order)
+            first, counts = _runs(keys)
+            keys, edges = keys[first], _edges(keys[first], parts)
+            for p in range(0, parts, 256):
+                yield _blocks([(chunk, q, pack_sorted(keys[a:b]), pack(counts[a:b]), None, None) for q, a, b in zip(range(p, min(p + 256, parts)), edges[p:], edges[p + 1 :]) if b > a] or [(chunk, p, pack_sorted(keys[:0]), pack(counts[:0]), None, None)])
+            chunk += 1
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block of keys gets their counts in all chunks in place of its own; blocks of words pass."""
+    held: dict[int, list[tuple]] = defaultdict(list)
+    for batch in batches:
+        chunk, part, keys, counts, words, _ = (batch.column(i) for i in range(6))
+        for i in range(batch.num_rows):
+            if words[i].is_valid:
+                yield batch.slice(i, 1)
+            else:
+                held[part[i].as_py()].append((chunk[i].as_py(), keys[i].as_py(), counts[i].as_py()))
+    for part, blocks in held.items():
+        keys = np.concatenate([unpack_sorted(b[1]) for b in blocks])
+        counts = np.concatenate([unpack(b[2], np.int64) for b in blocks])
+        sizes = np.cumsum([0, *(int.from_bytes(b[1][:8], "little") for b in blocks)])
+        order = np.argsort(keys, kind="stable")
+        first, n = _runs(keys[order])
+        counts[order] = np.repeat(np.add.reduceat(counts[order], first), n) if len(first) else counts
+        for k in range(0, len(blocks), 256):
+            yield _blocks([(blocks[i][0], part, None, pack(counts[sizes[i] : sizes[i + 1]]), None, None) for i in range(k, min(k + 256, len(blocks)))])
+    give_back()
+
+
+def _scored(settings: Settings, total: int):
+    def run(table: pa.Table) -> pa.Table:
+        doc_ids, n, words, found = None, None, None, {}
+        for part, keys, counts, own, ids in zip(*(table.column(i) for i in range(1, 6)), strict=True):
+            if own.is_valid:
+                n, doc_ids = unpack(counts.as_py(), np.int64), ids.values
+                words = unpack_sorted(keys.as_py())[unpack(own.as_py(), np.uint32)]
+            else:
+                found[part.as_py()] = unpack(counts.as_py(), np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        keys = _keys(words, text, settings.order)
+        keys = keys[_runs(keys)[0]]
+        counts = np.concatenate([found[p] for p in sorted(found)] or [np.zeros(0, np.int64)])
+        if len(counts) != len(keys):
+            raise ValueError("the counts of a chunk are not those of its keys")
+        value = word_values(words, text, lambda k: counts[np.searchsorted(keys, k)], settings, total)
+        score = np.bincount(text, weights=value, minlength=len(n))
+        per_word = pa.array(score / np.maximum(n, 1), mask=n == 0)
+        return pa.table([doc_ids, pa.array(n), pa.array(score), per_word], names=["doc_id", "n_words", "log_score", "per_word"])
+
+    return run
+
+
+def word_values(words: np.ndarray, text: np.ndarray, count, settings: Settings, total: int) -> np.ndarray:
+    """Log-score of each word; ``count`` gives the counts of keys."""
+    context = count(words)
+    value = np.log(context) - np.log(max(total, 1))
+    for k in range(2, settings.order + 1):
+        at = np.flatnonzero(_within(text, k))
+        seen = count(grams(words, k)[at])
+        last = at + k - 1
+        value[last] = np.where(seen >= settings.least, np.log(seen) - np.log(context[at]), np.log(settings.backoff) + value[last])
+        context = np.ones(len(words), np.int64)
+        context[at] = seen
+    return value
 
 
 def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -126,63 +208,8 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     columns are not read. An empty table gives no rows.
     """
     rows = narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    unigrams = _unigrams(rows)
-    logs = np.log(np.maximum(unigrams, 1)).astype(np.float32)
-    log_n, log_back = float(np.log(max(int(unigrams.sum()), 1))), float(np.log(settings.backoff))
-    hot, hot_counts = _frequent(rows, settings)
-    least = settings.least
-
-    def gain(key: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """What a pair in the table adds to the score of a back-off."""
-        context, word = logs[key >> BUCKET_BITS].astype(np.float64), logs[key & _MASK].astype(np.float64)
-        return np.log(count) - context - (log_back + word - log_n)
-
-    hot_gain = np.where(hot_counts >= least, gain(hot, np.maximum(hot_counts, 1)), 0.0)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 36
-        for batch in slices(batches, "text", 4 << 20):
-            words, at = buckets(batch.column(1))
-            texts = len(at) - 1
-            n = np.diff(at)
-            text = np.repeat(np.arange(texts), n)
-            score = np.bincount(text, weights=logs[words].astype(np.float64) - log_n + log_back, minlength=texts) - log_back * (n > 0)
-            pairs, of = _pairs(words, at)
-            place, known = _find(hot, pairs)
-            score += np.bincount(of[known], weights=hot_gain[place[known]], minlength=texts) if len(hot) else 0
-            rest = np.stack([pairs[~known], of[~known]])
-            order = np.lexsort((rest[1], rest[0]))
-            rest = rest[:, order]
-            new = np.flatnonzero(np.concatenate([[True], (rest[:, 1:] != rest[:, :-1]).any(axis=0)])) if rest.shape[1] else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, rest.shape[1]))
-            key, of = rest[0, new], rest[1, new]
-            for a in range(0, len(key), 65_536):
-                k = key[a : a + 65_536]
-                yield _exploded(k, of[a : a + 65_536] + row, times[a : a + 65_536], None)
-            # a row for the document itself, under a key that no pair has
-            own = row + np.arange(texts)
-            yield _exploded(-1 - own, own, n, (batch.column(0), score))
-            row += texts
-
-    exploded = rows.mapInArrow(explode, "key long, row long, n long, doc_id long, own double")
-    table = F.sum("n").over(Window.partitionBy("key"))
-    joined = exploded.withColumn("count", table).where((F.col("count") >= least) | (F.col("key") < 0))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n, count, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 5, 4))
-            pair = key >= 0
-            value = np.where(pair, 0.0, np.nan_to_num(own))
-            value[pair] = n[pair] * gain(key[pair], count[pair])
-            words = np.where(pair, 0, n)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(words), pa.array(value)], names=["row", "doc_id", "n_words", "value"])
-
-    scored = joined.select("key", "row", "n", "doc_id", "own", "count").mapInArrow(score, "row long, doc_id long, n_words long, value double")
-    total = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("value").alias("log_score"))
-    return total.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("per_word"))
-
-
-def _exploded(key: np.ndarray, row: np.ndarray, n: np.ndarray, own: tuple[pa.Array, np.ndarray] | None) -> pa.RecordBatch:
-    doc_id = own[0] if own else pa.nulls(len(key), pa.int64())
-    score = pa.array(own[1]) if own else pa.nulls(len(key), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(n), doc_id, score], names=["key", "row", "n", "doc_id", "own"])
+    total = _n_words(rows)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_WORDS))
+    blocks = rows.mapInArrow(_chunks(settings.order, parts), _BLOCKS)
+    summed = blocks.repartitionById(parts, "part").mapInArrow(_summed, _BLOCKS)
+    return summed.groupBy("chunk").applyInArrow(_scored(settings, total), SCORES)

@@ -252,6 +252,21 @@ def test_scores_match_brute_force(spark, monkeypatch):
     assert lm.score_documents(docs(spark, documents).limit(0)).count() == 0
 
 
+def test_scores_tell_words_of_one_bucket_apart(spark, monkeypatch):
+    import pyarrow as pa
+
+    names = [f"w{i}" for i in range(20_000)]
+    high = word_hashes(pa.array([" ".join(names)]), BLANK_WORDS)[0] >> np.uint64(42)
+    order = np.argsort(high, kind="stable")
+    at = int(np.flatnonzero(high[order][1:] == high[order][:-1])[0])
+    a, b = names[order[at]], names[order[at + 1]]
+    documents = [(i, f"{a} x") for i in range(9)] + [(9, f"{b} x"), (10, f"{b} y")]
+    monkeypatch.setattr(lm, "RANGE_WORDS", 2)
+    got = {r["doc_id"]: r["log_score"] for r in lm.score_documents(docs(spark, documents)).collect()}
+    assert got[0] == pytest.approx(math.log(9 / 22) + math.log(9 / 9))
+    assert got[9] == pytest.approx(math.log(2 / 22) + math.log(0.4 * 10 / 22))
+
+
 # --- quality
 
 
