@@ -267,6 +267,37 @@ def test_scores_tell_words_of_one_bucket_apart(spark, monkeypatch):
     assert got[9] == pytest.approx(math.log(2 / 22) + math.log(0.4 * 10 / 22))
 
 
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_scores_of_any_order_match_brute_force(spark, monkeypatch, order):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(WORDS[:12], int(rng.integers(0, 40)))) for _ in range(60)] + [None, "", "once", "once more"] + ["a text of many copies that is seen often"] * 40
+    words = [lower(t).split() for t in texts]
+    counts = Counter(tuple(ws[i : i + k]) for ws in words for k in range(1, order + 1) for i in range(len(ws) - k + 1))
+    total = sum(map(len, words))
+
+    def value(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= 2 else math.log(0.4) + value(gram[1:])
+
+    monkeypatch.setattr(lm, "RANGE_WORDS", 50)
+    monkeypatch.setattr(lm, "CHUNK", 256)
+    rows = lm.score_documents(docs(spark, list(enumerate(texts))), lm.Settings(order=order)).collect()
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in rows}
+    assert len(rows) == len(texts)
+    for i, ws in enumerate(words):
+        want = sum(value(tuple(ws[max(0, j - order + 1) : j + 1])) for j in range(len(ws)))
+        assert got[i] == (len(ws), pytest.approx(want, abs=1e-6))
+
+
+def test_scores_query_has_order_three(spark):
+    from millrace.llm.registry import op5_lm_scores
+
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    got, want = op5_lm_scores(spark, SF), lm.score_documents(documents, lm.Settings(order=3))
+    assert sorted((r["doc_id"], round(r["log_score"], 6)) for r in got.collect()) == sorted((r["doc_id"], round(r["log_score"], 6)) for r in want.collect())
+
+
 # --- quality
 
 
