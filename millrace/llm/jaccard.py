@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm.base import narrow_batches, saved, slices
 from millrace.llm.components import connected_components
@@ -57,6 +58,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
     gives no rows. Extra columns are not read. Shingles and sets are told
     apart by 64-bit hashes.
     """
+    members, of_class = _components(docs, n, percent, id_column, text_column)
+    found = members.where("n_shingles > 0").join(of_class, "key").select("doc_id", "n_shingles", "component_id")
+    return found.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n_shingles, key, sample), and for each class with shingles its key and component_id."""
     rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
@@ -80,20 +88,42 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
     first = members.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     first = first.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label"))
     least = first.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_class = first.join(least, "label").select("key", "component_id")
-    found = members.where("n_shingles > 0").join(of_class, "key").select("doc_id", "n_shingles", "component_id")
-    return found.union(members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return members, first.join(least, "label").select("key", "component_id")
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """One document of each component: the one whose id is the component's; rows without an id stay."""
-    found = near_duplicates(docs, n, percent).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_copy"), "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(kept) else kept
+    """One document of each component: the one whose id is the component's; rows without an id or without shingles stay.
 
+    It goes by row: a row goes for the component it is in itself, not for
+    that of another row with its id. A component is named by its component_id;
+    of several rows that have this id, one with the smallest key stays, also
+    where they share no text.
+    """
+    members, of_class = _components(docs, n, percent)
+    found = members.where("doc_id is not null and n_shingles > 0").join(of_class, "key")
+    if not _repeats(members):  # an id names a row
+        copies = found.where("doc_id != component_id").select(F.col("doc_id").alias("_copy"))
+        return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"))
+    copies = found.select("doc_id", "key").distinct().join(stay, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("_copy"), F.col("key").alias("_copy_key"))
+    kept = _keyed(docs, n).join(copies, (F.col("doc_id") == F.col("_copy")) & (F.col("_key") == F.col("_copy_key")), "left_anti")
+    single = F.when(F.col("doc_id").isNull() | (F.col("_key") == _key(np.zeros(0, np.uint64))), F.monotonically_increasing_id())
+    return kept.withColumn("_single", single).dropDuplicates(["doc_id", "_key", "_single"]).select(docs.columns)
+
+
+def _repeats(rows: DataFrame) -> bool:
+    return bool(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def _keyed(docs: DataFrame, n: int) -> DataFrame:
+    """The documents with the key of their class as _key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            keys = [_key(tokens) for tokens in shingle_sets(batch.column("text"), n, BLANK_WORDS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
 
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
 
 
 # --- sets ----------------------------------------------------------------------------------------------------

@@ -197,6 +197,20 @@ def test_components_match_brute_force(spark, seed, monkeypatch):
     assert jaccard.near_duplicates(docs(spark, documents).limit(0)).count() == 0
 
 
+def test_first_documents_are_kept_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    unlike = [(None, a), (None, b), (None, c), (None, None), (1, a), (2, a), (2, b), (5, c), (5, d), (5, d + " more"), (5, d.upper()), (7, ""), (7, None), (7, a)]
+    fives = set()
+    for documents in (unlike, unlike[::-1]):
+        kept = jaccard.keep_first(docs(spark, documents))
+        assert kept.columns == docs(spark, documents).columns
+        rows = [(r["doc_id"], (r["text"] or "")[:1].lower()) for r in kept.collect()]
+        assert sorted((r for r in rows if r[0] != 5), key=str) == sorted([(None, "a"), (None, "b"), (None, "c"), (None, ""), (1, "a"), (2, "b"), (7, ""), (7, "")], key=str)
+        assert len(rows) == 9
+        fives |= {r for r in rows if r[0] == 5}
+    assert len(fives) == 1
+
+
 def test_tree_traversal_keeps_every_linking_pair():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
