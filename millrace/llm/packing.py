@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.base import narrow_batches, slices
-from millrace.llm.tokens import default_tokenizer, encoder
+from millrace.llm.tokens import CACHE_UNITS, default_tokenizer, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
@@ -176,7 +176,7 @@ def pack_tokens(rows: Iterator[tuple], limits: Limits, cut: bool, first_id: int)
         sequence += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), cut: bool = True, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), cut: bool = True, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Tokenize and pack every text; a row for each piece (see ``PIECES``).
 
     Every id of a document, and the end id after them, lies in exactly one
@@ -188,11 +188,11 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
     path = tokenizer or default_tokenizer()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path, cache_units).encode, b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
         def rows() -> Iterator[tuple]:
-            for batch in slices(batches, "text", 4 << 20):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for batch in slices(batches, "text", 8 << 20):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                     ids += end
                     mask = np.ones(len(ids) // 4, dtype=np.int8)
                     mask[:1] = 0

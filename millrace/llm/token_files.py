@@ -45,7 +45,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encode = TaskContext.get().partitionId(), encoder(tokens)
-        rows = ((d, i) for b in slices(batches, "text", 4 << 20) for d, i in zip(b.column(0).to_pylist(), encode.encode(b.column(1).to_pylist()), strict=True))
+        rows = ((d, i) for b in slices(batches, "text", 8 << 20) for d, i in zip(b.column(0).to_pylist(), encode.encode(b.column(1)), strict=True))
         first = next(rows, None)
         if first is None:
             return

@@ -1,16 +1,26 @@
-"""Token ids of whole texts, with a bounded cache of pieces."""
+"""Token ids of whole texts, with a bounded cache of units."""
 
 from __future__ import annotations
 
 import functools
 import json
 import os
-from collections.abc import Iterable
+import re
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept by each Python worker (about 75 MB), and the longest piece that is kept.
-CACHE_PIECES, CACHE_CHARS = 450_000, 128
+#: Units in a generation of a Python worker's cache (two take up to 250 MB), and the longest unit that is kept.
+CACHE_UNITS, CACHE_CHARS = 500_000, 64
+#: Characters of a text that are encoded at once; longer texts are cut between units.
+SEGMENT = 1 << 22
+
+#: Before a blank that stands before anything but white space.
+_CUT = re.compile(r"(?= \S)")
+_MARKS = frozenset(",.;:!?")
 
 
 def default_tokenizer() -> str:
@@ -20,62 +30,141 @@ def default_tokenizer() -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> "PieceEncoder":
-    """One encoder for each Python worker and vocabulary file."""
-    return PieceEncoder(path)
+def encoder(path: str, units: int = CACHE_UNITS) -> "UnitEncoder":
+    """One encoder for each Python worker, vocabulary file and size of the cache."""
+    return UnitEncoder(path, units)
+
+
+class Kept(dict):
+    """A dict whose oldest entries go: what is asked for moves from the old generation to the young one, which turns old when it is full."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.old = most, {}
 
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that neither generation has."""
+        away = keys - self.keys()
+        known = away & self.old.keys()
+        self.update((k, self.old[k]) for k in known)
+        return away - known
 
-class PieceEncoder:
-    """Ids of texts by the tokenizers library, each distinct piece encoded once.
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
 
-    A byte-level BPE first splits a text by a fixed pattern and merges within
-    the pieces only, so the ids of a text are the ids of its pieces in order.
-    Where the file asks for anything else (a normalizer, another splitter),
-    whole texts go to the library. Strings of special tokens in a text are
-    ordinary text.
+
+class UnitEncoder:
+    """Ids of texts by the tokenizers library, each distinct unit encoded once while the cache holds it.
+
+    A byte-level BPE splits a text by a fixed pattern and merges within the
+    pieces only. A piece ends before each blank that is followed by something
+    else than white space, whatever stands before it. So a text is cut there
+    into units, each distinct unit of a batch is looked up once, and only
+    unknown ones go to the library. Texts that hold the string of an added
+    token go to the library whole, and so do all texts where the file asks
+    for anything but this splitter.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, units: int = CACHE_UNITS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splitter = spec.get("pre_tokenizer") or {}
-        plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
-        self.pattern = None
-        if plain and not spec.get("normalizer") and spec["model"].get("type") == "BPE":
-            import public_tokenizers
-
-            self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.by_units = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not spec.get("normalizer") and spec["model"].get("type") == "BPE"
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._library(list(_MARKS)), strict=True))
+        self.units, self.long = Kept(units), []
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: Iterable[str | None] | pa.Array) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null counts as empty."""
-        texts = [t or "" for t in texts]
-        if self.pattern is None:
-            return [_packed(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [self._one(self.pattern.findall(t)) for t in texts]
-
-    def _one(self, pieces: list[str]) -> bytes:
-        cache = self.cache
-        missing = [p for p in set(pieces) if p not in cache]
-        if not missing:
-            return b"".join(map(cache.__getitem__, pieces))
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
-            missing = list(set(pieces))
-        found = dict(zip(missing, (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-        short = {p: b for p, b in found.items() if len(p) <= CACHE_CHARS}
-        cache.update(short)
-        if len(short) == len(found) and len(cache) <= CACHE_PIECES:
-            return b"".join(map(cache.__getitem__, pieces))
-        return b"".join([found[p] if p in found else cache[p] for p in pieces])
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(list(texts), pa.string())).fill_null("")
+        if not self.by_units:
+            return self._library(texts.to_pylist())
+        apart = np.zeros(len(texts), bool)
+        for token in self.added:
+            apart |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        long = ~apart & (pc.utf8_length(texts).to_numpy() > SEGMENT)
+        found: list[bytes | None] = [None] * len(texts)
+        for i in np.flatnonzero(apart).tolist():
+            found[i] = self._library([texts[i].as_py()])[0]
+        for i in np.flatnonzero(long).tolist():
+            found[i] = b"".join(b for part in _segments(texts[i].as_py()) for b in self._batch(pa.array([part], pa.string())))
+        rest = np.flatnonzero(~apart & ~long)
+        for i, ids in zip(rest.tolist(), self._batch(texts.take(pa.array(rest)) if len(rest) < len(texts) else texts), strict=True):
+            found[i] = ids
+        return found
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _batch(self, texts: pa.Array) -> list[bytes]:
+        if not len(texts):
+            return []
+        fields = pc.split_pattern(texts, " ")
+        at = fields.offsets.to_numpy().astype(np.int64)
+        at, values = at - at[0], fields.flatten()
+        coded = values.dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        # a unit is kept without its blank, a text's first unit behind one
+        keys = coded.dictionary.to_pylist()
+        heads = [" " + h for h in values.take(pa.array(at[:-1])).to_pylist()]
+        place[at[:-1]] = np.arange(len(keys), len(keys) + len(heads))
+        # a field that is empty or starts with white space belongs to the unit before it: cut those texts with care
+        loose = np.array([not k or k[0].isspace() for k in keys] + [False] * len(heads))
+        merged = np.unique(np.searchsorted(at, np.flatnonzero(loose[place]), side="right") - 1)
+        careful = {i: _units(texts[i].as_py()) for i in merged.tolist()}
+        keys = [k if k else " " for k in keys] + heads  # fields that are empty have no place any more
+        self._look_up({*keys, *(k for units in careful.values() for k in units)})
+        ids = [self.units[k] for k in keys]
+        out = _gathered(ids, place, at)
+        for i, units in careful.items():
+            out[i] = b"".join(map(self.units.__getitem__, units))
+        self._age()
+        return out
+
+    def _look_up(self, keys: set[str]) -> None:
+        """Have the ids of these units in the young generation."""
+        missing = self.units.missing(keys)
+        # letters and a mark behind them are two pieces
+        marked = {k: k[:-1] for k in missing if k[-1] in _MARKS and k[-2:-1].isalpha()}
+        bare = self.units.missing(set(marked.values()))
+        missing = list((missing - marked.keys()) | bare)
+        self.units.update(zip(missing, self._library([k[1:] if k[0] == " " else " " + k for k in missing]), strict=True))
+        self.units.update((k, self.units[b] + self.marks[k[-1]]) for k, b in marked.items())
+        self.long = [k for k in (*missing, *marked) if len(k) > CACHE_CHARS]
+
+    def _age(self) -> None:
+        for k in self.long:
+            self.units.pop(k, None)
+        self.units.age()
+
+
+def _units(text: str) -> list[str]:
+    first, *others = _CUT.split(text)
+    return [" " + first, *(u[1:] for u in others)]
+
+
+def _segments(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > SEGMENT and (cut := _CUT.search(text, at + SEGMENT)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
+def _gathered(ids: list[bytes], place: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each text the ids of its units, one after another: units ``place[at[i]:at[i + 1]]`` for text i."""
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    start = np.cumsum(size) - size
+    n = size[place]
+    end = np.cumsum(n)
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    raw = flat[np.arange(end[-1]) + np.repeat(start[place] - (end - n), n)].tobytes()
+    edge = (4 * np.concatenate([[0], end])[at]).tolist()
+    return [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]

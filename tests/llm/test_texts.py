@@ -146,7 +146,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -156,15 +155,16 @@ TOKEN_TEXTS = [*TEXTS[:3], "y" * 5000, " \t\n", "a  b\n\n c <|endoftext|> it's 1
 def test_cached_encoder(plain, monkeypatch):
     from millrace.llm import tokens
 
-    for size in (450_000, 3):
-        monkeypatch.setattr(tokens, "CACHE_PIECES", size)
-        e = tokens.PieceEncoder(default_tokenizer())
+    assert 50256 in plain("a <|endoftext|> b")
+    for size, segment in ((450_000, 1 << 22), (3, 1 << 22), (3, 50)):
+        monkeypatch.setattr(tokens, "SEGMENT", segment)
+        e = tokens.UnitEncoder(default_tokenizer(), size)
         for _ in range(2):
             assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(TOKEN_TEXTS)] == [plain(t) for t in TOKEN_TEXTS]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=60))
+@given(st.text(max_size=60) | st.text(" \n\t\x1c\x85\u3000ab1,.'s", max_size=40))
 def test_cached_encoder_on_any_text(plain, text):
     assert np.frombuffer(encoder(default_tokenizer()).encode([text])[0], "<u4").tolist() == plain(text)
 
