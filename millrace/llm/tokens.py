@@ -20,7 +20,9 @@ SEGMENT = 1 << 22
 
 #: Before a blank that stands before anything but white space.
 _CUT = re.compile(r"(?= \S)")
-_MARKS = frozenset(",.;:!?")
+_MARKS = ",.;:!?\n"
+#: Below this character, letters are letters to any version of Unicode.
+_LATIN = "\u0250"
 
 
 def default_tokenizer() -> str:
@@ -62,16 +64,19 @@ class UnitEncoder:
     pieces only. A piece ends before each blank that is followed by something
     else than white space, whatever stands before it. So a text is cut there
     into units, each distinct unit of a batch is looked up once, and only
-    unknown ones go to the library. Texts that hold the string of an added
-    token go to the library whole, and so do all texts where the file asks
-    for anything but this splitter.
+    unknown ones go to the library: Latin words, which are one piece, straight
+    to its model, others through all its steps. Texts that hold the string of
+    an added token go to the library whole, and so do all texts where the file
+    asks for anything but this splitter.
     """
 
     def __init__(self, path: str, units: int = CACHE_UNITS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, by_byte = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {c: by_byte.pre_tokenize_str(chr(c))[0][0] for c in range(ord(_LATIN))}  # each character as the model's vocabulary has its bytes
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         splitter = spec.get("pre_tokenizer") or {}
@@ -131,13 +136,31 @@ class UnitEncoder:
     def _look_up(self, keys: set[str]) -> None:
         """Have the ids of these units in the young generation."""
         missing = self.units.missing(keys)
-        # letters and a mark behind them are two pieces
-        marked = {k: k[:-1] for k in missing if k[-1] in _MARKS and k[-2:-1].isalpha()}
-        bare = self.units.missing(set(marked.values()))
-        missing = list((missing - marked.keys()) | bare)
-        self.units.update(zip(missing, self._library([k[1:] if k[0] == " " else " " + k for k in missing]), strict=True))
-        self.units.update((k, self.units[b] + self.marks[k[-1]]) for k, b in marked.items())
-        self.long = [k for k in (*missing, *marked) if len(k) > CACHE_CHARS]
+        others = [k for k in missing if self._of_parts(k) is None]
+        self.units.update(zip(others, self._library([k[1:] if k[0] == " " else " " + k for k in others]), strict=True))
+        self.long = [k for k in missing if len(k) > CACHE_CHARS]
+
+    def _of_parts(self, k: str) -> bytes | None:
+        """Ids of a unit of Latin words, single marks behind them and line ends, by the model alone; None for all others."""
+        ids = self.units.get(k, self.units.old.get(k))
+        if ids is None:
+            if k[-1] in self.marks and k[-2:-1].isalpha() and k[-2] < _LATIN:
+                left = self._of_parts(k[:-1])
+                ids = left and left + self.marks[k[-1]]
+            elif len(ends := k.split("\n", 1)) == 2 and all(e and not e[0].isspace() and not e[-1].isspace() for e in ends):
+                left, right = self._of_parts(ends[0]), self._of_parts(" " + ends[1])
+                ids = left and right and left + self.marks["\n"] + right
+            else:
+                head = k[0] == " "
+                word = k[1:] if head else k
+                if not word.isalpha() or max(word) >= _LATIN:
+                    return None
+                written = word if word.isascii() else word.translate(self.written)
+                ids = array("I", [t.id for t in self.model.tokenize(written if head else self.written[32] + written)]).tobytes()
+            if ids is None:
+                return None
+        self.units[k] = ids
+        return ids
 
     def _age(self) -> None:
         for k in self.long:
