@@ -62,6 +62,13 @@ def give_back() -> None:
         pass
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, behind as many underscores as set it apart from the columns (without regard to case)."""
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most_bytes`` of ``column`` (one row at least)."""
     for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import narrow_batches, slices
+from millrace.llm.base import narrow_batches, slices, text_column
 from millrace.llm.wordhash import LETTER_WORDS, ngram_hashes, word_hashes
 
 HITS = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
@@ -166,18 +166,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
     rows that repeat are compared each by itself; ties go to the first
     window. Null ids are kept. Other columns are not read.
     """
+    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    found = None
+    for items in _item_blocks(benchmark, items_at_once, bytes_at_once):
+        hits = rows.mapInArrow(_hits(items, settings), HITS)
+        found = hits if found is None else found.unionByName(hits)
+    return found
+
+
+def _item_blocks(benchmark: DataFrame, items_at_once: int, bytes_at_once: int) -> Iterator[list[tuple[int, str]]]:
+    """The items (a stated query set) in blocks of bounded size; one block at least."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where(F.col("text").isNotNull())
     n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // items_at_once), -(-size // bytes_at_once))
-    found = None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        hits = _scan(docs, [tuple(r) for r in own.collect()], settings, id_column, text_column)  # one bounded block of the query set
-        found = hits if found is None else found.unionByName(hits)
-    return found
+        yield [tuple(r) for r in own.collect()]  # one bounded block
 
 
-def _scan(docs: DataFrame, items: list[tuple[int, str]], settings: Settings, id_column: str, text_column: str) -> DataFrame:
+def _hits(items: list[tuple[int, str]], settings: Settings):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(items, settings)
         types = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
@@ -190,7 +197,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], settings: Settings, id_
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[c.split()[0] for c in HITS.split(", ")])
 
-    return narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(scan, HITS)
+    return scan
 
 
 def _touched(words: np.ndarray, at: np.ndarray, index: ItemIndex) -> list[int]:
@@ -203,7 +210,28 @@ def _touched(words: np.ndarray, at: np.ndarray, index: ItemIndex) -> list[int]:
     return sorted(some)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Documents without a benchmark item; those with a null id stay only if no leak was found under a null id."""
-    leaks = find_leaks(docs, benchmark, settings).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), items_at_once: int = 1024, bytes_at_once: int = 8 << 20) -> DataFrame:
+    """Documents without a benchmark item, with all their columns.
+
+    Each row goes or stays for its own text, whatever its id: rows that repeat
+    all go or all stay, null and empty texts stay. Nothing is shuffled; blocks
+    of items filter one after another in the same scan. An empty table, or one
+    of items, changes nothing.
+    """
+
+    def without(items: list[tuple[int, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex(items, settings)
+            for batch in slices(batches, "text", 1 << 20):
+                words, at = word_hashes(text_column(batch, "text"), LETTER_WORDS)
+                keep = np.ones(batch.num_rows, bool)
+                for d in _touched(words, at, index):
+                    keep[d] = next(index.search(words[at[d] : at[d + 1]]), None) is None
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    kept = narrow_batches(docs)
+    for items in _item_blocks(benchmark, items_at_once, bytes_at_once):
+        kept = kept.mapInArrow(without(items), docs.schema)
+    return kept

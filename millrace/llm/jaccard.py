@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.base import narrow_batches, saved, slices
+from millrace.llm.base import narrow_batches, saved, slices, text_column, unused
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
@@ -64,7 +64,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
 
 
 def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n_shingles, key, sample), and for each class with shingles its key and component_id."""
+    """The rows (doc_id, n_shingles, key, sample), and for each class with shingles its key, and its component's smallest doc_id with the smallest class that has it."""
     rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
@@ -87,43 +87,44 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
 
     first = members.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     first = first.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label"))
-    least = first.groupBy("label").agg(F.min("first").alias("component_id"))
-    return members, first.join(least, "label").select("key", "component_id")
+    named = F.struct(F.col("first").isNull().alias("none"), "first", "key")  # classes with an id come first
+    least = first.groupBy("label").agg(F.min(named).alias("least"))
+    return members, first.join(least, "label").select("key", F.col("least.first").alias("component_id"), F.col("least.key").alias("component_key"))
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """One document of each component: the one whose id is the component's; rows without an id or without shingles stay.
+    """One document of each component: a row with the component's smallest doc_id. Rows without an id or without shingles all stay.
 
-    It goes by row: a row goes for the component it is in itself, not for
-    that of another row with its id. A component is named by its component_id;
-    of several rows that have this id, one with the smallest key stays, also
-    where they share no text.
+    It goes by row: a row only goes if it is linked, in some steps, to the
+    row that stays. Rows that share an id but no text stand for their own
+    components. Where rows of one component share its smallest id, one of the
+    smallest class stays; of those that also have equal sets, any one.
+    Without links or rows the table stays as it is.
     """
     members, of_class = _components(docs, n, percent)
     found = members.where("doc_id is not null and n_shingles > 0").join(of_class, "key")
-    if not _repeats(members):  # an id names a row
-        copies = found.where("doc_id != component_id").select(F.col("doc_id").alias("_copy"))
-        return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("key").alias("key"))
-    copies = found.select("doc_id", "key").distinct().join(stay, ["doc_id", "key"], "left_anti").select(F.col("doc_id").alias("_copy"), F.col("key").alias("_copy_key"))
-    kept = _keyed(docs, n).join(copies, (F.col("doc_id") == F.col("_copy")) & (F.col("_key") == F.col("_copy_key")), "left_anti")
-    single = F.when(F.col("doc_id").isNull() | (F.col("_key") == _key(np.zeros(0, np.uint64))), F.monotonically_increasing_id())
-    return kept.withColumn("_single", single).dropDuplicates(["doc_id", "_key", "_single"]).select(docs.columns)
+    copy, copy_key, own, single = (unused(docs.columns, c) for c in ("_copy", "_copy_key", "_key", "_single"))
+    copies = found.where("doc_id != component_id or key != component_key").select(F.col("doc_id").alias(copy), F.col("key").alias(copy_key))
+    if not _repeats(members):  # an id names a row, so the copies' ids will do
+        return docs.join(copies.select(copy), F.col("doc_id") == F.col(copy), "left_anti")
+    kept = _keyed(docs, n, own).join(copies.distinct(), (F.col("doc_id") == F.col(copy)) & (F.col(own) == F.col(copy_key)), "left_anti")
+    alone = F.col("doc_id").isNull() | (F.col(own) == _key(np.zeros(0, np.uint64)))
+    return kept.withColumn(single, F.when(alone, F.monotonically_increasing_id())).dropDuplicates(["doc_id", own, single]).select(docs.columns)
 
 
 def _repeats(rows: DataFrame) -> bool:
     return bool(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
 
 
-def _keyed(docs: DataFrame, n: int) -> DataFrame:
-    """The documents with the key of their class as _key."""
+def _keyed(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """The documents with the key of their class in a last column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
-            keys = [_key(tokens) for tokens in shingle_sets(batch.column("text"), n, BLANK_WORDS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
+            keys = [_key(tokens) for tokens in shingle_sets(text_column(batch, "text"), n, BLANK_WORDS)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_key", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 # --- sets ----------------------------------------------------------------------------------------------------

@@ -131,6 +131,20 @@ def test_leaks_match_brute_force(spark):
     assert decontaminate.find_leaks(docs(spark, documents), bench.limit(0)).count() == 0
 
 
+def test_leaks_are_dropped_by_row(spark):
+    rng = np.random.default_rng(12)
+    item = text(rng, 30)
+    held = f"{text(rng, 20)} {item} {text(rng, 20)}"
+    documents = [(None, held), (None, text(rng, 40)), (None, None), (3, held), (3, text(rng, 40)), (3, held), (4, ""), (5, item.upper()), (6, text(rng, 5))]
+    benchmark = spark.createDataFrame([(1, item), (2, None), (1, text(rng, 12)), (None, text(rng, 3))], "item_id long, text string")
+    frame = docs(spark, documents).selectExpr("*", "doc_id as item_id", "text as _leak")
+    for items_at_once in (1024, 1):
+        kept = decontaminate.drop_leaks(frame, benchmark, items_at_once=items_at_once)
+        assert kept.columns == frame.columns
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(documents[i] for i in (1, 2, 4, 6, 8))
+    assert decontaminate.drop_leaks(frame, benchmark.limit(0)).count() == len(documents) and decontaminate.drop_leaks(frame.limit(0), benchmark).count() == 0
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     index = decontaminate.ItemIndex([(i, text(rng, 20)) for i in range(60)], decontaminate.Settings(radius=19))
@@ -146,6 +160,16 @@ def test_multi_index_finds_all_within_radius():
 
 
 def brute_components(documents, n=5):
+    sets, parent = brute_groups(documents, n)
+    least = {}
+    for k, (d, _) in enumerate(documents):
+        if d is not None:
+            least[parent[k]] = min(d, least.get(parent[k], d))
+    return sorted(((d, len(sets[k]), least.get(parent[k]) if sets[k] else d) for k, (d, _) in enumerate(documents)), key=str)
+
+
+def brute_groups(documents, n=5):
+    """Shingles of each row, and the number of its component."""
     sets = {}
     for k, (d, t) in enumerate(documents):
         w = tuple(re.findall(r"[^\x20\x09-\x0D]+", lower(t)))
@@ -161,11 +185,23 @@ def brute_components(documents, n=5):
         for b in range(a):
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 parent[find(a)] = find(b)
-    least = {}
-    for k, (d, _) in enumerate(documents):
-        if d is not None:
-            least[find(k)] = min(d, least.get(find(k), d))
-    return sorted(((d, len(sets[k]), least.get(find(k)) if sets[k] else d) for k, (d, _) in enumerate(documents)), key=str)
+    return sets, [find(k) for k in sets]
+
+
+def check_kept(documents, kept):
+    """Each component keeps one row with its smallest id; rows without an id or without shingles stay."""
+    sets, group = brute_groups(documents)
+    rest = Counter(kept)
+    alone = Counter(r for k, r in enumerate(documents) if r[0] is None or not sets[k])
+    assert alone - rest == Counter()
+    rest -= alone
+    for g in {g for k, g in enumerate(group) if sets[k]}:
+        rows = [documents[k] for k, x in enumerate(group) if x == g and documents[k][0] is not None]
+        if rows:
+            least = min(d for d, _ in rows)
+            one = next(r for r in rows if r[0] == least and rest[r])
+            rest[one] -= 1
+    assert +rest == Counter()
 
 
 def family(rng, size, n_words, changes):
@@ -192,23 +228,20 @@ def test_components_match_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
     got = jaccard.near_duplicates(docs(spark, documents)).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute_components(documents)
-    kept = [r["doc_id"] for r in jaccard.keep_first(docs(spark, documents)).collect()]
-    assert sorted(kept, key=str) == sorted({c for d, _, c in brute_components(documents) if d is not None} | {None}, key=str)
+    check_kept(documents, [(r["doc_id"], r["text"]) for r in jaccard.keep_first(docs(spark, documents)).collect()])
     assert jaccard.near_duplicates(docs(spark, documents).limit(0)).count() == 0
 
 
 def test_first_documents_are_kept_by_row(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
     unlike = [(None, a), (None, b), (None, c), (None, None), (1, a), (2, a), (2, b), (5, c), (5, d), (5, d + " more"), (5, d.upper()), (7, ""), (7, None), (7, a)]
-    fives = set()
-    for documents in (unlike, unlike[::-1]):
-        kept = jaccard.keep_first(docs(spark, documents))
-        assert kept.columns == docs(spark, documents).columns
-        rows = [(r["doc_id"], (r["text"] or "")[:1].lower()) for r in kept.collect()]
-        assert sorted((r for r in rows if r[0] != 5), key=str) == sorted([(None, "a"), (None, "b"), (None, "c"), (None, ""), (1, "a"), (2, "b"), (7, ""), (7, "")], key=str)
-        assert len(rows) == 9
-        fives |= {r for r in rows if r[0] == 5}
-    assert len(fives) == 1
+    for documents in (unlike, unlike[::-1], unlike * 2, unlike[:6], unlike[:4] + unlike[4:6] * 2):
+        frame = docs(spark, documents).selectExpr("*", "doc_id as _copy", "text as _key")  # clashing names
+        kept = jaccard.keep_first(frame)
+        assert kept.columns == frame.columns
+        check_kept(documents, [(r["doc_id"], r["text"]) for r in kept.collect()])
+    kept = [(r["doc_id"], (r["text"] or "")[:1].lower()) for r in jaccard.keep_first(docs(spark, unlike)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "a"), (None, "b"), (None, "c"), (None, ""), (1, "a"), (2, "b"), (5, "c"), (5, "d"), (7, ""), (7, "")], key=str)
 
 
 def test_tree_traversal_keeps_every_linking_pair():
