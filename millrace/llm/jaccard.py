@@ -43,8 +43,8 @@ SIGNATURE, MOST_BITS = 1024, 1 << 20
 LEAF, FANOUT, CHUNK, MANY = 16, 8, 4096, 4
 #: Frequent shingles: seen in so many classes of the sample (one class in SAMPLE), at most so many of them. They only set the order.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 65_536
-#: Bits that tell the scan which classes' sets are asked for (the join behind it drops those that only share a bit).
-WANTED_BITS = 1 << 24
+#: Bits for each asked class that tell a scan whose sets are wanted, and most bits (the join behind drops those that only share a bit).
+WANTED_BITS, MOST_WANTED = 16, 1 << 28
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -69,16 +69,16 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
     nodes = saved(_nodes(rows, buckets, n), "nodes")
+    linked = lambda pairs: saved(_verified(rows, n, _possible(pairs, nodes, percent), percent), "links")
 
     star = buckets.where("key != pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).distinct()
     star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    links = saved(_verified(nodes, _possible(star.select("a", "b"), nodes, percent), percent), "links")
-    labels = saved(connected_components(links), "labels")
+    labels = saved(connected_components(linked(star.select("a", "b"))), "labels")
 
     partners = 1
     while True:
         met = saved(_traversed(buckets, nodes, labels, percent, partners), "pairs")
-        more = saved(_verified(nodes, _possible(met.select("a", "b").distinct(), nodes, percent), percent), "links")
+        more = linked(met.select("a", "b").distinct())
         labels = saved(connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
         left = met.where("not whole").select("token").distinct()
         if not left.limit(1).count():
@@ -197,13 +197,17 @@ def _shared(entries: DataFrame) -> DataFrame:
 
 
 def _wanted(keys: DataFrame):
-    """A test for the table's keys that may also let others pass: WANTED_BITS bits, gathered by partial aggregation."""
-    place = F.pmod("key", F.lit(WANTED_BITS))
-    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # WANTED_BITS bits at most
+    """A test for the table's keys that may also let others pass, gathered by partial aggregation; None without keys."""
+    n = keys.count()
+    if not n:
+        return None
+    size = min(MOST_WANTED, max(1 << 15, 1 << (WANTED_BITS * n - 1).bit_length()))
+    place = F.pmod("key", F.lit(size))
+    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # MOST_WANTED bits at most
     bits = {r["at"]: bytes(r["bits"]) for r in parts}
 
     def test(key: int) -> bool:
-        at = key % WANTED_BITS
+        at = key % size
         bucket, bit = (1 + (at - 1) // 32768, (at - 1) % 32768) if at > 0 else (0, 0)
         part = bits.get(bucket)
         return part is not None and bool(part[bit >> 3] >> (bit & 7) & 1)
@@ -212,14 +216,15 @@ def _wanted(keys: DataFrame):
 
 
 def _nodes(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
-    """Bitmaps and sets of the classes in buckets, once for each task that meets a class; some others may be among them."""
-    asked = _wanted(buckets.select("key"))
+    """Bitmaps of the classes in buckets; some others may be among them."""
+    asked = _wanted(buckets.select("key").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t))), t.astype("<u8").tobytes()) for _, k, t in _sets(batches, n) if asked(k))
-        yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary(), "tokens": pa.binary()}, 256)
+        found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for _, k, t in _sets(batches, n) if asked and asked(k))
+        yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary()}, 256)
 
-    return rows.mapInArrow(run, "key long, n long, signature binary, fine binary, tokens binary")
+    found = rows.mapInArrow(run, "key long, n long, signature binary, fine binary")
+    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "signature", "fine")])
 
 
 def bitmap(tokens: np.ndarray, size: int) -> bytes:
@@ -247,7 +252,7 @@ def _bits(signatures: pa.Array) -> np.ndarray:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their finer bitmaps don't rule out."""
-    one = nodes.select("key", "n", "fine").dropDuplicates(["key"])
+    one = nodes.select("key", "n", "fine")
     a = one.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
     b = one.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
 
@@ -274,14 +279,16 @@ def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def _verified(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link, by their whole sets; only sets that a pair asks for are moved."""
+def _verified(rows: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link, by their whole sets; only sets that a pair asks for leave the scan."""
     pairs = saved(pairs, "pairs")
-    asked = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    asked = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    if asked is None:
+        return pairs
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([asked(k) for k in batch.column(0).to_pylist()], pa.bool_()))
+        found = ((k, t.astype("<u8").tobytes()) for _, k, t in _sets(batches, n) if asked(k))
+        yield from _rows(found, {"key": pa.int64(), "tokens": pa.binary()}, 256)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +299,7 @@ def _verified(nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append((100 + percent) * both >= percent * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = nodes.select("key", "tokens").mapInArrow(chosen, "key long, tokens binary").dropDuplicates(["key"])
+    sets = rows.mapInArrow(chosen, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
     a, b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(count, "a long, b long")
 
@@ -311,7 +318,7 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     # a chunk meets itself and each other chunk in groups (x, y), x <= y
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = dealt.select("token", "key", "label", "part", other).select("token", "key", "label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    light = nodes.select("key", "n", "signature").dropDuplicates(["key"])
+    light = nodes.select("key", "n", "signature")
     full = dealt.join(light, "key").select("token", "x", "y", "side", "key", "label", "n", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
