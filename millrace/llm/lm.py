@@ -7,21 +7,26 @@ a word's context ends at the start of its document.
 
 * Words and n-grams are told apart by 64-bit hashes. All orders share one
   space of keys and one table of counts.
-* A document slice of some megabytes (a chunk) gives each of its distinct keys
-  once, with the number of times it has it: partial sums, so that a frequent
-  n-gram brings a task one entry from each chunk at most.
+* A stretch of documents of some millions of words (a chunk) gives each of its
+  distinct keys once, with the number of times it has it: partial sums, so
+  that a frequent n-gram brings a task one entry from each chunk at most.
 * The table is cut into ranges of keys, as many as the number of words asks
   for. A chunk's sorted keys go to the ranges as packed blocks, a range adds up
   the counts, and gives each chunk the counts of its keys in the same order.
-* The chunk's words travel along as numbers in its own list of words. With the
-  counts of its keys back, a chunk scores its documents by itself.
+* A second scan sends each chunk's words, as numbers in its own list of words,
+  to where the counts of its keys come back, and its documents are scored
+  there. Both scans must deal out the same chunks: documents that come out of
+  a shuffle are written first; if another source deals its rows out anew, the
+  counts do not fit the words and the job fails.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import redirect_stdout
 from dataclasses import dataclass
+from io import StringIO
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +34,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.base import give_back, narrow_batches, slices
+from millrace.llm.base import give_back, narrow_batches, saved, slices
 from millrace.llm.wordhash import BLANK_WORDS, ngram_hashes, word_hashes
 
 SCORES = "doc_id long, n_words long, log_score double, per_word double"
-#: Bytes of text in a chunk, and words for each range of keys (both bound what a task holds).
-CHUNK, RANGE_WORDS = 8 << 20, 1 << 20
-_BLOCKS = "chunk long, part int, keys binary, counts binary, words binary, doc_ids array<long>"
+#: Words of a chunk (a text is never cut), bytes of text that are hashed at once, and words for each range of keys (all bound what a task holds).
+CHUNK_WORDS, SLICE, RANGE_WORDS = 1 << 22, 8 << 20, 1 << 20
+_BLOCKS = "chunk long, part int, keys binary, counts binary"
+_OWN = "chunk long, listed binary, numbers binary, sizes binary, doc_ids array<long>"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """backoff: factor of the lower order. least: smallest count of an n-gram in the table. order: words of the longest n-gram. sample and frequent said where frequent pairs were counted; they have no effect."""
+    """backoff: factor of the lower order. least: smallest count of an n-gram in the table. order: words of the longest n-gram."""
 
     backoff: float = 0.4
-    least: int = 2
-    sample: int = 16
-    frequent: int = 16
-    order: int = 2
+    least: int = 1
+    order: int = 3
 
 
 def grams(words: np.ndarray, order: int) -> np.ndarray:
@@ -103,9 +107,8 @@ def unpack_sorted(block: bytes) -> np.ndarray:
 
 
 def _blocks(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    names = [c.split()[0] for c in _BLOCKS.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    kinds = {"chunk": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
 
 # --- steps
@@ -113,43 +116,59 @@ def _blocks(rows: list[tuple]) -> pa.RecordBatch:
 
 def _n_words(rows: DataFrame) -> int:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(word_hashes(batch.column(1), BLANK_WORDS)[0]) for batch in slices(batches, "text", CHUNK))
+        n = sum(len(word_hashes(batch.column(1), BLANK_WORDS)[0]) for batch in slices(batches, "text", SLICE))
         yield pa.RecordBatch.from_pydict({"n": np.array([n], dtype=np.int64)})
 
     return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def _chunks(order: int, parts: int):
-    """For each chunk a block of keys and counts for each range, and one of its own words (part: any range, keys: its list of words, counts: words of each text)."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
+    """Number, ids, words of each text and all words of each chunk of a task's rows."""
+    chunk, ids, sizes, words, held = TaskContext.get().partitionId() << 32, [], [], [], 0
+    for batch in slices(batches, "text", SLICE):
+        found, at = word_hashes(batch.column(1), BLANK_WORDS)
+        ids += batch.column(0).to_pylist()
+        sizes.append(np.diff(at))
+        words.append(found)
+        held += len(found)
+        if held >= CHUNK_WORDS:
+            yield chunk, ids, np.concatenate(sizes), np.concatenate(words)
+            chunk, ids, sizes, words, held = chunk + 1, [], [], [], 0
+    if ids:
+        yield chunk, ids, np.concatenate(sizes), np.concatenate(words)
+
+
+def _counted(order: int, parts: int):
+    """For each chunk a block of keys and their counts in it for each range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text", CHUNK):
-            words, at = word_hashes(batch.column(1), BLANK_WORDS)
-            n = np.diff(at)
-            listed, number = np.unique(words, return_inverse=True)
-            own = (pack_sorted(listed), pack(n.astype(np.int64)), pack(number.astype(np.uint32)))
-            yield _blocks([(chunk, chunk % parts if parts > 1 else 0, *own, batch.column(0).to_pylist())])
+        for chunk, _, n, words in _chunks(batches):
             keys = _keys(words, np.repeat(np.arange(len(n)), n), order)
             first, counts = _runs(keys)
-            keys, edges = keys[first], _edges(keys[first], parts)
+            keys = keys[first]
+            edges = _edges(keys, parts)
             for p in range(0, parts, 256):
-                yield _blocks([(chunk, q, pack_sorted(keys[a:b]), pack(counts[a:b]), None, None) for q, a, b in zip(range(p, min(p + 256, parts)), edges[p:], edges[p + 1 :]) if b > a] or [(chunk, p, pack_sorted(keys[:0]), pack(counts[:0]), None, None)])
-            chunk += 1
+                yield _blocks([(chunk, q, pack_sorted(keys[a:b]), pack(counts[a:b])) for q, a, b in zip(range(p, min(p + 256, parts)), edges[p:], edges[p + 1 :]) if b > a] or [(chunk, p, pack_sorted(keys[:0]), pack(counts[:0]))])
+            del keys, first, counts
 
     return run
 
 
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's list of words, its words as numbers in the list, the words of each text, and the ids."""
+    for chunk, ids, n, words in _chunks(batches):
+        listed, number = np.unique(words, return_inverse=True)
+        packed = [pa.array([x], pa.binary()) for x in (pack_sorted(listed), pack(number.astype(np.uint32)), pack(n.astype(np.int64)))]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk]), *packed, pa.array([ids], pa.list_(pa.int64()))], names=[c.split()[0] for c in _OWN.split(", ")])
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block of keys gets their counts in all chunks in place of its own; blocks of words pass."""
+    """Each block of keys gets their counts in all chunks in place of its own."""
     held: dict[int, list[tuple]] = defaultdict(list)
     for batch in batches:
-        chunk, part, keys, counts, words, _ = (batch.column(i) for i in range(6))
-        for i in range(batch.num_rows):
-            if words[i].is_valid:
-                yield batch.slice(i, 1)
-            else:
-                held[part[i].as_py()].append((chunk[i].as_py(), keys[i].as_py(), counts[i].as_py()))
+        chunk, part, keys, counts = (batch.column(i).to_pylist() for i in range(4))
+        for c, p, k, n in zip(chunk, part, keys, counts, strict=True):
+            held[p].append((c, k, n))
     for part, blocks in held.items():
         keys = np.concatenate([unpack_sorted(b[1]) for b in blocks])
         counts = np.concatenate([unpack(b[2], np.int64) for b in blocks])
@@ -158,19 +177,15 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, n = _runs(keys[order])
         counts[order] = np.repeat(np.add.reduceat(counts[order], first), n) if len(first) else counts
         for k in range(0, len(blocks), 256):
-            yield _blocks([(blocks[i][0], part, None, pack(counts[sizes[i] : sizes[i + 1]]), None, None) for i in range(k, min(k + 256, len(blocks)))])
+            yield _blocks([(blocks[i][0], part, None, pack(counts[sizes[i] : sizes[i + 1]])) for i in range(k, min(k + 256, len(blocks)))])
     give_back()
 
 
 def _scored(settings: Settings, total: int):
-    def run(table: pa.Table) -> pa.Table:
-        doc_ids, n, words, found = None, None, None, {}
-        for part, keys, counts, own, ids in zip(*(table.column(i) for i in range(1, 6)), strict=True):
-            if own.is_valid:
-                n, doc_ids = unpack(counts.as_py(), np.int64), ids.values
-                words = unpack_sorted(keys.as_py())[unpack(own.as_py(), np.uint32)]
-            else:
-                found[part.as_py()] = unpack(counts.as_py(), np.int64)
+    def run(blocks: pa.Table, own: pa.Table) -> pa.Table:
+        listed, numbers, sizes, doc_ids = (own.column(i)[0] for i in range(1, 5))
+        words, n = unpack_sorted(listed.as_py())[unpack(numbers.as_py(), np.uint32)], unpack(sizes.as_py(), np.int64)
+        found = dict(zip(blocks.column(1).to_pylist(), (unpack(c.as_py(), np.int64) for c in blocks.column(3)), strict=True))
         text = np.repeat(np.arange(len(n)), n)
         keys = _keys(words, text, settings.order)
         keys = keys[_runs(keys)[0]]
@@ -180,7 +195,7 @@ def _scored(settings: Settings, total: int):
         value = word_values(words, text, lambda k: counts[np.searchsorted(keys, k)], settings, total)
         score = np.bincount(text, weights=value, minlength=len(n))
         per_word = pa.array(score / np.maximum(n, 1), mask=n == 0)
-        return pa.table([doc_ids, pa.array(n), pa.array(score), per_word], names=["doc_id", "n_words", "log_score", "per_word"])
+        return pa.table([doc_ids.values, pa.array(n), pa.array(score), per_word], names=["doc_id", "n_words", "log_score", "per_word"])
 
     return run
 
@@ -208,8 +223,18 @@ def score_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     columns are not read. An empty table gives no rows.
     """
     rows = narrow_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    if _shuffled(rows):
+        rows = saved(rows, "documents")
     total = _n_words(rows)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_WORDS))
-    blocks = rows.mapInArrow(_chunks(settings.order, parts), _BLOCKS)
+    blocks = rows.mapInArrow(_counted(settings.order, parts), _BLOCKS)
     summed = blocks.repartitionById(parts, "part").mapInArrow(_summed, _BLOCKS)
-    return summed.groupBy("chunk").applyInArrow(_scored(settings, total), SCORES)
+    return summed.groupBy("chunk").cogroup(rows.mapInArrow(_own, _OWN).groupBy("chunk")).applyInArrow(_scored(settings, total), SCORES)
+
+
+def _shuffled(df: DataFrame) -> bool:
+    """Whether the rows come out of a shuffle, which may deal them out differently the next time."""
+    text = StringIO()
+    with redirect_stdout(text):
+        df.explain()
+    return "Exchange" in text.getvalue()

@@ -38,7 +38,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.lm import Settings, score_documents
 
-    return score_documents(_table(spark, sf_dir, "documents"), Settings(order=3))
+    return score_documents(_table(spark, sf_dir, "documents"), Settings(order=3, least=2))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

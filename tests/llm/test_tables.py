@@ -292,8 +292,9 @@ def test_scores_match_brute_force(spark, monkeypatch):
         return s
 
     want = sorted(((d, len(w), round(score(w), 3)) for (d, _), w in zip(documents, words)), key=str)
-    for frequent in (16, 1):
-        rows = lm.score_documents(docs(spark, documents), lm.Settings(sample=1, frequent=frequent)).collect()
+    for chunk in (1 << 22, 200):
+        monkeypatch.setattr(lm, "CHUNK_WORDS", chunk)
+        rows = lm.score_documents(docs(spark, documents), lm.Settings(order=2, least=2)).collect()
         assert sorted(((r["doc_id"], r["n_words"], round(r["log_score"] + 0.0, 3) + 0.0) for r in rows), key=str) == want
         assert all((r["per_word"] is None) == (r["n_words"] == 0) for r in rows)
     assert lm.score_documents(docs(spark, documents).limit(0)).count() == 0
@@ -309,13 +310,13 @@ def test_scores_tell_words_of_one_bucket_apart(spark, monkeypatch):
     a, b = names[order[at]], names[order[at + 1]]
     documents = [(i, f"{a} x") for i in range(9)] + [(9, f"{b} x"), (10, f"{b} y")]
     monkeypatch.setattr(lm, "RANGE_WORDS", 2)
-    got = {r["doc_id"]: r["log_score"] for r in lm.score_documents(docs(spark, documents)).collect()}
+    got = {r["doc_id"]: r["log_score"] for r in lm.score_documents(docs(spark, documents), lm.Settings(order=2, least=2)).collect()}
     assert got[0] == pytest.approx(math.log(9 / 22) + math.log(9 / 9))
     assert got[9] == pytest.approx(math.log(2 / 22) + math.log(0.4 * 10 / 22))
 
 
-@pytest.mark.parametrize("order", [1, 3, 4])
-def test_scores_of_any_order_match_brute_force(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "least"), [(1, 2), (2, 1), (3, 1), (3, 2), (4, 2)])
+def test_scores_of_any_order_match_brute_force(spark, monkeypatch, order, least):
     rng = np.random.default_rng(7)
     texts = [" ".join(rng.choice(WORDS[:12], int(rng.integers(0, 40)))) for _ in range(60)] + [None, "", "once", "once more"] + ["a text of many copies that is seen often"] * 40
     words = [lower(t).split() for t in texts]
@@ -325,11 +326,12 @@ def test_scores_of_any_order_match_brute_force(spark, monkeypatch, order):
     def value(gram):
         if len(gram) == 1:
             return math.log(counts[gram] / total)
-        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= 2 else math.log(0.4) + value(gram[1:])
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= least else math.log(0.4) + value(gram[1:])
 
     monkeypatch.setattr(lm, "RANGE_WORDS", 50)
-    monkeypatch.setattr(lm, "CHUNK", 256)
-    rows = lm.score_documents(docs(spark, list(enumerate(texts))), lm.Settings(order=order)).collect()
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 64)
+    monkeypatch.setattr(lm, "SLICE", 256)
+    rows = lm.score_documents(docs(spark, list(enumerate(texts))), lm.Settings(order=order, least=least)).collect()
     got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in rows}
     assert len(rows) == len(texts)
     for i, ws in enumerate(words):
@@ -341,7 +343,7 @@ def test_scores_query_has_order_three(spark):
     from millrace.llm.registry import op5_lm_scores
 
     documents = spark.read.parquet(f"{SF}/documents.parquet")
-    got, want = op5_lm_scores(spark, SF), lm.score_documents(documents, lm.Settings(order=3))
+    got, want = op5_lm_scores(spark, SF), lm.score_documents(documents, lm.Settings(order=3, least=2))
     assert sorted((r["doc_id"], round(r["log_score"], 6)) for r in got.collect()) == sorted((r["doc_id"], round(r["log_score"], 6)) for r in want.collect())
 
 
