@@ -35,9 +35,15 @@ def split_interval(text: str) -> tuple[int, str]:
     return int(m[1]), _BY_NAME[m[2].lower()][0]
 
 
+def micros_of(ts: Column) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
 def seconds_of(ts: Column) -> Column:
-    """Seconds since 1970 of a timestamp without time zone, whatever the session's zone."""
-    return F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) / 1_000_000).cast("long")
+    """Seconds since 1970, cut down to whole ones, of a timestamp without time zone, whatever the session's zone."""
+    us = micros_of(ts)
+    return ((us - F.pmod(us, F.lit(1_000_000))) / 1_000_000).cast("long")
 
 
 def from_seconds(s: Column) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.prefix import running_sums
+from millrace.operators.prefix import exact_quantiles, running_sums, with_next
 
 Names = str | Sequence[str]
 
@@ -158,10 +158,18 @@ def _class_weights(df: DataFrame, y_true: str, pos_label, sample_weight: str | N
     return float(r[0] or 0), float(r[1] or 0)
 
 
-def roc_curve(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None) -> DataFrame:
-    """threshold, fpr, tpr for each distinct score, highest first; the start at (0, 0) is threshold infinity."""
+def roc_curve(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None, drop_intermediate: bool = False) -> DataFrame:
+    """threshold, fpr, tpr for each distinct score, highest first; the start at (0, 0) is threshold infinity.
+
+    drop_intermediate leaves out points in the middle of a straight stretch:
+    those whose score and the next one add equal weights.
+    """
     p, n = _class_weights(df, y_true, pos_label, sample_weight)
-    points = score_counts(df, y_true, y_score, pos_label, sample_weight).select(F.col("score").alias("threshold"), (F.col("run_neg") / F.lit(n or math.nan)).alias("fpr"), (F.col("run_pos") / F.lit(p or math.nan)).alias("tpr"))
+    points = score_counts(df, y_true, y_score, pos_label, sample_weight)
+    if drop_intermediate:
+        near = with_next(points, "score", ["pos", "neg"], descending=True)
+        points = near.where(F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
+    points = points.select(F.col("score").alias("threshold"), (F.col("run_neg") / F.lit(n or math.nan)).alias("fpr"), (F.col("run_pos") / F.lit(p or math.nan)).alias("tpr"))
     start = df.sparkSession.createDataFrame([(math.inf, 0.0, 0.0)], points.schema)
     return start.union(points)
 
@@ -174,15 +182,29 @@ def precision_recall_curve(df: DataFrame, y_true: str, y_score: str, pos_label=1
     return points.union(df.sparkSession.createDataFrame([(None, 1.0, 0.0)], points.schema))
 
 
-def roc_auc_score(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None) -> float:
-    """Area under the ROC curve: for each score its positives times the negatives below, ties counting half."""
+def roc_auc_score(df: DataFrame, y_true: str, y_score: str, pos_label=1, sample_weight: str | None = None, max_fpr: float | None = None) -> float:
+    """Area under the ROC curve: for each score its positives times the negatives below, ties counting half.
+
+    max_fpr: the area up to that false-positive rate, stretched so that chance
+    is 0.5 and a perfect score 1.
+    """
+    if max_fpr is not None and not 0 < max_fpr <= 1:
+        raise ValueError("max_fpr must be above 0 and at most 1")
     by = _by_score(df, y_true, y_score, pos_label, sample_weight).persist()
     try:
         p, n = (float(x or 0) for x in by.agg(F.sum("pos"), F.sum("neg")).first())
         if not p or not n:
             raise ValueError("the area is defined for two classes only")
-        below = F.lit(n) - F.col("run_neg") + F.col("neg") / 2
-        return running_sums(by, "score", ["neg"], descending=True).agg(F.sum(F.col("pos") * below)).first()[0] / (p * n)
+        if max_fpr is None or max_fpr == 1:
+            below = F.lit(n) - F.col("run_neg") + F.col("neg") / 2
+            return running_sums(by, "score", ["neg"], descending=True).agg(F.sum(F.col("pos") * below)).first()[0] / (p * n)
+        # each score is a straight stretch from (x, y) to (x + neg, y + pos); it counts up to the limit
+        x, y, limit = F.col("run_neg") - F.col("neg"), F.col("run_pos") - F.col("pos"), F.lit(max_fpr * n)
+        wide = F.greatest(F.lit(0.0), F.least(F.col("neg"), limit - x))
+        area = F.when(F.col("neg") > 0, wide * (y + F.col("pos") * wide / F.col("neg") / 2)).otherwise(0.0)
+        part = running_sums(by, "score", ["pos", "neg"], descending=True).agg(F.sum(area)).first()[0] / (p * n)
+        least = max_fpr**2 / 2
+        return 0.5 * (1 + (part - least) / (max_fpr - least))
     finally:
         by.unpersist()
 
@@ -269,12 +291,19 @@ def d2_absolute_error_score(df, y_true, y_pred, sample_weight=None, multioutput=
 def weighted_quantile(df: DataFrame, column: str, q: float, sample_weight: str | None = None) -> float:
     """The linear quantile without weights; with them the smallest value at which the weight so far reaches q of all."""
     if sample_weight is None:
-        return df.agg(F.percentile(column, q)).first()[0]
+        return exact_quantiles(df, column, [q])[0]
     by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.sum(_weight(sample_weight)).alias("w"))
     total = by.agg(F.sum("w")).first()[0]
     return running_sums(by, "v", ["w"]).where(F.col("run_w") >= q * total - 1e-12 * total).agg(F.min("v")).first()[0]
 
 
+def array_sums(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Sums of an array column's elements by their place, for each group: keys, sums (as long as the longest array; null elements count as 0)."""
+    spread = df.select(*keys, F.posexplode(column).alias("_at", "_x")).groupBy(*keys, "_at").agg(F.coalesce(F.sum("_x"), F.lit(0)).alias("_s"))
+    rows = F.sort_array(F.collect_list(F.struct("_at", "_s")))  # as many as the array's places
+    return spread.groupBy(*keys).agg(F.transform(rows, lambda r: r["_s"]).alias("sums"))
+
+
 # --- correlation ----------------------------------------------------------------------------------------------
 
 

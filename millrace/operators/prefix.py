@@ -1,28 +1,97 @@
-"""Running sums along an order over a whole table, without one task for all rows."""
+"""Running sums, ranks, exact quantiles and modes over whole tables, without one task for all rows."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a part, most parts, and values that are drawn for each cut between parts.
+PART_ROWS, MOST_PARTS, DRAWN = 1 << 20, 512, 32
 
-def running_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False, parts: int = 64) -> DataFrame:
+
+def parts_for(rows: int) -> int:
+    return max(1, min(MOST_PARTS, -(-rows // PART_ROWS)))
+
+
+def cut_points(df: DataFrame, order: str, parts: int) -> list:
+    """At most parts - 1 values that cut the column's values into parts of about equal size, from the values with the smallest hashes."""
+    if parts < 2:
+        return []
+    drawn = df.where(F.col(order).isNotNull()).select(order).orderBy(F.xxhash64(order), order).limit(parts * DRAWN).collect()  # bounded by MOST_PARTS * DRAWN
+    values = sorted(r[0] for r in drawn)
+    return sorted({values[i * len(values) // parts] for i in range(1, parts)}) if values else []
+
+
+def part_of(x: Column, cuts: Sequence, first: int = 0) -> Column:
+    """How many cuts lie below ``x``, by a balanced tree of comparisons."""
+    if not cuts:
+        return F.lit(first)
+    middle = len(cuts) // 2
+    return F.when(x > F.lit(cuts[middle]), part_of(x, cuts[middle + 1 :], first + middle + 1)).otherwise(part_of(x, cuts[:middle], first))
+
+
+def running_sums(df: DataFrame, order: str, values: Sequence[str], descending: bool = False, parts: int | None = None) -> DataFrame:
     """df with run_<value>: the sum of the value over all rows up to and with this one.
 
-    ``order`` must be numeric, not null and distinct. The table is cut into
-    parts at approximate quantiles; each part is summed by itself, and what
-    lies before it is added from a table of one row for each part.
+    ``order`` must be distinct; rows where it is null come out without sums.
+    The table is cut into parts along it (as many as its size asks for); each
+    part is summed by itself, and what lies before it is added from a table of
+    one row for each part. The table is read three times.
     """
-    cuts = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.5 / parts)))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(order) > F.lit(c)).cast("int")
-    cut = df.withColumn("_part", part)
-    totals = cut.groupBy("_part").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
+    parts = parts or parts_for(df.count())
+    cut = df.withColumn("_part", F.when(F.col(order).isNotNull(), part_of(F.col(order), cut_points(df, order, parts))))
+    totals = cut.where("_part is not null").groupBy("_part").agg(*[F.sum(v).alias(f"_total_{v}") for v in values])
     before = Window.orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(F.col("_part"), *[F.coalesce(F.sum(f"_total_{v}").over(before), F.lit(0)).alias(f"_before_{v}") for v in values])
     within = Window.partitionBy("_part").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = cut.join(F.broadcast(offsets), "_part")  # one row for each part
-    return joined.select(*df.columns, *[(F.sum(v).over(within) + F.col(f"_before_{v}")).alias(f"run_{v}") for v in values])
+    joined = cut.join(F.broadcast(offsets), "_part", "left")  # one row for each part, MOST_PARTS at most
+    return joined.select(*df.columns, *[F.when(F.col("_part").isNotNull(), F.sum(v).over(within) + F.col(f"_before_{v}")).alias(f"run_{v}") for v in values])
+
+
+def with_next(df: DataFrame, order: str, values: Sequence[str], descending: bool = False, parts: int | None = None) -> DataFrame:
+    """df with next_<value>: the value in the row that follows along ``order`` (distinct and not null), null in the last one."""
+    parts = parts or parts_for(df.count())
+    cut = df.withColumn("_part", part_of(F.col(order), cut_points(df, order, parts)))
+    way, first_of = (F.desc, F.max_by) if descending else (F.asc, F.min_by)
+    firsts = cut.groupBy("_part").agg(first_of(F.struct(*[F.col(v).alias(v) for v in values]), F.col(order)).alias("_first"))
+    follow = firsts.select("_part", F.lead("_first").over(Window.orderBy(way("_part"))).alias("_follow"))  # one row for each part
+    within = Window.partitionBy("_part").orderBy(way(order))
+    one = F.struct(*[F.col(v).alias(v) for v in values])
+    found = cut.join(F.broadcast(follow), "_part").withColumn("_next", F.coalesce(F.lead(one).over(within), F.col("_follow")))
+    return found.select(*df.columns, *[F.col("_next")[v].alias(f"next_{v}") for v in values])
+
+
+def ordered_index(df: DataFrame, column: str, name: str = "code") -> DataFrame:
+    """The distinct values of a column, without null, and the place of each in their order (from 0)."""
+    values = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running_sums(values, column, ["_one"]).select(column, (F.col("run__one") - 1).alias(name))
+
+
+def exact_quantiles(df: DataFrame, column: str, at: Sequence[float]) -> list[float | None]:
+    """Linear quantiles of a numeric column without its nulls; of no rows None.
+
+    Equal values are counted first; running sums of the counts find the values
+    at the wanted ranks.
+    """
+    counts = df.select(F.col(column).cast("double").alias("_x")).where("_x is not null").groupBy("_x").agg(F.count("*").alias("_n")).persist()
+    try:
+        n, distinct = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
+        if not n:
+            return [None] * len(at)
+        run = running_sums(counts, "_x", ["_n"], parts=parts_for(distinct))
+        places = [(n - 1) * q for q in at]
+        ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+        found = run.agg(*[F.min(F.when(F.col("run__n") > r, F.col("_x"))).alias(f"r{i}") for i, r in enumerate(ranks)]).first()
+    finally:
+        counts.unpersist()
+    value = dict(zip(ranks, found, strict=True))
+    return [(1 - (p - math.floor(p))) * value[math.floor(p)] + (p - math.floor(p)) * value[math.ceil(p)] for p in places]
+
+
+def mode(df: DataFrame, column: str):
+    """The most frequent value that is not null (ties: the smallest), or None."""
+    top = df.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(1).collect()
+    return top[0][0] if top else None

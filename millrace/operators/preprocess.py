@@ -2,7 +2,8 @@
 
 ``fit`` is one aggregation (a few rows come back); ``transform`` is a
 projection that Catalyst sees through, without joins or Python. Encoders keep
-their categories as literal maps.
+up to MOST_LITERAL categories of a column as a literal map; more are a table,
+numbered without one task for all, that is joined.
 """
 
 from __future__ import annotations
@@ -14,6 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import exact_quantiles, mode, ordered_index
+
+#: Most categories of a literal map.
+MOST_LITERAL = 256
+
 
 class Transformer:
     """Common parts: input, output and passed-through columns."""
@@ -119,7 +125,8 @@ class RobustScaler(Transformer):
 
     def _fit(self, df):
         low, high = (q / 100 for q in self.quantile_range)
-        return self._aggregate(df, median=lambda x: F.percentile(x, 0.5), low=lambda x: F.percentile(x, low), high=lambda x: F.percentile(x, high))
+        found = [exact_quantiles(df, c, [low, 0.5, high]) for c in self.input_cols]
+        return {k: [q[i] for q in found] for i, k in enumerate(("low", "median", "high"))}
 
     def _column(self, c, i):
         x = F.col(c).cast("double")
@@ -182,28 +189,45 @@ class OrdinalEncoder(Transformer):
         self.categories, self.handle_unknown, self.unknown_value, self.encoded_missing_value = categories, handle_unknown, unknown_value, encoded_missing_value
 
     def _fit(self, df):
-        found = _categories(df, self.input_cols) if self.categories == "auto" else [self.categories[c] for c in self.input_cols]
-        return {"categories": found}
+        if self.categories != "auto":
+            return {"categories": [self.categories[c] for c in self.input_cols], "tables": [None] * len(self.input_cols)}
+        found = [_categories(df, c) for c in self.input_cols]
+        return {"categories": [f[0] for f in found], "tables": [f[1] for f in found]}
 
-    def _column(self, c, i):
-        pairs = {v: float(k) for k, v in enumerate(self.state["categories"][i])}
-        return _looked_up(F.col(c), pairs, c, self.handle_unknown == "error", self.unknown_value, self.encoded_missing_value)
+    def transform(self, df):
+        if self.state is None:
+            raise ValueError("fit first")
+        joined, outputs = df, {}
+        for i, (c, o) in enumerate(zip(self.input_cols, self.output_cols, strict=True)):
+            if (table := self.state["tables"][i]) is None:
+                hit = _in_map(F.col(c), self.state["categories"][i])
+            else:
+                hit = F.col(f"_code{i}")
+                joined = joined.join(table.select(F.col(c).alias(f"_value{i}"), F.col("_code").cast("double").alias(f"_code{i}")), F.col(c) == F.col(f"_value{i}"), "left")
+            outputs[o] = self._encoded(F.col(c), hit, c, i).alias(o)
+        return self._placed(joined, list(outputs.values()), set(outputs)).drop(*[f"_{n}{i}" for i in range(len(self.input_cols)) for n in ("code", "value")])
 
+    def _encoded(self, x: Column, hit: Column, c: str, i: int) -> Column:
+        if self.handle_unknown == "error":
+            found = F.when(x.isNotNull(), F.coalesce(hit, _raise(c, x)))
+        else:
+            found = F.coalesce(hit, F.lit(self.unknown_value).cast("double"))
+        return F.when(x.isNull(), F.lit(self.encoded_missing_value).cast("double")).otherwise(found)
 
-def _categories(df: DataFrame, columns: Sequence[str]) -> list[list]:
-    """Sorted distinct non-null values of each column; they must fit on the driver, as the encoders keep them."""
-    r = df.agg(*[F.sort_array(F.collect_set(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return [list(r[f"c{i}"]) for i in range(len(columns))]
 
+def _categories(df: DataFrame, column: str) -> tuple[list | None, DataFrame | None]:
+    """The sorted distinct non-null values of a column as a list, or as a table with their places if there are more than MOST_LITERAL."""
+    some = df.where(F.col(column).isNotNull()).select(column).distinct().limit(MOST_LITERAL + 1).collect()
+    if len(some) <= MOST_LITERAL:
+        return sorted(r[0] for r in some), None
+    return None, ordered_index(df, column, "_code").persist()
 
-def _looked_up(x: Column, pairs: dict, name: str, strict: bool, unknown, missing) -> Column:
-    if pairs:
-        table = F.create_map(*[F.lit(v) for pair in pairs.items() for v in pair])
-        hit = F.element_at(table, x) if not strict else F.coalesce(F.element_at(table, x), _raise(name, x))
-    else:
-        hit = _raise(name, x) if strict else F.lit(None).cast("double")
-    found = hit if strict else F.coalesce(hit, F.lit(unknown).cast("double"))
-    return F.when(x.isNull(), F.lit(missing).cast("double")).otherwise(found)
+
+def _in_map(x: Column, values: Sequence) -> Column:
+    """Place of ``x`` among the values as double, or null."""
+    if not values:
+        return F.lit(None).cast("double")
+    return F.element_at(F.create_map(*[F.lit(y) for k, v in enumerate(values) for y in (v, float(k))]), x)
 
 
 def _raise(name: str, x: Column) -> Column:
@@ -218,9 +242,10 @@ class LabelEncoder(OrdinalEncoder):
         if len(self.input_cols) != 1:
             raise ValueError("one column only")
 
-    def _column(self, c, i):
-        pairs = {v: float(k) for k, v in enumerate(self.state["categories"][0])}
-        return _looked_up(F.col(c), pairs, c, True, None, float(len(pairs)))
+    def _encoded(self, x, hit, c, i):
+        table = self.state["tables"][0]
+        size = len(self.state["categories"][0]) if table is None else table.count()
+        return F.when(x.isNull(), F.lit(float(size))).otherwise(F.coalesce(hit, _raise(c, x)))
 
 
 class OneHotEncoder(Transformer):
@@ -228,11 +253,12 @@ class OneHotEncoder(Transformer):
 
     Rare categories (count below min_frequency, or beyond the max_categories
     most frequent) share one column _INFREQUENT. drop leaves out the first
-    category ("first"), or that of columns with two ("if_binary").
+    category ("first"), that of columns with two ("if_binary"), or a named one
+    of each column (a list).
     handle_unknown: "error" or "ignore" (all zeros).
     """
 
-    def __init__(self, input_cols, output_cols=None, sparse: bool = False, drop: str | None = None, handle_unknown: str = "error", min_frequency: int | float | None = None, max_categories: int | None = None, **options) -> None:
+    def __init__(self, input_cols, output_cols=None, sparse: bool = False, drop: str | Sequence[str] | None = None, handle_unknown: str = "error", min_frequency: int | float | None = None, max_categories: int | None = None, **options) -> None:
         super().__init__(input_cols, output_cols, **options)
         self.sparse, self.drop, self.handle_unknown, self.min_frequency, self.max_categories = sparse, drop, handle_unknown, min_frequency, max_categories
 
@@ -251,8 +277,13 @@ class OneHotEncoder(Transformer):
             names = [v for v, _ in counts if v not in rare] + (["_INFREQUENT"] if rare else [])
             nulls = any(r["i"] == i and r["v"] is None for r in rows)
             names += [None] if nulls else []
-            skip = 1 if self.drop == "first" or self.drop == "if_binary" and len(names) == 2 else 0
-            columns.append({"names": names, "rare": sorted(rare), "skip": skip})
+            if self.drop is None or isinstance(self.drop, str):
+                gone = names[:1] if self.drop == "first" or self.drop == "if_binary" and len(names) == 2 else []
+            elif (wanted := self.drop[i]) in names:
+                gone = [wanted]
+            else:
+                raise ValueError(f"{self.input_cols[i]} has no category {wanted!r} to drop")
+            columns.append({"names": names, "rare": sorted(rare), "gone": gone})
         return {"columns": columns}
 
     def _group(self, c: str, spec: dict) -> Column:
@@ -271,11 +302,9 @@ class OneHotEncoder(Transformer):
         out = []
         for c, o, spec in zip(self.input_cols, self.output_cols, self.state["columns"], strict=True):
             x = self._group(c, spec)
-            names = spec["names"][spec["skip"] :]
+            names = [n for n in spec["names"] if n not in spec["gone"]]
             if self.sparse:
-                place = F.lit(None).cast("int")
-                for k, n in enumerate(names):
-                    place = F.when(x.eqNullSafe(F.lit(n)), k).otherwise(place)
+                place = F.coalesce(*[F.when(x.isNull(), F.lit(k)) for k, n in enumerate(names) if n is None], _in_map(x, [n if n is not None else "" for n in names]).cast("int"))
                 size = F.create_map(F.lit("array_length"), F.lit(len(names)))
                 out.append(F.when(place.isNull(), size).otherwise(F.map_concat(F.create_map(place.cast("string"), F.lit(1)), size)).alias(o))
             else:
@@ -284,7 +313,7 @@ class OneHotEncoder(Transformer):
 
 
 class KBinsDiscretizer(Transformer):
-    """Bins of equal width or equal weight; ordinal codes, or 0/1 columns. The value of an inner edge belongs to the bin above."""
+    """Bins of equal width or equal weight; ordinal codes, or 0/1 columns. The value of an inner edge belongs to the bin above; a column without values has one bin."""
 
     def __init__(self, input_cols, output_cols=None, n_bins: int = 5, encode: str = "ordinal", strategy: str = "quantile", **options) -> None:
         super().__init__(input_cols, output_cols, **options)
@@ -296,10 +325,10 @@ class KBinsDiscretizer(Transformer):
         n = self.n_bins
         if self.strategy == "uniform":
             s = self._aggregate(df, low=F.min, high=F.max)
-            edges = [[a + (b - a) * k / n for k in range(n + 1)] for a, b in zip(s["low"], s["high"], strict=True)]
+            edges = [[a + (b - a) * k / n for k in range(n + 1)] if a is not None else [] for a, b in zip(s["low"], s["high"], strict=True)]
         else:
-            s = self._aggregate(df, q=lambda x: F.percentile(x, [k / n for k in range(n + 1)]))
-            edges = [list(q) for q in s["q"]]
+            found = [exact_quantiles(df, c, [k / n for k in range(n + 1)]) for c in self.input_cols]
+            edges = [q if q[0] is not None else [] for q in found]
         return {"edges": [[e for i, e in enumerate(x) if i == 0 or e - x[i - 1] > 1e-8] for x in edges]}
 
     def _code(self, c, i) -> Column:
@@ -315,7 +344,7 @@ class KBinsDiscretizer(Transformer):
             return super().transform(df)
         out = []
         for i, (c, o) in enumerate(zip(self.input_cols, self.output_cols, strict=True)):
-            bins, code = len(self.state["edges"][i]) - 1, self._code(c, i)
+            bins, code = max(1, len(self.state["edges"][i]) - 1), self._code(c, i)
             if self.encode == "onehot":
                 out.append(F.create_map(code.cast("int").cast("string"), F.lit(1), F.lit("array_length"), F.lit(bins)).alias(o))
             else:
@@ -344,8 +373,10 @@ class SimpleImputer(Transformer):
         if self.strategy == "constant":
             return {"fill": [self.fill_value if self.fill_value is not None else 0 if self._numeric[c] else "missing_data" for c in self.input_cols]}
         seen = {c: F.when(~self._missing(c, self._numeric[c]), F.col(c)) for c in self.input_cols}
-        f = {"mean": F.avg, "median": lambda x: F.percentile(x, 0.5), "most_frequent": lambda x: F.mode(x, deterministic=True)}[self.strategy]
-        return {"fill": list(df.agg(*[f(seen[c]).alias(f"f{i}") for i, c in enumerate(self.input_cols)]).first())}
+        if self.strategy == "mean":
+            return {"fill": list(df.agg(*[F.avg(seen[c]).alias(f"f{i}") for i, c in enumerate(self.input_cols)]).first())}
+        one = {c: df.select(seen[c].alias("_x")) for c in self.input_cols}
+        return {"fill": [exact_quantiles(one[c], "_x", [0.5])[0] if self.strategy == "median" else mode(one[c], "_x") for c in self.input_cols]}
 
     def _column(self, c, i):
         fill = self.state["fill"][i]
@@ -425,6 +456,11 @@ class Pipeline:
             df = s.transform(df)
         return self.steps[-1][1].predict(df)
 
+    def predict_proba(self, df):
+        for _, s in self.steps[:-1]:
+            df = s.transform(df)
+        return self.steps[-1][1].predict_proba(df)
+
     def score(self, df):
         for _, s in self.steps[:-1]:
             df = s.transform(df)
@@ -433,6 +469,9 @@ class Pipeline:
 
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each column: count, max, mean, median, min, stddev, stddev_pop, variance, var_pop, mode."""
-    stats = {"count": F.count, "max": F.max, "mean": F.avg, "median": F.median, "min": F.min, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "variance": F.variance, "var_pop": F.var_pop, "mode": lambda x: F.mode(x, deterministic=True)}
-    one = df.agg(*[F.struct(F.lit(c).alias("column"), *[f(F.col(c).cast("double")).cast("double").alias(k) for k, f in stats.items()]).alias(f"s{i}") for i, c in enumerate(columns)])
+    stats = {"count": F.count, "max": F.max, "mean": F.avg, "min": F.min, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "variance": F.variance, "var_pop": F.var_pop}
+    apart = {c: {"median": exact_quantiles(df, c, [0.5])[0], "mode": mode(df.select(F.col(c).cast("double").alias("_x")), "_x")} for c in columns}
+    order = ("count", "max", "mean", "median", "min", "stddev", "stddev_pop", "variance", "var_pop", "mode")
+    value = lambda c, k: stats[k](F.col(c).cast("double")).cast("double") if k in stats else F.lit(apart[c][k]).cast("double")
+    one = df.agg(*[F.struct(F.lit(c).alias("column"), *[value(c, k).alias(k) for k in order]).alias(f"s{i}") for i, c in enumerate(columns)])
     return one.select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*")

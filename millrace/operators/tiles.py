@@ -19,7 +19,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.intervals import LIFETIME, UNITS, from_seconds, guarded_ratio, parse_interval, seconds_of, slice_start, split_interval
+from millrace.functions.intervals import LIFETIME, UNITS, from_seconds, guarded_ratio, parse_interval, micros_of, slice_start, split_interval
 from millrace.operators.asof import asof_join, range_join_binned
 
 SIMPLE = ("sum", "count", "avg", "min", "max", "stddev", "var")
@@ -99,7 +99,7 @@ class Feature:
 
 @dataclass(frozen=True)
 class TileSpec:
-    """How events become tiles: keys, time column, granularity, features, and optionally a secondary key."""
+    """How events become tiles: keys, time column, granularity, features, and optionally a secondary key, of which most_secondary at most are given (None: all)."""
 
     keys: tuple[str, ...]
     ts: str
@@ -107,6 +107,7 @@ class TileSpec:
     features: tuple[Feature, ...] = field(default=())
     secondary_key: str | None = None
     continuous: bool = False
+    most_secondary: int | None = MOST_SECONDARY
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "keys", tuple(self.keys))
@@ -116,6 +117,8 @@ class TileSpec:
             raise ValueError(f"features share a name: {sorted(names)}")
         if self.seconds < 60:
             raise ValueError("granularity must be a minute or more")
+        if self.continuous and (bad := [f.output for f in self.features if f.function in LISTS or f.lifetime]):
+            raise ValueError(f"not with continuous windows: {bad}")
         for f in self.features:
             if not f.lifetime and not self.continuous and (f.window_seconds % self.seconds or f.offset_seconds % self.seconds):
                 raise ValueError(f"window and offset of {f.output} must be multiples of {self.granularity}")
@@ -265,8 +268,16 @@ def _met(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame:
 
 
 def _windowed(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> DataFrame:
-    met = _met(points, tiles, spec)
-    return met.groupBy(*spec.keys, "_boundary").agg(*[_merged(f, _in_window(f, spec.seconds)).alias(f.output) for f in features])
+    """Values by (keys, boundary). Lists are ranked and cut before anything is gathered."""
+    met, point = _met(points, tiles, spec), [*spec.keys, "_boundary"]
+    plain = [f for f in features if f.function not in LISTS]
+    out = met.groupBy(*point).agg(*[_merged(f, _in_window(f, spec.seconds)).alias(f.output) for f in plain]) if plain else points
+    for f in (f for f in features if f.function in LISTS):
+        values = met.where(_in_window(f, spec.seconds)).select(*point, F.explode(_list_name(f)).alias("_e"))
+        gathered = _ranked(values.select(*point, F.col("_e.at").alias("_at"), F.col("_e.value").alias("_value")), point, f, f.n, "_list")
+        oldest_first = F.transform(F.sort_array("_list"), lambda x: x["value"])
+        out = out.join(gathered.select(*point, oldest_first.alias(f.output)), point, "left")
+    return out
 
 
 def _merged(f: Feature, inside: Column | None, zero: bool = True) -> Column:
@@ -290,7 +301,7 @@ def _merged(f: Feature, inside: Column | None, zero: bool = True) -> Column:
         case "approx_percentile":
             some = total("count") > 0
             return F.when(some, F.kll_sketch_get_quantile_double(F.kll_merge_agg_double(pick(f"_kll_{f.column}")), F.lit(f.percentile)))
-    return _newest(f, F.flatten(F.collect_list(pick(_list_name(f)))))
+    raise ValueError(f"{f.function} is not merged by an aggregate")
 
 
 def _moments(function: str, s: Column, n: Column, squares: Column | None) -> Column:
@@ -302,19 +313,8 @@ def _moments(function: str, s: Column, n: Column, squares: Column | None) -> Col
     return F.sqrt(variance) if function == "stddev" else variance
 
 
-def _newest(f: Feature, gathered: Column) -> Column:
-    """The n wanted values of an array of (at, value), the oldest first; null if there is none."""
-    newest = f.function.startswith("last")
-    ordered = F.sort_array(gathered, asc=not newest)
-    values = F.transform(ordered, lambda x: x["value"])
-    if "distinct" in f.function:
-        values = F.array_distinct(values)
-    values = F.slice(values, 1, f.n)
-    return F.when(F.size(gathered) > 0, F.reverse(values) if newest else values)
-
-
 def _secondary(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame:
-    """Aligned arrays of secondary keys and values: keys ascending, null last, MOST_SECONDARY at most."""
+    """Aligned arrays of secondary keys and values: keys ascending, null last, the first most_secondary of them."""
     met = _met(points, tiles, spec)
     sk = spec.secondary_key
     inside = [_in_window(f, spec.seconds) for f in spec.features]
@@ -323,7 +323,8 @@ def _secondary(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame
         some = some | c
     per_key = met.where(some).groupBy(*spec.keys, "_boundary", sk).agg(*[_merged(f, c, zero=False).alias(f.output) for f, c in zip(spec.features, inside, strict=True)])
     w = Window.partitionBy(*spec.keys, "_boundary").orderBy(F.asc_nulls_last(sk))
-    ranked = per_key.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MOST_SECONDARY)
+    ranked = per_key.withColumn("_r", F.row_number().over(w))
+    ranked = ranked if spec.most_secondary is None else ranked.where(F.col("_r") <= spec.most_secondary)
     rows = F.sort_array(F.collect_list(F.struct("_r", F.col(sk).alias("key"), *[f.output for f in spec.features])))
     gathered = ranked.groupBy(*spec.keys, "_boundary").agg(rows.alias("_rows"))
     pick = lambda name: F.transform("_rows", lambda r: r[name])
@@ -396,21 +397,38 @@ def tiled_features(events: DataFrame, spine: DataFrame, spec: TileSpec, spine_ts
 
 
 def continuous_features(events: DataFrame, spine: DataFrame, spec: TileSpec, spine_ts: str) -> DataFrame:
-    """Exact windows at the spine's own time, (t - W - O, t - O], for sums, counts, averages, minima and maxima."""
-    base = spine.withColumn("_t", seconds_of(F.col(spine_ts)))
+    """Exact windows at the spine's own time, (t - W - O, t - O], to the microsecond; for all functions but lists.
+
+    Spine rows with a null key or time, or without events, get 0 for sums and
+    counts and null for the rest. Repeated spine rows stay.
+    """
+    base = spine.withColumn("_t", micros_of(F.col(spine_ts)))
     points = base.select(*spec.keys, "_t").distinct().dropna()
-    reach = max(spec.reach, 1)
-    rows = events.where(F.col(spec.ts).isNotNull()).withColumn("_at", seconds_of(F.col(spec.ts)))
+    reach = max(spec.reach, 1) * 1_000_000
+    rows = events.where(F.col(spec.ts).isNotNull()).withColumn("_at", micros_of(F.col(spec.ts)))
     met = range_join_binned(points.withColumn("_low", F.col("_t") - reach + 1).withColumn("_high", F.col("_t") + 1), rows, spec.keys, "_at", "_low", "_high", reach)
     out = []
     for f in spec.features:
-        inside = (F.col("_at") > F.col("_t") - f.window_seconds - f.offset_seconds) & (F.col("_at") <= F.col("_t") - f.offset_seconds)
-        c = F.when(inside, F.col(f.column))
-        value = {"sum": F.coalesce(F.sum(c), F.lit(0)), "count": F.count(c), "avg": F.avg(c), "min": F.min(c), "max": F.max(c)}[f.function]
-        out.append(value.alias(f.output))
+        end = F.col("_t") - f.offset_seconds * 1_000_000
+        inside = (F.col("_at") > end - f.window_seconds * 1_000_000) & (F.col("_at") <= end)
+        out.append(_value(f, F.when(inside, F.col(f.column))).alias(f.output))
     merged = met.groupBy(*spec.keys, "_t").agg(*out)
     joined = base.join(merged, [*spec.keys, "_t"], "left")
     for f in spec.features:
-        if f.function in ("sum", "count"):
+        if f.function in ("sum", "count", "approx_count_distinct"):
             joined = joined.withColumn(f.output, F.coalesce(f.output, F.lit(0).cast(dict(joined.dtypes)[f.output])))
     return joined.select(*spine.columns, *[f.output for f in spec.features])
+
+
+def _value(f: Feature, c: Column) -> Column:
+    """A feature's value from single events."""
+    match f.function:
+        case "sum":
+            return F.coalesce(F.sum(c), F.lit(0))
+        case "count":
+            return F.count(c)
+        case "approx_count_distinct":
+            return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), f.precision)), F.lit(0).cast("long"))
+        case "approx_percentile":
+            return F.when(F.count(c) > 0, F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(c.cast("double")), F.lit(f.percentile)))
+    return {"avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_pop, "var": F.var_pop}[f.function](c)

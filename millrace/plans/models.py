@@ -5,16 +5,19 @@ from __future__ import annotations
 import base64
 import functools
 import inspect
+import math
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NumericType, StructType
 
+from millrace.operators.prefix import exact_quantiles
 from millrace.sources.catalog import JsonCatalog
 
 
@@ -45,15 +48,15 @@ def infer_signature(inputs: DataFrame, outputs: DataFrame) -> dict:
 
 
 def validate_input(df: DataFrame, schema: StructType, strict: bool = False) -> DataFrame:
-    """The schema's columns in its types; missing columns raise, and with strict integers that do not fit."""
-    limits = {"tinyint": 7, "smallint": 15, "int": 31}
+    """The schema's columns in its types; missing columns raise, and with strict numbers that do not fit."""
+    limits = {"tinyint": 2**7, "smallint": 2**15, "int": 2**31, "bigint": 2**63, "float": 3.5e38}
     if missing := [f.name for f in schema.fields if f.name not in df.columns]:
         raise ValueError(f"missing columns: {missing}")
     checked = [f for f in schema.fields if f.dataType.simpleString() in limits]
     if strict and checked:
-        r = df.agg(*[F.max(F.abs(F.col(f.name).cast("decimal(38,0)"))).alias(f"m{i}") for i, f in enumerate(checked)]).first()
+        r = df.agg(*[F.max(F.abs(F.col(f.name).cast("double" if f.dataType.simpleString() == "float" else "decimal(38,0)"))).alias(f"m{i}") for i, f in enumerate(checked)]).first()
         for f, m in zip(checked, r, strict=True):
-            if m is not None and m >= 2 ** limits[f.dataType.simpleString()]:
+            if m is not None and math.isfinite(m) and m >= limits[f.dataType.simpleString()]:
                 raise ValueError(f"{f.name} has values beyond {f.dataType.simpleString()}")
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields], *[c for c in df.columns if c not in schema.fieldNames()])
 
@@ -83,21 +86,31 @@ class ModelVersion:
     def model(self) -> CustomModel:
         return cloudpickle.loads(base64.b64decode(self.record["model"]))
 
-    def run(self, df: DataFrame, function_name: str = "predict", partition_column: str | None = None, params: dict | None = None, strict_input_validation: bool = False) -> DataFrame:
-        """The rows with the method's outputs; with a partition column of a partitioned method, its outputs alone."""
+    def run(self, df: DataFrame | pd.DataFrame, function_name: str = "predict", partition_column: str | None = None, params: dict | None = None, strict_input_validation: bool = False) -> DataFrame | pd.DataFrame:
+        """The rows with the method's outputs; of a partitioned method, the partition column and its outputs alone.
+
+        A partitioned method needs a partition column: each of its values is a
+        group in one task's memory. A pandas frame comes back as one, in its
+        own order. params must be the method's own and are the same for all
+        rows.
+        """
+        if isinstance(df, pd.DataFrame):
+            return self._run_local(df, function_name, partition_column, params, strict_input_validation)
         kind = self.record["methods"].get(function_name)
         if kind is None:
             raise ValueError(f"no method {function_name}; there are {sorted(self.record['methods'])}")
         inputs, outputs = (StructType.fromJson(self.record["signature"][k]) for k in ("inputs", "outputs"))
         df = validate_input(df, inputs, strict_input_validation)
         blob, names, params = base64.b64decode(self.record["model"]), inputs.fieldNames(), params or {}
+        known = set(inspect.signature(getattr(_loaded(blob), function_name)).parameters) - {"frame"}
+        if unknown := sorted(set(params) - known):
+            raise ValueError(f"{function_name} has no parameters {unknown}")
         if kind == "partitioned":
+            if not partition_column:
+                raise ValueError(f"{function_name} is partitioned and needs a partition column")
             whole = lambda frame: getattr(_loaded(blob), function_name)(frame, **params)
-            key = partition_column or "_all"
-            rows = df if partition_column else df.withColumn("_all", F.lit(1))
+            key, rows = partition_column, df
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in outputs.fields)
-            if not partition_column:
-                return rows.groupBy(key).applyInPandas(lambda frame: whole(frame.drop(columns=key))[outputs.fieldNames()], schema)
             kind_of = dict(df.dtypes)[key]
 
             def each(k, frame):
@@ -121,10 +134,26 @@ class ModelVersion:
 
         return df.mapInPandas(run, full)
 
-    def run_batch(self, df: DataFrame, path: str, mode: str = "errorifexists", **options) -> DataFrame:
-        """run, written as Parquet and read back."""
-        self.run(df, **options).write.mode(mode).parquet(path)
-        return self.spark.read.parquet(path)
+    def _run_local(self, frame: pd.DataFrame, function_name: str, partition_column: str | None, params: dict | None, strict: bool) -> pd.DataFrame:
+        if self.record["methods"].get(function_name) == "partitioned":
+            return self.run(self.spark.createDataFrame(frame), function_name, partition_column, params, strict).toPandas()
+        numbered = self.spark.createDataFrame(frame.assign(_row=range(len(frame))))
+        out = self.run(numbered, function_name, partition_column, params, strict).toPandas().sort_values("_row")
+        return out.drop(columns="_row").set_index(frame.index)
+
+    def run_batch(self, df: DataFrame, path: str, mode: str = "errorifexists", format: str = "parquet", **options) -> DataFrame:
+        """run, written as files of a format and read back."""
+        self.run(df, **options).write.mode(mode).format(format).save(path)
+        return self.spark.read.format(format).load(path)
+
+
+def chained(df: DataFrame, steps: Sequence[tuple[ModelVersion, str]]) -> DataFrame:
+    """Each model's method on the rows that the one before it returned: an output is an input of the next by its name."""
+    for version, method in steps:
+        if version.record["methods"].get(method) == "partitioned":
+            raise ValueError("only methods on rows can be chained")
+        df = version.run(df, method)
+    return df
 
 
 class Registry:
@@ -186,13 +215,14 @@ class Registry:
 class Estimator:
     """A pyspark.ml estimator with plain columns in and out.
 
-    ``stage`` is the estimator; its features come from input_cols and its
-    predictions go to output_cols. Rows with nulls in the inputs raise on
-    fit, as Spark's assembler does.
+    ``stage`` is the estimator, or a function that makes it for the number of
+    rows and the label's deviation; its features come from input_cols (default: all numeric columns but
+    the label and weight) and its predictions go to output_cols. Rows with
+    nulls in the inputs raise on fit, as Spark's assembler does.
     """
 
-    def __init__(self, stage, input_cols: Sequence[str], label_cols: Sequence[str] | None = None, output_cols: Sequence[str] | None = None) -> None:
-        self.stage, self.input_cols = stage, list(input_cols)
+    def __init__(self, stage, input_cols: Sequence[str] | None = None, label_cols: Sequence[str] | None = None, output_cols: Sequence[str] | None = None, weight_col: str | None = None) -> None:
+        self.stage, self.input_cols, self.weight = stage, list(input_cols) if input_cols is not None else None, weight_col
         self.label = label_cols[0] if label_cols else None
         self.output = output_cols[0] if output_cols else f"OUTPUT_{self.label}" if self.label else "OUTPUT_0"
         self.model = None
@@ -203,13 +233,20 @@ class Estimator:
         return VectorAssembler(inputCols=self.input_cols, outputCol="_features").transform(df)
 
     def fit(self, df: DataFrame) -> "Estimator":
-        stage = self.stage.copy()
+        if self.input_cols is None:
+            self.input_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in (self.label, self.weight)]
+        stage = self.stage(*df.agg(F.count("*"), F.stddev(self.label)).first()) if inspect.isfunction(self.stage) else self.stage.copy()
         stage.setFeaturesCol("_features")
         if self.label:
             stage.setLabelCol(self.label)
+        if self.weight:
+            stage.setWeightCol(self.weight)
         self.model = stage.fit(self._assembled(df))
         return self
 
+    def fit_predict(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).predict(df)
+
     def predict(self, df: DataFrame) -> DataFrame:
         if self.model is None:
             raise ValueError("fit first")
@@ -268,9 +305,49 @@ def windowed_metrics(df: DataFrame, ts: str, window: str, metrics: dict[str, "F.
     return df.where(F.col(ts).isNotNull()).groupBy(start, *segments).agg(*[c.alias(n) for n, c in metrics.items()])
 
 
+def check_monitor_source(df: DataFrame, ts: str, ids: Sequence[str], predictions: Sequence[str], actuals: Sequence[str] = (), segments: Sequence[str] = (), task: str = "regression") -> None:
+    """Raise unless the columns exist, no column has two uses, and their types suit the task: a time, numbers, and text for segments."""
+    kinds = dict(df.dtypes)
+    uses = [ts, *ids, *predictions, *actuals, *segments]
+    if missing := [c for c in uses if c not in kinds]:
+        raise ValueError(f"no such columns: {missing}")
+    if again := sorted({c for c in uses if uses.count(c) > 1}):
+        raise ValueError(f"used twice: {again}")
+    if not kinds[ts].startswith("timestamp") and kinds[ts] != "date":
+        raise ValueError(f"{ts} is no time")
+    if not predictions:
+        raise ValueError("a prediction column is needed")
+    number = lambda c: isinstance(df.schema[c].dataType, NumericType)
+    if task == "regression" and (bad := [c for c in (*predictions, *actuals) if not number(c)]):
+        raise ValueError(f"not numeric: {bad}")
+    if bad := [c for c in segments if kinds[c] != "string"]:
+        raise ValueError(f"segments must be text: {bad}")
+
+
+def check_result(df: DataFrame, rows: int | None = None, columns: Sequence[str] | None = None, single: bool = False) -> DataFrame:
+    """The table, if it has so many rows, these columns, or (single) one cell; else ValueError."""
+    if columns is not None and [c.lower() for c in df.columns] != [c.lower() for c in columns]:
+        raise ValueError(f"columns {df.columns}, expected {list(columns)}")
+    wanted = 1 if single else rows
+    if single and len(df.columns) != 1:
+        raise ValueError(f"{len(df.columns)} columns, expected one")
+    if wanted is not None and (n := df.limit(wanted + 1).count()) != wanted:
+        raise ValueError(f"{'more than ' + str(wanted) if n > wanted else n} rows, expected {wanted}")
+    return df
+
+
+def column_or_literal(x) -> "F.Column":
+    """A column for a name or column, a literal for anything else; text in single quotes is a literal."""
+    if isinstance(x, Column):
+        return x
+    if isinstance(x, str):
+        return F.lit(x[1:-1]) if len(x) > 1 and x[0] == x[-1] == "'" else F.col(x)
+    return F.lit(x)
+
+
 def drift(base: DataFrame, now: DataFrame, column: str, bins: int = 10, eps: float = 1e-4) -> float:
     """Population stability index of a numeric column over equal-weight bins of the base."""
-    edges = base.agg(F.percentile(column, [i / bins for i in range(1, bins)])).first()[0]
+    edges = exact_quantiles(base, column, [i / bins for i in range(1, bins)])
     code = sum(((F.col(column) >= e).cast("int") for e in edges[1:]), (F.col(column) >= edges[0]).cast("int"))
     shares = []
     for df in (base, now):
@@ -280,22 +357,69 @@ def drift(base: DataFrame, now: DataFrame, column: str, bins: int = 10, eps: flo
     return float(sum((b - a) * np.log(b / a) for a, b in zip(*shares, strict=True)))
 
 
-def estimator_classes() -> dict[str, type]:
-    """Families with an equal or close pyspark.ml class, by name."""
+def _penalised(absolute: float, quadratic: float, deviation: float | None, params: dict):
+    from pyspark.ml.regression import LinearRegression
+
+    quadratic *= deviation or 1.0
+    both = absolute + quadratic
+    return LinearRegression(**{"regParam": both, "elasticNetParam": absolute / both if both else 0.0, "standardization": False, "tol": 1e-9, "maxIter": 1000, **params})
+
+
+def estimators() -> dict[str, Callable]:
+    """Families with a pyspark.ml form, by name: each makes a configured stage from the parameters.
+
+    Ridge, Lasso and ElasticNet take alpha as it stands before the penalty of
+    least squares (Ridge: of their sum; the others: of half their mean) over
+    features that are not scaled. Spark divides the quadratic penalty by the
+    label's deviation, so the stage depends on that and the number of rows.
+    """
     from pyspark.ml import classification as c
     from pyspark.ml import clustering as k
     from pyspark.ml import regression as r
 
+    glm = lambda family, link="log": lambda **p: r.GeneralizedLinearRegression(**{"family": family, "link": link, **p})
+    bayes = lambda kind: lambda **p: c.NaiveBayes(**{"modelType": kind, **p})
     return {
-        "LinearRegression": r.LinearRegression, "Ridge": r.LinearRegression, "Lasso": r.LinearRegression, "ElasticNet": r.LinearRegression,
-        "GammaRegressor": r.GeneralizedLinearRegression, "PoissonRegressor": r.GeneralizedLinearRegression, "TweedieRegressor": r.GeneralizedLinearRegression,
-        "RandomForestRegressor": r.RandomForestRegressor, "GradientBoostingRegressor": r.GBTRegressor, "DecisionTreeRegressor": r.DecisionTreeRegressor,
-        "LogisticRegression": c.LogisticRegression, "RandomForestClassifier": c.RandomForestClassifier, "GradientBoostingClassifier": c.GBTClassifier,
-        "DecisionTreeClassifier": c.DecisionTreeClassifier, "LinearSVC": c.LinearSVC, "MultinomialNB": c.NaiveBayes, "GaussianNB": c.NaiveBayes,
-        "MLPClassifier": c.MultilayerPerceptronClassifier, "KMeans": k.KMeans, "BisectingKMeans": k.BisectingKMeans, "GaussianMixture": k.GaussianMixture,
+        "LinearRegression": lambda **p: r.LinearRegression(**p),
+        "Ridge": lambda alpha=1.0, **p: lambda n, deviation: _penalised(0.0, alpha / max(n, 1), deviation, p),
+        "Lasso": lambda alpha=1.0, **p: lambda n, deviation: _penalised(alpha, 0.0, deviation, p),
+        "ElasticNet": lambda alpha=1.0, l1_ratio=0.5, **p: lambda n, deviation: _penalised(alpha * l1_ratio, alpha * (1 - l1_ratio), deviation, p),
+        "HuberRegressor": lambda epsilon=1.35, **p: r.LinearRegression(**{"loss": "huber", "epsilon": epsilon, **p}),
+        "GammaRegressor": glm("gamma"), "PoissonRegressor": glm("poisson"),
+        "TweedieRegressor": lambda power=1.5, **p: r.GeneralizedLinearRegression(**{"family": "tweedie", "variancePower": power, "linkPower": 0.0, **p}),
+        "RandomForestRegressor": lambda **p: r.RandomForestRegressor(**p), "DecisionTreeRegressor": lambda **p: r.DecisionTreeRegressor(**p),
+        "GradientBoostingRegressor": lambda **p: r.GBTRegressor(**p), "HistGradientBoostingRegressor": lambda **p: r.GBTRegressor(**{"maxBins": 255, **p}),
+        "LogisticRegression": lambda **p: c.LogisticRegression(**p), "LinearSVC": lambda **p: c.LinearSVC(**p),
+        "RandomForestClassifier": lambda **p: c.RandomForestClassifier(**p), "DecisionTreeClassifier": lambda **p: c.DecisionTreeClassifier(**p),
+        "GradientBoostingClassifier": lambda **p: c.GBTClassifier(**p), "HistGradientBoostingClassifier": lambda **p: c.GBTClassifier(**{"maxBins": 255, **p}),
+        "GaussianNB": bayes("gaussian"), "MultinomialNB": bayes("multinomial"), "BernoulliNB": bayes("bernoulli"), "ComplementNB": bayes("complement"),
+        "OneVsRestClassifier": lambda classifier=None, **p: c.OneVsRest(classifier=classifier or c.LogisticRegression(), **p),
+        "MLPClassifier": lambda **p: c.MultilayerPerceptronClassifier(**p),
+        "KMeans": lambda **p: k.KMeans(**p), "BisectingKMeans": lambda **p: k.BisectingKMeans(**p), "GaussianMixture": lambda **p: k.GaussianMixture(**p),
     }
 
 
+def estimator(name: str, input_cols: Sequence[str] | None = None, label_cols: Sequence[str] | None = None, output_cols: Sequence[str] | None = None, weight_col: str | None = None, **params) -> Estimator:
+    """An estimator by its family's name."""
+    return Estimator(estimators()[name](**params), input_cols, label_cols, output_cols, weight_col)
+
+
+#: Selectors by name: what is chosen, and the name of the threshold.
+SELECTORS = {"SelectKBest": "numTopFeatures", "SelectPercentile": "percentile", "SelectFpr": "fpr", "SelectFdr": "fdr", "SelectFwe": "fwe"}
+
+
+def selector(name: str, threshold: float, input_cols: Sequence[str], label_col: str, feature_type: str = "continuous", label_type: str = "categorical", output: str = "OUTPUT") -> VectorTransformer:
+    """Univariate selection: F test of classes or values, or chi-squared where both are categorical.
+
+    GenericUnivariateSelect takes "mode:name", as in "GenericUnivariateSelect:fpr".
+    """
+    from pyspark.ml.feature import UnivariateFeatureSelector
+
+    mode = name.split(":", 1)[1] if name.startswith("GenericUnivariateSelect:") else SELECTORS[name]
+    stage = UnivariateFeatureSelector(selectionMode=mode).setFeatureType(feature_type).setLabelType(label_type).setSelectionThreshold(threshold)
+    return VectorTransformer(stage, input_cols, output, label_col, input_param="featuresCol")
+
+
 def grid(params: dict[str, Sequence]) -> list[dict]:
     return [dict(zip(params, values, strict=True)) for values in product(*params.values())]
 
@@ -305,27 +429,25 @@ def sampled_grid(params: dict[str, Sequence], n: int, seed: int = 0) -> list[dic
     return [all_[i] for i in sorted(rng.permutation(len(all_))[:n])]
 
 
-def search(df: DataFrame, candidates: Sequence[dict], build: Callable[[dict], Estimator], folds: int = 3, key: Sequence[str] = ()) -> tuple[dict, list[dict]]:
-    """Cross-validated score of each candidate; folds by a hash of ``key`` (default: all columns). Returns the best and all results."""
+def search(df: DataFrame, candidates: Sequence[dict], build: Callable[[dict], Estimator], folds: int = 3, key: Sequence[str] = (), at_once: int = 4) -> tuple[dict, list[dict]]:
+    """Cross-validated score of each candidate, ``at_once`` fits at a time; folds by a hash of ``key`` (default: all columns). Returns the best (ties: the first) and all results by index."""
     fold = F.pmod(F.xxhash64(*(key or df.columns)), F.lit(folds))
     tagged = df.withColumn("_fold", fold)
-    results = []
-    for i, params in enumerate(candidates):
-        scores = [build(params).fit(tagged.where(F.col("_fold") != k).drop("_fold")).score(tagged.where(F.col("_fold") == k).drop("_fold")) for k in range(folds)]
-        results.append({"index": i, "params": params, "scores": scores, "mean": float(np.mean(scores))})
-    return max(results, key=lambda r: r["mean"]), results
+    jobs = [(i, k) for i in range(len(candidates)) for k in range(folds)]
 
+    def one(job: tuple[int, int]) -> float:
+        i, k = job
+        return build(candidates[i]).fit(tagged.where(F.col("_fold") != k).drop("_fold")).score(tagged.where(F.col("_fold") == k).drop("_fold"))
 
-def search_in_tasks(df: DataFrame, candidates: Sequence[dict], evaluate: Callable[[pd.DataFrame, dict], float], key: Sequence[str] = (), folds: int = 3) -> DataFrame:
-    """For small data and plain-Python models: each (candidate, fold) pair is a group of its own with a copy of the rows."""
-    jobs = df.sparkSession.createDataFrame([(i, k) for i in range(len(candidates)) for k in range(folds)], "candidate int, fold int")
-    tagged = df.withColumn("_fold", F.pmod(F.xxhash64(*(key or df.columns)), F.lit(folds)))
-    every = tagged.withColumn("candidate", F.explode(F.array(*[F.lit(i) for i in range(len(candidates))]))).withColumn("fold", F.explode(F.array(*[F.lit(k) for k in range(folds)])))
+    with ThreadPoolExecutor(at_once) as pool:  # each fit is Spark jobs; the threads only wait for them
+        scores = list(pool.map(one, jobs))
+    results = [{"index": i, "params": p, "scores": scores[i * folds : (i + 1) * folds], "mean": float(np.mean(scores[i * folds : (i + 1) * folds]))} for i, p in enumerate(candidates)]
+    return max(results, key=lambda r: r["mean"]), results
 
-    def run(k, frame):
-        return pd.DataFrame({"candidate": [k[0]], "fold": [k[1]], "score": [float(evaluate(frame, candidates[k[0]]))]})
 
-    return jobs.join(every.groupBy("candidate", "fold").applyInPandas(run, "candidate int, fold int, score double"), ["candidate", "fold"], "left")
+def pivoted(rows: DataFrame, run: str, name: str, value: Column, names: Sequence | None = None) -> DataFrame:
+    """One row for each run, with a column of the aggregated value for each name (given, or those that occur)."""
+    return rows.groupBy(run).pivot(name, names).agg(value)
 
 
 class Experiments:
@@ -341,6 +463,6 @@ class Experiments:
     def runs(self) -> DataFrame:
         """One row for each run: a column for each parameter, and for each metric its value at the last step."""
         rows = self.spark.read.parquet(self.path)
-        params = rows.where("kind = 'param'").groupBy("run").pivot("name").agg(F.max("text"))
-        metrics = rows.where("kind = 'metric'").groupBy("run").pivot("name").agg(F.max_by("value", "step"))
+        params = pivoted(rows.where("kind = 'param'"), "run", "name", F.max("text"))
+        metrics = pivoted(rows.where("kind = 'metric'"), "run", "name", F.max_by("value", "step"))
         return params.join(metrics, "run", "full")

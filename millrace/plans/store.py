@@ -8,6 +8,8 @@ A view's query is SQL text or a function of the session; its physical name is
 from __future__ import annotations
 
 import inspect
+import re
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
@@ -17,12 +19,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from millrace.functions.intervals import parse_interval
 from millrace.operators.asof import asof_join
 from millrace.operators.tiles import Feature, TileSpec, build_tiles, merge_tiles, read_at, rollup_tiles
 from millrace.sources.catalog import JsonCatalog
 from millrace.sources.connector import key_filter
 from millrace.sources.dataset import Dataset, DatasetVersion, extend_schema
-from millrace.streaming.stream import StreamSource
+from millrace.streaming.stream import StreamSource, refresh_tiles
+
+
+#: A refresh policy is an interval, "downstream" (when views built on it are), or a cron line of five fields and a time zone.
+_CRON = re.compile(r"\S+( \S+){4} [A-Za-z_]+(/[A-Za-z_]+)*")
 
 
 @dataclass(frozen=True)
@@ -71,8 +78,11 @@ class FeatureView:
     compute: Callable[[SparkSession], DataFrame] | None = field(default=None, repr=False)
     columns: Sequence[str] | None = None
     prefix: str | None = None
+    stream: str | None = None
 
     def __post_init__(self) -> None:
+        if self.refresh_freq and self.refresh_freq.upper() != "DOWNSTREAM" and not _CRON.fullmatch(self.refresh_freq) and parse_interval(self.refresh_freq) < 60:
+            raise ValueError("views are refreshed once a minute at most")
         if self.features and not (self.timestamp_col and self.feature_granularity and self.refresh_freq):
             raise ValueError("tiled views need a time column, a granularity and a refresh frequency")
         if self.append_only and not (self.refresh_freq and self.timestamp_col):
@@ -149,24 +159,42 @@ class FeatureStore:
 
     # feature views
 
-    def register_feature_view(self, view: FeatureView, version: str | None = None, overwrite: bool = False) -> FeatureView:
-        """Check, materialise, record; if anything fails, what was made is taken back."""
+    def register_feature_view(self, view: FeatureView, version: str | None = None, overwrite: bool = False, seed: DataFrame | None = None) -> FeatureView:
+        """Check, materialise, record; if anything fails, what was made is taken back and an older view stays as it was.
+
+        Data go to a folder of their own, which takes the old one's place when
+        the record is replaced. seed: a backfill table that becomes the first
+        batch of an append-only view; its columns must begin the view's.
+        """
         view = FeatureView(**{**view.__dict__, "version": version or view.version})
-        name = view.physical_name
-        if self.catalog.get("view", name) and not overwrite:
+        name, old, held = view.physical_name, self.catalog.get("view", view.physical_name), self._compute.get(view.physical_name)
+        if old and not overwrite:
             raise ValueError(f"{name} exists")
+        if seed is not None and not view.append_only:
+            raise ValueError("only append-only views begin with a backfill table")
         for e in view.entities:
             self.get_entity(e.name)
+        if view.stream:
+            self.get_stream_source(view.stream)
+        self._compute.pop(name, None)
         if view.compute:
             self._compute[name] = view.compute
+        folder = f"{name}/{uuid.uuid4().hex}"
         try:
             self._check(view)
-            self._materialise(view)
-            self.catalog.put("view", name, view.to_dict() | {"status": "ACTIVE", "history": [self.clock().isoformat()]})
+            if seed is not None:
+                extend_schema(seed, self._source(view))
+                self._write_batch(seed, folder, "seed")
+            self._materialise(view, folder, "0")
+            self.catalog.put("view", name, view.to_dict() | {"status": "ACTIVE", "history": [self.clock().isoformat()], "folder": folder})
         except Exception:
-            self.catalog.remove_tree("..", "tables", name)
+            self.catalog.remove_tree("..", "tables", folder)
             self._compute.pop(name, None)
+            if held:
+                self._compute[name] = held
             raise
+        if old:
+            self.catalog.remove_tree("..", "tables", old["folder"])
         return view
 
     def _check(self, view: FeatureView) -> None:
@@ -180,28 +208,35 @@ class FeatureStore:
         compute = view.compute or self._compute.get(view.physical_name)
         return compute(self.spark) if compute else self.spark.sql(view.query)
 
-    def _path(self, view: FeatureView) -> str:
-        return f"{self.root}/tables/{view.physical_name}"
+    def _path(self, view: FeatureView, folder: str | None = None) -> str:
+        return f"{self.root}/tables/{folder or self.catalog.get('view', view.physical_name)['folder']}"
+
+    def _parent_spec(self, view: FeatureView) -> tuple[FeatureView, TileSpec]:
+        parent = self.get_feature_view(view.rollup.parent, view.rollup.parent_version)
+        return parent, TileSpec(tuple(parent.keys), parent.timestamp_col, parent.feature_granularity, tuple(view.features), view.aggregation_secondary_key)
 
     def _tiles(self, view: FeatureView) -> DataFrame:
         if not view.rollup:
             return build_tiles(self._source(view), view.spec)
-        parent = self.get_feature_view(view.rollup.parent, view.rollup.parent_version)
-        spec = TileSpec(tuple(parent.keys), parent.timestamp_col, parent.feature_granularity, tuple(view.features), view.aggregation_secondary_key)
+        parent, spec = self._parent_spec(view)
         return rollup_tiles(self.spark.read.parquet(self._path(parent)), self.spark.sql(view.rollup.mapping), spec, view.keys, view.rollup.valid_from, view.rollup.valid_to)
 
-    def _materialise(self, view: FeatureView) -> None:
+    def _materialise(self, view: FeatureView, folder: str, batch: str) -> None:
         if view.features:
-            self._tiles(view).write.mode("overwrite").parquet(self._path(view))
+            self._tiles(view).write.mode("overwrite").parquet(self._path(view, folder))
         elif view.append_only:
-            self._source(view).withColumn("_batch", F.lit(self.clock().isoformat())).write.mode("append").partitionBy("_batch").parquet(self._path(view))
+            self._write_batch(self._source(view), folder, batch)
         elif view.refresh_freq:
-            self._source(view).write.mode("overwrite").parquet(self._path(view))
+            self._source(view).write.mode("overwrite").parquet(self._path(view, folder))
+
+    def _write_batch(self, rows: DataFrame, folder: str, batch: str) -> None:
+        """A batch of an append-only view has a folder of its own: written again, it replaces itself."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/tables/{folder}/_batch={batch}")
 
     def get_feature_view(self, name: str, version: str) -> FeatureView:
         if (d := self.catalog.get("view", f"{name.upper()}${version}")) is None:
             raise ValueError(f"no feature view {name} {version}")
-        d = {k: v for k, v in d.items() if k not in ("status", "history")}
+        d = {k: v for k, v in d.items() if k not in ("status", "history", "folder")}
         d["entities"] = [self.get_entity(e) for e in d["entities"]]
         d["features"] = [Feature.from_dict(f) for f in d["features"]]
         d["rollup"] = Rollup(**d["rollup"]) if d["rollup"] else None
@@ -223,16 +258,36 @@ class FeatureStore:
         self.catalog.put("view", f"{name.upper()}${version}", d)
         return self.get_feature_view(name, version)
 
-    def refresh_feature_view(self, view: FeatureView) -> None:
-        """Compute again (append-only views: add a batch); suspended views raise."""
+    def refresh_feature_view(self, view: FeatureView, changed: DataFrame | None = None, batch: str | None = None) -> None:
+        """Bring a view's data up to date; suspended views raise.
+
+        A tiled view with ``changed`` (new or late events, already in its
+        source) computes only the tiles they touch. Append-only views add a
+        batch, by default under the number of refreshes so far; a batch given
+        again replaces itself. Columns may be added at the end only. All else
+        is computed again in a new folder, which then takes the old one's
+        place. Without a refresh frequency there are no data.
+        """
         d = self.catalog.get("view", view.physical_name)
         if d["status"] != "ACTIVE":
             raise ValueError(f"{view.physical_name} is suspended")
+        folder = d["folder"]
         if view.append_only:
-            old = self.spark.read.parquet(self._path(view)).drop("_batch")
-            extend_schema(old, self._source(view))
-        self._materialise(view)
-        self.catalog.put("view", view.physical_name, d | {"history": [*d["history"], self.clock().isoformat()]})
+            extend_schema(self._rows(view), self._source(view))
+            self._write_batch(self._source(view), folder, batch or str(len(d["history"])))
+        elif view.refresh_freq:
+            folder = f"{view.physical_name}/{uuid.uuid4().hex}"
+            try:
+                if view.features and not view.rollup and changed is not None:
+                    refresh_tiles(self._source(view), self.spark.read.parquet(self._path(view)), view.spec, changed).write.parquet(self._path(view, folder))
+                else:
+                    self._materialise(view, folder, "0")
+            except Exception:
+                self.catalog.remove_tree("..", "tables", folder)
+                raise
+        self.catalog.put("view", view.physical_name, d | {"folder": folder, "history": [*d["history"], self.clock().isoformat()]})
+        if folder != d["folder"]:
+            self.catalog.remove_tree("..", "tables", d["folder"])
 
     def get_refresh_history(self, view: FeatureView) -> DataFrame:
         times = self.catalog.get("view", view.physical_name)["history"]
@@ -273,7 +328,11 @@ class FeatureStore:
     def _rows(self, view: FeatureView) -> DataFrame:
         if not view.refresh_freq:
             return self._source(view)
-        return self.spark.read.parquet(self._path(view)).drop("_batch")
+        if not view.append_only:
+            return self.spark.read.parquet(self._path(view))
+        rows = self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", False).parquet(self._path(view)).drop("_batch")
+        grown = [c for c in self._source(view).columns if c in rows.columns]  # in the order of the newest batch
+        return rows.select(*grown, *[c for c in rows.columns if c not in grown])
 
     # stream sources
 
@@ -298,6 +357,8 @@ class FeatureStore:
 
     def delete_stream_source(self, name: str) -> None:
         self.get_stream_source(name)
+        if users := [n for n in self.catalog.names("view") if (self.catalog.get("view", n)["stream"] or "").upper() == name.upper()]:
+            raise ValueError(f"stream source {name} is used by {users}")
         self.catalog.delete("stream", name.upper())
         self.catalog.remove_tree("..", "landing", name.upper())
 
@@ -415,21 +476,50 @@ class FeatureStore:
         self.catalog.remove_tree("..")
 
 
-def realtime_features(df: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Request rows and upstream features through a pandas function, evaluated row by row in batches; its columns follow the others."""
+def check_compute(compute: Callable, allowed: Sequence[str] = ("pd", "np", "pandas", "numpy", "math")) -> None:
+    """Raise unless ``compute`` is a plain function that needs nothing but its argument, builtins and the allowed modules.
+
+    Coroutines, generators, lambdas without source, closures over values, and
+    names from around the function would not be the same where it runs later.
+    """
     if not inspect.isfunction(compute):
         raise ValueError("a plain function is needed")
-    base = df.schema
-    extra = df.sparkSession.createDataFrame([], schema).schema
+    if inspect.iscoroutinefunction(compute) or inspect.isgeneratorfunction(compute):
+        raise ValueError("the function must return its frame at once")
+    if compute.__code__.co_argcount != 1 or compute.__code__.co_kwonlyargcount or compute.__code__.co_flags & (inspect.CO_VARARGS | inspect.CO_VARKEYWORDS):
+        raise ValueError("the function must have one argument")
+    found = inspect.getclosurevars(compute)
+    if found.nonlocals:
+        raise ValueError(f"the function closes over {sorted(found.nonlocals)}")
+    if bad := sorted(n for n, v in found.globals.items() if not (inspect.ismodule(v) and v.__name__.split(".")[0] in allowed)):
+        raise ValueError(f"the function uses names from around it: {bad}")
+
+
+def realtime_features(df: DataFrame, compute: Callable[[pd.DataFrame], pd.DataFrame], schema: str, views: Sequence[tuple[DataFrame, Sequence[str], str, Sequence[str]]] = (), ts: str | None = None, strict: bool = False) -> DataFrame:
+    """Request rows and upstream features through a pandas function, evaluated in batches; its columns follow the others.
+
+    views: (rows, keys, time column, columns) that are joined as of the
+    request's time ``ts`` for the function only and are not in the result.
+    Requests that repeat each get their row. strict: check_compute first.
+    """
+    if strict:
+        check_compute(compute)
+    elif not inspect.isfunction(compute):
+        raise ValueError("a plain function is needed")
+    wide = df
+    for rows, keys, at, columns in views:
+        wide = asof_join(wide, rows, keys, ts, at, columns)
+    given, extra = wide.columns, df.sparkSession.createDataFrame([], schema).schema
 
     def run(frames):
         for frame in frames:
-            out = compute(frame)
+            out = compute(frame[given])
             if len(out) != len(frame):
                 raise ValueError("the function must return a row for each row")
-            yield pd.concat([frame.reset_index(drop=True), out.reset_index(drop=True)], axis=1)
+            yield pd.concat([frame[df_columns].reset_index(drop=True), out.reset_index(drop=True)], axis=1)
 
-    joined = type(base)(list(base.fields))
+    df_columns = df.columns
+    joined = type(df.schema)(list(df.schema.fields))
     for f in extra.fields:
         joined = joined.add(f)
-    return df.mapInPandas(run, joined)
+    return wide.mapInPandas(run, joined)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.intervals import from_seconds, seconds_of, slice_start
 from millrace.operators.asof import asof_join, validity_join
-from millrace.operators.tiles import Feature, TileSpec, build_tiles, continuous_features, merge_tiles, rollup_tiles
+from millrace.operators.prefix import ordered_index
+from millrace.operators.tiles import Feature, TileSpec, build_tiles, continuous_features, merge_tiles, read_at, rollup_tiles
+from millrace.operators.windows import carried_forward, over_time, top_n
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,27 +152,61 @@ def scd2_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def range_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum and mean over the hour up to each event, by user."""
-    e = _table(spark, sf_dir, "events").withColumn("s", seconds_of(F.col("ts")))
-    w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-3600, 0)
-    return e.select("event_id", F.round(F.sum("value").over(w), 6).alias("sum_1h"), F.round(F.avg("value").over(w), 6).alias("avg_1h"))
+    e = over_time(_table(spark, sf_dir, "events"), ["user_id"], "ts", 3600, {"sum_1h": F.sum("value"), "avg_1h": F.avg("value")})
+    return e.select("event_id", F.round("sum_1h", 6).alias("sum_1h"), F.round("avg_1h", 6).alias("avg_1h"))
 
 
 def running_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last purchase value carried forward over each user's events."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w)
-    return _table(spark, sf_dir, "events").select("event_id", v.alias("last_purchase"))
+    bought = F.when(F.col("event_type") == "purchase", F.col("value"))
+    return carried_forward(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], bought, "last_purchase").select("event_id", "last_purchase")
 
 
 def top_n_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return _table(spark, sf_dir, "orders").withColumn("rank", F.row_number().over(w)).where("rank <= 2").select("o_custkey", "rank", "o_orderkey", "o_totalprice")
+    return top_n(_table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_totalprice"), "o_orderkey"], 2).select("o_custkey", "rank", "o_orderkey", "o_totalprice")
 
 
 def category_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense rank of each category, the index that encoders use."""
-    values = _table(spark, sf_dir, "part").select("p_type").distinct()
-    return values.select("p_type", (F.dense_rank().over(Window.orderBy("p_type")) - 1).alias("code"))
+    return ordered_index(_table(spark, sf_dir, "part"), "p_type").select("p_type", F.col("code").cast("int").alias("code"))
+
+
+def rollup_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest and two oldest orders of each nation's tiles, out of its customers' tiles."""
+    orders = _table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    spec = TileSpec(("o_custkey",), "o_orderdate", "30d", (Feature.last_n("o_orderkey", "30d", n=3), Feature.first_n("o_orderkey", "30d", n=2)))
+    mapping = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rolled = rollup_tiles(build_tiles(orders, spec), mapping, spec, ["c_nationkey"])
+    text = lambda name: F.array_join(F.transform(F.sort_array(name), lambda x: x["value"].cast("string")), ",")
+    return rolled.select("c_nationkey", "tile_start", text("_last_n_o_orderkey").alias("newest"), text("_first_n_o_orderkey").alias("oldest"))
+
+
+def rollup_lifetime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lifetime features over rolled-up tiles, at the start of each year."""
+    orders = _table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    features = (Feature.sum("o_totalprice", "lifetime").alias("sum_all"), Feature.count("o_totalprice", "lifetime").alias("n_all"))
+    spec = TileSpec(("o_custkey",), "o_orderdate", "1d", features)
+    mapping = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    rolled = rollup_tiles(build_tiles(orders, spec), mapping, spec, ["c_nationkey"])
+    years = F.explode(F.array(*[F.lit(f"{y}-01-01 00:00:00").cast("timestamp_ntz") for y in range(1993, 1999)]))
+    spine = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), years.alias("at"))
+    out = merge_tiles(spine, rolled, TileSpec(("c_nationkey",), "o_orderdate", "1d", features), "at")
+    return out.select("c_nationkey", seconds_of(F.col("at")).alias("at_s"), F.round("sum_all", 2).alias("sum_all"), "n_all")
+
+
+def tiled_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current values of every user at one time."""
+    spec = TileSpec(("user_id",), "ts", "1h", (Feature.sum("value", "240h").alias("sum_240h"), Feature.count("value", "240h").alias("count_240h")))
+    out = read_at(build_tiles(_table(spark, sf_dir, "events"), spec), spec, F.lit("2024-01-20 12:30:00"))
+    return out.select("user_id", F.round("sum_240h", 6).alias("sum_240h"), "count_240h")
+
+
+def asof_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event the latest value of each column of the user's earlier events by itself, nulls passed over."""
+    events = _table(spark, sf_dir, "events")
+    right = events.select("user_id", F.col("ts").alias("r_ts"), F.when(F.col("event_type") == "purchase", F.col("event_id")).alias("bought"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("clicked"))
+    right = right.groupBy("user_id", "r_ts").agg(F.max("bought").alias("bought"), F.max("clicked").alias("clicked"))
+    return asof_join(events.select("event_id", "user_id", "ts"), right, ["user_id"], "ts", "r_ts", ["bought", "clicked"], strict=True, per_column=True).select("event_id", "bought", "clicked")
 
 
 def _window_sql(parts: str, low: int, high: int = 0) -> str:
@@ -184,6 +220,7 @@ QUERIES = {
     for f in (
         tiles_hourly, tiled_sum_count_avg, tiled_min_max, tiled_stddev_var, tiled_offset, tiled_last_first_n, tiled_distinct_n, tiled_lifetime, tiled_secondary_key, tiled_approx_distinct, tiled_approx_percentile,
         tiled_continuous, asof_orders, asof_previous_event, training_set, rollup_segments, rollup_validity, scd2_join, range_window, running_fill, top_n_per_group, category_index,
+        rollup_lists, rollup_lifetime, tiled_now, asof_filled,
     )
 }
 
@@ -198,14 +235,19 @@ ORACLES = {
     "tiled_lifetime": _WITH + "SELECT s.user_id, s.at_s, round(sum(value), 6) AS sum_all, CASE WHEN count(e.h) > 0 THEN count(value) END AS count_all, max(value) AS max_all FROM spine s LEFT JOIN e ON e.user_id = s.user_id AND e.h + 3600 <= s.at_s - 1800 GROUP BY s.user_id, s.at_s",
     "tiled_secondary_key": _WITH + ", d AS (SELECT s.user_id, s.at_s, e.event_type, count(value) AS n, max(value) AS m FROM spine s JOIN e ON e.user_id = s.user_id AND e.h >= s.at_s - 1800 - 259200 AND e.h < s.at_s - 1800 GROUP BY ALL), g AS (SELECT user_id, at_s, array_to_string(list(event_type ORDER BY event_type), ',') AS event_types, array_to_string(list(CAST(n AS VARCHAR) ORDER BY event_type), ',') AS counts, array_to_string(list(printf('%.6f', m) ORDER BY event_type), ',') AS maxima FROM d GROUP BY user_id, at_s) SELECT s.user_id, s.at_s, coalesce(event_types, '') AS event_types, coalesce(counts, '') AS counts, coalesce(maxima, '') AS maxima FROM spine s LEFT JOIN g USING (user_id, at_s)",
     "tiled_approx_distinct": _WITH + _window_sql("count(DISTINCT event_type) AS types", 604800),
-    "tiled_continuous": "WITH s AS (SELECT DISTINCT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events), e AS (SELECT user_id, value, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events) SELECT s.user_id, s.at_s, round(coalesce(sum(value), 0), 6) AS sum_90m, count(value) AS count_90m FROM s LEFT JOIN e ON e.user_id = s.user_id AND e.t > s.at_s - 5400 AND e.t <= s.at_s GROUP BY s.user_id, s.at_s",
+    "tiled_approx_percentile": _WITH + _window_sql("round(quantile_disc(value, 0.9), 6) AS p90", 604800),
+    "tiled_continuous": "WITH s AS (SELECT DISTINCT user_id, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS at_s FROM events), e AS (SELECT user_id, value, epoch_us(ts) AS us FROM events) SELECT s.user_id, s.at_s, round(coalesce(sum(value), 0), 6) AS sum_90m, count(value) AS count_90m FROM s LEFT JOIN e ON e.user_id = s.user_id AND e.us > (s.at_s - 5400) * 1000000 AND e.us <= s.at_s * 1000000 GROUP BY s.user_id, s.at_s",
     "asof_orders": "WITH e AS (SELECT event_id, user_id, ts - INTERVAL 8000 DAY AS t FROM events), o AS (SELECT o_custkey AS user_id, o_orderdate AS o_t, max(o_totalprice) AS price FROM orders GROUP BY ALL) SELECT event_id, e.user_id, price FROM e ASOF LEFT JOIN o ON e.user_id = o.user_id AND e.t >= o.o_t",
     "asof_previous_event": "WITH r AS (SELECT user_id, ts, max(value) AS before FROM events GROUP BY ALL) SELECT e.event_id, r.before FROM events e ASOF LEFT JOIN r ON e.user_id = r.user_id AND e.ts > r.ts",
     "training_set": _WITH + f", a AS ({_window_sql('round(coalesce(sum(value), 0), 6) AS sum_24h', 86400)}), b AS ({_window_sql('round(avg(value), 6) AS avg_168h', 604800)}), p AS (SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS us, max(value) AS last_purchase FROM events WHERE event_type = 'purchase' GROUP BY ALL), q AS (SELECT s.user_id, s.at_s, max_by(p.last_purchase, p.us) AS last_purchase FROM spine s LEFT JOIN p ON p.user_id = s.user_id AND p.us <= s.at_s * 1000000 GROUP BY ALL) SELECT user_id, at_s, sum_24h, avg_168h, round(last_purchase, 6) AS last_purchase FROM a JOIN b USING (user_id, at_s) JOIN q USING (user_id, at_s)",
     "rollup_segments": "SELECT c_nationkey, CAST(floor(epoch(o_orderdate) / 2592000) AS BIGINT) * 2592000 AS tile_start, round(sum(o_totalprice), 2) AS sum_price, count(o_totalprice) AS n_orders, max(o_totalprice) AS max_price FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
     "rollup_validity": "WITH t AS (SELECT o_custkey, CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) * 86400 AS d, sum(o_totalprice) AS s, count(o_totalprice) AS n FROM orders GROUP BY ALL), j AS (SELECT CASE WHEN d < epoch(TIMESTAMP '1996-01-01') THEN c_mktsegment ELSE c_mktsegment || '2' END AS segment, d, s, n FROM t JOIN customer ON c_custkey = o_custkey) SELECT segment, round(sum(s), 2) AS sum_price, CAST(sum(n) AS BIGINT) AS n_orders, count(DISTINCT d) AS n_tiles FROM j GROUP BY segment",
     "scd2_join": "SELECT o_orderkey, CASE WHEN o_orderdate < TIMESTAMP '1996-01-01' THEN c_mktsegment ELSE c_mktsegment || '2' END AS segment FROM orders JOIN customer ON c_custkey = o_custkey",
-    "range_window": "WITH e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) SELECT event_id, round(sum(value) OVER w, 6) AS sum_1h, round(avg(value) OVER w, 6) AS avg_1h FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)",
+    "range_window": "WITH e AS (SELECT *, epoch_us(ts) AS us FROM events) SELECT event_id, round(sum(value) OVER w, 6) AS sum_1h, round(avg(value) OVER w, 6) AS avg_1h FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW)",
+    "rollup_lists": "SELECT c_nationkey, CAST(floor(epoch(o_orderdate) / 2592000) AS BIGINT) * 2592000 AS tile_start, array_to_string(list_reverse(list_slice(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC), 1, 3)), ',') AS newest, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderdate, o_orderkey), 1, 2), ',') AS oldest FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
+    "rollup_lifetime": "WITH y AS (SELECT make_timestamp(n, 1, 1, 0, 0, 0) AS moment FROM range(1993, 1999) t(n)), o AS (SELECT c_nationkey, o_orderdate, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey) SELECT n_nationkey AS c_nationkey, CAST(epoch(moment) AS BIGINT) AS at_s, round(sum(o_totalprice), 2) AS sum_all, CASE WHEN count(o_orderdate) > 0 THEN count(o_totalprice) END AS n_all FROM nation CROSS JOIN y LEFT JOIN o ON c_nationkey = n_nationkey AND date_trunc('day', o_orderdate) + INTERVAL 1 DAY <= moment GROUP BY ALL",
+    "tiled_now": "WITH u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00') SELECT u.user_id, round(coalesce(sum(value), 0), 6) AS sum_240h, count(value) AS count_240h FROM u LEFT JOIN e USING (user_id) GROUP BY u.user_id",
+    "asof_filled": "WITH r AS (SELECT user_id, ts, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS bought, max(CASE WHEN event_type = 'click' THEN event_id END) AS clicked FROM events GROUP BY ALL), b AS (SELECT user_id, ts, bought FROM r WHERE bought IS NOT NULL), c AS (SELECT user_id, ts, clicked FROM r WHERE clicked IS NOT NULL), x AS (SELECT e.event_id, b.bought FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts > b.ts), y AS (SELECT e.event_id, c.clicked FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts > c.ts) SELECT event_id, bought, clicked FROM x JOIN y USING (event_id)",
     "running_fill": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events",
     "top_n_per_group": "SELECT o_custkey, CAST(rank AS INTEGER) AS rank, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 2",
     "category_index": "SELECT p_type, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT p_type FROM part)",

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions.intervals import from_seconds, seconds_of, slice_start
 from millrace.operators.tiles import Feature, TileSpec, build_tiles
-from millrace.plans.models import CustomModel, Estimator, Registry, inference_api, infer_signature, partitioned_api
+from millrace.plans.models import CustomModel, Estimator, Experiments, Registry, chained, estimator, grid, inference_api, infer_signature, partitioned_api, pivoted, search, selector
 from millrace.plans.store import Entity, FeatureGroup, FeatureStore, FeatureView, realtime_features
 from millrace.queries.features import _EVENTS_SQL, _SPINE_SQL, _window_sql
-from millrace.sources.connector import key_filter, latest_per_key, shard
+from millrace.operators.windows import latest_per_key
+from millrace.sources.connector import DataConnector, key_filter, shard
 from millrace.sources.dataset import Dataset, FileSet, read_versions
 from millrace.streaming.stream import append_batches, apply_rowwise, backfill, refresh_tiles, stream_tiles
 
@@ -25,7 +26,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder that the driver and the executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
@@ -143,6 +148,12 @@ def realtime_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("c_custkey", "cents")
 
 
+class _Rounded(CustomModel):
+    @inference_api
+    def predict(self, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"whole": frame.net.round().astype("int64")})
+
+
 class _Margin(CustomModel):
     @inference_api
     def predict(self, frame: pd.DataFrame) -> pd.DataFrame:
@@ -185,9 +196,169 @@ def monitored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes as columns: orders of each customer by status."""
+    """Attributes as columns, by the pivot that lists experiments' runs: orders of each customer by status."""
     orders = _table(spark, sf_dir, "orders")
-    return orders.groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).select("o_custkey", *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s.lower()) for s in "FOP"])
+    return pivoted(orders, "o_custkey", "o_orderstatus", F.count("o_orderkey"), ["F", "O", "P"]).select("o_custkey", *[F.coalesce(F.col(s), F.lit(0)).cast("long").alias(s.lower()) for s in "FOP"])
+
+
+def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs with parameters and metrics by step: the last step counts."""
+    runs = Experiments(spark, f"{_scratch(spark)}/runs")
+    for i in range(3):
+        runs.log(f"run{i}", {"depth": str(i)}, [("loss", step, 1.0 / (1 + step + i)) for step in range(3)])
+    return runs.runs().select("run", "depth", F.round("loss", 6).alias("loss"))
+
+
+def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of entities, views, groups and stream sources after some are made, changed and deleted."""
+    store = FeatureStore(spark, _scratch(spark))
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    store.register_entity(Entity("CUSTOMER", ("c_custkey",), "old"))
+    store.update_entity("customer", "new")
+    store.register_entity(Entity("GONE", ("x",)))
+    store.delete_entity("GONE")
+    views = [store.register_feature_view(FeatureView("BALANCE", [store.get_entity("CUSTOMER")], refresh_freq=f, version=v, compute=lambda s: customer)) for v, f in (("V1", None), ("V2", "1 day"))]
+    store.update_feature_view("BALANCE", "V2", refresh_freq="2 days", desc="daily")
+    store.suspend_feature_view(views[1])
+    store.register_feature_group(FeatureGroup("ALL", views))
+    store.register_stream_source("CLICKS", spark.createDataFrame([], "a int").schema, "raw")
+    store.update_stream_source("CLICKS", "clicks")
+    store.register_stream_source("GONE", spark.createDataFrame([], "a int").schema)
+    store.delete_stream_source("GONE")
+    out = store.list_entities().select(F.lit("entity").alias("kind"), "name", F.lit(None).cast("string").alias("version"), F.col("desc").alias("about"))
+    out = out.union(store.list_feature_views("CUSTOMER").select(F.lit("view"), "name", "version", F.concat_ws("/", "refresh_freq", "status", "desc")))
+    out = out.union(store.list_feature_groups().select(F.lit("group"), "name", F.lit(None), F.col("views").cast("string")))
+    out = out.union(store.list_stream_sources().select(F.lit("stream"), "name", F.lit(None), "desc"))
+    return out.union(store.lineage().select(F.lit("lineage"), "source", F.lit(None), "target"))
+
+
+def store_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tiled view of all events but every seventh, refreshed with the late ones only."""
+    store, events = FeatureStore(spark, _scratch(spark)), _table(spark, sf_dir, "events")
+    seen = {"rows": events.where("event_id % 7 != 3")}
+    user = store.register_entity(Entity("USER", ("user_id",)))
+    view = store.register_feature_view(FeatureView("SPEND", [user], timestamp_col="ts", refresh_freq="1h", feature_granularity="1h", features=_sum_spec().features, compute=lambda s: seen["rows"]))
+    seen["rows"] = events
+    store.refresh_feature_view(view, changed=events.where("event_id % 7 = 3"))
+    return _tiles_out(spark.read.parquet(store._path(view)))
+
+
+def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append-only view: a backfill table, two batches of which one is written twice, and a column that came later."""
+    store, day = FeatureStore(spark, _scratch(spark)), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts")
+    customer = _table(spark, sf_dir, "customer")
+    seen = {"rows": customer.where("c_custkey % 2 = 0").select("c_custkey", day, "c_acctbal")}
+    key = store.register_entity(Entity("CUSTOMER", ("c_custkey",)))
+    seed = customer.where("c_custkey % 10 = 1").select("c_custkey", day, "c_acctbal")
+    view = store.register_feature_view(FeatureView("SNAP", [key], timestamp_col="ts", refresh_freq="1 day", append_only=True, compute=lambda s: seen["rows"]), seed=seed)
+    seen["rows"] = customer.where("c_custkey % 3 = 0").select("c_custkey", day, "c_acctbal", "c_mktsegment")
+    for _ in range(2):
+        store.refresh_feature_view(view, batch="second")
+    return store.read_feature_view(view).groupBy("c_custkey").agg(F.count("*").alias("times"), F.max("c_mktsegment").alias("segment"))
+
+
+def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view that a failed overwrite leaves as it was, and a good one replaces."""
+    store, customer = FeatureStore(spark, _scratch(spark)), _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    key = store.register_entity(Entity("CUSTOMER", ("c_custkey",)))
+    made = lambda df: FeatureView("BALANCE", [key], refresh_freq="1 day", compute=lambda s: df)
+    view = store.register_feature_view(made(customer.where("c_custkey % 2 = 0")))
+    try:
+        store.register_feature_view(made(customer.select(F.col("c_custkey"), F.raise_error(F.lit("bad")).alias("c_acctbal"))), overwrite=True)
+    except Exception:  # the failure that this query is about
+        pass
+    kept = store.read_feature_view(view).select("c_custkey", F.lit("first").alias("view"))
+    rows = spark.createDataFrame(kept.collect(), kept.schema)  # the folder goes with the next overwrite
+    store.register_feature_view(made(customer.where("c_custkey % 2 = 1")), overwrite=True)
+    return rows.union(store.read_feature_view(view).select("c_custkey", F.lit("second")))
+
+
+def store_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training set saved as a dataset version, read without its label and time."""
+    events = _table(spark, sf_dir, "events")
+    store = FeatureStore(spark, _scratch(spark))
+    user = store.register_entity(Entity("USER", ("user_id",)))
+    view = store.register_feature_view(FeatureView("SPEND", [user], timestamp_col="ts", refresh_freq="1h", feature_granularity="1h", features=[Feature.sum("value", "24h").alias("sum_24h")], compute=lambda s: events))
+    spine = events.select("user_id", from_seconds(slice_start(F.col("ts"), 86400) + 30_600).alias("at"), F.lit(1).alias("label")).distinct()
+    out = store.generate_dataset("train", "v1", spine, [view], "at", ["label"]).read(only_feature_cols=True)
+    return out.groupBy("user_id").agg(F.count("*").alias("days"), F.round(F.sum("sum_24h"), 4).alias("total"))
+
+
+def stream_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each micro-batch written to two tables at once: purchases, and the rest."""
+    path = _scratch(spark)
+    stream = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "event_type")
+    append_batches(stream, {f"{path}/bought": lambda b: b.where("event_type = 'purchase'"), f"{path}/rest": lambda b: b.where("event_type <> 'purchase'")}, f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/bought").select("event_id", F.lit("bought").alias("place")).union(spark.read.parquet(f"{path}/rest").select("event_id", F.lit("rest")))
+
+
+def connector_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 1,000 rows of several sources together."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    both = DataConnector.from_sources([DataConnector(orders.where("o_orderkey % 2 = 0")), orders.where("o_orderkey % 2 = 1")])
+    n = rows = total = 0
+    for batch in both.to_batches(1000, shuffle=True):  # a batch at a time
+        n, rows, total = n + 1, rows + batch.num_rows, total + sum(batch.column(1).to_pylist())
+    return spark.createDataFrame([(n, rows, total)], "batches long, rows long, total long")
+
+
+def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a model with default, alias, tag and metric, of which one is deleted."""
+    registry = Registry(spark, _scratch(spark))
+    sample = spark.createDataFrame([], "l_extendedprice double")
+    for i in range(3):
+        registry.log_model(_Margin(rate=0.1 * i), "margin", f"v{i}", infer_signature(sample, spark.createDataFrame([], "net double")))
+    registry.set_default("margin", "v1")
+    registry.set_alias("margin", "v2", "next")
+    registry.set_metric("margin", "v2", "auc", 0.5)
+    registry.set_tag("margin", "v1", "stage", "live")
+    registry.delete("margin", "v0")
+    rows = [(v, registry.get("margin").version == v, registry.get("margin", "next").version == v, registry.get("margin", v).record["metrics"].get("auc"), registry.get("margin", v).record["tags"].get("stage")) for v in registry.versions("margin")]
+    return spark.createDataFrame(rows, "version string, is_default boolean, is_next boolean, auc double, stage string")
+
+
+def model_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model on the output of another, and the result of a batch run written and read."""
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    first = _version(spark, df)
+    out = spark.createDataFrame([], "net double")
+    second = Registry(spark, _scratch(spark)).log_model(_Rounded(), "rounded", "v1", infer_signature(out, spark.createDataFrame([], "whole long")))
+    return chained(df, [(first, "predict"), (second, "predict")]).select("l_orderkey", "l_linenumber", "whole")
+
+
+def penalised_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slopes of ridge and lasso on one feature."""
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    slope = lambda name, **p: round(float(estimator(name, ["x"], ["y"], **p).fit(df).model.coefficients[0]), 4)
+    return spark.createDataFrame([(slope("Ridge", alpha=1e6), slope("Lasso", alpha=10.0))], "ridge double, lasso double")
+
+
+def count_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poisson, gamma and Tweedie models with a log link on one feature of 0 and 1: the logarithm of the means' ratio."""
+    df = _table(spark, sf_dir, "lineitem").select((F.col("l_discount") > 0.05).cast("double").alias("x"), (F.col("l_quantity") + F.when(F.col("l_discount") > 0.05, 5.0).otherwise(0.0)).alias("y"))
+    slope = lambda name, **p: round(float(estimator(name, ["x"], ["y"], **p).fit(df).model.coefficients[0]), 4)
+    return spark.createDataFrame([(slope("PoissonRegressor"), slope("GammaRegressor"), slope("TweedieRegressor", power=1.5))], "poisson double, gamma double, tweedie double")
+
+
+def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class means of Gaussian naive Bayes."""
+    df = _table(spark, sf_dir, "lineitem").select("l_quantity", "l_tax", (F.col("l_linestatus") == "O").cast("int").alias("y"))
+    m = estimator("GaussianNB", ["l_quantity", "l_tax"], ["y"]).fit(df).model
+    return spark.createDataFrame([(i, round(float(m.theta.toArray()[i][0]), 4), round(float(m.theta.toArray()[i][1]), 6)) for i in range(2)], "y int, quantity double, tax double")
+
+
+def best_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one feature of three that an F test prefers for a cost that follows the quantity."""
+    df = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_tax", "l_quantity", "l_discount", (F.col("l_quantity") * 3 + F.col("l_tax")).alias("cost"))
+    out = selector("SelectKBest", 1, ["l_tax", "l_quantity", "l_discount"], "cost", label_type="continuous", output="best").fit(df).transform(df)
+    return out.select("l_orderkey", "l_linenumber", F.col("best_0").alias("best"))
+
+
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The penalty that cross-validation prefers for a straight line."""
+    df = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("double").alias("x"), (F.col("o_orderkey") * 2.0 + 1).alias("y"))
+    best, results = search(df, grid({"alpha": [1e12, 1e-3]}), lambda p: estimator("Ridge", ["x"], ["y"], **p), folds=2)
+    return spark.createDataFrame([(best["index"], len(results), best["mean"] > 0.999)], "best long, candidates long, good boolean")
 
 
 QUERIES = {
@@ -195,11 +366,28 @@ QUERIES = {
     for f in (
         streaming_tiles, streaming_append, backfill_range, incremental_refresh, store_training_set, store_feature_group, dataset_versions, fileset_roundtrip, sharded_read, keys_filtered, category_union_except,
         realtime_view, model_run, model_run_partitioned, linear_regression, monitored_windows, run_pivot,
+        experiment_runs, store_catalog, store_refresh, store_snapshots, store_overwrite, store_dataset, stream_two_tables, connector_batches, registry_versions, model_chain,
+        penalised_regression, count_regressions, naive_bayes, best_feature, searched,
     )
 }
 
 _TILES = f"WITH {_EVENTS_SQL} SELECT user_id, h AS tile_start, round(sum(value), 6) AS sum_value, count(value) AS count_value FROM e GROUP BY user_id, h"
 ORACLES = {
+    "experiment_runs": "SELECT 'run' || i AS run, CAST(i AS VARCHAR) AS depth, round(1.0::DOUBLE / (3 + i), 6) AS loss FROM range(3) t(i)",
+    "store_catalog": "SELECT * FROM (VALUES ('entity', 'CUSTOMER', NULL, 'new'), ('view', 'BALANCE', 'V1', 'ACTIVE/'), ('view', 'BALANCE', 'V2', '2 days/SUSPENDED/daily'), ('group', 'ALL', NULL, '2'), ('stream', 'CLICKS', NULL, 'clicks'), ('lineage', 'entity:CUSTOMER', NULL, 'view:BALANCE$V1'), ('lineage', 'entity:CUSTOMER', NULL, 'view:BALANCE$V2'), ('lineage', 'view:BALANCE$V1', NULL, 'group:ALL'), ('lineage', 'view:BALANCE$V2', NULL, 'group:ALL')) t(kind, name, version, about)",
+    "store_refresh": _TILES,
+    "store_snapshots": "WITH a AS (SELECT c_custkey, NULL AS s FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) SELECT c_custkey, count(*) AS times, max(s) AS segment FROM a GROUP BY c_custkey",
+    "store_overwrite": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS view FROM customer",
+    "store_dataset": f"WITH {_SPINE_SQL}, {_EVENTS_SQL}, a AS ({_window_sql('coalesce(sum(value), 0) AS sum_24h', 86400)}) SELECT user_id, count(*) AS days, round(sum(sum_24h), 4) AS total FROM a GROUP BY user_id",
+    "stream_two_tables": "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'bought' ELSE 'rest' END AS place FROM events",
+    "connector_batches": "SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) AS batches, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders",
+    "registry_versions": "SELECT * FROM (VALUES ('v1', true, false, NULL::DOUBLE, 'live'), ('v2', false, true, 0.5::DOUBLE, NULL)) t(version, is_default, is_next, auc, stage)",
+    "model_chain": "SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice * 0.5, 0) AS BIGINT) AS whole FROM lineitem",
+    "penalised_regression": "WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / 1000 AS y FROM lineitem), s AS (SELECT count(*) AS n, covar_pop(x, y) AS xy, var_pop(x) AS xx FROM t) SELECT round(n * xy / (n * xx + 1e6), 4) AS ridge, round(sign(xy) * greatest(abs(xy) - 10, 0) / xx, 4) AS lasso FROM s",
+    "count_regressions": "WITH t AS (SELECT l_discount > 0.05 AS x, l_quantity + CASE WHEN l_discount > 0.05 THEN 5 ELSE 0 END AS y FROM lineitem), r AS (SELECT round(ln(avg(y) FILTER (WHERE x) / avg(y) FILTER (WHERE NOT x)), 4) AS v FROM t) SELECT v AS poisson, v AS gamma, v AS tweedie FROM r",
+    "naive_bayes": "SELECT CAST(l_linestatus = 'O' AS INTEGER) AS y, round(avg(l_quantity), 4) AS quantity, round(avg(l_tax), 6) AS tax FROM lineitem GROUP BY ALL",
+    "best_feature": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS best FROM lineitem",
+    "searched": "SELECT 1::BIGINT AS best, 2::BIGINT AS candidates, true AS good",
     "monitored_windows": "SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS window_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
     "run_pivot": "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey",
     "streaming_tiles": _TILES,

@@ -150,6 +150,60 @@ def roc_curve(spark, sf_dir):
     return M.roc_curve(_judged(spark, sf_dir), "quality", "score").where("threshold < 1e300").select("threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
 
 
+def roc_corners(spark, sf_dir):
+    """The ROC curve's start and the points that are no middle of a straight stretch."""
+    c = M.roc_curve(_judged(spark, sf_dir), "quality", "score", drop_intermediate=True)
+    return c.select(F.when(F.col("threshold") < 1e300, F.col("threshold")).alias("threshold"), F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+def partial_auc(spark, sf_dir):
+    return _row(spark, auc=M.roc_auc_score(_judged(spark, sf_dir), "quality", "score", max_fpr=0.3))
+
+
+def prf_averages(spark, sf_dir):
+    """Micro and weighted averages of the F score over three classes."""
+    df = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("y"), F.when(F.col("l_quantity") > 25, "N").when(F.col("l_linestatus") == "F", "A").otherwise("R").alias("p"))
+    return _row(spark, micro=M.f1_score(df, "y", "p", "micro"), weighted=M.f1_score(df, "y", "p", "weighted"), weighted_recall=M.recall_score(df, "y", "p", "weighted"))
+
+
+def prf_samples(spark, sf_dir):
+    """Precision, recall and F of each row's set of labels, averaged over rows."""
+    df = _table(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 10).cast("int").alias("a"), (F.col("l_quantity") > 30).cast("int").alias("b"), (F.col("l_discount") > 0.03).cast("int").alias("c"), (F.col("l_tax") > 0.02).cast("int").alias("d"))
+    p, r, f = M.samplewise_prf(df, ["a", "b"], ["c", "d"])
+    return _row(spark, precision_=p, recall_=r, f1=f)
+
+
+def log_loss_classes(spark, sf_dir):
+    """Log loss over three classes with probabilities that don't add up to 1."""
+    df = _table(spark, sf_dir, "lineitem").select("l_returnflag", ((F.col("l_quantity") + 1) / 60).alias("a"), (F.col("l_discount") + 0.1).alias("n"), (F.col("l_tax") + 0.2).alias("r"))
+    return _row(spark, loss=M.log_loss(df, "l_returnflag", ["a", "n", "r"]))
+
+
+def element_sums(spark, sf_dir):
+    """Sums of an array's elements by their place, for each flag."""
+    df = _table(spark, sf_dir, "lineitem").select("l_returnflag", F.array(F.round(F.col("l_quantity")).cast("long"), F.round(F.col("l_tax") * 100).cast("long")).alias("x"))
+    return M.array_sums(df, "x", ["l_returnflag"]).select("l_returnflag", F.col("sums")[0].alias("quantity"), F.col("sums")[1].alias("tax"))
+
+
+def ordinal_encoder_table(spark, sf_dir):
+    """More categories than a literal map holds: names of customers, numbered as a table and joined."""
+    df = _table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return P.OrdinalEncoder(["c_name"], ["code"]).fit_transform(df).select("c_custkey", "code")
+
+
+def one_hot_sparse(spark, sf_dir):
+    """The sparse form without the category F: place of the category and length."""
+    df = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    out = P.OneHotEncoder(["o_orderstatus"], ["status"], sparse=True, drop=["F"]).fit_transform(df)
+    return out.select("o_orderkey", F.coalesce(F.col("status")["0"], F.lit(0)).alias("o"), F.coalesce(F.col("status")["1"], F.lit(0)).alias("p"), F.col("status")["array_length"].alias("size"))
+
+
+def k_bins_onehot(spark, sf_dir):
+    """Bins of equal width as columns of 0 and 1."""
+    out = P.KBinsDiscretizer(["l_quantity"], ["q"], n_bins=3, strategy="uniform", encode="onehot-dense").fit_transform(_lines(spark, sf_dir))
+    return out.select("l_orderkey", "l_linenumber", "q_0", "q_1", "q_2")
+
+
 def precision_recall_curve(spark, sf_dir):
     return M.precision_recall_curve(_judged(spark, sf_dir), "quality", "score").where("threshold is not null").select("threshold", F.round("precision", 6).alias("precision_"), F.round("recall", 6).alias("recall_"))
 
@@ -190,6 +244,7 @@ QUERIES = {
         standard_scaler, min_max_scaler, max_abs_scaler, robust_scaler, normalizer, binarizer, k_bins_uniform, k_bins_quantile, ordinal_encoder, label_encoder, one_hot_encoder, one_hot_infrequent,
         simple_imputer, imputer_most_frequent, missing_indicator, polynomial_features, column_statistics, accuracy, confusion, precision_recall_f1, fbeta_macro, log_loss, roc_auc, roc_curve,
         precision_recall_curve, regression_errors, r2_and_variance, d2_scores, correlation, covariance,
+        roc_corners, partial_auc, prf_averages, prf_samples, log_loss_classes, element_sums, ordinal_encoder_table, one_hot_sparse, k_bins_onehot,
     )
 }
 
@@ -225,6 +280,15 @@ ORACLES = {
     "log_loss": _JUDGED + "SELECT round(avg(-ln(CASE WHEN quality = 1 THEN CAST(p AS DOUBLE) ELSE 1 - CAST(p AS DOUBLE) END)), 6) AS loss FROM j",
     "roc_auc": _CURVE + "SELECT round(sum(pos * (tn - rn + neg / 2)) / max(tp * tn), 6) AS auc FROM r",
     "roc_curve": _CURVE + "SELECT score AS threshold, round(rn / tn, 6) AS fpr, round(rp / tp, 6) AS tpr FROM r",
+    "roc_corners": _CURVE + ", n AS (SELECT *, lead(pos) OVER (ORDER BY score DESC) AS np, lead(neg) OVER (ORDER BY score DESC) AS nn FROM r) SELECT score AS threshold, round(rn / tn, 6) AS fpr, round(rp / tp, 6) AS tpr FROM n WHERE np IS NULL OR np <> pos OR nn <> neg UNION ALL SELECT NULL, 0, 0",
+    "partial_auc": _CURVE + ", a AS (SELECT *, greatest(0, least(neg, 0.3 * tn - (rn - neg))) AS w FROM r), b AS (SELECT sum(CASE WHEN neg > 0 THEN w * (rp - pos + pos * w / neg / 2) ELSE 0 END) / max(tp * tn) AS part FROM a) SELECT round(0.5 * (1 + (part - 0.045) / (0.3 - 0.045)), 6) AS auc FROM b",
+    "prf_averages": "WITH t AS (SELECT l_returnflag AS y, CASE WHEN l_quantity > 25 THEN 'N' WHEN l_linestatus = 'F' THEN 'A' ELSE 'R' END AS p FROM lineitem), k AS (SELECT unnest(['A', 'N', 'R']) AS c), g AS (SELECT c, CAST(count(*) FILTER (WHERE y = c AND p = c) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE p = c) AS DOUBLE) AS pc, CAST(count(*) FILTER (WHERE y = c) AS DOUBLE) AS tc FROM t, k GROUP BY c) SELECT round(2 * sum(tp) / (sum(pc) + sum(tc)), 6) AS micro, round(sum(tc * 2 * tp / (pc + tc)) / sum(tc), 6) AS weighted, round(sum(tp) / sum(tc), 6) AS weighted_recall FROM g",
+    "prf_samples": "WITH t AS (SELECT CAST(l_quantity > 10 AS INT) AS a, CAST(l_quantity > 30 AS INT) AS b, CAST(l_discount > 0.03 AS INT) AS c, CAST(l_tax > 0.02 AS INT) AS d FROM lineitem), u AS (SELECT CAST(a * c + b * d AS DOUBLE) AS h, CAST(a + b AS DOUBLE) AS n, CAST(c + d AS DOUBLE) AS m FROM t) SELECT round(avg(CASE WHEN m > 0 THEN h / m ELSE 0 END), 6) AS precision_, round(avg(CASE WHEN n > 0 THEN h / n ELSE 0 END), 6) AS recall_, round(avg(CASE WHEN n + m > 0 THEN 2 * h / (n + m) ELSE 0 END), 6) AS f1 FROM u",
+    "log_loss_classes": "WITH t AS (SELECT l_returnflag AS y, (l_quantity + 1) / 60 AS a, l_discount + 0.1 AS n, l_tax + 0.2 AS r FROM lineitem), c AS (SELECT y, least(greatest(a, 1e-15), 1 - 1e-15) AS a, least(greatest(n, 1e-15), 1 - 1e-15) AS n, least(greatest(r, 1e-15), 1 - 1e-15) AS r FROM t) SELECT round(avg(-ln(CASE y WHEN 'A' THEN a WHEN 'N' THEN n ELSE r END / (a + n + r))), 6) AS loss FROM c",
+    "element_sums": "SELECT l_returnflag, CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax FROM lineitem GROUP BY l_returnflag",
+    "ordinal_encoder_table": "SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_name) - 1 AS DOUBLE) AS code FROM customer",
+    "one_hot_sparse": "SELECT o_orderkey, CAST(o_orderstatus = 'O' AS INTEGER) AS o, CAST(o_orderstatus = 'P' AS INTEGER) AS p, 2 AS size FROM orders",
+    "k_bins_onehot": "WITH s AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem), t AS (SELECT l_orderkey, l_linenumber, (l_quantity >= a + (b - a) * 1 / 3)::INT + (l_quantity >= a + (b - a) * 2 / 3)::INT AS k FROM lineitem, s) SELECT l_orderkey, l_linenumber, CAST(k = 0 AS DOUBLE) AS q_0, CAST(k = 1 AS DOUBLE) AS q_1, CAST(k = 2 AS DOUBLE) AS q_2 FROM t",
     "precision_recall_curve": _CURVE + "SELECT score AS threshold, round(rp / (rp + rn), 6) AS precision_, round(rp / tp, 6) AS recall_ FROM r",
     "regression_errors": _PRICES + "SELECT round(avg(abs(y - f)), 6) AS mae, round(avg(abs(y - f) / abs(y)), 6) AS mape, round(sqrt(avg((y - f) * (y - f))), 6) AS rmse, round(sum(w * abs(y - f)) / sum(w), 6) AS wmae FROM t",
     "r2_and_variance": _PRICES + "SELECT round(1 - sum((y - f) * (y - f)) / (var_pop(y) * count(*)), 6) AS r2, round(1 - var_pop(y - f) / var_pop(y), 6) AS explained FROM t",

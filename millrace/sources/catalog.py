@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
 
 class JsonCatalog:
-    """Records by kind and name; each is a file, replaced as a whole."""
+    """Records by kind and name; each is a file."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -22,9 +23,15 @@ class JsonCatalog:
         return self._at().getFileSystem(self._conf)
 
     def put(self, kind: str, name: str, record: dict) -> None:
-        out = self._fs().create(self._at(kind, f"{name}.json"), True)
+        """Write beside and rename over, so that a reader sees the old record or the new one, whole."""
+        beside = self._at(kind, f".{name}.{uuid.uuid4().hex}")
+        out = self._fs().create(beside, True)
         out.write(json.dumps(record, sort_keys=True).encode())
         out.close()
+        hadoop = self._jvm.org.apache.hadoop.fs
+        over = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(self._fs().getUri(), self._conf).rename(beside, self._at(kind, f"{name}.json"), over)
 
     def get(self, kind: str, name: str) -> dict | None:
         fs, at = self._fs(), self._at(kind, f"{name}.json")

@@ -9,6 +9,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+#: Ranges of a shard that equal shards are cut in.
+_PLACES = 4096
 
 
 class DataConnector:
@@ -44,26 +49,27 @@ class DataConnector:
         return cls(reduce(lambda a, b: a.unionByName(b), [s.df if isinstance(s, DataConnector) else s for s in sources]))
 
     def to_batches(self, batch_size: int, shuffle: bool = False, drop_last_batch: bool = False, seed: int | None = None) -> Iterator[pa.RecordBatch]:
-        """Arrow batches of exactly batch_size rows (the last may have fewer).
+        """Arrow batches of exactly batch_size rows (the last may have fewer), all of one schema.
 
-        Partitions come to the driver one after another; what a partition
-        leaves over begins the next batch.
+        Executors hand over Arrow batches; partitions come to the driver one
+        after another, and what a batch leaves over begins the next one. With
+        shuffle each call (epoch) gives another order, unless a seed is set.
         """
         if batch_size < 1:
             raise ValueError("batch_size must be positive")
         df = self.df.orderBy(F.rand(seed)) if shuffle else self.df
-        names, held = df.columns, []
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            held.append(row)
-            if len(held) == batch_size:
-                yield self._batch(held, names)
-                held = []
-        if held and not drop_last_batch:
-            yield self._batch(held, names)
-
-    @staticmethod
-    def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(len(names))], names=names)
+        schema = to_arrow_schema(df.schema, timestamp_utc=True)
+        held, rows = [], 0
+        for batch in _record_batches(df):
+            held.append(batch.cast(schema) if batch.schema != schema else batch)
+            rows += batch.num_rows
+            while rows >= batch_size:
+                whole = pa.Table.from_batches(held, schema).combine_chunks()
+                yield _as_batch(whole.slice(0, batch_size))
+                rows -= batch_size
+                held = whole.slice(batch_size).to_batches() if rows else []
+        if rows and not drop_last_batch:
+            yield _as_batch(pa.Table.from_batches(held, schema))
 
     def to_pandas(self, limit: int | None = None) -> pd.DataFrame:
         return (self.df if limit is None else self.df.limit(limit)).toPandas()
@@ -100,11 +106,30 @@ class DataConnector:
         return datasets.Dataset.from_pandas(self.to_pandas(limit))
 
 
+def _record_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows as Arrow batches, one partition at the driver at a time."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    for row in df.mapInArrow(packed, "data binary").toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row["data"])
+
+
+def _as_batch(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
+
+
 def shard(df: DataFrame, world_size: int, rank: int, order: Sequence[str], equal: bool = False) -> DataFrame:
-    """Every world_size-th row of a fixed order, from ``rank`` on.
+    """The rows of one of ``world_size`` shards, dealt out by a hash of the ordering columns' values.
 
-    Rows go to shards by a hash of the ordering columns' values; with equal,
-    shards are cut to the size of the smallest one.
+    Equal values go to the same shard. With equal, each shard gives as many
+    rows as the smallest one has: in the order of a second hash, then of the
+    columns.
     """
     if not 0 <= rank < world_size:
         raise ValueError("rank must be below world_size")
@@ -112,8 +137,19 @@ def shard(df: DataFrame, world_size: int, rank: int, order: Sequence[str], equal
     mine = tagged.where(F.col("_shard") == rank).drop("_shard")
     if not equal:
         return mine
-    sizes = {r["_shard"]: r["count"] for r in tagged.groupBy("_shard").count().collect()}
-    return mine.orderBy(*order).limit(min(sizes.get(r, 0) for r in range(world_size)))
+    sizes = {r["_shard"]: r["count"] for r in tagged.groupBy("_shard").count().collect()}  # one row for each shard
+    least = min(sizes.get(r, 0) for r in range(world_size))
+    # whole ranges of a second hash come first, and only the range that holds the last wanted row is ranked
+    place = F.pmod(F.xxhash64(F.lit(1), *order), F.lit(_PLACES))
+    counts = sorted((r["p"], r["count"]) for r in mine.groupBy(place.alias("p")).count().collect())  # _PLACES rows at most
+    before, edge = 0, 0
+    for p, n in counts:
+        if before + n > least:
+            edge = p
+            break
+        before, edge = before + n, p + 1
+    ranked = mine.where(place == edge).withColumn("_r", F.row_number().over(Window.partitionBy(place).orderBy(*order, *df.columns))).where(F.col("_r") <= least - before).drop("_r")
+    return mine.where(place < edge).unionByName(ranked)
 
 
 def cast_for_dataset(df: DataFrame) -> DataFrame:
@@ -145,9 +181,3 @@ def key_filter(df: DataFrame, keys: Sequence[str], values: Sequence[Sequence]) -
     wanted = df.sparkSession.createDataFrame([tuple(str(x) for x in v) for v in values], ", ".join(f"`{k}` string" for k in keys))
     wanted = wanted.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]).distinct()
     return df.join(wanted, list(keys), "left_semi")
-
-
-def latest_per_key(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """The row with the latest time of each key (ties: the largest row)."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(ts), *[F.desc(c) for c in df.columns if c not in keys and c != ts])
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

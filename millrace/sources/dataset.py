@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import ordered_index
 from millrace.sources.catalog import JsonCatalog
 from millrace.sources.connector import cast_for_dataset
 
@@ -98,27 +99,30 @@ class FileSet:
 
 
 def synthetic_rows(df: DataFrame, rows: int, seed: int = 0, now: str | None = None) -> DataFrame:
-    """Rows uniform in the observed range of each numeric column, of the observed values of strings, at the time ``now`` for timestamps."""
+    """Rows uniform in the observed range of each numeric column, of the observed values of strings, at the time ``now`` for timestamps.
+
+    Each distinct string is as likely as any other; the distinct values are
+    numbered as a table and joined to random numbers. Other types, and columns
+    without values, are null.
+    """
     kinds = dict(df.dtypes)
     numeric = [c for c, k in kinds.items() if k in ("int", "bigint", "smallint", "double", "float") or k.startswith("decimal")]
-    texts = [c for c, k in kinds.items() if k == "string"]
-    r = df.agg(*[F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(numeric)], *[F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(numeric)], *[F.slice(F.sort_array(F.collect_set(F.substring(c, 1, 64))), 1, 64).alias(f"t{i}") for i, c in enumerate(texts)]).first() if numeric or texts else {}
-    out = df.sparkSession.range(rows)
-    columns = []
+    r = df.agg(*[F.min(c).cast("double").alias(f"a{i}") for i, c in enumerate(numeric)], *[F.max(c).cast("double").alias(f"b{i}") for i, c in enumerate(numeric)]).first() if numeric else {}
+    out = df.sparkSession.range(rows).select(F.col("id").alias("_id"))
     for k, (c, kind) in enumerate(kinds.items()):
         if c in numeric:
-            i = numeric.index(c)
-            low, high = r[f"a{i}"] or 0.0, r[f"b{i}"] or 0.0
-            value = F.lit(low) + F.rand(seed + k) * F.lit(high - low)
-            columns.append((F.round(value) if "int" in kind else value).cast(kind).alias(c))
-        elif c in texts:
-            values = F.array(*[F.lit(v) for v in r[f"t{texts.index(c)}"]])
-            columns.append(F.get(values, F.floor(F.rand(seed + k) * F.size(values)).cast("int")).alias(c))
+            low, high = r[f"a{numeric.index(c)}"], r[f"b{numeric.index(c)}"]
+            value = F.lit(None) if low is None else F.lit(low) + F.rand(seed + k) * F.lit(high - low)
+            out = out.withColumn(c, (F.round(value) if "int" in kind and low is not None else value).cast(kind))
+        elif kind == "string":
+            values = ordered_index(df, c, "_at")
+            n = values.count()
+            out = out.withColumn("_at", F.floor(F.rand(seed + k) * n).cast("long")).join(values, "_at", "left").drop("_at")
         elif kind.startswith("timestamp") or kind == "date":
-            columns.append((F.lit(now) if now else F.current_timestamp()).cast(kind).alias(c))
+            out = out.withColumn(c, (F.lit(now) if now else F.current_timestamp()).cast(kind))
         else:
-            columns.append(F.lit(None).cast(kind).alias(c))
-    return out.select(*columns)
+            out = out.withColumn(c, F.lit(None).cast(kind))
+    return out.select(*kinds)
 
 
 def extend_schema(old: DataFrame, new: DataFrame) -> DataFrame:

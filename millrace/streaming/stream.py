@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from millrace.operators.tiles import TileSpec, _partials
+from millrace.functions.intervals import micros_of, slice_start
+from millrace.operators.tiles import LISTS, TileSpec, _partials, build_tiles
 
 
 @dataclass(frozen=True)
@@ -47,13 +49,21 @@ def apply_rowwise(df: DataFrame, transform: Callable[[pd.DataFrame], pd.DataFram
 
 
 def stream_tiles(events: DataFrame, spec: TileSpec, late: str = "1 hour") -> DataFrame:
-    """Tiles of a stream: tumbling windows behind a watermark. tile_start is in seconds since 1970, as in tables."""
+    """Tiles of a stream: tumbling windows behind a watermark, by the keys and the secondary key.
+
+    tile_start is in seconds since 1970, as in tables, whatever the session's
+    zone. Lists have no streaming form (they would need a ranked window in a
+    stream's state): refresh_tiles adds their events in batches.
+    """
+    if bad := [f.output for f in spec.features if f.function in LISTS]:
+        raise ValueError(f"not on a stream: {bad}")
     partials = {}
     for f in spec.features:
         partials |= _partials(f)
-    timed = events.withColumn("_ts", F.col(spec.ts).cast("timestamp")).withWatermark("_ts", late)
-    tiles = timed.groupBy(*spec.keys, F.window("_ts", f"{spec.seconds} seconds").alias("_w")).agg(*[c.alias(n) for n, c in partials.items()])
-    return tiles.select(*spec.keys, F.unix_timestamp("_w.start").alias("tile_start"), *partials)
+    keys = [*spec.keys, *([spec.secondary_key] if spec.secondary_key else [])]
+    timed = events.withColumn("_ts", F.timestamp_micros(micros_of(F.col(spec.ts)))).withWatermark("_ts", late)
+    tiles = timed.groupBy(*keys, F.window("_ts", f"{spec.seconds} seconds").alias("_w")).agg(*[c.alias(n) for n, c in partials.items()])
+    return tiles.select(*keys, F.unix_timestamp("_w.start").alias("tile_start"), *partials)
 
 
 def backfill(history: DataFrame, ts: str, start: str | None, end: str | None, transform: Callable[[pd.DataFrame], pd.DataFrame] | None, schema: StructType | str | None) -> DataFrame:
@@ -65,22 +75,34 @@ def backfill(history: DataFrame, ts: str, start: str | None, end: str | None, tr
     return history if transform is None else apply_rowwise(history, transform, schema)
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write each micro-batch under its own number, so that a repeated batch replaces itself; ends when all is read."""
+def append_batches(stream: DataFrame, path: str | dict[str, Callable[[DataFrame], DataFrame]], checkpoint: str) -> StreamingQuery:
+    """Write each micro-batch under its own number, so that a repeated batch replaces itself; ends when all is read.
+
+    With a dict, each batch goes to several tables at once: to every path what
+    its function makes of the batch.
+    """
+    parts = {path: lambda batch: batch} if isinstance(path, str) else path
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held = batch.persist() if len(parts) > 1 else batch
+        try:
+            for to, made in parts.items():
+                made(held).write.mode("overwrite").parquet(f"{to}/batch={number}")
+        finally:
+            if len(parts) > 1:
+                held.unpersist()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
 def refresh_tiles(events: DataFrame, tiles: DataFrame, spec: TileSpec, changed: DataFrame) -> DataFrame:
-    """Tiles after late or new events: only the (key, tile) pairs that the changed events touch are computed again."""
-    from millrace.functions.intervals import slice_start
-    from millrace.operators.tiles import build_tiles
+    """Tiles after late or new events: only the groups (keys, secondary key, tile) that the changed events touch are computed again.
 
-    group = [*spec.keys, "tile_start"]
+    Null keys are a group like any other. Changed events without a time touch nothing.
+    """
+    group = [*spec.keys, *([spec.secondary_key] if spec.secondary_key else []), "tile_start"]
     start = slice_start(F.col(spec.ts), spec.seconds)
-    touched = changed.withColumn("tile_start", start).select(*group).distinct()
-    rows = events.withColumn("tile_start", start).join(touched, group, "left_semi").drop("tile_start")
-    return tiles.join(touched, group, "left_anti").unionByName(build_tiles(rows, spec))
+    touched = changed.where(F.col(spec.ts).isNotNull()).withColumn("tile_start", start).select(*[F.col(c).alias(f"_t_{c}") for c in group]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in group])
+    rows = events.withColumn("tile_start", start).join(touched, same, "left_semi").drop("tile_start")
+    return tiles.join(touched, same, "left_anti").unionByName(build_tiles(rows, spec))
