@@ -65,11 +65,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
 
 def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, n_shingles, key, sample), and for each class with shingles its key, and its component's smallest doc_id with the smallest class that has it."""
-    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, sample binary"), "members")
+    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("same"))
+    members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, same long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
-    nodes = saved(_nodes(rows, buckets, n), "nodes")
-    linked = lambda pairs: saved(_verified(rows, n, _possible(pairs, nodes, percent), percent), "links")
+    nodes = saved(_nodes(rows, members, buckets, n), "nodes")
+    linked = lambda pairs: saved(_verified(rows, members, n, _possible(pairs, nodes, percent), percent), "links")
 
     star = buckets.where("key != pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).distinct()
     star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -138,16 +138,23 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.astype("<u8").view("<i8")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, once: bool = True) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    """doc_id, class and shingles of each text; with ``once``, each class once in a task, empty ones never."""
-    seen: set[int] = set()
+def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted=None) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
+    """doc_id, hash of the text, class and shingles of each row; with ``wanted``, a test of the texts' hashes, of one row for each of those in a task."""
+    met: set[int] = set()
     for batch in slices(batches, "text", 1 << 20):
-        for doc_id, tokens in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n, BLANK_WORDS), strict=True):
-            key = _key(tokens)
-            if once and (not len(tokens) or key in seen):
-                continue
+        if wanted is not None:
+            batch = batch.filter(pa.array([wanted(x) and not (x in met or met.add(x)) for x in batch.column(2).to_pylist()], pa.bool_()))
+        for doc_id, same, tokens in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1), n, BLANK_WORDS), strict=True):
+            yield doc_id, same, _key(tokens), tokens
+
+
+def _first_sets(batches: Iterator[pa.RecordBatch], n: int, wanted=None, asked=None) -> Iterator[tuple[int, np.ndarray]]:
+    """Each class that has shingles once in a task; those that pass ``asked`` only."""
+    seen: set[int] = set()
+    for _, _, key, tokens in _sets(batches, n, wanted):
+        if len(tokens) and key not in seen and (asked is None or asked(key)):
             seen.add(key)
-            yield doc_id, key, tokens
+            yield key, tokens
 
 
 def _classes(n: int):
@@ -155,12 +162,12 @@ def _classes(n: int):
         seen: set[int] = set()
 
         def rows() -> Iterator[tuple]:
-            for d, k, t in _sets(batches, n, once=False):
+            for d, same, k, t in _sets(batches, n):
                 drawn = k % SAMPLE == 0 and k not in seen
                 seen.add(k)
-                yield d, len(t), k, t.astype("<u8").tobytes() if drawn else None
+                yield d, len(t), k, same, t.astype("<u8").tobytes() if drawn else None
 
-        yield from _rows(rows(), {"doc_id": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "sample": pa.binary()})
+        yield from _rows(rows(), {"doc_id": pa.int64(), "n_shingles": pa.int64(), "key": pa.int64(), "same": pa.int64(), "sample": pa.binary()})
 
     return run
 
@@ -180,7 +187,7 @@ def _frequent(members: DataFrame) -> np.ndarray:
 
 def _prefixes(n: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, key, tokens in _sets(batches, n):
+        for key, tokens in _first_sets(batches, n):
             size = len(tokens)
             late = np.isin(tokens, frequent, assume_unique=True) if len(frequent) else np.zeros(size, bool)
             head = np.concatenate([tokens[~late], tokens[late]])[: size - -(-percent * size // 100) + 1]
@@ -196,14 +203,15 @@ def _shared(entries: DataFrame) -> DataFrame:
     return entries.withColumn("pivot", pivot).withColumn("_last", F.max("key").over(w)).where("pivot.key != _last").drop("_last")
 
 
-def _wanted(keys: DataFrame):
-    """A test for the table's keys that may also let others pass, gathered by partial aggregation; None without keys."""
-    n = keys.count()
+def _wanted(numbers: DataFrame):
+    """A test for the numbers (a column of distinct 64-bit ones) that may also let others pass, gathered by partial aggregation; None without any."""
+    numbers = numbers.toDF("key")
+    n = numbers.count()
     if not n:
         return None
     size = min(MOST_WANTED, max(1 << 15, 1 << (WANTED_BITS * n - 1).bit_length()))
     place = F.pmod("key", F.lit(size))
-    parts = keys.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # MOST_WANTED bits at most
+    parts = numbers.groupBy(F.bitmap_bucket_number(place).alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # MOST_WANTED bits at most
     bits = {r["at"]: bytes(r["bits"]) for r in parts}
 
     def test(key: int) -> bool:
@@ -215,12 +223,18 @@ def _wanted(keys: DataFrame):
     return test
 
 
-def _nodes(rows: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
+def _asked(members: DataFrame, keys: DataFrame):
+    """Tests for the classes, and for the hashes of their texts."""
+    keys = keys.distinct()
+    return _wanted(keys), _wanted(members.select("key", "same").join(keys, "key", "left_semi").select("same").distinct())
+
+
+def _nodes(rows: DataFrame, members: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
     """Bitmaps of the classes in buckets; some others may be among them."""
-    asked = _wanted(buckets.select("key").distinct())
+    asked, texts = _asked(members, buckets.select("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for _, k, t in _sets(batches, n) if asked and asked(k))
+        found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for k, t in (_first_sets(batches, n, texts, asked) if asked else ()))
         yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary()}, 256)
 
     found = rows.mapInArrow(run, "key long, n long, signature binary, fine binary")
@@ -279,15 +293,15 @@ def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def _verified(rows: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes that link, by their whole sets; only sets that a pair asks for leave the scan."""
+def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes that link, by their whole sets; only texts that a pair asks for are hashed again."""
     pairs = saved(pairs, "pairs")
-    asked = _wanted(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    asked, texts = _asked(members, pairs.select(F.explode(F.array("a", "b")).alias("key")))
     if asked is None:
         return pairs
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((k, t.astype("<u8").tobytes()) for _, k, t in _sets(batches, n) if asked(k))
+        found = ((k, t.astype("<u8").tobytes()) for k, t in _first_sets(batches, n, texts, asked))
         yield from _rows(found, {"key": pa.int64(), "tokens": pa.binary()}, 256)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +313,7 @@ def _verified(rows: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFr
                 keep.append((100 + percent) * both >= percent * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = rows.mapInArrow(chosen, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sets = saved(rows.mapInArrow(chosen, "key long, tokens binary"), "sets").groupBy("key").agg(F.first("tokens").alias("tokens"))
     a, b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(count, "a long, b long")
 
