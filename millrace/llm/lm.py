@@ -39,7 +39,7 @@ from millrace.llm.wordhash import BLANK_WORDS, ngram_hashes, word_hashes
 
 SCORES = "doc_id long, n_words long, log_score double, per_word double"
 #: Words of a chunk (a text is never cut), bytes of text that are hashed at once, and words for each range of keys (all bound what a task holds).
-CHUNK_WORDS, SLICE, RANGE_WORDS = 1 << 22, 8 << 20, 1 << 20
+CHUNK_WORDS, SLICE, RANGE_WORDS = 1 << 21, 8 << 20, 1 << 20
 _BLOCKS = "chunk long, part int, keys binary, counts binary"
 _OWN = "chunk long, listed binary, numbers binary, sizes binary, doc_ids array<long>"
 
@@ -187,12 +187,8 @@ def _scored(settings: Settings, total: int):
         words, n = unpack_sorted(listed.as_py())[unpack(numbers.as_py(), np.uint32)], unpack(sizes.as_py(), np.int64)
         found = dict(zip(blocks.column(1).to_pylist(), (unpack(c.as_py(), np.int64) for c in blocks.column(3)), strict=True))
         text = np.repeat(np.arange(len(n)), n)
-        keys = _keys(words, text, settings.order)
-        keys = keys[_runs(keys)[0]]
         counts = np.concatenate([found[p] for p in sorted(found)] or [np.zeros(0, np.int64)])
-        if len(counts) != len(keys):
-            raise ValueError("the counts of a chunk are not those of its keys")
-        value = word_values(words, text, lambda k: counts[np.searchsorted(keys, k)], settings, total)
+        value = word_values(text, occurrences(words, text, settings.order, counts), settings, total)
         score = np.bincount(text, weights=value, minlength=len(n))
         per_word = pa.array(score / np.maximum(n, 1), mask=n == 0)
         return pa.table([doc_ids.values, pa.array(n), pa.array(score), per_word], names=["doc_id", "n_words", "log_score", "per_word"])
@@ -200,16 +196,30 @@ def _scored(settings: Settings, total: int):
     return run
 
 
-def word_values(words: np.ndarray, text: np.ndarray, count, settings: Settings, total: int) -> np.ndarray:
-    """Log-score of each word; ``count`` gives the counts of keys."""
-    context = count(words)
+def occurrences(words: np.ndarray, text: np.ndarray, order: int, counts: np.ndarray) -> list[np.ndarray]:
+    """For each order the count of the n-gram at each place that has one, from the counts of the distinct keys in their order."""
+    keys = [grams(words, k)[_within(text, k)] for k in range(1, order + 1)]
+    edges = np.cumsum([len(k) for k in keys])[:-1]
+    keys = np.concatenate(keys)
+    place = np.argsort(keys)
+    first, n = _runs(keys[place])
+    if len(first) != len(counts):
+        raise ValueError("the counts of a chunk are not those of its keys")
+    del keys, first
+    out = np.empty(len(place), np.int64)
+    out[place] = np.repeat(counts, n)
+    return np.split(out, edges)
+
+
+def word_values(text: np.ndarray, counts: list[np.ndarray], settings: Settings, total: int) -> np.ndarray:
+    """Log-score of each word; ``counts``: of each order, as occurrences() gives them."""
+    context = counts[0]
     value = np.log(context) - np.log(max(total, 1))
-    for k in range(2, settings.order + 1):
+    for k, seen in enumerate(counts[1:], 2):
         at = np.flatnonzero(_within(text, k))
-        seen = count(grams(words, k)[at])
         last = at + k - 1
         value[last] = np.where(seen >= settings.least, np.log(seen) - np.log(context[at]), np.log(settings.backoff) + value[last])
-        context = np.ones(len(words), np.int64)
+        context = np.ones(len(text), np.int64)
         context[at] = seen
     return value
 
