@@ -4,16 +4,17 @@ Base patterns find assignments, access keys and long hexadecimal runs. Beyond
 them, every long run of key characters is a candidate. Its encoding is
 inferred from its alphabet, and three tests ask whether it could be drawn
 uniformly from that alphabet: chi-squared uniformity of the counts, runs above
-and below the alphabet's middle, and lag-1 serial correlation (combined by
-Bonferroni). Against that stands the hypothesis that it is ordinary text: how
-likely text of this length is to look as even and to stay inside the alphabet.
-Candidates are discoveries if Benjamini-Hochberg's procedure, run within
-classes of length and encoding, rejects ordinary text and the battery does not
-reject randomness.
-
-The procedure needs how many candidates reach each level of evidence: a table
-of counts by class and level, of bounded size whatever the input. Everything
-else happens within a document's row.
+and below the alphabet's middle, and lag-1 serial correlation, combined into
+one p-value by Bonferroni. Against that stands the hypothesis that it is
+ordinary text: how likely text of this length is to look as even and to stay
+inside the alphabet. Both hypotheses go through Benjamini-Hochberg's procedure
+within classes of length and encoding. Discoveries are candidates for which it
+rejects ordinary text and does not reject randomness.
+
+The procedure needs how many candidates reach each level of evidence against
+either hypothesis: a table of counts by class and level, of bounded size
+whatever the input. Everything else happens within a document's row. Running
+sums over a row's m matches take about m times the root of m steps.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ ENCODINGS = (
 TEXT_SQUARES, TEXT_CUBES = 0.065, 0.0058
 #: Levels of evidence: tenths of a decimal order, up to 40 orders.
 LEVELS = 400
+_CANDIDATE_TYPE = "struct<start:int,end:int,encoding:int,length_class:int,level:int,battery:int>"
 
 
 def _upper_tail(z: Column) -> Column:
@@ -56,13 +58,34 @@ def _matches(text: Column, pattern: str) -> tuple[Column, Column]:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
 
+def _let(value: Column, body) -> Column:
+    """The body with the value in a variable, so that it is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, plus, zero: Column) -> Column:
+    """Running sums (by an associative ``plus``) of an array, in blocks of about the root of its size."""
+    total = lambda a: F.aggregate(a, zero, plus)
+
+    def blocked(v: Column, size: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda b: total(F.slice(v, b * size + 1, size)))
+        before = lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
+        inside = lambda offsets: F.transform(v, lambda _, i: plus(F.get(offsets, F.floor(i / size).cast("int")), total(F.slice(v, i - i % size + 1, i % size + 1))))
+        return _let(_let(blocks, before), inside)
+
+    return F.when(F.size(values) > 0, _let(values, lambda v: _let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda size: blocked(v, size)))).otherwise(values)
+
+
 def _placed(found: Column, gaps: Column) -> Column:
     """Structs of start, end (code points) and text of the matches."""
-    gap_length, length = F.transform(gaps, lambda x: F.length(x)), F.transform(found, lambda x: F.length(x))
-    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + y)
-    place = lambda s, i: F.struct((total(gap_length, i + 1) + total(length, i)).alias("start"), s.alias("s"))
-    with_end = lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.length(p["s"])).alias("end"), p["s"].alias("s"))
-    return F.transform(F.transform(found, place), with_end)
+
+    def place(both: Column) -> Column:
+        # a match starts where the last one did, behind its length and the gap between
+        steps = F.transform(both["f"], lambda s, i: F.length(F.get(both["g"], i)) + F.when(i > 0, F.length(F.get(both["f"], i - 1))).otherwise(0))
+        starts = _running(steps, lambda x, y: x + y, F.lit(0))
+        return F.zip_with(starts, both["f"], lambda a, s: F.struct(a.alias("start"), (a + F.length(s)).alias("end"), s.alias("s")))
+
+    return _let(F.struct(found.alias("f"), gaps.alias("g")), place)
 
 
 def _spans(df: DataFrame, name: str, pattern: str, keep=None) -> DataFrame:
@@ -75,8 +98,25 @@ def _spans(df: DataFrame, name: str, pattern: str, keep=None) -> DataFrame:
     return df.withColumn(name, placed if keep is None else F.filter(placed, keep)).drop("_found", "_gaps")
 
 
+def _outside(base: Column, candidates: Column) -> Column:
+    """The candidates (sorted by start) that lie inside no base span: none that starts before reaches as far."""
+
+    def merge(both: Column) -> Column:
+        one = lambda tag: lambda x: F.struct(x["start"].alias("start"), F.lit(tag).alias("tag"), x["end"].alias("end"), (x if tag else F.lit(None).cast(_CANDIDATE_TYPE)).alias("c"))
+        every = F.array_sort(F.concat(F.transform(both["b"], one(0)), F.transform(both["c"], one(1))))
+
+        def cover(merged: Column) -> Column:
+            reach = _running(F.transform(merged, lambda x: F.when(x["tag"] == 0, x["end"]).otherwise(-1)), lambda x, y: F.greatest(x, y), F.lit(-1))
+            kept = F.filter(F.zip_with(merged, reach, lambda x, r: F.struct(x.alias("x"), r.alias("r"))), lambda p: (p["x"]["tag"] == 1) & (p["r"] < p["x"]["end"]))
+            return F.transform(kept, lambda p: p["x"]["c"])
+
+        return _let(every, cover)
+
+    return F.when((F.size(base) > 0) & (F.size(candidates) > 0), _let(F.struct(base.alias("b"), candidates.alias("c")), merge)).otherwise(candidates)
+
+
 def _tested(candidates: Column) -> Column:
-    """Candidates with encoding, length, battery p-value and level of evidence against ordinary text."""
+    """Candidates with encoding, length, and levels of evidence against ordinary text and against randomness (the battery's)."""
     bare = F.transform(candidates, lambda c: F.struct(c["start"], c["end"], F.rtrim(c["s"], F.lit("=")).alias("s")))
 
     def encode(c: Column) -> Column:
@@ -124,10 +164,11 @@ def _tested(candidates: Column) -> Column:
         text_mean = k * (1 + (n - 1) * TEXT_SQUARES) - n
         text_var = F.pow(k / n, F.lit(2)) * (2 * n * (n - 1) * (TEXT_SQUARES - TEXT_SQUARES**2) + 4 * n * (n - 1) * (n - 2) * (TEXT_CUBES - TEXT_SQUARES**2))
         p_text = _upper_tail((text_mean - chi) / F.sqrt(text_var))
-        evidence = -F.log10(F.greatest(p_text, F.lit(1e-40))) - n * F.log10(c["inside"])
-        level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(LEVELS / 10), evidence)) * 10).cast("int")
+        of = lambda evidence: F.floor(F.greatest(F.lit(0.0), F.least(F.lit(LEVELS / 10), evidence)) * 10).cast("int")
+        level = of(-F.log10(F.greatest(p_text, F.lit(1e-40))) - n * F.log10(c["inside"]))
+        battery = of(-F.log10(F.greatest(F.least(F.lit(1.0), 6 * least), F.lit(1e-40))))
         length_class = F.least(F.floor(F.log2(n / LEAST_LENGTH) * 2), F.lit(7)).cast("int")
-        return F.struct(c["start"], c["end"], c["e"].alias("encoding"), length_class.alias("length_class"), F.least(F.lit(1.0), 6 * least).alias("p_random"), level.alias("level"))
+        return F.struct(c["start"], c["end"], c["e"].alias("encoding"), length_class.alias("length_class"), level.alias("level"), battery.alias("battery"))
 
     out = bare
     for step in (encode, measure, count, sums, test):
@@ -135,45 +176,49 @@ def _tested(candidates: Column) -> Column:
     return out
 
 
-def _thresholds(scanned: DataFrame, rate: float) -> dict[tuple[int, int], int]:
-    """For each class of encoding and length the least level that Benjamini-Hochberg accepts; at most 24 classes of 401 levels."""
-    one = scanned.select(F.explode("candidates").alias("c")).groupBy("c.encoding", "c.length_class", "c.level").count()
-    counts: dict[tuple[int, int], dict[int, int]] = {}
+def _thresholds(scanned: DataFrame, rate: float) -> dict[tuple[str, int, int], int]:
+    """For each hypothesis and class of encoding and length the least level that Benjamini-Hochberg rejects; at most 48 classes of 401 levels."""
+    both = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"c.{kind}").alias("level")) for kind in ("level", "battery")])).alias("e")
+    one = scanned.select(F.explode("candidates").alias("c")).select("c.encoding", "c.length_class", both).groupBy("e.kind", "encoding", "length_class", "e.level").count()
+    counts: dict[tuple[str, int, int], dict[int, int]] = {}
     for r in one.collect():
-        counts.setdefault((r["encoding"], r["length_class"]), {})[r["level"]] = r["count"]
-    out = {}
-    for key, levels in counts.items():
-        total, reached = sum(levels.values()), 0
-        for level in sorted(levels, reverse=True):
-            reached += levels[level]
-            if 10 ** (-level / 10) * total <= rate * reached:
-                out[key] = level
+        counts.setdefault((r["kind"], r["encoding"], r["length_class"]), {})[r["level"]] = r["count"]
+    return {key: least for key, levels in counts.items() if (least := rejected(levels, rate)) is not None}
+
+
+def rejected(levels: dict[int, int], rate: float) -> int | None:
+    """The least level at which the expected share of false rejections is at most ``rate``, from the numbers at each level."""
+    total, reached, out = sum(levels.values()), 0, None
+    for level in sorted(levels, reverse=True):
+        reached += levels[level]
+        if 10 ** (-level / 10) * total <= rate * reached:
+            out = level
     return out
 
 
-def scan_secrets(docs: DataFrame, rate: float = 0.01, least_p: float = 0.001, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, rate: float = 0.01, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random and found.
 
     found is the array of all spans (start, kind number, kind, end) by start,
     then kind; spans joins them as kind:start:end. Positions count code
     points. Random spans that lie inside a base span are left out. rate: the
-    false-discovery rate; least_p: the battery's level. A null or empty text
-    has no spans. Repeated rows stay, null ids stay null; other columns are
+    false-discovery rate of both hypotheses. A null or empty text has no
+    spans. Repeated rows stay, null ids stay null; other columns are
     not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
-    return _scanned(rows, ["doc_id"], rate, least_p)
+    return _scanned(rows, "doc_id", rate)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01, least_p: float = 0.001, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01, text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
     """All rows and columns, with each found span (overlapping ones as one) replaced by ``mark``.
 
     Where the text changes, the length column follows if there is one; all
     else stays as it is, null texts included.
     """
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
-    rows = _scanned(rows, ["_row", "_text"], rate, least_p)
-    text = F.col("_text")
+    rows = _scanned(rows, "_row", rate)
+    text = F.coalesce(F.col("_row")[text_column], F.lit(""))
 
     def step(acc: Column, s: Column) -> Column:
         """Copy what lies before the span; a span that begins inside the last one adds nothing but its end."""
@@ -196,17 +241,17 @@ def redact(docs: DataFrame, mark: str = "[secret]", rate: float = 0.01, least_p:
     return rows.select(*columns)
 
 
-def _scanned(rows: DataFrame, carry: list[str], rate: float, least_p: float) -> DataFrame:
-    """Scan the column _text; the carried columns come first in the result."""
+def _scanned(rows: DataFrame, carry: str, rate: float) -> DataFrame:
+    """Scan the column _text; the carried column comes first in the result."""
     rows = _spans(rows, "assign", ASSIGN, lambda s: F.length(F.regexp_extract(s["s"], f"^{ASSIGN}$", 1)) >= 8)
     rows = _spans(rows, "access", ACCESS, lambda s: s["end"] - s["start"] >= 16)
     rows = _spans(rows, "hex", HEX)
     rows = _spans(rows, "_runs", CANDIDATE)
     base = F.concat(*[_named(F.col(kind), k) for k, kind in enumerate(KINDS[:3])])
     counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
-    rows = rows.select(*carry, *counts, F.array_sort(base).alias("base"), _tested(F.col("_runs")).alias("candidates"))
+    rows = rows.select(carry, *counts, F.array_sort(base).alias("base"), _tested(F.col("_runs")).cast(f"array<{_CANDIDATE_TYPE}>").alias("candidates"))
     rows = saved(rows, "secrets")
-    return _with_found(rows, _rule(rows, rate), least_p, carry)
+    return _with_found(rows, _rule(rows, rate), carry)
 
 
 def _named(spans: Column, k: int) -> Column:
@@ -218,16 +263,19 @@ def _rule(rows: DataFrame, rate: float):
     limits = _thresholds(rows, rate)
 
     def passed(c: Column) -> Column:
-        out = F.lit(False)
-        for (encoding, length_class), level in sorted(limits.items()):
-            out = F.when((c["encoding"] == encoding) & (c["length_class"] == length_class), c["level"] >= level).otherwise(out)
-        return out
+        def reaches(kind: str) -> Column:
+            out = F.lit(False)
+            for (k, encoding, length_class), level in sorted(limits.items()):
+                if k == kind:
+                    out = F.when((c["encoding"] == encoding) & (c["length_class"] == length_class), c[kind] >= level).otherwise(out)
+            return out
+
+        return reaches("level") & ~reaches("battery")
 
     return passed
 
 
-def _with_found(rows: DataFrame, passed, least_p: float, carry: list[str]) -> DataFrame:
-    kept = F.filter("candidates", lambda c: passed(c) & (c["p_random"] >= least_p) & ~F.exists("base", lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"])))
+def _with_found(rows: DataFrame, passed, carry: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    rows = rows.withColumn("_kept", kept).withColumn("found", F.array_sort(F.concat("base", _named(F.col("_kept"), 3))))
-    return rows.select(*carry, *[f"n_{kind}" for kind in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size("_kept").cast("long").alias("n_random"), "found")
+    rows = rows.withColumn("_kept", _outside(F.col("base"), F.filter("candidates", passed))).withColumn("found", F.array_sort(F.concat("base", _named(F.col("_kept"), 3))))
+    return rows.select(carry, *[f"n_{kind}" for kind in KINDS[:3]], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.size("_kept").cast("long").alias("n_random"), "found")

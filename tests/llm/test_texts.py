@@ -1,9 +1,11 @@
 """Operators on single texts: hashes, licences, secrets, tokens, packing, files."""
 
 import hashlib
+import math
 import re
+import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +123,8 @@ def test_secrets(spark):
 
 
 def test_redaction(spark):
+    clashing = docs(spark, SECRETS).selectExpr("*", "doc_id as base", "text as found", "1 as _row", "2 as candidates")
+    assert secrets.redact(clashing).columns == clashing.columns and secrets.redact(clashing).where("found is not null").count() == len(SECRETS) - 1
     rows = {r["doc_id"]: r for r in secrets.redact(docs(spark, SECRETS)).collect()}
     assert secrets.redact(docs(spark, SECRETS)).columns == [c.split()[0] for c in SCHEMA.split(", ")]
     assert rows[11]["text"] == "[secret] [secret]" and rows[11]["n_chars"] == 17
@@ -138,6 +142,86 @@ def test_random_keys_are_found_and_words_are_not(spark):
     assert sum(r["n_random"] for r in out[:60]) >= 54 and sum(r["n_random"] for r in out[60:]) <= 3
 
 
+def brute_random(texts, rate=0.01):
+    """Spans of the battery by plain Python: tests, levels and the procedure of Benjamini and Hochberg for both hypotheses."""
+
+    def tail(z):
+        t = math.exp(-z * z / 2) / (1.64 * abs(z) + math.sqrt(0.76 * z * z + 4))
+        return t if z >= 0 else 1 - t
+
+    def level(evidence):
+        return math.floor(max(0.0, min(40.0, evidence)) * 10)
+
+    rows = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            x = m[0].rstrip("=")
+            if len(x) < 20:
+                continue
+            if re.fullmatch("[0-9a-f]+|[0-9A-F]+", x):
+                e, x, alphabet, inside = 0, x.lower(), "0123456789abcdef", 0.35
+            else:
+                e, alphabet, inside = (1, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.0) if re.fullmatch("[A-Z2-7]+", x) else (2, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 1.0)
+                x = x.replace("-", "+").replace("_", "/")
+            n, k, at = len(x), len(alphabet), [alphabet.index(c) + 1 for c in x]
+            chi = k * sum(c * c for c in Counter(x).values()) / n - n
+            z1 = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+            high = sum(a > k / 2 for a in at)
+            runs = 1 + sum((a > k / 2) != (b > k / 2) for a, b in zip(at, at[1:]))
+            mu = 2 * high * (n - high) / n + 1
+            var = (mu - 1) * (mu - 2) / (n - 1)
+            z2 = (runs - mu) / math.sqrt(var) if var > 0 else 99.0
+            mean = sum(at) / n
+            around = sum((a - mean) ** 2 for a in at)
+            z3 = (sum((a - mean) * (b - mean) for a, b in zip(at, at[1:])) / around + 1 / n) * math.sqrt(n) if around > 1e-9 else 99.0
+            p_random = min(1.0, 6 * min(tail(abs(z)) for z in (z1, z2, z3)))
+            q, c = 0.065, 0.0058
+            spread = (k / n) ** 2 * (2 * n * (n - 1) * (q - q * q) + 4 * n * (n - 1) * (n - 2) * (c - q * q))
+            p_text = tail((k * (1 + (n - 1) * q) - n - chi) / math.sqrt(spread))
+            rows.append((i, m.start(), m.end(), (e, min(math.floor(math.log2(n / 20) * 2), 7)), level(-math.log10(max(p_text, 1e-40)) - n * math.log10(inside)), level(-math.log10(max(p_random, 1e-40)))))
+
+    def limits(which):
+        out = {}
+        for group in {r[3] for r in rows}:
+            found = sorted((r[which] for r in rows if r[3] == group), reverse=True)
+            for j, v in enumerate(found):
+                if j + 1 == len(found) or found[j + 1] != v:
+                    if 10 ** (-v / 10) * len(found) <= rate * (j + 1):
+                        out[group] = v
+        return out
+
+    text_limit, random_limit = limits(4), limits(5)
+    kept = [r for r in rows if r[4] >= text_limit.get(r[3], 10**6) and r[5] < random_limit.get(r[3], 10**6)]
+    return {i: [(a, b) for j, a, b, *_ in kept if j == i and not any(s <= a and b <= e for s, _, _, e in brute_spans(texts[i]))] for i in range(len(texts))}
+
+
+def test_random_spans_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    base64 = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    syllables = np.array("tion ing ed er the and re hea st ou ly ble on an is at".split())
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(int(rng.integers(0, 6))):
+            kind, n = rng.integers(5), int(rng.integers(18, 90))
+            parts.append("".join({0: rng.choice(base64, n), 1: rng.choice(list("0123456789abcdef"), n), 2: rng.choice(syllables, n // 3), 3: rng.choice(base64[:32], n), 4: np.tile(rng.choice(base64, 5), n // 5 + 1)}[int(kind)]) + "=" * int(rng.integers(0, 3)))
+        texts.append(" é ".join(["token=" + p if rng.random() < 0.2 else p for p in parts]))
+    want = brute_random(texts)
+    for r in secrets.scan_secrets(docs(spark, texts)).collect():
+        got = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("random")]
+        assert got == sorted(want[r["doc_id"]]) and r["n_random"] == len(got)
+    assert sum(map(len, want.values())) > 40
+
+
+def test_many_matches_in_one_text(spark):
+    began = time.time()
+    text = "token=abcdefgh1234 " * 100_000
+    r = secrets.scan_secrets(docs(spark, [text])).first()
+    assert r["n_assign"] == 100_000 and time.time() - began < 90
+    want = ",".join(f"assign:{19 * i}:{19 * i + 18}" for i in range(100_000))
+    assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+
+
 # --- tokens, packing, files
 
 
