@@ -1,9 +1,12 @@
 """License scans: one Aho-Corasick pass for tags and phrases, and licence expressions.
 
 A text is brought to its words (one pass over its bytes), and an automaton
-over them finds all notice phrases and the identifier tag at once. Behind a
-tag, a shunting-yard parser reads the expression with AND, OR, WITH and
-brackets; operators bind as WITH, then AND, then OR.
+over them finds all notice phrases and the identifier tag at once. Where there
+is a tag, an automaton over the bytes gives its places. Behind a tag, a
+shunting-yard parser reads the expression with AND, OR, WITH and brackets;
+operators bind as WITH, then AND, then OR. Only known identifiers are
+operands. An expression is evaluated to the terms it sets: of both sides of
+AND the stricter, of OR the milder ones.
 """
 
 from __future__ import annotations
@@ -19,38 +22,83 @@ from pyspark.sql import functions as F
 
 from millrace.llm.base import narrow_batches, slices
 
-SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string"
+SCAN = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, terms string"
 
 #: Base phrases and their labels: fixed values.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Further notice phrases with label and weight: fixed values, longer and more telling texts weigh more.
+#: Opening, closing and naming phrases of common licence texts, with label and weight: fixed values, more telling ones weigh more.
 NOTICE_PHRASES = {
-    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 0.9),
-    "licensed under the mit license": ("mit", 0.9),
-    "licensed under the apache license version 2 0": ("apache", 0.95),
-    "redistribution and use in source and binary forms": ("bsd", 0.9),
+    "affero general public license": ("agpl", 0.8),
+    "all rights reserved": ("proprietary", 0.3),
+    "altered source versions must be plainly marked as such and must not be misrepresented as being the original software": ("zlib", 0.95),
+    "anyone is free to copy modify publish use compile sell or distribute this software": ("unlicense", 0.9),
+    "artistic license 2 0": ("artistic", 0.9),
+    "boost software license version 1 0": ("bsl", 0.95),
     "bsd license": ("bsd", 0.6),
-    "mozilla public license": ("mpl", 0.7),
+    "bsd 2 clause": ("bsd", 0.8),
+    "bsd 3 clause": ("bsd", 0.8),
+    "cc0 1 0 universal": ("cc", 0.95),
+    "common development and distribution license": ("cddl", 0.9),
+    "creative commons": ("cc", 0.5),
+    "creative commons attribution": ("cc", 0.8),
+    "do what the fuck you want to public license": ("wtfpl", 0.95),
     "eclipse public license": ("epl", 0.7),
-    "lesser general public license": ("lgpl", 0.8),
-    "affero general public license": ("agpl", 0.8),
+    "european union public licence": ("eupl", 0.9),
+    "everyone is permitted to copy and distribute verbatim copies of this license document": ("gpl", 0.8),
+    "gnu free documentation license": ("gfdl", 0.9),
     "gnu general public license": ("gpl", 0.8),
-    "creative commons": ("cc", 0.5),
+    "lesser general public license": ("lgpl", 0.8),
+    "licensed under the apache license version 2 0": ("apache", 0.95),
+    "licensed under the mit license": ("mit", 0.9),
+    "mozilla public license": ("mpl", 0.7),
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products": ("bsd", 0.95),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 0.9),
     "permission to use copy modify and or distribute this software": ("isc", 0.9),
+    "python software foundation license": ("psf", 0.9),
+    "redistribution and use in source and binary forms": ("bsd", 0.9),
+    "redistributions of source code must retain the above copyright notice": ("bsd", 0.7),
+    "server side public license": ("sspl", 0.9),
+    "sil open font license": ("ofl", 0.9),
+    "terms and conditions for use reproduction and distribution": ("apache", 0.7),
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": ("mit", 0.9),
+    "the postgresql license": ("postgresql", 0.9),
     "this is free and unencumbered software released into the public domain": ("unlicense", 0.95),
-    "all rights reserved": ("proprietary", 0.3),
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": ("lgpl", 0.95),
+    "this program and the accompanying materials are made available under the terms of the eclipse public license": ("epl", 0.95),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": ("gpl", 0.95),
+    "this source code form is subject to the terms of the mozilla public license": ("mpl", 0.95),
+    "this work is licensed under a creative commons": ("cc", 0.9),
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis": ("apache", 0.8),
 }
 BASE_WEIGHT, TAG_WEIGHT = 0.6, 1.0
 TAG = "spdx license identifier"
-
-#: Identifier prefixes and their labels, tried in this order: fixed values.
-FAMILIES = {
-    "apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "gpl": "gpl", "mit": "mit", "bsd": "bsd", "mpl": "mpl",
-    "epl": "epl", "cc": "cc", "isc": "isc", "unlicense": "unlicense", "zlib": "zlib",
+_TAG_BYTES = "spdx-license-identifier:"
+
+#: Identifiers of each label, as patterns over the public list's names without regard to case: fixed values.
+IDENTIFIERS = {
+    "afl": r"AFL-[123]\.[0-2]", "agpl": r"AGPL-[13]\.0(-only|-or-later|\+)?", "apache": r"Apache-(1\.[01]|2\.0)", "apsl": r"APSL-(1\.[0-2]|2\.0)", "artistic": r"Artistic-(1\.0(-cl8|-Perl)?|2\.0)",
+    "blueoak": r"BlueOak-1\.0\.0", "bsd": r"0BSD|BSD-[1-4]-Clause(-[A-Za-z]+)*|BSD-Protection|BSD-Source-Code", "bsl": r"BSL-1\.0", "cc": r"CC-BY(-NC)?(-SA|-ND)?-[1-4]\.[05]|CC0-1\.0|CC-PDDC", "cddl": r"CDDL-1\.[01]",
+    "cecill": r"CECILL-(1\.[01]|2\.[01]|B|C)", "cpl": r"CPL-1\.0", "curl": r"curl", "ecl": r"ECL-[12]\.0", "epl": r"EPL-[12]\.0", "eupl": r"EUPL-1\.[012]", "gfdl": r"GFDL-1\.[123](-no-invariants|-invariants)?(-only|-or-later)?",
+    "gpl": r"GPL-[123]\.0(-only|-or-later|\+)?", "ijg": r"IJG", "ipl": r"IPL-1\.0", "isc": r"ISC", "lgpl": r"LGPL-(2\.[01]|3\.0)(-only|-or-later|\+)?", "libpng": r"Libpng|libpng-2\.0", "lppl": r"LPPL-1\.(0|1|2|3a|3c)",
+    "mit": r"MIT(-0|-CMU|-Modern-Variant|-advertising|-enna|-feh)?", "mpl": r"MPL-(1\.[01]|2\.0(-no-copyleft-exception)?)", "ms": r"MS-(PL|RL)", "ncsa": r"NCSA", "odbl": r"ODbL-1\.0", "ofl": r"OFL-1\.[01]",
+    "openssl": r"OpenSSL", "osl": r"OSL-[123]\.[01]", "php": r"PHP-3\.0?1?", "postgresql": r"PostgreSQL", "psf": r"PSF-2\.0|Python-2\.0(\.1)?", "qpl": r"QPL-1\.0", "ruby": r"Ruby", "sleepycat": r"Sleepycat", "sspl": r"SSPL-1\.0",
+    "unicode": r"Unicode-(3\.0|DFS-201[56]|TOU)", "unlicense": r"Unlicense", "upl": r"UPL-1\.0", "vim": r"Vim", "w3c": r"W3C(-1998[0-9]*)?", "wtfpl": r"WTFPL", "x11": r"X11", "zlib": r"Zlib|zlib-acknowledgement", "zpl": r"ZPL-(1\.1|2\.[01])",
+    "custom": r"LicenseRef-[A-Za-z0-9.-]+",
+}
+#: Exceptions that may stand behind WITH, as a pattern: fixed values.
+EXCEPTIONS = r"[A-Za-z0-9.+-]+-(exception|Exception|interface)(-[0-9A-Za-z.+-]+)?|Linux-syscall-note|LLVM-exception|OCCT-exception-1\.0"
+#: Terms from the mildest to the strictest, and the labels that set them; all other labels are unknown.
+TERMS = ("permissive", "weak copyleft", "strong copyleft", "restricted", "unknown")
+LABEL_TERMS = {
+    **dict.fromkeys("afl apache artistic blueoak bsd bsl curl ecl ijg isc libpng lppl mit ncsa openssl php postgresql psf ruby unicode unlicense upl vim w3c wtfpl x11 zlib zpl ofl".split(), 0),
+    **dict.fromkeys("apsl cddl cpl epl eupl ipl lgpl mpl ms".split(), 1),
+    **dict.fromkeys("agpl cecill gfdl gpl odbl osl qpl sleepycat".split(), 2),
+    **dict.fromkeys("sspl proprietary".split(), 3),
 }
 
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.ASCII | re.IGNORECASE)
+_KNOWN = re.compile("|".join(f"(?P<{label}>{pattern})" for label, pattern in IDENTIFIERS.items()), re.ASCII | re.IGNORECASE)
+_EXCEPTION = re.compile(EXCEPTIONS, re.ASCII | re.IGNORECASE)
 _PART = re.compile(r"\(|\)|[A-Za-z0-9.+_:-]+")
 
 #: Bytes of words keep, with A-Z lowered; all others become a space.
@@ -74,6 +122,25 @@ def automaton():
     return a
 
 
+@functools.lru_cache(maxsize=1)
+def tags():
+    """The tag as it stands in a text, A-Z lowered."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    a.add_word(_TAG_BYTES, 0)
+    a.make_automaton()
+    return a
+
+
+def tagged_lines(text: str) -> Iterator[str]:
+    """What follows each tag on its line."""
+    data = text.encode("utf-8", "surrogatepass")
+    for end, _ in tags().iter(data.lower().decode("latin-1")):  # bytes.lower() touches A-Z only
+        stop = min((at for at in (data.find(b"\n", end), data.find(b"\r", end)) if at >= 0), default=len(data))
+        yield data[end + 1 : stop].decode("utf-8", "replace")
+
+
 @dataclass
 class Scan:
     """What one text shows."""
@@ -83,14 +150,20 @@ class Scan:
     labels: set[str] = field(default_factory=set)
     expressions: list[str] = field(default_factory=list)
     doubt: float = 1.0
+    strictest: int = -1
 
     @property
     def score(self) -> float:
         return round(1 - self.doubt, 6)
 
+    @property
+    def terms(self) -> str:
+        return TERMS[self.strictest] if self.strictest >= 0 else ""
+
     def see(self, label: str, weight: float) -> None:
         self.labels.add(label)
         self.doubt *= 1 - weight
+        self.strictest = max(self.strictest, LABEL_TERMS.get(label, len(TERMS) - 1))
 
 
 def scan_text(text: str | None) -> Scan:
@@ -116,13 +189,16 @@ def scan_text(text: str | None) -> Scan:
             out.see(BASE_PHRASES[phrase], BASE_WEIGHT)
         if phrase in NOTICE_PHRASES:
             out.see(*NOTICE_PHRASES[phrase])
+    strictest = out.strictest
     if tagged:
-        for m in _TAG.finditer(text):
-            tree = parse_expression(m[1])
+        for line in tagged_lines(text):
+            tree = parse_expression(line)
             if tree is not None:
                 out.expressions.append(show(tree))
                 for label in families(tree):
                     out.see(label, TAG_WEIGHT)
+                strictest = max(strictest, evaluated(tree))  # an expression sets its own terms, not those of each label
+    out.strictest = strictest
     return out
 
 
@@ -131,20 +207,31 @@ def scan_text(text: str | None) -> Scan:
 _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
 
 
+def label_of(identifier: str) -> str | None:
+    """The label of a known identifier."""
+    m = _KNOWN.fullmatch(identifier)
+    return m.lastgroup if m else None
+
+
 def parse_expression(text: str):
     """The longest well-formed expression at the start of ``text``, as nested (operator, left, right) or an identifier; None if there is none.
 
     Shunting yard: identifiers go to the output, operators wait on a stack
-    until one that binds less or a bracket comes. Words of a sentence that
-    follows the expression end it.
+    until one that binds less or a bracket comes. A word that is no known
+    identifier (behind WITH: no exception) ends the expression.
     """
-    parts, depth, whole, operand_next = _PART.findall(text), 0, 0, True
+    parts, depth, whole, operand_next, last = _PART.findall(text), 0, 0, True, ""
     for i, part in enumerate(parts):  # one pass finds where the last complete expression ends
         joins, closes = part.upper() in _BINDS, part == ")"
         if operand_next == (joins or closes) or closes and not depth:
             break
+        if part.upper() == "WITH" and not label_of(parts[i - 1]):  # it stands behind an identifier only
+            break
+        if last == "WITH" and not _EXCEPTION.fullmatch(part) or last != "WITH" and not joins and part not in "()" and not label_of(part):
+            break
         depth += (part == "(") - closes
         operand_next = joins or part == "("
+        last = part.upper()
         if not operand_next and not depth:
             whole = i + 1
     return _yard(parts[:whole]) if whole else None
@@ -199,17 +286,26 @@ def show(tree) -> str:
 
 
 def families(tree) -> set[str]:
-    """Labels of the licences in an expression; an exception behind WITH is none."""
+    """Labels of the known licences in an expression; an exception behind WITH is none."""
     if isinstance(tree, str):
-        low = tree.lower().removeprefix("licenseref-")
-        return {next((label for prefix, label in FAMILIES.items() if low.startswith(prefix)), low)}
+        return {label} if (label := label_of(tree)) else set()
     return families(tree[1]) | (set() if tree[0] == "WITH" else families(tree[2]))
 
 
+def evaluated(tree) -> int:
+    """The terms that an expression sets, as a place in TERMS: of AND the stricter, of OR the milder side; an exception weakens strong copyleft."""
+    if isinstance(tree, str):
+        return LABEL_TERMS.get(label_of(tree), len(TERMS) - 1)
+    if tree[0] == "WITH":
+        left = evaluated(tree[1])
+        return 1 if left == 2 else left
+    return (max if tree[0] == "AND" else min)(evaluated(tree[1]), evaluated(tree[2]))
+
+
 def allowed(tree, accepted: set[str]) -> bool:
     """Whether the expression can be met with the accepted labels: both sides of AND, either side of OR."""
     if isinstance(tree, str):
-        return families(tree) <= accepted
+        return label_of(tree) in accepted
     if tree[0] == "WITH":
         return allowed(tree[1], accepted)
     sides = (allowed(tree[1], accepted), allowed(tree[2], accepted))
@@ -222,7 +318,8 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     n_base counts the places of base phrases, first_word and last_word are
     their smallest and largest start; labels holds base_labels and what
     notices and expressions add; score is 1 less the product of the doubts
-    that the findings leave. A null or empty text has no words, no labels
+    that the findings leave; terms are the strictest that a phrase or an
+    expression sets (empty without any). A null or empty text has no words, no labels
     (empty strings) and score 0. Repeated rows stay, a null id stays null,
     other columns are not read. Nothing is shuffled.
     """
@@ -233,8 +330,8 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = scan_text(text)
                 at = [w for w, _ in s.base]
-                rows.append((doc_id, s.n_words, len(at), min(at, default=None), max(at, default=None), ",".join(sorted({BASE_PHRASES[p] for _, p in s.base})), ",".join(sorted(s.labels)), s.score, "; ".join(s.expressions)))
-            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+                rows.append((doc_id, s.n_words, len(at), min(at, default=None), max(at, default=None), ",".join(sorted({BASE_PHRASES[p] for _, p in s.base})), ",".join(sorted(s.labels)), s.score, "; ".join(s.expressions), s.terms))
+            types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.string(), pa.string()]
             names = [c.split()[0] for c in SCAN.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 

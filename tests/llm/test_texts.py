@@ -83,7 +83,8 @@ def test_expressions():
     p = licenses.parse_expression
     assert p("MIT OR Apache-2.0 AND GPL-2.0-only WITH Classpath-exception-2.0") == ("OR", "MIT", ("AND", "Apache-2.0", ("WITH", "GPL-2.0-only", "Classpath-exception-2.0")))
     assert p("(MIT OR ISC) AND BSD-3-Clause") == ("AND", ("OR", "MIT", "ISC"), "BSD-3-Clause")
-    assert p("MIT and then some words") == ("AND", "MIT", "then") and p("MIT */ text") == "MIT"
+    assert p("MIT and then some words") == "MIT" and p("MIT */ text") == "MIT" and p("then MIT") is None
+    assert p("GPL-2.0-only WITH MIT") == "GPL-2.0-only" and p("Made-Up-1.0") is None
     assert p("AND MIT") is None and p("") is None and p("(MIT") is None
     tree = p("GPL-3.0 OR MIT")
     assert licenses.families(tree) == {"gpl", "mit"} and licenses.allowed(tree, {"mit"}) and not licenses.allowed(p("GPL-3.0 AND MIT"), {"mit"})
@@ -91,6 +92,71 @@ def test_expressions():
     assert s.labels == {"apache", "mpl"} and s.expressions == ["(Apache-2.0 OR MPL-2.0)"] and s.score == 1.0
 
 
+def brute_licenses(text):
+    """Labels, score and terms by word lists and a recursive-descent reading of expressions."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    phrases = {**{p: (label, 0.6) for p, label in licenses.BASE_PHRASES.items()}, **licenses.NOTICE_PHRASES}
+    held = [x for p, x in phrases.items() if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))]
+    strict = [licenses.LABEL_TERMS.get(label, 4) for label, _ in held]
+    doubt, labels = math.prod([1 - x for _, x in held], start=1.0), {label for label, _ in held}
+    known = lambda x: next((k for k, v in licenses.IDENTIFIERS.items() if re.fullmatch(v, x, re.I)), None)
+
+    def either(parts, i):
+        terms, found, i = both(parts, i)
+        while i < len(parts) and parts[i].upper() == "OR":
+            t, f, j = both(parts, i + 1)
+            if t is None:
+                break
+            terms, found, i = min(terms, t), found | f, j
+        return terms, found, i
+
+    def both(parts, i):
+        terms, found, i = one(parts, i)
+        while terms is not None and i < len(parts) and parts[i].upper() == "AND":
+            t, f, j = one(parts, i + 1)
+            if t is None:
+                break
+            terms, found, i = max(terms, t), found | f, j
+        return terms, found, i
+
+    def one(parts, i):
+        if i < len(parts) and parts[i] == "(":
+            t, f, j = either(parts, i + 1)
+            return (t, f, j + 1) if t is not None and j < len(parts) and parts[j] == ")" else (None, set(), i)
+        if i < len(parts) and (label := known(parts[i])):
+            t = licenses.LABEL_TERMS.get(label, 4)
+            if i + 2 < len(parts) + 0 and parts[i + 1].upper() == "WITH" and re.fullmatch(licenses.EXCEPTIONS, parts[i + 2], re.I):
+                return (1 if t == 2 else t), {label}, i + 3
+            return t, {label}, i + 1
+        return None, set(), i
+
+    for m in re.finditer(r"spdx-license-identifier:([^\r\n]*)", text or "", re.I | re.A):
+        t, f, _ = either(re.findall(r"[()]|[A-Za-z0-9.+_:-]+", m[1]), 0)
+        if t is not None:
+            strict.append(t)
+            labels |= f
+            doubt = 0.0
+    return ",".join(sorted(labels)), round(1 - doubt, 6), licenses.TERMS[max(strict)] if strict else ""
+
+
+def test_license_labels_match_brute_force(spark):
+    rng = np.random.default_rng(4)
+    ids = "MIT GPL-2.0-only GPL-3.0-or-later Apache-2.0 BSD-3-Clause LGPL-2.1 MPL-2.0 CC-BY-SA-4.0 LicenseRef-own Made-Up then".split()
+    phrases = [*licenses.BASE_PHRASES, *licenses.NOTICE_PHRASES]
+    texts = list(TEXTS)
+    for _ in range(150):
+        parts = [str(rng.choice(["x", "é", "The", str(rng.choice(phrases)).title()])) for _ in range(int(rng.integers(0, 6)))]
+        if rng.random() < 0.6:
+            expression = str(rng.choice(ids))
+            for _ in range(int(rng.integers(0, 4))):
+                expression = f"({expression})" if rng.random() < 0.3 else expression
+                expression += f" {rng.choice(['AND', 'or', 'OR', 'WITH'])} {rng.choice(ids + ['Classpath-exception-2.0'])}"
+            parts.append(f"\n// SPDX-License-Identifier: {expression}\nmore")
+        texts.append(" ".join(parts))
+    for r, t in zip(licenses.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect(), texts, strict=True):
+        assert (r["labels"], r["score"], r["terms"]) == brute_licenses(t), t
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
