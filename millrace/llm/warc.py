@@ -28,6 +28,9 @@ from millrace.llm.base import fresh_dir, narrow_batches, saved
 
 SCHEMA = "record_type string, record_id string, target_uri string, page_id long, refers_to long, payload_digest string, payload_bytes long, payload binary"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+_TYPES = {c.split()[0]: {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]] for c in SCHEMA.split(", ")}
+#: Payload bytes of a batch of records, about.
+_BATCH_BYTES = 4 << 20
 _NAMESPACE = uuid.UUID("6f0f7b5c-2c57-4f0e-9a3b-0d3f6d1f2f10")
 #: Payloads of fewer bytes are always stored in full.
 LEAST_REVISIT = 1000
@@ -39,21 +42,26 @@ _CHUNK = 1 << 18
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_REVISIT) -> DataFrame:
-    """Pages (page_id, url, html) with payload_digest, payload_bytes, record_type and refers_to.
+    """Pages (page_id, url, html; null of revisits) with payload_digest, payload_bytes, record_type and refers_to.
 
     Of the pages with equal payloads of ``least_bytes`` or more, the one with
     the largest page_id is the response and the others revisit it (rows that
     repeat that id are responses too). A null html is an empty payload. A null
     page_id is smaller than any other; where all are null, all are responses.
-    The largest id of each digest is found by partial sums over ids and
-    digests only; the payloads move once, for the join.
+    The largest id of each digest is found by partial sums, and which pages
+    revisit it by a join of ids and digests only. Payloads move once, to that
+    result, by page and digest: a payload with many copies is spread over
+    their pages. Rows without an id are spread by their url.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     rows = rows.withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    first = rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(first, "payload_digest", "left")
-    again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return joined.select("page_id", "url", "html", "payload_digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"))
+    rows = rows.withColumn("_place", F.coalesce("page_id", F.xxhash64("url"))).withColumn("_none", F.col("page_id").isNull())
+    ids = rows.where(F.col("payload_bytes") >= least_bytes).select("page_id", "payload_digest", "_place", "_none")
+    first = ids.groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null").drop("_n")
+    again = ids.join(first, "payload_digest").where("_none or page_id != _first").select("payload_digest", "_place", "_none", "_first").distinct()
+    joined = rows.join(again, ["payload_digest", "_place", "_none"], "left")
+    visited = F.col("_first").isNotNull()
+    return joined.select("page_id", "url", F.when(~visited, F.col("html")).alias("html"), "payload_digest", "payload_bytes", F.when(visited, "revisit").otherwise("response").alias("record_type"), F.col("_first").alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, compress: bool = True, date: datetime.datetime | None = None) -> DataFrame:
@@ -86,10 +94,9 @@ def write_warc(pages: DataFrame, path: str, compress: bool = True, date: datetim
 
 
 def _record(row: dict, when: str) -> bytes:
-    payload = row["html"].encode()
-    revisit = row["record_type"] == "revisit"
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (b"" if revisit else payload)
+    revisit, payload = row["record_type"] == "revisit", (row["html"] or "").encode()
+    size = row["payload_bytes"] if revisit else len(payload)
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
     head = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_record_id(row['page_id'])}", f"WARC-Date: {when}"]
     if row["url"] is not None:
         head.append(f"WARC-Target-URI: {_one_line(row['url'])}")
@@ -182,13 +189,24 @@ class WarcReader(DataSourceReader):
             room -= i.size
         return [Files(g) for g in groups] or [Files([])]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
         for path in partition.paths:
             for head, block in records(path):
                 row = _head_row(head)
                 if all(_passes(row[c], how, what) for c, how, what in self.tests):
                     _block_row(row, head, block, self.payload)
-                    yield tuple(row[c] for c in self.columns)
+                    held.append(row)
+                    size += len(row["payload"] or b"")
+                    if len(held) == 1024 or size >= _BATCH_BYTES:
+                        yield self._batch(held)
+                        held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    def _batch(self, rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], _TYPES[c]) for c in self.columns], names=self.columns)
 
 
 def _passes(value: object, how: str, what: object) -> bool:
@@ -311,7 +329,7 @@ def _chain(first: dict, rest: Iterator[dict]) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, partition_bytes: int = 64 << 20) -> DataFrame:
-    """The records below ``path``; registers the source and lets filters reach it."""
+    """The records below ``path``; registers the source and sets the session to let filters reach Python data sources, as plans are made later."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).option("partitionBytes", partition_bytes).load(path)
