@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.base import fresh_dir
+
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -38,12 +40,17 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, query_block: i
     all take part. The queries are cut into blocks of about ``query_block``
     rows by a hash of the id, and a scan of the candidates answers each
     block, so what goes to the tasks at once is bounded whatever their number.
+    Vectors whose products might leave 64 bits raise OverflowError.
     """
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-queries.count() // query_block))
+    if blocks > 1:  # written once by block, so that each block reads its own files
+        path = fresh_dir(queries.sparkSession, "queries")
+        queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("_block").parquet(path)
+        queries = queries.sparkSession.read.parquet(path)
     found = None
     for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        own = queries.where(F.col("_block") == b) if blocks > 1 else queries
         rows = own.select("vec_id", "v").collect()  # one block: about query_block rows
         hits = _scan(candidates, [r[0] for r in rows], [r[1] for r in rows], k, batch_rows)
         found = hits if found is None else found.unionByName(hits)
@@ -63,11 +70,14 @@ def _scan(candidates: DataFrame, ids: list[int], vectors: list[list[int]], k: in
         best_ids = np.zeros((len(own), 0), dtype=np.int64)
         best = np.zeros((len(own), 0), dtype=np.int64)
         worst = -(1 << 62)  # below any score, and its negative is no overflow
+        largest = int(np.abs(weights).max(initial=0)) * max(width, 1)
         terms = [(t, q := np.flatnonzero(weights[:, t]), weights[q, t]) for t in range(width)]
         for batch in batches:
             for at in range(0, batch.num_rows, batch_rows):
                 part = batch.slice(at, batch_rows)
                 doc, postings = part.column(0).to_numpy(), _columns(part.column(1), width)
+                if largest * int(np.abs(postings).max(initial=0)) >= -worst:
+                    raise OverflowError("scores might leave 64 bits")
                 scores = np.zeros((len(own), len(doc)), dtype=np.int64)
                 for t, q, w in terms:
                     docs = np.flatnonzero(postings[t])
