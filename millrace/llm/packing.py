@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.base import narrow_batches, slices
@@ -36,6 +36,10 @@ class Limits:
     loss: int = 2048
 
 
+#: Of a conversation most tokens may be prompts; a sequence takes at most three quarters of its tokens as answers.
+CONVERSATION_LIMITS = Limits(2048, 512, 1536)
+
+
 @dataclass
 class Piece:
     """Ids ``start`` to ``start + length`` of an example; ``mask`` has 1 for each id that bears loss."""
@@ -159,6 +163,10 @@ class Packer:
 
 def pack_tokens(rows: Iterator[tuple], limits: Limits, cut: bool, first_id: int) -> Iterator[tuple]:
     """Pack (doc_id, ids, mask) rows; yield a tuple of ``PIECES`` for each piece."""
+    return _placed((Piece(doc_id, 0, ids, len(ids) // 4, mask) for doc_id, ids, mask in rows), limits, first_id, cut)
+
+
+def _placed(pieces: Iterator[Piece], limits: Limits, first_id: int, cut: bool = True) -> Iterator[tuple]:
     packer, sequence = Packer(limits, cut), first_id
 
     def placed(bin_: list[Piece]) -> Iterator[tuple]:
@@ -167,8 +175,8 @@ def pack_tokens(rows: Iterator[tuple], limits: Limits, cut: bool, first_id: int)
             yield (p.doc_id, p.start, p.length, zlib.crc32(p.ids), p.total, sequence, at, p.loss, p.ids)
             at += p.length
 
-    for doc_id, ids, mask in rows:
-        for bin_ in packer.add(Piece(doc_id, 0, ids, len(ids) // 4, mask)):
+    for piece in pieces:
+        for bin_ in packer.add(piece):
             yield from placed(bin_)
             sequence += 1
     for bin_ in packer.rest():
@@ -203,31 +211,66 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
     return narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(pack, _schema(with_ids))
 
 
-def pack_conversations(conversations: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), end_id: int = 1, loss_role: str = "assistant") -> DataFrame:
+def pack_conversations(conversations: DataFrame, tokenizer: str | None = None, limits: Limits = CONVERSATION_LIMITS, end_id: int = 1, loss_role: str = "assistant", turns_at_once: int = 4096, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Pack instruction data: one example for each conversation, loss on the turns of ``loss_role`` only.
 
-    Turns follow each other by ``turn`` (ties: role, then text), each ended by
-    ``end_id``. Examples longer than a sequence are cut; conv_id stands in
-    doc_id. A conversation's turns are gathered by conv_id, so one
-    conversation must fit into a task's memory.
+    Turns follow each other by ``turn`` (null first; ties: role, then text),
+    each ended by ``end_id``; conv_id stands in doc_id. A null text is the end
+    id alone. Examples longer than a sequence are cut. Turns come to the packer
+    as a sorted stream, of which no more than a sequence is held, and a
+    conversation is spread over tasks by ranges of ``turns_at_once`` turn
+    numbers, whose places come from a table of token counts by range; pieces
+    end with a range. Turns without a conv_id are examples of their own.
+    Repeated rows stay. Other columns are not read. An empty table gives no
+    rows.
     """
-    path = tokenizer or default_tokenizer()
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("doc_id")).agg(turns.alias("turns"))
+    path, end = tokenizer or default_tokenizer(), np.array([end_id], dtype="<u4").tobytes()
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    part = F.coalesce(alone, F.floor(F.col("turn") / turns_at_once), F.lit(-1)).cast("long")
+    turns = narrow_batches(conversations).select(F.col("conv_id").cast("long").alias("doc_id"), part.alias("part"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, cache_units).encode
+        for batch in slices(batches, "text", 8 << 20):
+            sizes = [len(ids) // 4 + 1 for ids in encode(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "part", "tokens"])
+
+    sizes = turns.where("doc_id is not null").select("doc_id", "part", "text").mapInArrow(counted, "doc_id long, part long, tokens long").groupBy("doc_id", "part").agg(F.sum("tokens").alias("tokens"))
+    one = Window.partitionBy("doc_id")
+    before = F.coalesce(F.sum("tokens").over(one.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = sizes.select("doc_id", "part", before.alias("before"), F.sum("tokens").over(one).alias("total"))
+    placed = turns.where("doc_id is not null").join(places, ["doc_id", "part"]).unionByName(turns.where("doc_id is null").selectExpr("*", "0L as before", "0L as total"))
+    stream = placed.select("doc_id", "part", "before", "total", "turn", "role", "text").repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "turn", "role", "text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode = encoder(path, cache_units).encode
 
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, said in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    parts = [b + end for b in encode(t["text"] for t in said)]
-                    mask = [np.full(len(b) // 4, t["role"] == loss_role, dtype=np.int8) for b, t in zip(parts, said, strict=True)]
-                    yield doc_id, b"".join(parts), np.concatenate(mask)
-
-        yield from _batches(pack_tokens(rows(), limits, True, TaskContext.get().partitionId() << 33), False)
-
-    return grouped.mapInArrow(pack, _schema(False))
+        def said() -> Iterator[tuple]:
+            for batch in slices(batches, "text", 8 << 20):
+                for row, ids in zip(zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(5).to_pylist(), strict=True), encode(batch.column(6)), strict=True):
+                    ids += end
+                    yield *row[:4], ids, np.full(len(ids) // 4, row[4] == loss_role, dtype=np.int8)
+
+        yield from _batches(_placed(examples(said(), limits.tokens), limits, TaskContext.get().partitionId() << 33), False)
+
+    return stream.mapInArrow(pack, _schema(False))
+
+
+def examples(said: Iterator[tuple], tokens: int) -> Iterator[Piece]:
+    """Pieces of up to so many tokens from the turns (doc_id, part, before, total, ids, mask) of each range, in order."""
+    last, start, held, masks, size, total = None, 0, [], [], 0, 0
+    for doc_id, part, before, whole, ids, mask in said:
+        if doc_id is None or (doc_id, part) != last:
+            if size:
+                yield Piece(last[0], start, b"".join(held), total, np.concatenate(masks))
+            last, start, held, masks, size, total = (doc_id, part), before, [], [], 0, whole or len(mask)
+        held, masks, size = [*held, ids], [*masks, mask], size + len(mask)
+        while size >= tokens:
+            head, rest = Piece(doc_id, start, b"".join(held), total, np.concatenate(masks)).cut(tokens)
+            yield head
+            start, held, masks, size = rest.start, [rest.ids], [rest.mask], rest.length
+    if size:
+        yield Piece(last[0], start, b"".join(held), total, np.concatenate(masks))
 
 
 def _schema(with_ids: bool) -> str:

@@ -23,6 +23,13 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 on instruction data, where the limit on loss-bearing tokens binds."""
+    from millrace.llm.packing import pack_conversations
+
+    return pack_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.token_files import token_file_digest
 
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": pipeline,
+    "packed_conversations": packed_conversations,
 }
 
 _ASCII_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

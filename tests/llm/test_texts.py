@@ -363,11 +363,38 @@ def test_packing_whole_pieces_and_dot_product():
 
 
 def test_conversations(spark, plain):
+    schema = "conv_id long, turn long, role string, text string, doc_id int, part int"
     rows = [(1, 0, "user", "Hello there"), (1, 1, "assistant", "Hi, how are you?"), (2, 0, "assistant", None), (2, 0, "assistant", None)]
-    out = packing.pack_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    out = packing.pack_conversations(spark.createDataFrame([(*r, 0, 0) for r in rows], schema)).collect()
     ids = {1: [*plain("Hello there"), 1, *plain("Hi, how are you?"), 1], 2: [1, 1]}
-    check_pieces(out, ids, packing.Limits())
+    check_pieces(out, ids, packing.CONVERSATION_LIMITS)
     assert sum(r["loss_tokens"] for r in out) == len(plain("Hi, how are you?")) + 1 + 2
+    assert packing.pack_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_long_conversations_and_the_limit_on_loss(spark, plain):
+    rng = np.random.default_rng(2)
+    rows = [(7, t, ["user", "assistant"][t % 2], " ".join(f"w{rng.integers(99)}" for _ in range(int(rng.integers(1, 30))))) for t in range(90)] + [(8, t, "assistant", "only answers " * 20) for t in range(12)] + [(9, None, "user", "no turn")]
+    nulls = [(None, 0, "assistant", "alone"), (None, 0, "assistant", "alone"), (None, 1, "user", "other")]
+    limits = packing.Limits(256, 16, 128)
+    frame = spark.createDataFrame(rows + nulls, "conv_id long, turn long, role string, text string").repartition(3)
+    out = packing.pack_conversations(frame, limits=limits, turns_at_once=20).collect()
+    ids = {c: [i for r in sorted((r for r in rows if r[0] == c), key=lambda r: r[1] or 0) for i in [*plain(r[3]), 1]] for c in (7, 8, 9)}
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append(r)
+    for pieces in bins.values():
+        assert sum(r["length"] for r in pieces) <= 256 and len(pieces) <= 16 and sum(r["loss_tokens"] for r in pieces) <= 128
+    for c, x in ids.items():
+        at = 0
+        for r in sorted((r for r in out if r["doc_id"] == c), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(x) and r["ids_crc32"] == zlib.crc32(np.array(x[at : at + r["length"]], "<u4").tobytes())
+            at += r["length"]
+        assert at == len(x)
+    assert sorted(r["doc_tokens"] for r in out if r["doc_id"] is None) == sorted(len(plain(r[3])) + 1 for r in nulls)
+    # answers alone: the loss limit ends a sequence before its tokens do
+    full = [p for p in bins.values() if sum(r["loss_tokens"] for r in p) == 128]
+    assert full and any(sum(r["length"] for r in p) < 256 for p in full)
 
 
 def test_token_files(spark, plain, root):
