@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where nothing is
-    set (tests on one machine) a fresh temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Where nothing is set, a
+    fresh temporary folder takes its place in local mode (tests on one
+    machine); on a cluster that raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -46,13 +50,25 @@ BATCH_BYTES = 8 << 20
 
 
 def narrow_batches(df: DataFrame) -> DataFrame:
-    """Ask for Arrow batches of BATCH_BYTES where the session allows larger ones: texts and sets are wide rows, and an executor holds several batches at once."""
+    """Ask for Arrow batches of BATCH_BYTES where the session allows larger ones: texts and sets are wide rows, and an executor holds several batches at once.
+
+    The setting is the session's and stays: plans are lazy, so it must hold
+    when the returned table is computed.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(conf.get(key, "67108864")).rstrip("b")) > BATCH_BYTES:
+    if not 0 < in_bytes(str(conf.get(key, "64m"))) <= BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 
 
+def in_bytes(size: str) -> int:
+    """Bytes of a size as Spark's settings have it: a number, and a unit from b to p, as in "64m" or "64mb"."""
+    m = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", size.strip().lower())
+    if not m:
+        raise ValueError(f"not a size: {size!r}")
+    return int(m[1]) << 10 * " kmgtp".index(m[2] or " ")
+
+
 def give_back() -> None:
     """Return freed memory to the system; Python workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -17,6 +17,7 @@ tasks in blocks of bounded size, with a scan of the texts for each block.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -124,6 +125,12 @@ class ItemIndex:
             yield item, start, span, distance, -s
 
 
+@functools.lru_cache(maxsize=1)
+def item_index(items: tuple[tuple[int, str], ...], settings: Settings) -> ItemIndex:
+    """The index of a block of items, once for each Python worker that meets the block again."""
+    return ItemIndex(list(items), settings)
+
+
 def simhashes(grams: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
     """SimHash of the m shingles from each start on; a bit that half of them have is 0."""
     low, high = int(starts.min()), int(starts.max()) + m
@@ -186,7 +193,7 @@ def _item_blocks(benchmark: DataFrame, items_at_once: int, bytes_at_once: int) -
 
 def _hits(items: list[tuple[int, str]], settings: Settings):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, settings)
+        index = item_index(tuple(items), settings)
         types = [pa.int64()] * 4 + [pa.int32(), pa.float64()]
         for batch in slices(batches, "text", 1 << 20):
             words, at = word_hashes(batch.column(1), LETTER_WORDS)
@@ -221,7 +228,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
 
     def without(items: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(items, settings)
+            index = item_index(tuple(items), settings)
             for batch in slices(batches, "text", 1 << 20):
                 words, at = word_hashes(text_column(batch, "text"), LETTER_WORDS)
                 keep = np.ones(batch.num_rows, bool)

@@ -225,8 +225,9 @@ def _wanted(numbers: DataFrame):
 
 def _asked(members: DataFrame, keys: DataFrame):
     """Tests for the classes, and for the hashes of their texts."""
-    keys = keys.distinct()
-    return _wanted(keys), _wanted(members.select("key", "same").join(keys, "key", "left_semi").select("same").distinct())
+    keys = saved(keys.distinct(), "asked")
+    texts = members.select("key", "same").join(keys, "key", "left_semi").select("same").distinct()
+    return _wanted(keys), _wanted(saved(texts, "asked"))
 
 
 def _nodes(rows: DataFrame, members: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
@@ -296,7 +297,7 @@ def _count(bits: np.ndarray) -> np.ndarray:
 def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their whole sets; only texts that a pair asks for are hashed again."""
     pairs = saved(pairs, "pairs")
-    asked, texts = _asked(members, pairs.select(F.explode(F.array("a", "b")).alias("key")))
+    asked, texts = _asked(members, pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
     if asked is None:
         return pairs
 

@@ -3,7 +3,8 @@
 A shard is an Arrow file ("stream-file": record batches with a footer) with
 two columns, ``ids`` and ``mask``, both lists of one fixed length. Such a
 column's values lie end to end in one buffer, so a sequence is found by
-arithmetic alone and read through a memory map without a copy. A second
+arithmetic alone and, on a local or mounted file system, read through a memory
+map without a copy. A second
 Arrow file beside it says where each document starts.
 
 Documents are dealt out by ranges of their id, so that the shards in order
@@ -38,7 +39,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     Returns the manifest, one row a shard: number, path, documents, ids. A
     null or empty text is the end id alone. Rows with the same id stand next
-    to each other; rows without one come first. An empty table gives no
+    to each other, in the order of their texts' hashes, and may reach over
+    several shards; rows without one come first. An empty table gives no
     shards. Extra columns are not read.
     """
     tokens = tokenizer or default_tokenizer()
@@ -57,8 +59,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
                 out.add(doc_id, ids if end_id is None else np.append(ids, dtype.type(end_id)))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [name], "n_docs": pa.array([out.docs], pa.int64()), "n_tokens": pa.array([out.tokens], pa.int64())})
 
-    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return saved(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST), "token-manifest")
+    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("place"))
+    return saved(rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

@@ -383,6 +383,88 @@ def test_classifier_edge_cases(spark):
     assert quality.classify(documents.limit(0), labels).count() == 0
 
 
+def brute_looks(t):
+    """Votes on looks by plain Python."""
+    data, w = (t or "").encode(), re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+    blank = lambda b: b == 32 or 9 <= b <= 13
+    letter = lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    symbol = [not blank(b) and not letter(b) for b in data]
+    upper, small = sum(65 <= b <= 90 for b in data), sum(97 <= b <= 122 for b in data)
+    alone = sum(s and (i == 0 or blank(data[i - 1])) and (i + 1 == len(data) or blank(data[i + 1])) for i, s in enumerate(symbol))
+    n, chars = len(w), max(sum(not blank(b) for b in data), 1)
+    if n < 5:
+        return n, [2] * 6
+    few = 0.5 - 0.06 * math.log2(max(n, 64) / 64)
+    ratios = [sum(symbol) / chars, upper / max(upper + small, 1), sum(a == b for a, b in zip(w, w[1:])) / n, len(set(w)) / n, alone / n, sum(map(letter, data)) / n]
+    s, c, r, d, k, x = ratios
+    pick = lambda good, bad: 1 if bad else 0 if good else 2
+    return n, [pick(s < 0.055, s > 0.09), pick(c < 0.15, c > 0.4), pick(r < 0.03, r > 0.1), pick(d > few, d < few - 0.15), pick(k < 0.02, k > 0.1), pick(3 < x < 6.5, x < 2 or x > 7.5)]
+
+
+def brute_features(t, buckets):
+    """Word and stem features by single words."""
+    import pyarrow as pa
+    from millrace.llm.wordhash import LETTER_WORDS, mix
+
+    words = sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))))
+    hashed = lambda x: int(word_hashes(pa.array([x]), LETTER_WORDS)[0][0])
+    stems = Counter(x.encode()[: quality.STEM] for x in words)
+    out = {hashed(x) % buckets for x in words}
+    table = {}
+    for x in words:
+        stem = x.encode()[: quality.STEM]
+        table[stem] = int(quality.word_and_stem_hashes(pa.array([x]), LETTER_WORDS, quality.STEM)[1][0])
+    marks = {int(mix(np.array([(table[s] + k) % 2**64], np.uint64))[0]) % buckets + buckets for s, n in stems.items() for k in range(1, min(n, 4) + 1)}
+    return out, marks
+
+
+def test_scores_of_the_classifier_match_brute_force(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = documents.select("doc_id", "text").collect()
+    texts = [r for r in texts if len(r["text"] or "") < 20_000][:120]
+    frame = spark.createDataFrame(texts + [(None, None), (None, "x"), (7000, "")], "doc_id long, text string")
+    model = quality.fit(documents, spark.read.parquet(f"{SF}/labels.parquet"))
+    b, names = model.settings.buckets, dict(zip(model.features.tolist(), model.weights.tolist()))
+    words, stems = set(model.words.tolist()), set(model.stems.tolist())
+    want = []
+    for r in frame.collect():
+        n, looks = brute_looks(r["text"])
+        w, s = brute_features(r["text"], b)
+        toxic = [1 if w & words else 0, 1 if s & stems else 0, 1 if len(s & stems) >= 2 else 2 if s & stems else 0]
+        bad = {2 * b + i for i, v in enumerate([*looks, *toxic]) if v == 1}
+        z = model.bias + sum(names.get(f, 0.0) for f in w | s | bad)
+        want.append((r["doc_id"], n, 1.0 if not n else 1 / (1 + math.exp(-max(-30, min(30, z))))))
+    got = [(r["doc_id"], r["n_words"], r["score"], r["keep"]) for r in quality.score(frame, model).collect()]
+    assert len(got) == len(want) > 100
+    for (d, n, score, keep), (d2, n2, score2) in zip(sorted(got, key=str), sorted(want, key=str)):
+        assert (d, n, keep) == (d2, n2, score2 < 0.5) and score == pytest.approx(score2, abs=1e-9)
+
+
+def test_expectation_maximisation_matches_plain_loops():
+    rng = np.random.default_rng(9)
+    votes, counts = rng.integers(0, 3, (12, 4)), rng.integers(1, 9, 12)
+    post = [(sum(v == 1 for v in row) + 0.1) / (sum(v != 2 for v in row) + 1) if any(v != 2 for v in row) else 0.1 for row in votes.tolist()]
+    for _ in range(5):
+        prior = min(max(sum(c * p for c, p in zip(counts, post)) / sum(counts), 1e-4), 1 - 1e-4)
+        right = []
+        for j in range(4):
+            share = []
+            for truth in (0, 1):
+                weight = [c * (p if truth else 1 - p) for c, p in zip(counts, post)]
+                hit = sum(w for w, row in zip(weight, votes.tolist()) if row[j] == truth)
+                cast = sum(w for w, row in zip(weight, votes.tolist()) if row[j] != 2)
+                share.append(min(max((hit + 7) / (cast + 10), 0.05), 0.999))
+            right.append(share)
+        post = []
+        for row in votes.tolist():
+            odds = math.log(prior) - math.log(1 - prior)
+            for (g, b), v in zip(right, row):
+                odds += math.log(b) - math.log(1 - g) if v == 1 else math.log(1 - b) - math.log(g) if v == 0 else 0
+            post.append(1 / (1 + math.exp(-odds)))
+    got, accuracy = quality.expectation_maximisation(votes, counts, 5)
+    assert np.allclose(got, post) and np.allclose(accuracy, right)
+
+
 # --- all together
 
 
