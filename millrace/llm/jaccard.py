@@ -69,7 +69,7 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, same long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
     nodes = saved(_nodes(rows, members, buckets, n), "nodes")
-    linked = lambda pairs: saved(_verified(rows, members, n, _possible(pairs, nodes, percent), percent), "links")
+    linked = lambda pairs: saved(_verified(rows, members, n, _possible(saved(pairs, "pairs"), nodes, percent), percent), "links")
 
     star = buckets.where("key != pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).distinct()
     star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -197,10 +197,11 @@ def _prefixes(n: int, percent: int, frequent: np.ndarray):
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of the shingles that several classes have, with the smallest class."""
+    """Entries of the shingles that several classes have, one for each class, with the smallest class."""
     w = Window.partitionBy("token")
     pivot = F.min(F.struct("key", "n")).over(w)
-    return entries.withColumn("pivot", pivot).withColumn("_last", F.max("key").over(w)).where("pivot.key != _last").drop("_last")
+    shared = entries.withColumn("pivot", pivot).withColumn("_last", F.max("key").over(w)).where("pivot.key != _last").drop("_last")
+    return shared.dropDuplicates(["token", "key"])  # dealt by token already
 
 
 def _wanted(numbers: DataFrame):
@@ -223,6 +224,17 @@ def _wanted(numbers: DataFrame):
     return test
 
 
+def _chosen(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+    """The nodes (key first) of these keys, and perhaps some others, which never leave their scan for nothing."""
+    asked = _wanted(saved(keys.distinct(), "asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(asked) and asked(k) for k in batch.column(0).to_pylist()], pa.bool_()))
+
+    return nodes.mapInArrow(run, nodes.schema)
+
+
 def _asked(members: DataFrame, keys: DataFrame):
     """Tests for the classes, and for the hashes of their texts."""
     keys = saved(keys.distinct(), "asked")
@@ -267,7 +279,7 @@ def _bits(signatures: pa.Array) -> np.ndarray:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that their finer bitmaps don't rule out."""
-    one = nodes.select("key", "n", "fine")
+    one = _chosen(nodes.select("key", "n", "fine"), _ends(pairs))
     a = one.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
     b = one.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
 
@@ -283,6 +295,10 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
+
+
 def _folded(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both bitmaps at the shorter length: a token's place there is its place in the longer one modulo that length."""
     size = min(x.shape[1], y.shape[1])
@@ -297,7 +313,7 @@ def _count(bits: np.ndarray) -> np.ndarray:
 def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their whole sets; only texts that a pair asks for are hashed again."""
     pairs = saved(pairs, "pairs")
-    asked, texts = _asked(members, pairs.select(F.col("a").alias("key")).union(pairs.select("b")))
+    asked, texts = _asked(members, _ends(pairs))
     if asked is None:
         return pairs
 
@@ -325,15 +341,19 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     whole: the group has given all its pairs; else it has given each class's
     likeliest ``partners``.
     """
-    labelled = buckets.select("token", "key").distinct().join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("label"))
-    many = labelled.groupBy("token").agg(F.min("label").alias("_a"), F.max("label").alias("_b"), F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("_who"))
-    one = many.where("_a != _b").groupBy("size", "_who").agg(F.min("token").alias("token"))  # buckets with the same members: one of them
+    labelled = buckets.select("token", "key").join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("label"))
+    w = Window.partitionBy("token")
+    many = labelled.withColumns({"_a": F.min("label").over(w), "_b": F.max("label").over(w), "size": F.count("*").over(w), "_who": F.sum(F.xxhash64("key").cast("decimal(38,0)")).over(w)}).where("_a != _b").drop("_a", "_b")
+    many = saved(many, "many")
+    one = many.groupBy("size", "_who").agg(F.min("token").alias("token")).select("token")  # buckets with the same members: one of them
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = labelled.join(one, "token").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = many.drop("_who").join(one, "token", "left_semi").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # a chunk meets itself and each other chunk in groups (x, y), x <= y
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = dealt.select("token", "key", "label", "part", other).select("token", "key", "label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     light = nodes.select("key", "n", "signature")
+    if partners > 1:  # few groups are left
+        light = _chosen(light, many.select("key"))
     full = dealt.join(light, "key").select("token", "x", "y", "side", "key", "label", "n", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
