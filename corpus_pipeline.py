@@ -14,28 +14,28 @@ from millrace.llm.base import saved
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps: neither of low quality nor toxic. Texts without words go."""
+    """Documents that the quality classifier keeps: neither of low quality nor toxic. Null and empty texts go; rows that repeat go or stay together, ids play no part."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that n-gram Jaccard links join, the one with the smallest id."""
+    """Of each group of documents that n-gram Jaccard links join, a row with the smallest id; rows without an id or without words all stay."""
     return jaccard.keep_first(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item: each row by its own text; null and empty texts stay."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by a mark; n_chars follows the text."""
+    """All documents, repeated rows and null texts too, with each secret replaced by a mark; n_chars follows a changed text."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequences, and the ids themselves."""
-    return packing.pack_documents(docs, with_ids=True)
+    """The pieces of all documents, with their sequences, and the ids themselves; a null or empty text is the end id alone. Workers keep a small cache of units."""
+    return packing.pack_documents(docs, with_ids=True, cache_units=100_000)
 
 
 STAGES = [
