@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from millrace.functions.intervals import seconds_of
 
 
-def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str] | None = None, prefix: str = "", strict: bool = False, per_column: bool = False, tolerance_seconds: int | None = None, spread: int = 1) -> DataFrame:
+#: Right rows of a key that one task sorts, where the spread follows the data.
+PART_ROWS = 4 << 20
+
+
+def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str] | None = None, prefix: str = "", strict: bool = False, per_column: bool = False, tolerance_seconds: int | None = None, spread: int | None = 1) -> DataFrame:
     """All left rows, each with ``columns`` of the latest right row with equal keys and right_ts <= left_ts.
 
     Both sides are united and sorted by key and time once; ``last`` over the
@@ -25,8 +29,13 @@ def asof_join(left: DataFrame, right: DataFrame, on: Sequence[str], left_ts: str
 
     spread > 1 is for keys that hold a large share of the rows: time is cut
     into so many parts at quantiles, each (key, part) is sorted by itself, and
-    the last right row of the parts before is joined to it.
+    the last right row of the parts before is joined to it. None: as many
+    parts as the largest key on the right has PART_ROWS.
     """
+    if spread is None:
+        known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
+        most = right.where(known).groupBy(*on).count().agg(F.max("count")).first()[0] or 0
+        spread = 1 if per_column or tolerance_seconds is not None else max(1, -(-most // PART_ROWS))
     if spread > 1:
         if per_column or tolerance_seconds is not None:
             raise ValueError("spread goes with whole rows and no tolerance only")

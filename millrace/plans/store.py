@@ -436,7 +436,7 @@ class FeatureStore:
         rows = self._rows(v)
         names = [c for c in rows.columns if c not in v.keys and c != v.timestamp_col and (wanted is None or c.lower() in wanted)]
         if v.timestamp_col and ts:
-            return asof_join(spine, rows, v.keys, ts, v.timestamp_col, names, prefix)
+            return asof_join(spine, rows, v.keys, ts, v.timestamp_col, names, prefix, spread=None)
         return spine.join(rows.select(*v.keys, *[F.col(c).alias(prefix + c) for c in names]), v.keys, "left").select(*spine.columns, *[prefix + c for c in names])
 
     def generate_training_set(self, spine: DataFrame, features: Sequence[FeatureView] | None = None, feature_group: str | None = None, spine_timestamp_col: str | None = None, exclude_columns: Sequence[str] = (), save_as: str | None = None, auto_prefix: bool = False) -> DataFrame:

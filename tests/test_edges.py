@@ -254,3 +254,16 @@ def test_source_checks_and_private_views(spark):
     history = spark.createDataFrame([(1, datetime(2024, 1, 1), 10.0), (1, datetime(2024, 1, 3), 99.0)], "u int, ts timestamp_ntz, seen double")
     out = realtime_features(requests, lambda f: pd.DataFrame({"z": f.p + f.seen.fillna(0)}), "z double", views=[(history, ["u"], "ts", ["seen"])], ts="at")
     assert out.columns == ["u", "at", "p", "z"] and sorted(r["z"] for r in out.collect()) == [9.0, 14.0, 14.0]
+
+
+def test_spread_follows_the_largest_key(spark, monkeypatch):
+    from millrace.operators import asof
+
+    rng = np.random.default_rng(5)
+    stamp = lambda: datetime(2024, 1, 1 + int(rng.integers(20)), int(rng.integers(24)), int(rng.integers(60)))
+    right = spark.createDataFrame([(1 if i % 3 else 2, stamp(), float(i)) for i in range(200)] + [(None, stamp(), 0.0)], "k int, t timestamp_ntz, v double").dropDuplicates(["k", "t"])
+    left = spark.createDataFrame([(i % 3, stamp(), i) for i in range(150)] + [(None, stamp(), -1)], "k int, at timestamp_ntz, i int")
+    right, left = right.persist(), left.persist()
+    want = sorted(map(str, asof.asof_join(left, right, ["k"], "at", "t", ["v"]).collect()))
+    monkeypatch.setattr(asof, "PART_ROWS", 10)
+    assert sorted(map(str, asof.asof_join(left, right, ["k"], "at", "t", ["v"], spread=None).collect())) == want
