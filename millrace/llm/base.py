@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -45,6 +46,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected the plans they belong to, which else may take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, about; Spark's own default is eight times that.
 BATCH_BYTES = 8 << 20
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.base import narrow_batches, saved, slices, text_column, unused
+from millrace.llm.base import narrow_batches, release, saved, slices, text_column, unused
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
@@ -68,6 +68,7 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
     rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("same"))
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, same long, sample binary"), "members")
     buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
+    release(docs.sparkSession)
     nodes = saved(_nodes(rows, members, buckets, n), "nodes")
     linked = lambda pairs: saved(_verified(rows, members, n, _possible(saved(pairs, "pairs"), nodes, percent), percent), "links")
 
@@ -77,6 +78,7 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
 
     partners = 1
     while True:
+        release(docs.sparkSession)
         met = saved(_traversed(buckets, nodes, labels, percent, partners), "pairs")
         more = linked(met.select("a", "b").distinct())
         labels = saved(connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
