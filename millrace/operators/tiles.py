@@ -27,6 +27,8 @@ SKETCHES = ("approx_count_distinct", "approx_percentile")
 LISTS = ("last_n", "first_n", "last_distinct_n", "first_distinct_n")
 #: Most values of a list feature, and secondary keys of an array feature.
 MOST_LISTED, MOST_SECONDARY = 100, 5000
+#: Tiles of a window from which on it is taken as a difference of running sums, where those are exact.
+LONG_WINDOW = 64
 _START = "tile_start"
 
 
@@ -268,10 +270,17 @@ def _met(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame:
 
 
 def _windowed(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> DataFrame:
-    """Values by (keys, boundary). Lists are ranked and cut before anything is gathered."""
-    met, point = _met(points, tiles, spec), [*spec.keys, "_boundary"]
+    """Values by (keys, boundary). Lists are ranked and cut before anything is gathered; long windows of exact sums meet no tiles but two."""
+    long = [f for f in features if _by_difference(f, tiles, spec)]
+    features = [f for f in features if f not in long]
+    point = [*spec.keys, "_boundary"]
+    out = _differences(points, tiles, spec, long) if long else points
+    if not features:
+        return out
+    met = _met(points, tiles, replace(spec, features=tuple(features)))
     plain = [f for f in features if f.function not in LISTS]
-    out = met.groupBy(*point).agg(*[_merged(f, _in_window(f, spec.seconds)).alias(f.output) for f in plain]) if plain else points
+    if plain:
+        out = out.join(met.groupBy(*point).agg(*[_merged(f, _in_window(f, spec.seconds)).alias(f.output) for f in plain]), point, "left")
     for f in (f for f in features if f.function in LISTS):
         values = met.where(_in_window(f, spec.seconds)).select(*point, F.explode(_list_name(f)).alias("_e"))
         gathered = _ranked(values.select(*point, F.col("_e.at").alias("_at"), F.col("_e.value").alias("_value")), point, f, f.n, "_list")
@@ -280,6 +289,38 @@ def _windowed(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: lis
     return out
 
 
+def _by_difference(f: Feature, tiles: DataFrame, spec: TileSpec) -> bool:
+    """Whether a window is long and its sums are exact, so that it is the difference of two running sums."""
+    if f.function not in ("sum", "count", "avg") or f.window_seconds // spec.seconds < LONG_WINDOW:
+        return False
+    kinds = dict(tiles.dtypes)
+    return all(kinds[n] == "bigint" or kinds[n].startswith("decimal") for n in _partials(f))
+
+
+def _differences(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> DataFrame:
+    """Sums over the tiles of a window: up to its end less those up to its start, two as-of lookups for each point and window."""
+    names = sorted({n for f in features for n in _partials(f)})
+    w = Window.partitionBy(*spec.keys).orderBy(_START).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = tiles.select(*spec.keys, _START, *[F.sum(n).over(w).alias(f"_run{n}") for n in names])
+    # the last tile that starts before the window's end and is complete, and the last one before its start
+    edges, b = {}, F.col("_boundary")
+    for f in features:
+        edges[f.offset_seconds, 0] = F.least(b - f.offset_seconds, b - spec.seconds + 1)
+        edges[f.offset_seconds, _up(f.window_seconds, spec.seconds)] = b - _up(f.window_seconds, spec.seconds) - f.offset_seconds
+    places = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.lit(back).alias("w"), t.cast("long").alias("t")) for (o, back), t in edges.items()])).alias("_e")
+    asked = points.select(*spec.keys, "_boundary", places).select(*spec.keys, "_boundary", F.col("_e.o").alias("_o"), F.col("_e.w").alias("_w"), F.col("_e.t").alias("_at"))
+    found = asof_join(asked, running, spec.keys, "_at", _START, [f"_run{n}" for n in names], strict=True)
+
+    def total(f: Feature, kind: str) -> Column:
+        name = f"_run_{kind}_{f.column}"
+        at = lambda back: F.max(F.when((F.col("_o") == f.offset_seconds) & (F.col("_w") == back), F.col(name)))
+        zero = F.lit(0).cast(dict(running.dtypes)[name])
+        return F.coalesce(at(0), zero) - F.coalesce(at(_up(f.window_seconds, spec.seconds)), zero)
+
+    value = {"sum": lambda f: total(f, "sum").cast(dict(running.dtypes)[f"_run_sum_{f.column}"]), "count": lambda f: total(f, "count"), "avg": lambda f: guarded_ratio(total(f, "sum"), total(f, "count"))}
+    return found.groupBy(*spec.keys, "_boundary").agg(*[value[f.function](f).alias(f.output) for f in features])
+
+
 def _merged(f: Feature, inside: Column | None, zero: bool = True) -> Column:
     """A feature's value from partials; ``inside`` says which tiles count (None: all)."""
     pick = lambda name: F.col(name) if inside is None else F.when(inside, F.col(name))

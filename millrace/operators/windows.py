@@ -33,3 +33,8 @@ def over_time(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, aggrega
     w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-seconds * 1_000_000, Window.currentRow)
     timed = df.withColumn("_us", micros_of(F.col(ts)))
     return timed.select(*df.columns, *[F.when(F.col("_us").isNotNull(), c.over(w)).alias(n) for n, c in aggregates.items()])
+
+
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """df with a number of its own for each row, repeated rows too; numbers are only the same again if the rows are dealt out alike."""
+    return df.withColumn(name, F.monotonically_increasing_id())

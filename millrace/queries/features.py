@@ -201,6 +201,13 @@ def tiled_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.round("sum_240h", 6).alias("sum_240h"), "count_240h")
 
 
+def tiled_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of many tiles over whole cents, taken as differences of running sums."""
+    events = _table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    spec = TileSpec(("user_id",), "ts", "1h", (Feature.sum("cents", "480h").alias("sum_480h"), Feature.count("cents", "240h", "48h").alias("count_before"), Feature.avg("cents", "240h").alias("avg_240h")))
+    return _out(merge_tiles(_spine(events), build_tiles(events, spec), spec, "at"))
+
+
 def asof_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event the latest value of each column of the user's earlier events by itself, nulls passed over."""
     events = _table(spark, sf_dir, "events")
@@ -220,7 +227,7 @@ QUERIES = {
     for f in (
         tiles_hourly, tiled_sum_count_avg, tiled_min_max, tiled_stddev_var, tiled_offset, tiled_last_first_n, tiled_distinct_n, tiled_lifetime, tiled_secondary_key, tiled_approx_distinct, tiled_approx_percentile,
         tiled_continuous, asof_orders, asof_previous_event, training_set, rollup_segments, rollup_validity, scd2_join, range_window, running_fill, top_n_per_group, category_index,
-        rollup_lists, rollup_lifetime, tiled_now, asof_filled,
+        rollup_lists, rollup_lifetime, tiled_now, tiled_long_windows, asof_filled,
     )
 }
 
@@ -247,6 +254,7 @@ ORACLES = {
     "rollup_lists": "SELECT c_nationkey, CAST(floor(epoch(o_orderdate) / 2592000) AS BIGINT) * 2592000 AS tile_start, array_to_string(list_reverse(list_slice(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC), 1, 3)), ',') AS newest, array_to_string(list_slice(list(o_orderkey ORDER BY o_orderdate, o_orderkey), 1, 2), ',') AS oldest FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
     "rollup_lifetime": "WITH y AS (SELECT make_timestamp(n, 1, 1, 0, 0, 0) AS moment FROM range(1993, 1999) t(n)), o AS (SELECT c_nationkey, o_orderdate, o_totalprice FROM orders JOIN customer ON c_custkey = o_custkey) SELECT n_nationkey AS c_nationkey, CAST(epoch(moment) AS BIGINT) AS at_s, round(sum(o_totalprice), 2) AS sum_all, CASE WHEN count(o_orderdate) > 0 THEN count(o_totalprice) END AS n_all FROM nation CROSS JOIN y LEFT JOIN o ON c_nationkey = n_nationkey AND date_trunc('day', o_orderdate) + INTERVAL 1 DAY <= moment GROUP BY ALL",
     "tiled_now": "WITH u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00') SELECT u.user_id, round(coalesce(sum(value), 0), 6) AS sum_240h, count(value) AS count_240h FROM u LEFT JOIN e USING (user_id) GROUP BY u.user_id",
+    "tiled_long_windows": _WITH.replace("value, event_id", "CAST(round(value * 100) AS BIGINT) AS cents, value, event_id") + f", a AS ({_window_sql('CAST(coalesce(sum(cents), 0) AS BIGINT) AS sum_480h', 1728000)}), b AS ({_window_sql('count(cents) AS count_before', 1036800, 172800)}), c AS ({_window_sql('round(avg(cents), 6) AS avg_240h', 864000)}) SELECT user_id, at_s, sum_480h, count_before, avg_240h FROM a JOIN b USING (user_id, at_s) JOIN c USING (user_id, at_s)",
     "asof_filled": "WITH r AS (SELECT user_id, ts, max(CASE WHEN event_type = 'purchase' THEN event_id END) AS bought, max(CASE WHEN event_type = 'click' THEN event_id END) AS clicked FROM events GROUP BY ALL), b AS (SELECT user_id, ts, bought FROM r WHERE bought IS NOT NULL), c AS (SELECT user_id, ts, clicked FROM r WHERE clicked IS NOT NULL), x AS (SELECT e.event_id, b.bought FROM events e ASOF LEFT JOIN b ON e.user_id = b.user_id AND e.ts > b.ts), y AS (SELECT e.event_id, c.clicked FROM events e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts > c.ts) SELECT event_id, bought, clicked FROM x JOIN y USING (event_id)",
     "running_fill": "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM events",
     "top_n_per_group": "SELECT o_custkey, CAST(rank AS INTEGER) AS rank, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 2",

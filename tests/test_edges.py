@@ -267,3 +267,20 @@ def test_spread_follows_the_largest_key(spark, monkeypatch):
     want = sorted(map(str, asof.asof_join(left, right, ["k"], "at", "t", ["v"]).collect()))
     monkeypatch.setattr(asof, "PART_ROWS", 10)
     assert sorted(map(str, asof.asof_join(left, right, ["k"], "at", "t", ["v"], spread=None).collect())) == want
+
+
+@pytest.mark.parametrize("aligned", [False, True])
+def test_long_windows_as_differences(spark, monkeypatch, aligned):
+    from millrace.operators import tiles
+
+    rng = np.random.default_rng(8)
+    stamp = lambda: datetime(2024, 1, 1 + int(rng.integers(4)), int(rng.integers(24)), int(rng.integers(60)))
+    events = spark.createDataFrame([(int(i % 3) if i % 11 else None, stamp(), None if i % 5 == 0 else int(rng.integers(100))) for i in range(200)], "u int, ts timestamp_ntz, v long").persist()
+    spine = spark.createDataFrame([(int(i % 4) if i % 13 else None, stamp() if i % 17 else None) for i in range(80)], "u int, at timestamp_ntz").persist()
+    features = [Feature.sum("v", "12h").alias("a"), Feature.count("v", "4h", "6h").alias("b"), Feature.avg("v", "24h", "2h").alias("c"), Feature.max("v", "6h").alias("d"), Feature.last_n("v", "8h", n=2).alias("e")]
+    spec = TileSpec(("u",), "ts", "2h", tuple(features))
+    want = sorted(map(str, tiled_features(events, spine, spec, "at", aligned).collect()))
+    monkeypatch.setattr(tiles, "LONG_WINDOW", 1)
+    assert sorted(map(str, tiled_features(events, spine, spec, "at", aligned).collect())) == want
+    only = TileSpec(("u",), "ts", "2h", tuple(features[:3]))
+    assert tiled_features(events, spine, only, "at", aligned).count() == 80
