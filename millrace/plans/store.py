@@ -195,6 +195,8 @@ class FeatureStore:
             raise
         if old:
             self.catalog.remove_tree("..", "tables", old["folder"])
+        if not view.refresh_freq and not view.features:  # a view of the session too, by its physical name
+            self._source(view).createOrReplaceTempView(f"`{name}`")
         return view
 
     def _check(self, view: FeatureView) -> None:

@@ -44,6 +44,11 @@ class DataConnector:
         reader = spark.read.option("header", True) if name == "csv" else spark.read
         return cls(reader.format(name if name in ("csv", "json", "orc", "parquet", "text") else "parquet").load(list(paths)))
 
+    @classmethod
+    def from_arrow(cls, spark: SparkSession, rows: "pa.Table | Sequence[pa.RecordBatch]") -> "DataConnector":
+        """Rows that are in the driver's memory already, as a result of another reader."""
+        return cls(spark.createDataFrame(rows if isinstance(rows, pa.Table) else pa.Table.from_batches(rows)))
+
     @classmethod
     def from_sources(cls, sources: Sequence["DataConnector | DataFrame"]) -> "DataConnector":
         return cls(reduce(lambda a, b: a.unionByName(b), [s.df if isinstance(s, DataConnector) else s for s in sources]))

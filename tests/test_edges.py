@@ -284,3 +284,25 @@ def test_long_windows_as_differences(spark, monkeypatch, aligned):
     assert sorted(map(str, tiled_features(events, spine, spec, "at", aligned).collect())) == want
     only = TileSpec(("u",), "ts", "2h", tuple(features[:3]))
     assert tiled_features(events, spine, only, "at", aligned).count() == 80
+
+
+def test_declared_sources_and_views(spark, tmp_path):
+    import json
+
+    from millrace.sources.examples import load_sources
+
+    (tmp_path / "a.csv").write_text("id;name\n1;x\n2;\n")
+    spark.range(3).write.parquet(f"{tmp_path}/b")
+    sources = [{"name": "a", "path": "a.csv", "format": "csv", "schema": "id long, name string", "delimiter": ";"}, {"name": "b", "path": f"{tmp_path}/b", "format": "parquet"}, {"name": "c", "path": "c", "format": "xml"}]
+    (tmp_path / "sources.json").write_text(json.dumps(sources, indent=1))
+    found = load_sources(spark, f"{tmp_path}/sources.json", ["a", "b"], views=True)
+    assert [tuple(r) for r in found["a"].orderBy("id").collect()] == [(1, "x"), (2, None)] and spark.table("b").count() == 3
+    for bad in (["none"], ["c"]):
+        with pytest.raises(ValueError):
+            load_sources(spark, f"{tmp_path}/sources.json", bad)
+    table = pa.table({"i": [1, 2], "s": ["a", None]})
+    assert DataConnector.from_arrow(spark, table).to_arrow() == table
+    assert DataConnector.from_arrow(spark, table.to_batches()).df.count() == 2
+    store = FeatureStore(spark, f"file://{tmp_path}/store")
+    store.register_feature_view(FeatureView("LIVE", [store.register_entity(Entity("E", ("id",)))], compute=lambda s: s.range(4)))
+    assert spark.table("`LIVE$V1`").count() == 4
