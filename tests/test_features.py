@@ -7,6 +7,7 @@ from millrace.functions.intervals import LIFETIME, parse_interval
 from millrace.operators.asof import asof_join
 from millrace.operators.tiles import Feature, TileSpec, build_tiles, continuous_features, merge_tiles, rollup_tiles
 
+#: Events and, in the tests below, results that the surveyed feature store is tested with.
 EVENTS = [
     (1, "00:30", 10.0, "page_a", "cat1", "ad_a"), (1, "00:45", 20.0, "page_b", "cat2", "ad_b"), (1, "01:15", 30.0, "page_c", "cat1", "ad_a"), (1, "01:45", 40.0, "page_d", "cat3", "ad_c"), (1, "02:30", 50.0, "page_e", "cat2", "ad_b"),
     (2, "01:00", 100.0, "page_x", "cat1", "ad_a"), (2, "02:00", 200.0, "page_y", "cat2", "ad_a"), (2, "03:00", 300.0, "page_z", "cat1", "ad_b"),
