@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.base import narrow_batches, release, saved, slices, text_column, unused
+from millrace.llm.base import give_back, narrow_batches, release, saved, slices, text_column, unused
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
@@ -233,6 +233,7 @@ def _chosen(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([bool(asked) and asked(k) for k in batch.column(0).to_pylist()], pa.bool_()))
+        give_back()
 
     return nodes.mapInArrow(run, nodes.schema)
 
@@ -293,6 +294,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 most = most_overlap(x, y, n_a - _count(x), n_b - _count(y))[0]
                 keep.append(most * (100 + percent) >= percent * (n_a + n_b))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
@@ -331,6 +333,7 @@ def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, per
                 both = len(s) + len(t) - len(np.union1d(s, t))
                 keep.append((100 + percent) * both >= percent * (len(s) + len(t)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     sets = saved(rows.mapInArrow(chosen, "key long, tokens binary"), "sets").groupBy("key").agg(F.first("tokens").alias("tokens"))
     a, b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}")) for c in "ab")
@@ -369,6 +372,7 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
             if len(a):
                 token = np.full(len(a), group.column(0)[0].as_py())
                 yield pa.RecordBatch.from_pydict({"token": token, "a": np.maximum(a, b), "b": np.minimum(a, b), "whole": np.full(len(a), whole)})
+        give_back()
 
     return full.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "token long, a long, b long, whole boolean")
 

@@ -27,6 +27,10 @@ from millrace.llm.tokens import CACHE_UNITS, default_tokenizer, encoder
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
 
+#: Bytes of ids in a batch of pieces, about.
+_BATCH_BYTES = 4 << 20
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a sequence may hold at most: tokens, segments (pieces) and loss-bearing tokens."""
@@ -184,14 +188,16 @@ def _placed(pieces: Iterator[Piece], limits: Limits, first_id: int, cut: bool =
         sequence += 1
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), cut: bool = True, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, cache_units: int = CACHE_UNITS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits = Limits(), cut: bool = True, end_id: int | None = 1, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, cache_units: int = CACHE_UNITS, batch_bytes: int = 8 << 20) -> DataFrame:
     """Tokenize and pack every text; a row for each piece (see ``PIECES``).
 
     Every id of a document, and the end id after them, lies in exactly one
     piece. The first id of a document bears no loss, since nothing precedes
     it. A null or empty text is the end id alone. Repeated rows and ids are
     packed one by one; a null id stays null. Other columns are not read, so
-    their names do not matter. An empty table gives no rows.
+    their names do not matter. An empty table gives no rows. cache_units and
+    batch_bytes set what a Python worker holds: units of texts between
+    batches, and bytes of text in one.
     """
     path = tokenizer or default_tokenizer()
 
@@ -199,7 +205,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
         encode, end = encoder(path, cache_units).encode, b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
         def rows() -> Iterator[tuple]:
-            for batch in slices(batches, "text", 8 << 20):
+            for batch in slices(batches, "text", batch_bytes):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                     ids += end
                     mask = np.ones(len(ids) // 4, dtype=np.int8)
@@ -281,10 +287,12 @@ def _batches(rows: Iterator[tuple], with_ids: bool) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _schema(with_ids).split(", ")]
     types = [pa.binary() if n == "ids" else pa.int64() for n in names]
     held: list[tuple] = []
+    size = 0
     for row in rows:
         held.append(row)
-        if len(held) >= 4096:
+        size += len(row[-1]) if with_ids else 0
+        if len(held) >= 4096 or size >= _BATCH_BYTES:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=False)], names=names)
-            held = []
+            held, size = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=False)], names=names)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 from array import array
@@ -72,16 +71,15 @@ class UnitEncoder:
 
     def __init__(self, path: str, units: int = CACHE_UNITS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, by_byte = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.written = {c: by_byte.pre_tokenize_str(chr(c))[0][0] for c in range(ord(_LATIN))}  # each character as the model's vocabulary has its bytes
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        splitter = spec.get("pre_tokenizer") or {}
-        self.by_units = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space") and not spec.get("normalizer") and spec["model"].get("type") == "BPE"
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        splitter = self.tokenizer.pre_tokenizer
+        plain = isinstance(splitter, pre_tokenizers.ByteLevel) and splitter.use_regex and not splitter.add_prefix_space
+        self.by_units = plain and self.tokenizer.normalizer is None and isinstance(self.model, models.BPE)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.marks = dict(zip(_MARKS, self._library(list(_MARKS)), strict=True))
         self.units, self.long = Kept(units), []
