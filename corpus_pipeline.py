@@ -34,8 +34,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their sequences, and the ids themselves; a null or empty text is the end id alone. Workers keep a small cache of units."""
-    return packing.pack_documents(docs, with_ids=True, cache_units=100_000)
+    """The pieces of all documents, with their sequences, and the ids themselves; a null or empty text is the end id alone. Workers hold little, as they have run the other stages before."""
+    return packing.pack_documents(docs, with_ids=True, cache_units=60_000, batch_bytes=2 << 20)
 
 
 STAGES = [
