@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.prefix import ordered_index
@@ -75,6 +75,19 @@ def read_versions(versions: Sequence[DatasetVersion], only_feature_cols: bool =
     return reduce(lambda a, b: a.unionByName(b), [v.read(only_feature_cols) for v in versions])
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's values, about: text and binary by their length, others nested in text form, all else 8."""
+    size = F.lit(0)
+    for c, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            size = size + 8
+    return size
+
+
 class FileSet:
     """Files of a limited size below a folder, written once."""
 
@@ -82,8 +95,11 @@ class FileSet:
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
-    def make(cls, df: DataFrame, path: str, shuffle: bool = False, rows_per_file: int = 250_000, seed: int | None = None) -> "FileSet":
+    def make(cls, df: DataFrame, path: str, shuffle: bool = False, rows_per_file: int | None = None, bytes_per_file: int = 32 << 20, seed: int | None = None) -> "FileSet":
+        """Write the rows; files end after rows_per_file rows, or by default after about bytes_per_file bytes of values."""
         df = cast_for_dataset(df)
+        if rows_per_file is None:
+            rows_per_file = max(1, int(bytes_per_file / (df.agg(F.avg(_row_bytes(df))).first()[0] or 1)))
         df = df.orderBy(F.rand(seed)) if shuffle else df
         df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).parquet(path)
         return cls(df.sparkSession, path)

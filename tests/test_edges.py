@@ -306,3 +306,12 @@ def test_declared_sources_and_views(spark, tmp_path):
     store = FeatureStore(spark, f"file://{tmp_path}/store")
     store.register_feature_view(FeatureView("LIVE", [store.register_entity(Entity("E", ("id",)))], compute=lambda s: s.range(4)))
     assert spark.table("`LIVE$V1`").count() == 4
+
+
+def test_files_of_about_equal_bytes(spark, root):
+    from millrace.sources.dataset import FileSet
+
+    df = spark.createDataFrame([(i, "x" * 1000, [1, 2]) for i in range(400)], "i long, s string, a array<int>").coalesce(1)
+    files = FileSet.make(df, f"{root}/f", bytes_per_file=100_000)
+    assert 4 <= len(files.files()) <= 5 and files.read().count() == 400
+    assert FileSet.make(df.limit(0), f"{root}/e").read().count() == 0
