@@ -46,25 +46,29 @@ CONVERSATION_LIMITS = Limits(2048, 512, 1536)
 
 @dataclass
 class Piece:
-    """Ids ``start`` to ``start + length`` of an example; ``mask`` has 1 for each id that bears loss."""
+    """Ids ``start`` to ``start + length`` of an example; ``mask`` has 1 for each id that bears loss (None: all but the example's first)."""
 
     doc_id: int | None
     start: int
     ids: bytes
     total: int
-    mask: np.ndarray
+    mask: np.ndarray | None = None
 
-    @property
-    def length(self) -> int:
-        return len(self.ids) // 4
-
-    @property
-    def loss(self) -> int:
-        return int(self.mask.sum())
+    def __post_init__(self) -> None:
+        self.length = len(self.ids) // 4
+        self.loss = self.length - (self.start == 0 and self.length > 0) if self.mask is None else int(self.mask.sum())
 
     def cut(self, n: int) -> tuple["Piece", "Piece"]:
-        head = Piece(self.doc_id, self.start, self.ids[: 4 * n], self.total, self.mask[:n])
-        return head, Piece(self.doc_id, self.start + n, self.ids[4 * n :], self.total, self.mask[n:])
+        masks = (None, None) if self.mask is None else (self.mask[:n], self.mask[n:])
+        return Piece(self.doc_id, self.start, self.ids[: 4 * n], self.total, masks[0]), Piece(self.doc_id, self.start + n, self.ids[4 * n :], self.total, masks[1])
+
+    def most(self, tokens: int, loss: int) -> int:
+        """Ids at its start that hold no more tokens and loss than these."""
+        n = min(self.length, tokens)
+        if self.mask is None:
+            return min(n, loss + (self.start == 0))
+        mask = self.mask[:n]
+        return n if mask.sum() <= loss else int(np.searchsorted(np.cumsum(mask), loss, side="right"))
 
 
 class Packer:
@@ -145,10 +149,7 @@ class Packer:
 
     def _head(self, piece: Piece, tokens: int, segments: int, loss: int) -> int:
         """Ids that a piece can give to a bin with so much free."""
-        if segments < 1:
-            return 0
-        mask = piece.mask[:tokens]
-        return len(mask) if mask.sum() <= loss else int(np.searchsorted(np.cumsum(mask), loss, side="right"))
+        return piece.most(tokens, loss) if segments > 0 else 0
 
     def _powers(self, bin_: list[Piece], total: int) -> Iterator[list[Piece]]:
         pieces = bin_[::-1]
@@ -207,10 +208,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, limits: Limits
         def rows() -> Iterator[tuple]:
             for batch in slices(batches, "text", batch_bytes):
                 for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
-                    ids += end
-                    mask = np.ones(len(ids) // 4, dtype=np.int8)
-                    mask[:1] = 0
-                    yield doc_id, ids, mask
+                    yield doc_id, ids + end, None
 
         yield from _batches(pack_tokens(rows(), limits, cut, TaskContext.get().partitionId() << 33), with_ids)
 

@@ -113,13 +113,13 @@ class UnitEncoder:
         at = fields.offsets.to_numpy().astype(np.int64)
         at, values = at - at[0], fields.flatten()
         coded = values.dictionary_encode()
-        place = coded.indices.to_numpy().astype(np.int64)
+        place = coded.indices.to_numpy().copy()
         # a unit is kept without its blank, a text's first unit behind one
-        keys = coded.dictionary.to_pylist()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = [" " + h for h in values.take(pa.array(at[:-1])).to_pylist()]
         place[at[:-1]] = np.arange(len(keys), len(keys) + len(heads))
         # a field that is empty or starts with white space belongs to the unit before it: cut those texts with care
-        loose = np.array([not k or k[0].isspace() for k in keys] + [False] * len(heads))
+        loose = np.array([k[:1].isspace() or not k for k in keys] + [False] * len(heads))
         merged = np.unique(np.searchsorted(at, np.flatnonzero(loose[place]), side="right") - 1)
         careful = {i: _units(texts[i].as_py()) for i in merged.tolist()}
         keys = [k if k else " " for k in keys] + heads  # fields that are empty have no place any more
@@ -133,33 +133,48 @@ class UnitEncoder:
 
     def _look_up(self, keys: set[str]) -> None:
         """Have the ids of these units in the young generation."""
-        missing = self.units.missing(keys)
-        others = [k for k in missing if self._of_parts(k) is None]
-        self.units.update(zip(others, self._library([k[1:] if k[0] == " " else " " + k for k in others]), strict=True))
+        units, others = self.units, []
+        missing = units.missing(keys)
+        for k in missing:
+            ids = self._tokenized(k, True) if k.isalpha() and k.isascii() else self._of_parts(k)
+            if ids is None:
+                others.append(k)
+            else:
+                units[k] = ids
+        units.update(zip(others, self._library([k[1:] if k[0] == " " else " " + k for k in others]), strict=True))
         self.long = [k for k in missing if len(k) > CACHE_CHARS]
 
-    def _of_parts(self, k: str) -> bytes | None:
-        """Ids of a unit of Latin words, single marks behind them and line ends, by the model alone; None for all others."""
-        ids = self.units.get(k, self.units.old.get(k))
+    def _tokenized(self, word: str, blank: bool) -> bytes:
+        """Ids of a Latin word, which is one piece with its blank, by the model alone."""
+        written = word if word.isascii() else word.translate(self.written)
+        return array("I", [t.id for t in self.model.tokenize(self.written[32] + written if blank else written)]).tobytes()
+
+    def _part(self, k: str) -> bytes | None:
+        """Ids of a unit that stands in another one; it is kept too."""
+        ids = self.units.get(k)
         if ids is None:
-            if k[-1] in self.marks and k[-2:-1].isalpha() and k[-2] < _LATIN:
-                left = self._of_parts(k[:-1])
-                ids = left and left + self.marks[k[-1]]
-            elif len(ends := k.split("\n", 1)) == 2 and all(e and not e[0].isspace() and not e[-1].isspace() for e in ends):
-                left, right = self._of_parts(ends[0]), self._of_parts(" " + ends[1])
-                ids = left and right and left + self.marks["\n"] + right
-            else:
-                head = k[0] == " "
-                word = k[1:] if head else k
-                if not word.isalpha() or max(word) >= _LATIN:
-                    return None
-                written = word if word.isascii() else word.translate(self.written)
-                ids = array("I", [t.id for t in self.model.tokenize(written if head else self.written[32] + written)]).tobytes()
+            ids = self.units.old.get(k)
             if ids is None:
-                return None
-        self.units[k] = ids
+                ids = self._of_parts(k)
+            if ids is not None:
+                self.units[k] = ids
         return ids
 
+    def _of_parts(self, k: str) -> bytes | None:
+        """Ids of an unknown unit of Latin words, single marks behind them and line ends; None for all others."""
+        if k[-1] in self.marks and k[-2:-1].isalpha() and k[-2] < _LATIN:
+            left = self._part(k[:-1])
+            return left and left + self.marks[k[-1]]
+        if "\n" in k:
+            first, rest = k.split("\n", 1)
+            if not first or not rest or any(e[0].isspace() or e[-1].isspace() for e in (first, rest)):
+                return None
+            left, right = self._part(first), self._part(" " + rest)
+            return left and right and left + self.marks["\n"] + right
+        blank = k[0] != " "
+        word = k if blank else k[1:]
+        return self._tokenized(word, blank) if word.isalpha() and (word.isascii() or max(word) < _LATIN) else None
+
     def _age(self) -> None:
         for k in self.long:
             self.units.pop(k, None)
@@ -181,11 +196,13 @@ def _segments(text: str) -> Iterator[str]:
 
 def _gathered(ids: list[bytes], place: np.ndarray, at: np.ndarray) -> list[bytes]:
     """For each text the ids of its units, one after another: units ``place[at[i]:at[i + 1]]`` for text i."""
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    start = np.cumsum(size) - size
+    size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+    start = np.cumsum(size, dtype=np.int32) - size
     n = size[place]
-    end = np.cumsum(n)
+    end = np.cumsum(n, dtype=np.int64)
     flat = np.frombuffer(b"".join(ids), "<u4")
-    raw = flat[np.arange(end[-1]) + np.repeat(start[place] - (end - n), n)].tobytes()
+    # where a unit's ids are in flat, less where they go; a batch holds far less than 2**31 ids
+    shift = start[place] - (end - n).astype(np.int32)
+    raw = flat[np.arange(end[-1], dtype=np.int32) + np.repeat(shift, n)].tobytes()
     edge = (4 * np.concatenate([[0], end])[at]).tolist()
     return [raw[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
