@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -47,9 +48,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected the plans they belong to, which else may take half an hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected the plans they belong to, which else may take half an hour.
+
+    The first collection finds what Python let go of, the second what that held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; Spark's own default is eight times that.
