@@ -79,6 +79,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm import spelling
+
+    return spelling.variants(spelling.vocabulary(spelling.misspelt(spelling.runs(_table(spark, sf_dir, "documents")))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.repair import damaged, repair
+
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.sharding import shard_documents
+
+    return shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_decontamination": op9_decontamination,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sharding": op13_sharding,
     "pipeline": pipeline,
     "packed_conversations": packed_conversations,
 }
