@@ -67,11 +67,11 @@ def _narrow(docs: DataFrame, settings: Settings) -> DataFrame:
     return saved(slim.select("doc_id", (F.octet_length(text).cast("long") + settings.extra).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("_key"), F.xxhash64(F.monotonically_increasing_id()).alias("_row")), "shard-rows")
 
 
-def _drawn(rows: DataFrame, n: int) -> np.ndarray:
-    """n keys at most, drawn without repetition by rows, each with a chance that follows its size (the n smallest of -ln(u) / size)."""
+def _drawn(rows: DataFrame, n: int, total: int) -> np.ndarray:
+    """About n keys (in expectation, n at most), each row by itself with a chance that follows its share of ``total`` bytes, told by a hash."""
     u = (F.pmod(F.xxhash64("_key", "doc_id", "_row"), F.lit(1 << 53)) + 1) / F.lit(float((1 << 53) + 1))
-    drawn = rows.select("_key", (-F.log(u) / F.col("size")).alias("_e")).orderBy("_e", "_key").limit(n).select("_key")
-    return np.sort(drawn.toPandas()["_key"].to_numpy(dtype=np.int64))  # n keys, a parameter
+    drawn = rows.where(u <= F.col("size") * F.lit(n / total)).select("_key")
+    return np.sort(drawn.toPandas()["_key"].to_numpy(dtype=np.int64))
 
 
 def _quantiles(keys: np.ndarray, parts: int) -> list[int]:
@@ -95,7 +95,7 @@ def _piece(rows: DataFrame, settings: Settings) -> tuple[Column, list[int]]:
     wanted = settings.pieces(total)
     half = total / settings.shards / 2
     most = min(2 * total / wanted, half)
-    cuts = _quantiles(_drawn(rows, wanted * settings.draws), wanted)
+    cuts = _quantiles(_drawn(rows, wanted * settings.draws, max(total, 1)), wanted)
     for left in range(settings.rounds, -1, -1):
         ranged = rows.withColumn("_range", _range_of(cuts))
         found = ranged.groupBy("_range").agg(F.sum("size"), F.count("*"), F.min("_key"), F.max("_key")).collect()  # a row for each range
@@ -116,7 +116,7 @@ def _cut_again(ranged: DataFrame, over: list[tuple], most: float, settings: Sett
     """Cuts within the ranges that hold too much, from keys drawn there; a text with a large share of a range gets one of its own."""
     more = []
     wanted = min(settings.most_pieces, sum(int(held // most) + 2 for _, held, *_ in over))
-    drawn = _drawn(ranged.where(F.col("_range").isin([r[0] for r in over])), wanted * settings.draws)
+    drawn = _drawn(ranged.where(F.col("_range").isin([r[0] for r in over])), wanted * settings.draws, sum(r[1] for r in over))
     for _, held, _, low, high in over:
         own = drawn[(drawn >= low) & (drawn <= high)]
         more += _quantiles(own, int(held // most) + 2)
