@@ -8,9 +8,12 @@ without one each row weighs 1.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -306,40 +309,106 @@ def array_sums(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFram
 
 # --- correlation ----------------------------------------------------------------------------------------------
 
+#: Columns of a block of the matrix of products, values of a batch, and partial matrices that one task adds up.
+BLOCK_COLUMNS, BATCH_VALUES, ADDED = 64, 1 << 20, 64
 
-def _sums(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, bool]:
-    """Row count, means, centred sums of products (two passes, so that large means do no harm), and whether a null or NaN occurs."""
-    cols = [F.col(c).cast("double") for c in columns]
-    bad = sum((F.sum((c.isNull() | F.isnan(c)).cast("int")) for c in cols[1:]), F.sum((cols[0].isNull() | F.isnan(cols[0])).cast("int")))
-    r = df.agg(F.count("*"), bad, *[F.avg(c) for c in cols]).first()
-    mean = [x if x is not None else math.nan for x in r[2:]]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    s = df.agg(*[F.sum((cols[i] - F.lit(mean[i])) * (cols[j] - F.lit(mean[j]))).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, s, strict=True):
-        out[i, j] = out[j, i] = math.nan if v is None else v
-    return r[0], np.array(mean), out, bool(r[1])
+
+@dataclass
+class _Products:
+    """Rows, means and centred sums of products (some rows of that matrix) of a part of a table. Parts merge by the difference of their means, so large means do no harm."""
+
+    rows: int
+    mean: np.ndarray
+    sums: np.ndarray
+    bad: np.ndarray
+
+    def merge(self, other: "_Products", first: int) -> "_Products":
+        n = self.rows + other.rows
+        if not n:
+            return self
+        d = other.mean - self.mean
+        near = d[first : first + len(self.sums)]
+        return _Products(n, self.mean + d * (other.rows / n), self.sums + other.sums + np.outer(near, d) * (self.rows * other.rows / n), self.bad + other.bad)
+
+    def row(self, by: int, place: int, task: int) -> tuple:
+        return (by, place, task, self.rows, self.mean.tobytes(), self.sums.tobytes(), self.bad.tobytes())
+
+
+_PRODUCTS = "by int, place int, task int, rows long, mean binary, sums binary, bad binary"
+_PRODUCTS_ARROW = pa.schema([("by", pa.int32()), ("place", pa.int32()), ("task", pa.int32()), ("rows", pa.int64()), ("mean", pa.binary()), ("sums", pa.binary()), ("bad", pa.binary())])
+
+
+def _packed_products(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_PRODUCTS_ARROW.names, r, strict=True)) for r in rows], _PRODUCTS_ARROW)
+
+
+def _partial_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One matrix for each group (the last column) of the partition, handed on in blocks of rows."""
+    totals, task = {}, TaskContext.get().partitionId()
+    for batch in batches:
+        *columns, by = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        wide = np.column_stack([c.astype(float) for c in columns])
+        for g in np.unique(by):
+            mine = wide[by == g]
+            step = max(1, BATCH_VALUES // wide.shape[1])
+            for at in range(0, len(mine), step):
+                x = mine[at : at + step]
+                unknown = np.isnan(x)
+                x = np.where(unknown, 0.0, x)
+                mean = x.mean(axis=0)
+                centred = x - mean
+                part = _Products(len(x), mean, centred.T @ centred, unknown.sum(axis=0))
+                totals[g] = part if g not in totals else totals[g].merge(part, 0)
+    for g, total in totals.items():
+        blocks = [(at, _Products(total.rows, total.mean, total.sums[at : at + BLOCK_COLUMNS], total.bad)) for at in range(0, len(total.mean), BLOCK_COLUMNS)]
+        yield _packed_products([b.row(int(g), at, task) for at, b in blocks])
+
+
+def _added_products(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, (by, place) = None, (k.as_py() for k in key[:2])
+    for batch in batches:
+        for r in batch.to_pylist():
+            mean = np.frombuffer(r["mean"])
+            part = _Products(r["rows"], mean, np.frombuffer(r["sums"]).reshape(-1, len(mean)), np.frombuffer(r["bad"], dtype=np.int64))
+            total = part if total is None else total.merge(part, place)
+    yield _packed_products([total.row(by, place, 0)])
+
+
+def products(df: DataFrame, columns: Sequence[str], by: Column | None = None) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """For each value of ``by`` (small whole numbers; none: 0): rows, means and the matrix of centred sums of products, in one scan.
+
+    Each partition makes a partial matrix, whose blocks of rows are added up in
+    two steps. A column with a null or NaN is NaN all over.
+    """
+    numbers = [F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
+    partial = df.select(*numbers, (F.lit(0) if by is None else by).cast("int").alias("_by")).mapInArrow(_partial_products, _PRODUCTS)
+    few = partial.withColumn("task", F.col("task") % ADDED).groupBy("by", "place", "task").applyInArrow(_added_products, _PRODUCTS)
+    blocks = few.groupBy("by", "place").applyInArrow(_added_products, _PRODUCTS).collect()  # the matrix of each group
+    k, out = len(columns), {}
+    for r in blocks:
+        part, bad = np.frombuffer(r["sums"]).reshape(-1, k), np.frombuffer(r["bad"], dtype=np.int64) > 0
+        n, mean, sums = out.setdefault(r["by"], (r["rows"], np.where(bad, math.nan, np.frombuffer(r["mean"])), np.full((k, k), math.nan)))
+        sums[r["place"] : r["place"] + len(part)] = np.where(bad, math.nan, part)
+        sums[bad, :] = math.nan
+    return out
+
+
+def _sums(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray]:
+    n, _, sums = products(df, columns).get(0, (0, None, np.full((len(columns),) * 2, math.nan)))
+    return n, sums
 
 
 def covariance(df: DataFrame, columns: Sequence[str], ddof: int = 1) -> np.ndarray:
     """Covariance matrix; a null or NaN in any column makes its row and column NaN."""
-    n, _, s, _ = _sums(df, columns)
-    return _poisoned(df, columns, s / (n - ddof) if n > ddof else np.full_like(s, math.nan))
+    n, s = _sums(df, columns)
+    return s / (n - ddof) if n > ddof else np.full_like(s, math.nan)
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     """Pearson correlation matrix; nulls and NaNs as in covariance."""
-    _, _, s, _ = _sums(df, columns)
+    _, s = _sums(df, columns)
     d = np.sqrt(np.diag(s))
     with np.errstate(divide="ignore", invalid="ignore"):
         out = s / np.outer(d, d)
     np.fill_diagonal(out, np.where(np.isnan(np.diag(out)), np.nan, 1.0))
-    return _poisoned(df, columns, out)
-
-
-def _poisoned(df: DataFrame, columns: Sequence[str], m: np.ndarray) -> np.ndarray:
-    counts = df.agg(*[F.sum((F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).cast("int")) for c in columns]).first()
-    for i, n in enumerate(counts):
-        if n:
-            m[i, :] = m[:, i] = math.nan
-    return m
+    return out

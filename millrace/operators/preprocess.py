@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.prefix import exact_quantiles, mode, ordered_index
+from millrace.operators.prefix import exact_quantiles_of, modes, ordered_index
 
 #: Most categories of a literal map.
 MOST_LITERAL = 256
@@ -125,7 +125,7 @@ class RobustScaler(Transformer):
 
     def _fit(self, df):
         low, high = (q / 100 for q in self.quantile_range)
-        found = [exact_quantiles(df, c, [low, 0.5, high]) for c in self.input_cols]
+        found = exact_quantiles_of(df, self.input_cols, [low, 0.5, high])
         return {k: [q[i] for q in found] for i, k in enumerate(("low", "median", "high"))}
 
     def _column(self, c, i):
@@ -304,7 +304,7 @@ class OneHotEncoder(Transformer):
             x = self._group(c, spec)
             names = [n for n in spec["names"] if n not in spec["gone"]]
             if self.sparse:
-                place = F.coalesce(*[F.when(x.isNull(), F.lit(k)) for k, n in enumerate(names) if n is None], _in_map(x, [n if n is not None else "" for n in names]).cast("int"))
+                place = F.coalesce(*[F.when(x.isNull(), F.lit(k)) for k, n in enumerate(names) if n is None], _in_map(x, [n for n in names if n is not None]).cast("int"))  # null comes last, and is in no map
                 size = F.create_map(F.lit("array_length"), F.lit(len(names)))
                 out.append(F.when(place.isNull(), size).otherwise(F.map_concat(F.create_map(place.cast("string"), F.lit(1)), size)).alias(o))
             else:
@@ -327,7 +327,7 @@ class KBinsDiscretizer(Transformer):
             s = self._aggregate(df, low=F.min, high=F.max)
             edges = [[a + (b - a) * k / n for k in range(n + 1)] if a is not None else [] for a, b in zip(s["low"], s["high"], strict=True)]
         else:
-            found = [exact_quantiles(df, c, [k / n for k in range(n + 1)]) for c in self.input_cols]
+            found = exact_quantiles_of(df, self.input_cols, [k / n for k in range(n + 1)])
             edges = [q if q[0] is not None else [] for q in found]
         return {"edges": [[e for i, e in enumerate(x) if i == 0 or e - x[i - 1] > 1e-8] for x in edges]}
 
@@ -375,8 +375,9 @@ class SimpleImputer(Transformer):
         seen = {c: F.when(~self._missing(c, self._numeric[c]), F.col(c)) for c in self.input_cols}
         if self.strategy == "mean":
             return {"fill": list(df.agg(*[F.avg(seen[c]).alias(f"f{i}") for i, c in enumerate(self.input_cols)]).first())}
-        one = {c: df.select(seen[c].alias("_x")) for c in self.input_cols}
-        return {"fill": [exact_quantiles(one[c], "_x", [0.5])[0] if self.strategy == "median" else mode(one[c], "_x") for c in self.input_cols]}
+        names = [f"_x{i}" for i in range(len(self.input_cols))]
+        one = df.select(*[seen[c].alias(n) for c, n in zip(self.input_cols, names, strict=True)])
+        return {"fill": [q[0] for q in exact_quantiles_of(one, names, [0.5])] if self.strategy == "median" else modes(one, names)}
 
     def _column(self, c, i):
         fill = self.state["fill"][i]
@@ -470,7 +471,8 @@ class Pipeline:
 def column_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each column: count, max, mean, median, min, stddev, stddev_pop, variance, var_pop, mode."""
     stats = {"count": F.count, "max": F.max, "mean": F.avg, "min": F.min, "stddev": F.stddev, "stddev_pop": F.stddev_pop, "variance": F.variance, "var_pop": F.var_pop}
-    apart = {c: {"median": exact_quantiles(df, c, [0.5])[0], "mode": mode(df.select(F.col(c).cast("double").alias("_x")), "_x")} for c in columns}
+    numbers = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    apart = {c: {"median": q[0], "mode": m} for c, q, m in zip(columns, exact_quantiles_of(numbers, numbers.columns, [0.5]), modes(numbers, numbers.columns), strict=True)}
     order = ("count", "max", "mean", "median", "min", "stddev", "stddev_pop", "variance", "var_pop", "mode")
     value = lambda c, k: stats[k](F.col(c).cast("double")).cast("double") if k in stats else F.lit(apart[c][k]).cast("double")
     one = df.agg(*[F.struct(F.lit(c).alias("column"), *[value(c, k).alias(k) for k in order]).alias(f"s{i}") for i, c in enumerate(columns)])

@@ -15,12 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.intervals import LIFETIME, UNITS, from_seconds, guarded_ratio, parse_interval, micros_of, slice_start, split_interval
-from millrace.operators.asof import asof_join, range_join_binned
+from millrace.operators.asof import asof_join, range_join_binned, running_by_key, validity_join
 
 SIMPLE = ("sum", "count", "avg", "min", "max", "stddev", "var")
 SKETCHES = ("approx_count_distinct", "approx_percentile")
@@ -163,7 +164,8 @@ def _partials(f: Feature) -> dict[str, Column]:
         case "max":
             return {f"_max_{name}": F.max(c)}
         case "stddev" | "var":
-            return {f"_sum_{name}": F.sum(c), f"_count_{name}": F.count(c), f"_squares_{name}": F.sum(c.cast("double") * c.cast("double"))}
+            x = c.cast("double")
+            return {f"_sum_{name}": F.sum(c), f"_count_{name}": F.count(c), f"_squares_{name}": F.sum(x * x), f"_spread_{name}": F.var_pop(x) * F.count(c)}
         case "approx_count_distinct":
             return {f"_hll{f.precision}_{name}": F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), f.precision)}
         case "approx_percentile":
@@ -198,24 +200,46 @@ def build_tiles(events: DataFrame, spec: TileSpec) -> DataFrame:
     for f in spec.features:
         partials |= _partials(f)
     tiles = rows.groupBy(*group).agg(*[c.alias(n) for n, c in (partials or {"_count": F.count("*")}).items()])
-    for name, (f, n) in _lists(spec).items():
-        tiles = _join_null_safe(tiles, _listed(rows, spec, group, f, n, name), group)
+    if lists := _lists(spec):
+        kinds = dict(events.dtypes)
+        one = {name: F.when(F.col(f.column).isNotNull(), F.array(F.struct(F.col(spec.ts).alias("at"), F.col(f.column).alias("value")))) for name, (f, _) in lists.items()}
+        for found in _gathered(rows, group, [(name, f, n, one[name], kinds[f.column]) for name, (f, n) in lists.items()], kinds[spec.ts]):
+            tiles = _join_null_safe(tiles, found, group)
     return tiles
 
 
-def _listed(rows: DataFrame, spec: TileSpec, group: list[str], f: Feature, n: int, name: str) -> DataFrame:
-    values = rows.where(F.col(f.column).isNotNull()).select(*group, F.col(spec.ts).alias("_at"), F.col(f.column).alias("_value"))
-    return _ranked(values, group, f, n, name)
+def _gathered(rows: DataFrame, group: list[str], lists: Sequence[tuple[str, Feature, int, Column, str]], at: str) -> list[DataFrame]:
+    """The n newest or oldest (at, value) of each group and list as arrays, a table for each type of values; of equal values one, where they are to be distinct.
 
+    lists: name, feature, n, the row's own items as an array, and the values'
+    type. The items of all lists of one type are laid out once with the list's
+    number, ranked by one window of two orders, cut, and only then gathered.
+    """
+    out = []
+    for kind in sorted({k for *_, k in lists}):
+        mine = [x for x in lists if x[4] == kind]
+        newest = [i for i, (_, f, *_) in enumerate(mine) if f.function.startswith("last")]
+        once = [i for i, (_, f, *_) in enumerate(mine) if "distinct" in f.function]
+        none = F.array().cast(f"array<struct<at:{at},value:{kind}>>")
+        tagged = [_with_tag(F.coalesce(items, none), i) for i, (*_, items, _) in enumerate(mine)]
+        laid = rows.select(*group, F.explode(F.flatten(F.array(*tagged))).alias("_e")).select(*group, F.col("_e.tag").alias("_tag"), F.col("_e.at").alias("_at"), F.col("_e.value").alias("_value"))
+        if once:
+            latest = F.when(F.col("_tag").isin(newest), F.max("_at")).otherwise(F.min("_at")).alias("_at")
+            distinct = laid.where(F.col("_tag").isin(once)).groupBy(*group, "_tag", "_value").agg(latest).select(*laid.columns)
+            laid = distinct.unionByName(laid.where(~F.col("_tag").isin(once))) if len(once) < len(mine) else distinct
+        by = Window.partitionBy(*group, "_tag")
+        most = reduce(lambda c, x: F.when(F.col("_tag") == x[0], x[1][2]).otherwise(c), enumerate(mine), F.lit(0))
+        rank = lambda way: F.row_number().over(by.orderBy(way("_at"), way("_value")))
+        place = rank(F.desc) if len(newest) == len(mine) else F.when(F.col("_tag").isin(newest), rank(F.desc)).otherwise(rank(F.asc)) if newest else rank(F.asc)
+        ranked = laid.withColumn("_r", place).where(F.col("_r") <= most)
+        item = F.struct(F.col("_at").alias("at"), F.col("_value").alias("value"))
+        held = [F.collect_list(F.when(F.col("_tag") == i, item)) for i in range(len(mine))]
+        out.append(ranked.groupBy(*group).agg(*[F.when(F.size(h) > 0, h).alias(name) for h, (name, *_) in zip(held, mine, strict=True)]))
+    return out
 
-def _ranked(values: DataFrame, group: list[str], f: Feature, n: int, name: str) -> DataFrame:
-    """The n newest or oldest (_at, _value) of each group as an array; of equal values one, where they are to be distinct."""
-    newest = f.function.startswith("last")
-    if "distinct" in f.function:
-        values = values.groupBy(*group, "_value").agg((F.max if newest else F.min)("_at").alias("_at"))
-    order = [F.desc("_at"), F.desc("_value")] if newest else [F.asc("_at"), F.asc("_value")]
-    ranked = values.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= n)
-    return ranked.groupBy(*group).agg(F.collect_list(F.struct(F.col("_at").alias("at"), F.col("_value").alias("value"))).alias(name))
+
+def _with_tag(items: Column, tag: int) -> Column:
+    return F.transform(items, lambda x: F.struct(F.lit(tag).alias("tag"), x["at"].alias("at"), x["value"].alias("value")))
 
 
 def _join_null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -241,8 +265,8 @@ def merge_tiles(spine: DataFrame, tiles: DataFrame, spec: TileSpec, spine_ts: st
     windowed = [f for f in spec.features if not f.lifetime]
     forever = [f for f in spec.features if f.lifetime]
     if windowed:
-        merged = _secondary(points, tiles, spec) if spec.secondary_key else _windowed(points, tiles, spec, windowed)
-        out = out.join(merged, [*spec.keys, "_boundary"], "left")
+        for merged in [_secondary(points, tiles, spec)] if spec.secondary_key else _windowed(points, tiles, spec, windowed):
+            out = out.join(merged, [*spec.keys, "_boundary"], "left")
     if forever:
         out = _lifetime(out, tiles, spec, forever)
     blanks = {"sum": F.lit(0), "count": F.lit(0), "approx_count_distinct": F.lit(0)}
@@ -269,23 +293,27 @@ def _met(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame:
     return range_join_binned(points, tiles, spec.keys, _START, "_low", "_high", reach)
 
 
-def _windowed(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> DataFrame:
-    """Values by (keys, boundary). Lists are ranked and cut before anything is gathered; long windows of exact sums meet no tiles but two."""
+def _windowed(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> list[DataFrame]:
+    """Values by (keys, boundary), in tables to be joined to the spine: long windows of exact sums meet no tiles but two, all other aggregates are one aggregation, lists are ranked together and cut before anything is gathered."""
     long = [f for f in features if _by_difference(f, tiles, spec)]
     features = [f for f in features if f not in long]
     point = [*spec.keys, "_boundary"]
-    out = _differences(points, tiles, spec, long) if long else points
+    out = [_differences(points, tiles, spec, long)] if long else []
     if not features:
         return out
     met = _met(points, tiles, replace(spec, features=tuple(features)))
-    plain = [f for f in features if f.function not in LISTS]
-    if plain:
-        out = out.join(met.groupBy(*point).agg(*[_merged(f, _in_window(f, spec.seconds)).alias(f.output) for f in plain]), point, "left")
-    for f in (f for f in features if f.function in LISTS):
-        values = met.where(_in_window(f, spec.seconds)).select(*point, F.explode(_list_name(f)).alias("_e"))
-        gathered = _ranked(values.select(*point, F.col("_e.at").alias("_at"), F.col("_e.value").alias("_value")), point, f, f.n, "_list")
-        oldest_first = F.transform(F.sort_array("_list"), lambda x: x["value"])
-        out = out.join(gathered.select(*point, oldest_first.alias(f.output)), point, "left")
+    inside = {f: _in_window(f, spec.seconds) for f in features}
+    if plain := [f for f in features if f.function not in LISTS]:
+        spreads = {f: f"_ref{i}" for i, f in enumerate(plain) if f.function in ("stddev", "var")}
+        rows = met
+        for f, name in spreads.items():
+            rows = rows.withColumn(name, F.min(F.when(inside[f], _tile_mean(f.column))).over(Window.partitionBy(*point)))
+        out.append(rows.groupBy(*point).agg(*[_merged(f, inside[f], ref=spreads.get(f)).alias(f.output) for f in plain]))
+    if lists := [f for f in features if f.function in LISTS]:
+        items = {f: tiles.schema[_list_name(f)].dataType.elementType for f in lists}
+        asked = [(f.output, f, f.n, F.when(inside[f], F.col(_list_name(f))), items[f]["value"].dataType.simpleString()) for f in lists]
+        for found in _gathered(met, point, asked, items[lists[0]]["at"].dataType.simpleString()):
+            out.append(found.select(*point, *[F.transform(F.sort_array(c), lambda x: x["value"]).alias(c) for c in found.columns if c not in point]))  # oldest first
     return out
 
 
@@ -298,10 +326,11 @@ def _by_difference(f: Feature, tiles: DataFrame, spec: TileSpec) -> bool:
 
 
 def _differences(points: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> DataFrame:
-    """Sums over the tiles of a window: up to its end less those up to its start, two as-of lookups for each point and window."""
-    names = sorted({n for f in features for n in _partials(f)})
-    w = Window.partitionBy(*spec.keys).orderBy(_START).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = tiles.select(*spec.keys, _START, *[F.sum(n).over(w).alias(f"_run{n}") for n in names])
+    """Sums over the tiles of a window: up to its end less those up to its start, two as-of lookups for each point and window. Running sums have 38 digits, so only a window's own sum can be too large."""
+    names, kinds = sorted({n for f in features for n in _partials(f)}), dict(tiles.dtypes)
+    wide = {n: "decimal(38,0)" if kinds[n] == "bigint" else re.sub(r"\(\d+", "(38", kinds[n]) for n in names}
+    sums = {f"_run{n}": (F.sum, F.col(n).cast(wide[n])) for n in names}
+    running = running_by_key(tiles, spec.keys, _START, sums)
     # the last tile that starts before the window's end and is complete, and the last one before its start
     edges, b = {}, F.col("_boundary")
     for f in features:
@@ -312,17 +341,26 @@ def _differences(points: DataFrame, tiles: DataFrame, spec: TileSpec, features:
     found = asof_join(asked, running, spec.keys, "_at", _START, [f"_run{n}" for n in names], strict=True)
 
     def total(f: Feature, kind: str) -> Column:
-        name = f"_run_{kind}_{f.column}"
-        at = lambda back: F.max(F.when((F.col("_o") == f.offset_seconds) & (F.col("_w") == back), F.col(name)))
-        zero = F.lit(0).cast(dict(running.dtypes)[name])
-        return F.coalesce(at(0), zero) - F.coalesce(at(_up(f.window_seconds, spec.seconds)), zero)
+        name = f"_{kind}_{f.column}"
+        at = lambda back: F.coalesce(F.max(F.when((F.col("_o") == f.offset_seconds) & (F.col("_w") == back), F.col(f"_run{name}"))), F.lit(0).cast(wide[name]))
+        return (at(0) - at(_up(f.window_seconds, spec.seconds))).cast(kinds[name] if kind == "count" or kinds[name] == "bigint" else wide[name])
 
-    value = {"sum": lambda f: total(f, "sum").cast(dict(running.dtypes)[f"_run_sum_{f.column}"]), "count": lambda f: total(f, "count"), "avg": lambda f: guarded_ratio(total(f, "sum"), total(f, "count"))}
+    value = {"sum": lambda f: total(f, "sum"), "count": lambda f: total(f, "count"), "avg": lambda f: guarded_ratio(total(f, "sum"), total(f, "count"))}
     return found.groupBy(*spec.keys, "_boundary").agg(*[value[f.function](f).alias(f.output) for f in features])
 
 
-def _merged(f: Feature, inside: Column | None, zero: bool = True) -> Column:
-    """A feature's value from partials; ``inside`` says which tiles count (None: all)."""
+def _tile_mean(column: str) -> Column:
+    return guarded_ratio(F.col(f"_sum_{column}"), F.col(f"_count_{column}"))
+
+
+def _shifted(column: str, ref: str) -> tuple[Column, Column]:
+    """A tile's share of the sums of (x - ref) and (x - ref) squared."""
+    off = _tile_mean(column) - F.col(ref)
+    return F.col(f"_count_{column}") * off, F.col(f"_spread_{column}") + F.col(f"_count_{column}") * off * off
+
+
+def _merged(f: Feature, inside: Column | None, zero: bool = True, ref: str | None = None) -> Column:
+    """A feature's value from partials; ``inside`` says which tiles count (None: all). ref: a column near the values, from which spreads are taken."""
     pick = lambda name: F.col(name) if inside is None else F.when(inside, F.col(name))
     total = lambda kind: F.sum(pick(f"_{kind}_{f.column}"))
     match f.function:
@@ -334,9 +372,11 @@ def _merged(f: Feature, inside: Column | None, zero: bool = True) -> Column:
             return F.min(pick(f"_min_{f.column}"))
         case "max":
             return F.max(pick(f"_max_{f.column}"))
-        case "avg" | "stddev" | "var":
-            squares = total("squares") if f.function != "avg" else None
-            return _moments(f.function, total("sum"), total("count"), squares)
+        case "avg":
+            return guarded_ratio(total("sum"), total("count"))
+        case "stddev" | "var":
+            near = [F.sum(x if inside is None else F.when(inside, x)) for x in _shifted(f.column, ref)]
+            return _spread(f.function, total("sum"), total("count"), total("squares"), *near)
         case "approx_count_distinct":
             return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(pick(f"_hll{f.precision}_{f.column}"))), F.lit(0).cast("long"))
         case "approx_percentile":
@@ -345,12 +385,11 @@ def _merged(f: Feature, inside: Column | None, zero: bool = True) -> Column:
     raise ValueError(f"{f.function} is not merged by an aggregate")
 
 
-def _moments(function: str, s: Column, n: Column, squares: Column | None) -> Column:
+def _spread(function: str, s: Column, n: Column, squares: Column, off: Column, off_squares: Column) -> Column:
+    """Variance or its root from sums. The sums of whole numbers are exact in any order and are taken where they lose few digits; else those of what is left after a value nearby was taken off."""
     mean = guarded_ratio(s, n)
-    if function == "avg":
-        return mean
-    spread = F.greatest(guarded_ratio(squares, n) - mean * mean, F.lit(0.0))
-    variance = F.when(n > 0, spread)
+    plain, near = guarded_ratio(squares, n) - mean * mean, guarded_ratio(off_squares - guarded_ratio(off * off, n), n)
+    variance = F.when(n > 0, F.when(plain > mean * mean / 1000, plain).otherwise(F.greatest(near, F.lit(0.0))))
     return F.sqrt(variance) if function == "stddev" else variance
 
 
@@ -362,7 +401,12 @@ def _secondary(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame
     some = inside[0]
     for c in inside[1:]:
         some = some | c
-    per_key = met.where(some).groupBy(*spec.keys, "_boundary", sk).agg(*[_merged(f, c, zero=False).alias(f.output) for f, c in zip(spec.features, inside, strict=True)])
+    rows, refs = met.where(some), {}
+    for i, (f, c) in enumerate(zip(spec.features, inside, strict=True)):
+        if f.function in ("stddev", "var"):
+            refs[i] = f"_ref{i}"
+            rows = rows.withColumn(refs[i], F.min(F.when(c, _tile_mean(f.column))).over(Window.partitionBy(*spec.keys, "_boundary", sk)))
+    per_key = rows.groupBy(*spec.keys, "_boundary", sk).agg(*[_merged(f, c, zero=False, ref=refs.get(i)).alias(f.output) for i, (f, c) in enumerate(zip(spec.features, inside, strict=True))])
     w = Window.partitionBy(*spec.keys, "_boundary").orderBy(F.asc_nulls_last(sk))
     ranked = per_key.withColumn("_r", F.row_number().over(w))
     ranked = ranked if spec.most_secondary is None else ranked.where(F.col("_r") <= spec.most_secondary)
@@ -373,11 +417,17 @@ def _secondary(points: DataFrame, tiles: DataFrame, spec: TileSpec) -> DataFrame
 
 
 def accumulate(tiles: DataFrame, spec: TileSpec) -> DataFrame:
-    """Tiles with running sums, minima and maxima over all tiles of a key so far, for lifetime features."""
-    w = Window.partitionBy(*spec.keys).orderBy(_START).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    names = sorted({n for f in spec.features if f.lifetime for n in _partials(f)})
+    """Tiles with running sums, minima and maxima over all tiles of a key so far, for lifetime features; spreads as running sums around a value of the key."""
+    forever = [f for f in spec.features if f.lifetime]
+    names = sorted({n for f in forever for n in _partials(f) if not n.startswith("_spread_")})
     kinds = {"_min_": F.min, "_max_": F.max}
-    return tiles.select(*spec.keys, _START, *[next((k for p, k in kinds.items() if n.startswith(p)), F.sum)(n).over(w).alias(n) for n in names])
+    columns = {n: (kinds.get(n[:5], F.sum), F.col(n)) for n in names}
+    if spreads := sorted({f.column for f in forever if f.function in ("stddev", "var")}):
+        near = tiles.groupBy(*spec.keys).agg(*[F.min(_tile_mean(c)).alias(f"_ref_{c}") for c in spreads])
+        tiles = _join_null_safe(tiles, near, spec.keys)
+        for c in spreads:
+            columns[f"_off_{c}"], columns[f"_offsq_{c}"] = ((F.sum, x) for x in _shifted(c, f"_ref_{c}"))
+    return running_by_key(tiles, spec.keys, _START, columns)
 
 
 def _lifetime(spine: DataFrame, tiles: DataFrame, spec: TileSpec, features: list[Feature]) -> DataFrame:
@@ -388,8 +438,10 @@ def _lifetime(spine: DataFrame, tiles: DataFrame, spec: TileSpec, features: list
     for f in features:
         col = lambda kind: F.col(f"_life_{kind}_{f.column}")  # noqa: B023, E731
         match f.function:
-            case "avg" | "stddev" | "var":
-                value = _moments(f.function, col("sum"), col("count"), col("squares") if f.function != "avg" else None)
+            case "avg":
+                value = guarded_ratio(col("sum"), col("count"))
+            case "stddev" | "var":
+                value = _spread(f.function, *[col(k) for k in ("sum", "count", "squares", "off", "offsq")])
             case kind:
                 value = col(kind)
         met = met.withColumn(f.output, value)
@@ -403,26 +455,32 @@ def rollup_tiles(tiles: DataFrame, mapping: DataFrame, spec: TileSpec, keys: Seq
     (from <= start < to, a null end is open). Rows without a target key are
     left out. A list keeps the newest or oldest values over all children.
     """
-    start = from_seconds(F.col(_START))
-    joined = tiles.join(mapping, list(spec.keys))
     if valid_from:
-        joined = joined.where((start >= F.col(valid_from)) & (F.col(valid_to).isNull() | (start < F.col(valid_to))))
+        joined = validity_join(tiles.withColumn("_start_at", from_seconds(F.col(_START))), mapping, list(spec.keys), "_start_at", valid_from, valid_to)
+    else:
+        joined = tiles.join(mapping, list(spec.keys))
     for k in keys:
         joined = joined.where(F.col(k).isNotNull())
     group = [*keys, *([spec.secondary_key] if spec.secondary_key else []), _START]
     merged: dict[str, Column] = {}
+    for c in sorted({f.column for f in spec.features if f.function in ("stddev", "var")}):
+        joined = joined.withColumn(f"_ref_{c}", F.min(_tile_mean(c)).over(Window.partitionBy(*group)))
+        off, squares = (F.sum(x) for x in _shifted(c, f"_ref_{c}"))
+        merged[f"_spread_{c}"] = F.greatest(squares - F.coalesce(guarded_ratio(off * off, F.sum(f"_count_{c}")), F.lit(0.0)), F.lit(0.0))
     for f in spec.features:
         for name in _partials(f):
             if name.startswith("_hll"):
                 merged[name] = F.hll_union_agg(name)
             elif name.startswith("_kll_"):
                 merged[name] = F.kll_merge_agg_double(name)
-            else:
+            elif not name.startswith("_spread_"):
                 merged[name] = {"_min_": F.min, "_max_": F.max}.get(name[:5], F.sum)(name)
     rolled = joined.groupBy(*group).agg(*[c.alias(n) for n, c in (merged or {"_count": F.count("*")}).items()])
-    for name, (f, n) in _lists(spec).items():
-        values = joined.select(*group, F.explode(name).alias("_e")).select(*group, F.col("_e.at").alias("_at"), F.col("_e.value").alias("_value"))
-        rolled = _join_null_safe(rolled, _ranked(values, group, f, n, name), group)
+    if lists := _lists(spec):
+        items = {name: tiles.schema[name].dataType.elementType for name in lists}
+        asked = [(name, f, n, F.col(name), items[name]["value"].dataType.simpleString()) for name, (f, n) in lists.items()]
+        for found in _gathered(joined, group, asked, next(iter(items.values()))["at"].dataType.simpleString()):
+            rolled = _join_null_safe(rolled, found, group)
     return rolled
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
+from millrace.operators.metrics import products
 from millrace.operators.prefix import exact_quantiles
 from millrace.sources.catalog import JsonCatalog
 
@@ -166,9 +167,9 @@ class Registry:
         if self.catalog.get(name, version):
             raise ValueError(f"{name} {version} exists")
         record = {"model": base64.b64encode(_pickled(model)).decode(), "methods": model.methods(), "signature": signature, "metrics": metrics or {}, "tags": {}, "comment": comment}
-        self.catalog.put(name, version, record)
-        about = self.catalog.get("_models", name) or {"default": version, "aliases": {}}
-        self.catalog.put("_models", name, about)
+        self.catalog.put(name, version, record, expected=0)
+        if self.catalog.get("_models", name) is None:
+            self.catalog.put("_models", name, {"default": version, "aliases": {}})
         return self.get(name, version)
 
     def get(self, name: str, version: str | None = None) -> ModelVersion:
@@ -189,21 +190,16 @@ class Registry:
 
     def set_default(self, name: str, version: str) -> None:
         self.get(name, version)
-        self.catalog.put("_models", name, self.catalog.get("_models", name) | {"default": version})
+        self.catalog.change("_models", name, lambda about: about | {"default": version})
 
     def set_alias(self, name: str, version: str, alias: str) -> None:
-        about = self.catalog.get("_models", name)
-        self.catalog.put("_models", name, about | {"aliases": about["aliases"] | {alias: version}})
+        self.catalog.change("_models", name, lambda about: about | {"aliases": about["aliases"] | {alias: version}})
 
     def set_metric(self, name: str, version: str, metric: str, value: float) -> None:
-        record = self.catalog.get(name, version)
-        record["metrics"][metric] = value
-        self.catalog.put(name, version, record)
+        self.catalog.change(name, version, lambda record: record | {"metrics": record["metrics"] | {metric: value}})
 
     def set_tag(self, name: str, version: str, tag: str, value: str) -> None:
-        record = self.catalog.get(name, version)
-        record["tags"][tag] = value
-        self.catalog.put(name, version, record)
+        self.catalog.change(name, version, lambda record: record | {"tags": record["tags"] | {tag: value}})
 
     def delete(self, name: str, version: str | None = None) -> None:
         for v in [version] if version else self.versions(name):
@@ -235,7 +231,7 @@ class Estimator:
     def fit(self, df: DataFrame) -> "Estimator":
         if self.input_cols is None:
             self.input_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in (self.label, self.weight)]
-        stage = self.stage(*df.agg(F.count("*"), F.stddev(self.label)).first()) if inspect.isfunction(self.stage) else self.stage.copy()
+        stage = self.stage(*df.agg(F.count("*"), F.stddev_pop(self.label)).first()) if inspect.isfunction(self.stage) else self.stage.copy()
         stage.setFeaturesCol("_features")
         if self.label:
             stage.setLabelCol(self.label)
@@ -445,6 +441,38 @@ def search(df: DataFrame, candidates: Sequence[dict], build: Callable[[dict], Es
     return max(results, key=lambda r: r["mean"]), results
 
 
+def search_ridge(df: DataFrame, input_cols: Sequence[str], label: str, alphas: Sequence[float], folds: int = 3, key: Sequence[str] = (), fold: Column | None = None) -> tuple[dict, list[dict]]:
+    """As search over Ridge estimators, for all penalties and folds from one scan.
+
+    The scan gives means and sums of products by fold. Those of all folds but
+    one, merged, give the coefficients for any penalty by one small solve, and
+    those of the fold left out give its R squared. Rows with nulls raise. fold:
+    a column of fold numbers in place of the hash.
+    """
+    columns = [*input_cols, label]
+    found = products(df, columns, F.pmod(F.xxhash64(*(key or df.columns)), F.lit(folds)) if fold is None else fold)
+    if any(np.isnan(mean).any() for _, mean, _ in found.values()):
+        raise ValueError("nulls or NaN in the columns")
+    scores = np.full((len(alphas), folds), math.nan)
+    for k in range(folds):
+        n, mean, sums = _merged_products([v for f, v in found.items() if f != k], len(columns))
+        held, held_mean, held_sums = found.get(k, (0, None, None))
+        for i, alpha in enumerate(alphas):
+            if n and held:
+                slope = np.linalg.solve(sums[:-1, :-1] + alpha * np.eye(len(input_cols)), sums[:-1, -1])
+                miss = (held_mean[-1] - mean[-1]) - (held_mean[:-1] - mean[:-1]) @ slope
+                left = held_sums[-1, -1] - 2 * slope @ held_sums[:-1, -1] + slope @ held_sums[:-1, :-1] @ slope + held * miss**2
+                scores[i, k] = 1 - left / held_sums[-1, -1]
+    results = [{"index": i, "params": {"alpha": a}, "scores": [float(x) for x in scores[i]], "mean": float(np.mean(scores[i]))} for i, a in enumerate(alphas)]
+    return max(results, key=lambda r: r["mean"]), results
+
+
+def _merged_products(parts: Sequence[tuple[int, np.ndarray, np.ndarray]], k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    n = sum(rows for rows, *_ in parts)
+    mean = sum((rows * m for rows, m, _ in parts), np.zeros(k)) / max(n, 1)
+    return n, mean, sum((s + rows * np.outer(m - mean, m - mean) for rows, m, s in parts), np.zeros((k, k)))
+
+
 def pivoted(rows: DataFrame, run: str, name: str, value: Column, names: Sequence | None = None) -> DataFrame:
     """One row for each run, with a column of the aggregated value for each name (given, or those that occur)."""
     return rows.groupBy(run).pivot(name, names).agg(value)

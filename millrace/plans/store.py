@@ -2,26 +2,31 @@
 
 Definitions are JSON records, data are Parquet folders, both below one root.
 A view's query is SQL text or a function of the session; its physical name is
-<NAME>$<VERSION>.
+<NAME>$<VERSION>. Each refresh makes a version of the view's data; what was
+read before keeps its rows until the version is older than the store keeps.
 """
 
 from __future__ import annotations
 
+import base64
 import inspect
+import pickle
 import re
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.functions.intervals import parse_interval
-from millrace.operators.asof import asof_join
-from millrace.operators.tiles import Feature, TileSpec, build_tiles, merge_tiles, read_at, rollup_tiles
+from millrace.functions.intervals import parse_interval, seconds_of, slice_start
+from millrace.operators.asof import asof_join, asof_join_many
+from millrace.operators.tiles import MOST_SECONDARY, Feature, TileSpec, build_tiles, merge_tiles, read_at, rollup_tiles
+from millrace.operators.windows import latest_per_key
+from millrace.plans.versions import Snapshot, VersionedTables, within_ranges
 from millrace.sources.catalog import JsonCatalog
 from millrace.sources.connector import key_filter
 from millrace.sources.dataset import Dataset, DatasetVersion, extend_schema
@@ -79,6 +84,8 @@ class FeatureView:
     columns: Sequence[str] | None = None
     prefix: str | None = None
     stream: str | None = None
+    cluster_by: Sequence[str] = ()
+    most_secondary: int | None = MOST_SECONDARY
 
     def __post_init__(self) -> None:
         if self.refresh_freq and self.refresh_freq.upper() != "DOWNSTREAM" and not _CRON.fullmatch(self.refresh_freq) and parse_interval(self.refresh_freq) < 60:
@@ -98,7 +105,22 @@ class FeatureView:
 
     @property
     def spec(self) -> TileSpec | None:
-        return TileSpec(tuple(self.keys), self.timestamp_col, self.feature_granularity, tuple(self.features), self.aggregation_secondary_key) if self.features else None
+        return TileSpec(tuple(self.keys), self.timestamp_col, self.feature_granularity, tuple(self.features), self.aggregation_secondary_key, most_secondary=self.most_secondary) if self.features else None
+
+    @property
+    def order(self) -> list[str]:
+        """Columns that the rows of a file are sorted by: cluster_by, else the keys and the time."""
+        time = ["tile_start"] if self.features else [self.timestamp_col] if self.timestamp_col else []
+        return [*(self.cluster_by or self.keys), *([] if self.cluster_by else time)]
+
+    @property
+    def width(self) -> int | None:
+        """Seconds of time that a part of a tiled view's table holds: a day, or thirty tiles where those are days."""
+        return None if not self.features else 86400 if self.spec_seconds < 86400 else 30 * self.spec_seconds
+
+    @property
+    def spec_seconds(self) -> int:
+        return parse_interval(self.feature_granularity)
 
     def slice(self, names: Sequence[str]) -> "FeatureView":
         out = FeatureView(**{**self.__dict__, "columns": list(names)})
@@ -112,7 +134,7 @@ class FeatureView:
 
     def to_dict(self) -> dict:
         d = {k: v for k, v in self.__dict__.items() if k not in ("entities", "features", "compute", "rollup", "columns", "prefix")}
-        return d | {"entities": [e.name for e in self.entities], "features": [f.to_dict() for f in self.features], "rollup": self.rollup.__dict__ if self.rollup else None, "columns": None, "prefix": None}
+        return d | {"cluster_by": list(self.cluster_by), "entities": [e.name for e in self.entities], "features": [f.to_dict() for f in self.features], "rollup": self.rollup.__dict__ if self.rollup else None, "columns": None, "prefix": None}
 
 
 @dataclass
@@ -123,9 +145,11 @@ class FeatureGroup:
 
 
 class FeatureStore:
-    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None)) -> None:
-        self.spark, self.root, self.clock = spark, root.rstrip("/"), clock
+    def __init__(self, spark: SparkSession, root: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None), keep: str = "1 day") -> None:
+        """keep: how long a version of a view's data stays readable after a newer one replaced it."""
+        self.spark, self.root, self.clock, self.keep = spark, root.rstrip("/"), clock, timedelta(seconds=parse_interval(keep))
         self.catalog = JsonCatalog(spark, f"{self.root}/_meta")
+        self.tables = VersionedTables(spark, self.catalog, self.root)
         self._compute: dict[str, Callable[[SparkSession], DataFrame]] = {}
 
     # entities
@@ -162,12 +186,15 @@ class FeatureStore:
     def register_feature_view(self, view: FeatureView, version: str | None = None, overwrite: bool = False, seed: DataFrame | None = None) -> FeatureView:
         """Check, materialise, record; if anything fails, what was made is taken back and an older view stays as it was.
 
-        Data go to a folder of their own, which takes the old one's place when
-        the record is replaced. seed: a backfill table that becomes the first
-        batch of an append-only view; its columns must begin the view's.
+        An overwrite adds a version to the older view's: what was read from it
+        stays readable. seed: a backfill table that becomes the first batch of
+        an append-only view; its columns must begin the view's. A function is
+        kept with the record if it can be pickled (one that holds on to
+        DataFrames cannot); else it lives as long as this store object.
         """
         view = FeatureView(**{**view.__dict__, "version": version or view.version})
-        name, old, held = view.physical_name, self.catalog.get("view", view.physical_name), self._compute.get(view.physical_name)
+        name, held = view.physical_name, self._compute.get(view.physical_name)
+        old, revision = self.catalog.get_revision("view", name)
         if old and not overwrite:
             raise ValueError(f"{name} exists")
         if seed is not None and not view.append_only:
@@ -179,72 +206,75 @@ class FeatureStore:
         self._compute.pop(name, None)
         if view.compute:
             self._compute[name] = view.compute
-        folder = f"{name}/{uuid.uuid4().hex}"
+        folder = self.tables.fresh(name)
         try:
             self._check(view)
-            if seed is not None:
-                extend_schema(seed, self._source(view))
-                self._write_batch(seed, folder, "seed")
-            self._materialise(view, folder, "0")
-            self.catalog.put("view", name, view.to_dict() | {"status": "ACTIVE", "history": [self.clock().isoformat()], "folder": folder})
+            snapshot = self._materialise(view, folder, "0", seed)
+            record = view.to_dict() | {"status": "ACTIVE", "history": [self.clock().isoformat()], "function": _pickled(view.compute), "computed": view.compute is not None, "versions": (old or {}).get("versions", [])}
+            self.tables.commit(name, record, revision, snapshot, self.clock(), folder, self.keep)
         except Exception:
             self.catalog.remove_tree("..", "tables", folder)
             self._compute.pop(name, None)
             if held:
                 self._compute[name] = held
             raise
-        if old:
-            self.catalog.remove_tree("..", "tables", old["folder"])
         if not view.refresh_freq and not view.features:  # a view of the session too, by its physical name
             self._source(view).createOrReplaceTempView(f"`{name}`")
         return view
 
     def _check(self, view: FeatureView) -> None:
         columns = {c.lower() for c in self._source(view).columns} if not view.rollup else set()
-        wanted = [] if view.rollup else [*view.keys, *([view.timestamp_col] if view.timestamp_col else []), *[f.column for f in view.features], *([view.aggregation_secondary_key] if view.aggregation_secondary_key else [])]
+        wanted = [] if view.rollup else [*view.keys, *([view.timestamp_col] if view.timestamp_col else []), *[f.column for f in view.features], *([view.aggregation_secondary_key] if view.aggregation_secondary_key else []), *([] if view.features else view.cluster_by)]
         if missing := [c for c in wanted if c.lower() not in columns]:
             raise ValueError(f"{view.name}: no such columns: {missing}")
         _ = view.spec
 
     def _source(self, view: FeatureView) -> DataFrame:
         compute = view.compute or self._compute.get(view.physical_name)
+        if compute is None and not view.query:
+            raise ValueError(f"{view.physical_name}: its function could not be kept with the record; register the view again")
         return compute(self.spark) if compute else self.spark.sql(view.query)
 
-    def _path(self, view: FeatureView, folder: str | None = None) -> str:
-        return f"{self.root}/tables/{folder or self.catalog.get('view', view.physical_name)['folder']}"
-
     def _parent_spec(self, view: FeatureView) -> tuple[FeatureView, TileSpec]:
         parent = self.get_feature_view(view.rollup.parent, view.rollup.parent_version)
         return parent, TileSpec(tuple(parent.keys), parent.timestamp_col, parent.feature_granularity, tuple(view.features), view.aggregation_secondary_key)
 
-    def _tiles(self, view: FeatureView) -> DataFrame:
+    def _built(self, view: FeatureView) -> DataFrame:
         if not view.rollup:
             return build_tiles(self._source(view), view.spec)
         parent, spec = self._parent_spec(view)
-        return rollup_tiles(self.spark.read.parquet(self._path(parent)), self.spark.sql(view.rollup.mapping), spec, view.keys, view.rollup.valid_from, view.rollup.valid_to)
+        return rollup_tiles(self.tiles(parent), self.spark.sql(view.rollup.mapping), spec, view.keys, view.rollup.valid_from, view.rollup.valid_to)
 
-    def _materialise(self, view: FeatureView, folder: str, batch: str) -> None:
-        if view.features:
-            self._tiles(view).write.mode("overwrite").parquet(self._path(view, folder))
-        elif view.append_only:
-            self._write_batch(self._source(view), folder, batch)
-        elif view.refresh_freq:
-            self._source(view).write.mode("overwrite").parquet(self._path(view, folder))
+    def _materialise(self, view: FeatureView, folder: str, batch: str, seed: DataFrame | None = None) -> Snapshot:
+        """The view's data anew, in parts below the folder; views without a refresh frequency have none."""
+        if view.append_only:
+            rows = self._source(view)
+            schema = rows.schema if seed is None else extend_schema(seed, rows).schema
+            parts = {} if seed is None else {"seed": self._batch(seed, f"{folder}/seed", view)}
+            return Snapshot(parts | {batch: self._batch(rows, f"{folder}/{batch}", view)}, schema, view.to_dict())
+        if not view.refresh_freq:
+            return Snapshot({}, StructType([]), view.to_dict())
+        rows = self._built(view) if view.features else self._source(view)
+        return Snapshot(self.tables.write(rows, folder, view.order, view.width), rows.schema, view.to_dict())
 
-    def _write_batch(self, rows: DataFrame, folder: str, batch: str) -> None:
-        """A batch of an append-only view has a folder of its own: written again, it replaces itself."""
-        rows.write.mode("overwrite").parquet(f"{self.root}/tables/{folder}/_batch={batch}")
+    def _batch(self, rows: DataFrame, folder: str, view: FeatureView) -> str:
+        return self.tables.write(rows, folder, view.order)["all"]
 
     def get_feature_view(self, name: str, version: str) -> FeatureView:
         if (d := self.catalog.get("view", f"{name.upper()}${version}")) is None:
             raise ValueError(f"no feature view {name} {version}")
-        d = {k: v for k, v in d.items() if k not in ("status", "history", "folder")}
+        view = self._defined(d)
+        if d["computed"] and view.physical_name not in self._compute and d["function"]:
+            self._compute[view.physical_name] = pickle.loads(base64.b64decode(d["function"]))
+        view.compute = self._compute.get(view.physical_name)
+        return view
+
+    def _defined(self, record: dict) -> FeatureView:
+        d = {k: v for k, v in record.items() if k not in ("status", "history", "versions", "function", "computed")}
         d["entities"] = [self.get_entity(e) for e in d["entities"]]
         d["features"] = [Feature.from_dict(f) for f in d["features"]]
         d["rollup"] = Rollup(**d["rollup"]) if d["rollup"] else None
-        view = FeatureView(**d)
-        view.compute = self._compute.get(view.physical_name)
-        return view
+        return FeatureView(**d)
 
     def list_feature_views(self, entity: str | None = None, prefix: str = "") -> DataFrame:
         rows = []
@@ -255,49 +285,77 @@ class FeatureStore:
         return self.spark.createDataFrame(rows, "name string, version string, entities array<string>, refresh_freq string, status string, desc string")
 
     def update_feature_view(self, name: str, version: str, refresh_freq: str | None = None, desc: str | None = None) -> FeatureView:
-        d = self.catalog.get("view", self.get_feature_view(name, version).physical_name)
-        d |= {k: v for k, v in (("refresh_freq", refresh_freq), ("desc", desc)) if v is not None}
-        self.catalog.put("view", f"{name.upper()}${version}", d)
+        view = self.get_feature_view(name, version)
+        given = {k: v for k, v in (("refresh_freq", refresh_freq), ("desc", desc)) if v is not None}
+        self.catalog.change("view", view.physical_name, lambda d: d | given)
         return self.get_feature_view(name, version)
 
     def refresh_feature_view(self, view: FeatureView, changed: DataFrame | None = None, batch: str | None = None) -> None:
         """Bring a view's data up to date; suspended views raise.
 
         A tiled view with ``changed`` (new or late events, already in its
-        source) computes only the tiles they touch. Append-only views add a
-        batch, by default under the number of refreshes so far; a batch given
-        again replaces itself. Columns may be added at the end only. All else
-        is computed again in a new folder, which then takes the old one's
-        place. Without a refresh frequency there are no data.
+        source) reads, computes and writes only the parts of its table that
+        they fall in; the other parts stay where they are. Append-only views
+        add a batch, by default under the number of refreshes so far; a batch
+        given again replaces itself. Columns may be added at the end only. All
+        else is computed anew. Whichever way, the result is a new version; if
+        the view was changed meanwhile, ConcurrentChange is raised. Without a
+        refresh frequency there are no data.
         """
-        d = self.catalog.get("view", view.physical_name)
+        name = view.physical_name
+        d, revision = self.catalog.get_revision("view", name)
         if d["status"] != "ACTIVE":
-            raise ValueError(f"{view.physical_name} is suspended")
-        folder = d["folder"]
-        if view.append_only:
-            extend_schema(self._rows(view), self._source(view))
-            self._write_batch(self._source(view), folder, batch or str(len(d["history"])))
-        elif view.refresh_freq:
-            folder = f"{view.physical_name}/{uuid.uuid4().hex}"
-            try:
-                if view.features and not view.rollup and changed is not None:
-                    refresh_tiles(self._source(view), self.spark.read.parquet(self._path(view)), view.spec, changed).write.parquet(self._path(view, folder))
-                else:
-                    self._materialise(view, folder, "0")
-            except Exception:
-                self.catalog.remove_tree("..", "tables", folder)
-                raise
-        self.catalog.put("view", view.physical_name, d | {"folder": folder, "history": [*d["history"], self.clock().isoformat()]})
-        if folder != d["folder"]:
-            self.catalog.remove_tree("..", "tables", d["folder"])
+            raise ValueError(f"{name} is suspended")
+        folder, snapshot = self.tables.fresh(name), self.tables.snapshot(name)
+        try:
+            if view.append_only:
+                rows, number = self._source(view), batch or str(len(d["history"]))
+                schema = extend_schema(self.tables.read(snapshot), rows).schema
+                new = Snapshot(snapshot.parts | {number: self._batch(rows, f"{folder}/{number}", view)}, schema, view.to_dict())
+            elif view.features and not view.rollup and changed is not None:
+                new = self._refreshed(view, snapshot, changed, folder)
+            else:
+                new = self._materialise(view, folder, "0")
+        except Exception:
+            self.catalog.remove_tree("..", "tables", folder)
+            raise
+        self.tables.commit(name, d | {"history": [*d["history"], self.clock().isoformat()]}, revision, new, self.clock(), folder, self.keep)
+
+    def _refreshed(self, view: FeatureView, snapshot: Snapshot, changed: DataFrame, folder: str) -> Snapshot:
+        ranges = self._touched(view, changed)
+        if not ranges:
+            return snapshot
+        rows = self.refreshed_tiles(view, snapshot, changed, ranges)
+        untouched = {n: p for n, p in snapshot.parts.items() if int(n) not in set(ranges)}
+        return Snapshot(untouched | self.tables.write(rows, folder, view.order, view.width), snapshot.schema, view.to_dict())
+
+    def _touched(self, view: FeatureView, changed: DataFrame) -> list[int]:
+        """The ranges of time that changed events fall in; as many as there are ranges at most."""
+        place = F.floor(slice_start(F.col(view.timestamp_col), view.spec.seconds) / view.width)
+        return sorted(r[0] for r in changed.where(F.col(view.timestamp_col).isNotNull()).select(place.alias("r")).distinct().collect())
+
+    def refreshed_tiles(self, view: FeatureView, snapshot: Snapshot, changed: DataFrame, ranges: Sequence[int]) -> DataFrame:
+        """New tiles of some ranges: the parts of the table and of the source that hold them are all that is read."""
+        source = self._source(view)
+        near = source.where(within_ranges(view.timestamp_col, source.schema[view.timestamp_col].dataType.simpleString(), ranges, view.width))
+        tiles = refresh_tiles(near, self.tables.read(snapshot, [str(r) for r in ranges]), view.spec, changed)
+        return tiles.select(*snapshot.schema.fieldNames())
 
     def get_refresh_history(self, view: FeatureView) -> DataFrame:
         times = self.catalog.get("view", view.physical_name)["history"]
         return self.spark.createDataFrame([(view.physical_name, i, t) for i, t in enumerate(times)], "name string, refresh long, at string")
 
+    def list_versions(self, view: FeatureView) -> DataFrame:
+        """number and time of the versions of a view's data that can be read."""
+        rows = [(v["n"], v["at"]) for v in self.catalog.get("view", view.physical_name)["versions"]]
+        return self.spark.createDataFrame(rows, "number long, at string")
+
+    def expire_versions(self, view: FeatureView, older_than: str) -> list[int]:
+        """Let go of versions that were replaced longer ago than an interval, before the store would do so."""
+        return self.tables.expire(view.physical_name, self.clock() - timedelta(seconds=parse_interval(older_than)))
+
     def _status(self, view: FeatureView, status: str) -> None:
-        d = self.catalog.get("view", view.physical_name)
-        self.catalog.put("view", view.physical_name, d | {"status": status})
+        self.catalog.change("view", view.physical_name, lambda d: d | {"status": status})
 
     def suspend_feature_view(self, view: FeatureView) -> None:
         self._status(view, "SUSPENDED")
@@ -310,15 +368,29 @@ class FeatureStore:
         users = [n for n in self.catalog.names("view") if (r := self.catalog.get("view", n)["rollup"]) and (r["parent"].upper(), r["parent_version"]) == (name.upper(), version)]
         if users:
             raise ValueError(f"{view.physical_name} is the parent of {users}")
+        self.tables.drop(view.physical_name)
         self.catalog.delete("view", view.physical_name)
-        self.catalog.remove_tree("..", "tables", view.physical_name)
+        self._compute.pop(view.physical_name, None)
+
+    def tiles(self, view: FeatureView, low: int | None = None, high: int | None = None, version: int | None = None) -> DataFrame:
+        """The tiles of a view as of its newest version or another; with bounds (seconds since 1970) only parts that may hold tiles in between are read."""
+        return self.tables.between(self.tables.snapshot(view.physical_name, version), view.width, low, high)
 
-    def read_feature_view(self, view: FeatureView, keys: Sequence[Sequence] | None = None, feature_names: Sequence[str] | None = None) -> DataFrame:
-        """Rows of the view; of a tiled one the values at the clock's time."""
+    def read_feature_view(self, view: FeatureView, keys: Sequence[Sequence] | None = None, feature_names: Sequence[str] | None = None, version: int | None = None) -> DataFrame:
+        """Rows of the view; of a tiled one the values at the clock's time.
+
+        version: the number of a refresh (list_versions) whose data are read,
+        by the definition of that time. The rows stay the same if the view is
+        refreshed or overwritten before they are used.
+        """
+        if version is not None:
+            columns, prefix = view.columns, view.prefix
+            view = self._defined(self.tables.snapshot(view.physical_name, version).about)
+            view.columns, view.prefix = columns, prefix
         if view.features:
-            df = read_at(self.spark.read.parquet(self._path(view)), view.spec, F.lit(self.clock()), False).drop("as_of")
+            df = read_at(self.tiles(view, version=version), view.spec, F.lit(self.clock()), False).drop("as_of")
         else:
-            df = self._rows(view)
+            df = self._rows(view, version)
         if keys is not None:
             df = key_filter(df, view.keys, keys)
         if feature_names is not None:
@@ -327,14 +399,10 @@ class FeatureStore:
             df = df.select(*view.keys, *feature_names)
         return df
 
-    def _rows(self, view: FeatureView) -> DataFrame:
+    def _rows(self, view: FeatureView, version: int | None = None) -> DataFrame:
         if not view.refresh_freq:
             return self._source(view)
-        if not view.append_only:
-            return self.spark.read.parquet(self._path(view))
-        rows = self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", False).parquet(self._path(view)).drop("_batch")
-        grown = [c for c in self._source(view).columns if c in rows.columns]  # in the order of the newest batch
-        return rows.select(*grown, *[c for c in rows.columns if c not in grown])
+        return self.tables.read(self.tables.snapshot(view.physical_name, version))
 
     # stream sources
 
@@ -354,8 +422,7 @@ class FeatureStore:
         return self.spark.createDataFrame(rows, "name string, desc string")
 
     def update_stream_source(self, name: str, desc: str) -> None:
-        self.get_stream_source(name)
-        self.catalog.put("stream", name.upper(), self.catalog.get("stream", name.upper()) | {"desc": desc})
+        self.catalog.change("stream", name.upper(), lambda d: d | {"desc": desc})
 
     def delete_stream_source(self, name: str) -> None:
         self.get_stream_source(name)
@@ -417,29 +484,56 @@ class FeatureStore:
     # training sets
 
     def retrieve_feature_values(self, spine: DataFrame, features: Sequence[FeatureView], spine_timestamp_col: str | None = None, exclude_columns: Sequence[str] = (), auto_prefix: bool = False) -> DataFrame:
-        """The spine with every view's features: as of the spine's time, or the current ones without a time."""
+        """The spine with every view's features: as of the spine's time, or the current ones without a time.
+
+        Views with a time column and the same keys are joined together, in one
+        sort of the spine and their rows. Append-only views have no current
+        rows, so without a time they raise.
+        """
         if missing := [k for v in features for k in v.keys if k not in spine.columns]:
             raise ValueError(f"join keys not in the spine: {sorted(set(missing))}")
-        out = spine
+        if spine_timestamp_col is None and (bad := [v.physical_name for v in features if v.append_only]):
+            raise ValueError(f"append-only views need the spine's time: {bad}")
+        out, groups, names, bounds = spine, {}, [*spine.columns], None
         for v in features:
             prefix = f"{v.prefix}_" if v.prefix else f"{v.name.upper()}_{v.version}_" if auto_prefix and v.prefix != "" else ""
-            out = self._joined(out, v, spine_timestamp_col, prefix)
-        return out.drop(*exclude_columns)
-
-    def _joined(self, spine: DataFrame, v: FeatureView, ts: str | None, prefix: str) -> DataFrame:
-        wanted = [c.lower() for c in v.columns] if v.columns else None
-        if v.features:
-            if ts:
-                met = merge_tiles(spine, self.spark.read.parquet(self._path(v)), v.spec, ts)
-            else:
-                met = spine.join(self.read_feature_view(v), v.keys, "left")
-            names = [c for c in met.columns if c not in spine.columns]
-            return met.select(*spine.columns, *[F.col(c).alias(prefix + c) for c in names if wanted is None or c.lower() in wanted])
-        rows = self._rows(v)
-        names = [c for c in rows.columns if c not in v.keys and c != v.timestamp_col and (wanted is None or c.lower() in wanted)]
-        if v.timestamp_col and ts:
-            return asof_join(spine, rows, v.keys, ts, v.timestamp_col, names, prefix, spread=None)
-        return spine.join(rows.select(*v.keys, *[F.col(c).alias(prefix + c) for c in names]), v.keys, "left").select(*spine.columns, *[prefix + c for c in names])
+            wanted = [c.lower() for c in v.columns] if v.columns else None
+            if v.features:
+                names = _added(names, [prefix + c for c in _tiled_names(v) if wanted is None or c.lower() in wanted])
+                if spine_timestamp_col:
+                    bounds = bounds or self._bounds(spine, spine_timestamp_col)
+                out = self._tiled(out, v, spine_timestamp_col, prefix, wanted, bounds)
+                continue
+            rows = self._rows(v)
+            columns = [c for c in rows.columns if c not in v.keys and c != v.timestamp_col and (wanted is None or c.lower() in wanted)]
+            names = _added(names, [prefix + c for c in columns])
+            if v.timestamp_col and spine_timestamp_col:
+                groups.setdefault(tuple(sorted(v.keys)), []).append((rows, v.timestamp_col, columns, prefix))
+                continue
+            current = latest_per_key(rows, v.keys, v.timestamp_col) if v.timestamp_col else rows
+            out = out.join(current.select(*v.keys, *[F.col(c).alias(prefix + c) for c in columns]), v.keys, "left").select(*out.columns, *[prefix + c for c in columns])
+        for keys, views in groups.items():
+            out = asof_join_many(out, views, list(keys), spine_timestamp_col)
+        return out.select(*names).drop(*exclude_columns)
+
+    def _bounds(self, spine: DataFrame, ts: str) -> tuple:
+        """The spine's first and last time, in seconds since 1970; nulls of an empty spine."""
+        return tuple(spine.agg(F.min(seconds_of(F.col(ts))), F.max(seconds_of(F.col(ts)))).first())
+
+    def _tiled(self, spine: DataFrame, v: FeatureView, ts: str | None, prefix: str, wanted: list[str] | None, bounds: tuple | None) -> DataFrame:
+        if ts:
+            low, high = self._reach(v, bounds)
+            met = merge_tiles(spine, self.tiles(v, low, high), v.spec, ts)
+        else:
+            met = spine.join(self.read_feature_view(v), v.keys, "left")
+        return met.select(*spine.columns, *[F.col(c).alias(prefix + c) for c in _tiled_names(v) if wanted is None or c.lower() in wanted])
+
+    def _reach(self, v: FeatureView, bounds: tuple) -> tuple[int | None, int | None]:
+        """Tiles that a spine between two times may need: no other parts of the table are read."""
+        if bounds[0] is None:
+            return 0, 0
+        first, last = (t - t % v.spec.unit_seconds for t in bounds)
+        return None if any(f.lifetime for f in v.features) else first - max(v.spec.reach, v.spec.seconds), last
 
     def generate_training_set(self, spine: DataFrame, features: Sequence[FeatureView] | None = None, feature_group: str | None = None, spine_timestamp_col: str | None = None, exclude_columns: Sequence[str] = (), save_as: str | None = None, auto_prefix: bool = False) -> DataFrame:
         """As retrieve_feature_values; with save_as written as a table that must not exist."""
@@ -478,6 +572,26 @@ class FeatureStore:
         self.catalog.remove_tree("..")
 
 
+def _added(names: list[str], more: list[str]) -> list[str]:
+    if clash := sorted({n for n in more if n in names or more.count(n) > 1}):
+        raise ValueError(f"columns on both sides: {clash}; give a prefix")
+    return names + more
+
+
+def _tiled_names(v: FeatureView) -> list[str]:
+    return [*(["secondary_keys"] if v.aggregation_secondary_key else []), *[f.output for f in v.features]]
+
+
+def _pickled(function: Callable | None) -> str | None:
+    """A function as text, or None if it holds something that belongs to this session."""
+    if function is None:
+        return None
+    try:
+        return base64.b64encode(cloudpickle.dumps(function)).decode()
+    except Exception:  # whatever it holds refuses in its own way
+        return None
+
+
 def check_compute(compute: Callable, allowed: Sequence[str] = ("pd", "np", "pandas", "numpy", "math")) -> None:
     """Raise unless ``compute`` is a plain function that needs nothing but its argument, builtins and the allowed modules.
 

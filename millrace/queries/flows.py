@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.intervals import from_seconds, seconds_of, slice_start
+from millrace.functions.intervals import from_seconds, micros_of, seconds_of, slice_start
 from millrace.operators.tiles import Feature, TileSpec, build_tiles
-from millrace.plans.models import CustomModel, Estimator, Experiments, Registry, chained, estimator, grid, inference_api, infer_signature, partitioned_api, pivoted, search, selector
+from millrace.plans.models import CustomModel, Estimator, Experiments, Registry, chained, estimator, grid, inference_api, infer_signature, partitioned_api, pivoted, search, search_ridge, selector
 from millrace.plans.store import Entity, FeatureGroup, FeatureStore, FeatureView, realtime_features
 from millrace.queries.features import _EVENTS_SQL, _SPINE_SQL, _window_sql
-from millrace.operators.windows import latest_per_key
+from millrace.operators.sets import distinct_union, values_except
+from millrace.operators.windows import latest_per_key, top_n
 from millrace.sources.connector import DataConnector, key_filter, shard
 from millrace.sources.dataset import Dataset, FileSet, read_versions
-from millrace.streaming.stream import append_batches, apply_rowwise, backfill, refresh_tiles, stream_tiles
+from millrace.streaming.stream import append_batches, apply_rowwise, backfill, refresh_tiles, stream_lists, stream_tiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,23 @@ def streaming_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiles_out(newest)
 
 
+def streaming_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest and first values by user and hour of a stream whose events come in five micro-batches, each from the whole time: later batches change tiles of earlier ones."""
+    path, events = _scratch(spark), _table(spark, sf_dir, "events")
+    for i in range(5):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    spec = TileSpec(("user_id",), "ts", "1h", (Feature.last_n("event_id", "24h", n=3), Feature.first_distinct_n("event_type", "24h", n=2)))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/tiles/part={number}")
+
+    stream_lists(stream, spec, "400 days").writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    newest = top_n(spark.read.parquet(f"{path}/tiles"), ["user_id", "tile_start"], [F.desc("batch")], 1)
+    text = lambda name: F.array_join(F.transform(name, lambda x: x["value"].cast("string")), ",")
+    return newest.select("user_id", "tile_start", text("_last_n_event_id").alias("newest"), text("_first_distinct_n_event_type").alias("first_types"))
+
+
 def streaming_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row-wise transform on a stream, written batch by batch."""
     path = _scratch(spark)
@@ -137,7 +156,7 @@ def category_union_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
     b = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"))
     few = _table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("nation"))
-    return a.union(b).distinct().subtract(few)
+    return values_except(distinct_union([(a, "nation"), (b, "nation")], "nation"), few, "nation")
 
 
 def realtime_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +259,7 @@ def store_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = store.register_feature_view(FeatureView("SPEND", [user], timestamp_col="ts", refresh_freq="1h", feature_granularity="1h", features=_sum_spec().features, compute=lambda s: seen["rows"]))
     seen["rows"] = events
     store.refresh_feature_view(view, changed=events.where("event_id % 7 = 3"))
-    return _tiles_out(spark.read.parquet(store._path(view)))
+    return _tiles_out(store.tiles(view))
 
 
 def store_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,6 +292,53 @@ def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(store.read_feature_view(view).select("c_custkey", F.lit("second")))
 
 
+def store_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read before two refreshes and an overwrite, what one of the refreshes made, and what there is now: all three read at the end."""
+    store, customer = FeatureStore(spark, _scratch(spark)), _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    key, seen = store.register_entity(Entity("CUSTOMER", ("c_custkey",))), {"n": 2}
+    made = lambda: FeatureView("BALANCE", [key], refresh_freq="1 day", compute=lambda s: customer.where(F.col("c_custkey") % seen["n"] == 0))
+    view = store.register_feature_view(made())
+    held = store.read_feature_view(view)
+    for n in (7, 3):
+        seen["n"] = n
+        store.refresh_feature_view(view)
+    seen["n"] = 5
+    view = store.register_feature_view(made(), overwrite=True)
+    parts = {"held": held, "refreshed": store.read_feature_view(view, version=2), "now": store.read_feature_view(view)}
+    return reduce(lambda a, b: a.union(b), [df.select("c_custkey", F.lit(name).alias("read")) for name, df in parts.items()])
+
+
+def store_refresh_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tiled view without the events of two days, refreshed with each day's: parts of other days stay where they are."""
+    store, events = FeatureStore(spark, _scratch(spark)), _table(spark, sf_dir, "events")
+    day = slice_start(F.col("ts"), 86400)
+    days = sorted(r[0] for r in events.select(day.alias("d")).distinct().collect())[3:5]  # a row for each day
+    seen = {"rows": events.where(~day.isin(days))}
+    user = store.register_entity(Entity("USER", ("user_id",)))
+    view = store.register_feature_view(FeatureView("SPEND", [user], timestamp_col="ts", refresh_freq="1h", feature_granularity="1h", features=_sum_spec().features, compute=lambda s: seen["rows"]))
+    for i, d in enumerate(days):
+        seen["rows"] = events.where(~day.isin(days[i + 1 :]))
+        store.refresh_feature_view(view, changed=events.where(day == d))
+    return _tiles_out(store.tiles(view))
+
+
+def store_many_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five views on one key as of each event's time, joined in one sort."""
+    store, events = FeatureStore(spark, _scratch(spark)), _table(spark, sf_dir, "events")
+    user = store.register_entity(Entity("USER", ("user_id",)))
+    part = lambda i: events.where(F.col("event_id") % 5 == i).groupBy("user_id", F.col("ts").alias("seen")).agg(F.max("value").alias(f"v{i}"))
+    views = [store.register_feature_view(FeatureView(f"V{i}", [user], timestamp_col="seen", refresh_freq="1 day", compute=lambda s, i=i: part(i))) for i in range(5)]
+    out = store.retrieve_feature_values(events.select("user_id", "ts").distinct(), views, "ts")
+    return out.select("user_id", micros_of(F.col("ts")).alias("at_us"), *[f"v{i}" for i in range(5)])
+
+
+def ridge_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-validated scores of three penalties, from one scan; the folds go by order."""
+    df = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).alias("fold"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    _, results = search_ridge(df, ["x"], "y", [0.0, 1e6, 1e8], folds=3, fold=F.col("fold"))
+    return spark.createDataFrame([(r["params"]["alpha"], round(r["mean"], 6)) for r in results], "alpha double, score double")
+
+
 def store_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A training set saved as a dataset version, read without its label and time."""
     events = _table(spark, sf_dir, "events")
@@ -364,7 +430,7 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        streaming_tiles, streaming_append, backfill_range, incremental_refresh, store_training_set, store_feature_group, dataset_versions, fileset_roundtrip, sharded_read, keys_filtered, category_union_except,
+        streaming_tiles, streaming_lists, store_pinned, store_refresh_day, store_many_views, ridge_search, streaming_append, backfill_range, incremental_refresh, store_training_set, store_feature_group, dataset_versions, fileset_roundtrip, sharded_read, keys_filtered, category_union_except,
         realtime_view, model_run, model_run_partitioned, linear_regression, monitored_windows, run_pivot,
         experiment_runs, store_catalog, store_refresh, store_snapshots, store_overwrite, store_dataset, stream_two_tables, connector_batches, registry_versions, model_chain,
         penalised_regression, count_regressions, naive_bayes, best_feature, searched,
@@ -391,6 +457,11 @@ ORACLES = {
     "monitored_windows": "SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS window_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
     "run_pivot": "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey",
     "streaming_tiles": _TILES,
+    "streaming_lists": f"WITH {_EVENTS_SQL}, d AS (SELECT user_id, h, event_type, min(ts) AS t FROM e WHERE event_type IS NOT NULL GROUP BY ALL), f AS (SELECT user_id, h, array_to_string(list_slice(list(event_type ORDER BY t, event_type), 1, 2), ',') AS first_types FROM d GROUP BY ALL), l AS (SELECT user_id, h, array_to_string(list_slice(list(event_id ORDER BY ts DESC, event_id DESC), 1, 3), ',') AS newest FROM e GROUP BY ALL) SELECT user_id, h AS tile_start, newest, first_types FROM l LEFT JOIN f USING (user_id, h)",
+    "store_pinned": "SELECT c_custkey, 'held' AS read FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'refreshed' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'now' FROM customer WHERE c_custkey % 5 = 0",
+    "store_refresh_day": _TILES,
+    "store_many_views": "WITH s AS (SELECT DISTINCT user_id, ts FROM events), " + ", ".join(f"r{i} AS (SELECT user_id, ts, max(value) AS v FROM events WHERE event_id % 5 = {i} GROUP BY ALL)" for i in range(5)) + ", " + ", ".join(f"j{i} AS (SELECT s.user_id, s.ts, r{i}.v AS v{i} FROM s ASOF LEFT JOIN r{i} ON s.user_id = r{i}.user_id AND s.ts >= r{i}.ts)" for i in range(5)) + " SELECT user_id, CAST(epoch_us(ts) AS BIGINT) AS at_us, v0, v1, v2, v3, v4 FROM j0 JOIN j1 USING (user_id, ts) JOIN j2 USING (user_id, ts) JOIN j3 USING (user_id, ts) JOIN j4 USING (user_id, ts)",
+    "ridge_search": "WITH t AS (SELECT l_orderkey % 3 AS f, CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / 1000 AS y FROM lineitem), k AS (SELECT * FROM range(3) r(k)), s AS (SELECT k, count(*) FILTER (WHERE f <> k) AS n, avg(x) FILTER (WHERE f <> k) AS mx, avg(y) FILTER (WHERE f <> k) AS my, covar_pop(x, y) FILTER (WHERE f <> k) AS xy, var_pop(x) FILTER (WHERE f <> k) AS xx FROM t, k GROUP BY k), a AS (SELECT * FROM (VALUES (0.0), (1000000.0), (1e8)) v(alpha)), b AS (SELECT alpha, k, n * xy / (n * xx + alpha) AS slope, mx, my FROM s, a), e AS (SELECT alpha, k, sum((y - my - slope * (x - mx)) ** 2) AS left_over, any_value(slope) AS slope FROM b JOIN t ON f = k GROUP BY ALL), v AS (SELECT f AS k, sum((y - m) ** 2) AS whole FROM (SELECT *, avg(y) OVER (PARTITION BY f) AS m FROM t) GROUP BY f) SELECT alpha, round(avg(1 - left_over / whole), 6) AS score FROM e JOIN v USING (k) GROUP BY alpha",
     "streaming_append": "SELECT event_id, value * 2 AS twice FROM events",
     "backfill_range": "SELECT event_id, value * 2 AS twice FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'",
     "incremental_refresh": _TILES,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,19 +54,21 @@ class DataConnector:
     def from_sources(cls, sources: Sequence["DataConnector | DataFrame"]) -> "DataConnector":
         return cls(reduce(lambda a, b: a.unionByName(b), [s.df if isinstance(s, DataConnector) else s for s in sources]))
 
-    def to_batches(self, batch_size: int, shuffle: bool = False, drop_last_batch: bool = False, seed: int | None = None) -> Iterator[pa.RecordBatch]:
+    def to_batches(self, batch_size: int, shuffle: bool = False, drop_last_batch: bool = False, seed: int | None = None, buffer_rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
         """Arrow batches of exactly batch_size rows (the last may have fewer), all of one schema.
 
         Executors hand over Arrow batches; partitions come to the driver one
         after another, and what a batch leaves over begins the next one. With
-        shuffle each call (epoch) gives another order, unless a seed is set.
+        shuffle each call (epoch) reads the partitions (files, or stretches of
+        them) in another order and draws rows from a buffer of buffer_rows;
+        nothing is sorted or exchanged. A seed makes the order the same again.
         """
-        if batch_size < 1:
-            raise ValueError("batch_size must be positive")
-        df = self.df.orderBy(F.rand(seed)) if shuffle else self.df
-        schema = to_arrow_schema(df.schema, timestamp_utc=True)
+        if batch_size < 1 or buffer_rows < 1:
+            raise ValueError("batch_size and buffer_rows must be positive")
+        schema = to_arrow_schema(self.df.schema, timestamp_utc=True)
+        rng = np.random.default_rng(seed)
         held, rows = [], 0
-        for batch in _record_batches(df):
+        for batch in _buffered(_permuted(self.df, rng), buffer_rows, schema, rng) if shuffle else _record_batches(self.df):
             held.append(batch.cast(schema) if batch.schema != schema else batch)
             rows += batch.num_rows
             while rows >= batch_size:
@@ -111,18 +114,40 @@ class DataConnector:
         return datasets.Dataset.from_pandas(self.to_pandas(limit))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_pydict({"data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
 def _record_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
     """The rows as Arrow batches, one partition at the driver at a time."""
+    for row in df.mapInArrow(_packed, "data binary").toLocalIterator(prefetchPartitions=True):
+        yield from pa.ipc.open_stream(row["data"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
-            yield pa.RecordBatch.from_pydict({"data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
-    for row in df.mapInArrow(packed, "data binary").toLocalIterator(prefetchPartitions=True):
-        yield from pa.ipc.open_stream(row["data"])
+def _permuted(df: DataFrame, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
+    """As _record_batches, the partitions in a drawn order: one job each, as only an RDD runs single partitions."""
+    packed = df.mapInArrow(_packed, "data binary").rdd
+    for p in rng.permutation(packed.getNumPartitions()):
+        for data in df.sparkSession.sparkContext.runJob(packed, lambda rows: [bytes(r[0]) for r in rows], [int(p)]):
+            yield from pa.ipc.open_stream(data)
+
+
+def _buffered(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema, rng: np.random.Generator) -> Iterator[pa.RecordBatch]:
+    """The rows in the order in which they are drawn from a buffer: when it holds twice its size, half of its rows, drawn at random, go on."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch.cast(schema) if batch.schema != schema else batch)
+        rows += batch.num_rows
+        if rows >= 2 * size:
+            mixed = pa.Table.from_batches(held, schema).take(pa.array(rng.permutation(rows)))
+            yield from mixed.slice(size).to_batches()
+            held, rows = mixed.slice(0, size).to_batches(), size
+    if rows:
+        yield from pa.Table.from_batches(held, schema).take(pa.array(rng.permutation(rows))).to_batches()
 
 
 def _as_batch(table: pa.Table) -> pa.RecordBatch:
@@ -179,10 +204,10 @@ def check_not_null(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def key_filter(df: DataFrame, keys: Sequence[str], values: Sequence[Sequence]) -> DataFrame:
-    """Rows whose keys equal one of the tuples, compared in the column's own type."""
+    """Rows whose keys equal one of the tuples, compared in the column's own type; None equals null only."""
     if any(len(v) != len(keys) for v in values):
         raise ValueError("each tuple needs a value for every key")
     kinds = dict(df.dtypes)
-    wanted = df.sparkSession.createDataFrame([tuple(str(x) for x in v) for v in values], ", ".join(f"`{k}` string" for k in keys))
-    wanted = wanted.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys]).distinct()
-    return df.join(wanted, list(keys), "left_semi")
+    wanted = df.sparkSession.createDataFrame([tuple(None if x is None else str(x) for x in v) for v in values], ", ".join(f"`_key_{k}` string" for k in keys))
+    wanted = wanted.select(*[F.col(f"_key_{k}").cast(kinds[k]).alias(f"_key_{k}") for k in keys]).distinct()
+    return df.join(wanted, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]), "left_semi")

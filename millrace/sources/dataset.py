@@ -50,7 +50,7 @@ class Dataset:
         path = f"{self.root}/{self.name}/{version}"
         df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         manifest = {"exclude_cols": list(exclude_cols), "label_cols": list(label_cols), "properties": properties or {}, "partition_by": list(partition_by), "comment": comment, "schema": df.schema.json()}
-        self.catalog.put("_versions", version, manifest)
+        self.catalog.put("_versions", version, manifest, expected=0)
         return DatasetVersion(self.spark, self.name, version, path, manifest)
 
     def version(self, version: str) -> DatasetVersion:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -13,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.functions.intervals import micros_of, slice_start
-from millrace.operators.tiles import LISTS, TileSpec, _partials, build_tiles
+from millrace.operators.tiles import LISTS, TileSpec, _lists, _partials, build_tiles
 
 
 @dataclass(frozen=True)
@@ -52,11 +54,10 @@ def stream_tiles(events: DataFrame, spec: TileSpec, late: str = "1 hour") -> Dat
     """Tiles of a stream: tumbling windows behind a watermark, by the keys and the secondary key.
 
     tile_start is in seconds since 1970, as in tables, whatever the session's
-    zone. Lists have no streaming form (they would need a ranked window in a
-    stream's state): refresh_tiles adds their events in batches.
+    zone. Lists are a stream of their own, stream_lists.
     """
     if bad := [f.output for f in spec.features if f.function in LISTS]:
-        raise ValueError(f"not on a stream: {bad}")
+        raise ValueError(f"stream_lists makes {bad}")
     partials = {}
     for f in spec.features:
         partials |= _partials(f)
@@ -66,6 +67,56 @@ def stream_tiles(events: DataFrame, spec: TileSpec, late: str = "1 hour") -> Dat
     return tiles.select(*keys, F.unix_timestamp("_w.start").alias("tile_start"), *partials)
 
 
+def stream_lists(events: DataFrame, spec: TileSpec, late: str = "1 hour") -> DataFrame:
+    """The list partials of a stream's tiles, as build_tiles has them, by keys and tile_start (update mode: a tile that got events comes again, whole).
+
+    A tile's state holds the n newest or oldest values of each list and goes
+    when the watermark has passed the tile. Events later than that are left
+    out; until then the order in which they come makes no difference. Arrays
+    are ordered as they rank.
+    """
+    lists = {name: (f, n) for name, (f, n) in _lists(spec).items()}
+    if not lists or len(lists) != len({f.output for f in spec.features}):
+        raise ValueError("list features only, one for each function and column")
+    kinds, zone = dict(events.dtypes), dict(events.dtypes)[spec.ts]
+    keys = list(spec.keys)
+    timed = events.where(F.col(spec.ts).isNotNull()).withColumn("_ts", F.timestamp_micros(micros_of(F.col(spec.ts)))).withWatermark("_ts", late)
+    rows = timed.select(*keys, slice_start(F.col(spec.ts), spec.seconds).alias("tile_start"), micros_of(F.col(spec.ts)).alias("_at"), "_ts", *[F.col(f.column).alias(name) for name, (f, _) in lists.items()])
+    items = ", ".join(f"`{name}` array<struct<at:bigint,value:{kinds[f.column]}>>" for name, (f, _) in lists.items())
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", tile_start bigint, {items}"
+    plan, seconds = {name: (f.function.startswith("last"), "distinct" in f.function, n) for name, (f, n) in lists.items()}, spec.seconds
+
+    def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if (int(key[-1]) + seconds) * 1000 <= state.getCurrentWatermarkMs():  # the tile is done; Spark lets events pass for a batch more
+            return
+        held = pickle.loads(state.get[0]) if state.exists else {name: [] for name in plan}
+        for frame in frames:
+            for name, (newest, distinct, n) in plan.items():
+                fresh = frame[["_at", name]].dropna()
+                held[name] = best_values([*held[name], *zip(fresh["_at"].tolist(), fresh[name].tolist(), strict=True)], newest, distinct, n)
+        state.update((pickle.dumps(held),))
+        state.setTimeoutTimestamp((int(key[-1]) + seconds) * 1000)
+        yield pd.DataFrame([[*key, *[[{"at": a, "value": v} for a, v in held[name]] or None for name in plan]]], columns=[*keys, "tile_start", *plan])
+
+    made = rows.groupBy(*keys, "tile_start").applyInPandasWithState(advance, schema, "held binary", "update", "EventTimeTimeout")
+    stamp = lambda x: F.timestamp_add("MICROSECOND", x["at"], F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast(zone)
+    return made.select(*keys, "tile_start", *[F.transform(name, lambda x: F.struct(stamp(x).alias("at"), x["value"].alias("value"))).alias(name) for name in plan])
+
+
+def best_values(items: list[tuple], newest: bool, distinct: bool, n: int) -> list[tuple]:
+    """The n newest or oldest (time, value), ties by value; of equal values the newest or oldest one, if they are to be distinct."""
+    if distinct:
+        pick = max if newest else min
+        once: dict = {}
+        for at, value in items:
+            once[value] = pick(once.get(value, at), at)
+        items = [(at, value) for value, at in once.items()]
+    return heapq.nlargest(n, items) if newest else heapq.nsmallest(n, items)
+
+
 def backfill(history: DataFrame, ts: str, start: str | None, end: str | None, transform: Callable[[pd.DataFrame], pd.DataFrame] | None, schema: StructType | str | None) -> DataFrame:
     """History in [start, end) through the stream's transform."""
     if start:
