@@ -38,3 +38,10 @@ def over_time(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, aggrega
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """df with a number of its own for each row, repeated rows too; numbers are only the same again if the rows are dealt out alike."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def with_content_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """df with an id from each row's values, numbered among equal rows: the same again however the rows are dealt out. Columns must be of types that can be hashed and ordered."""
+    hashed = F.concat_ws("-", *[F.lower(F.hex(F.xxhash64(F.lit(seed), *df.columns))) for seed in (1, 2)])
+    again = F.row_number().over(Window.partitionBy("_hash").orderBy(F.lit(1)))
+    return df.withColumn("_hash", hashed).withColumn(name, F.concat_ws("-", "_hash", again.cast("string"))).drop("_hash")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
 from millrace.operators.metrics import products
-from millrace.operators.prefix import exact_quantiles
+from millrace.operators.prefix import exact_quantiles_of
 from millrace.sources.catalog import JsonCatalog
 
 
@@ -343,14 +343,66 @@ def column_or_literal(x) -> "F.Column":
 
 def drift(base: DataFrame, now: DataFrame, column: str, bins: int = 10, eps: float = 1e-4) -> float:
     """Population stability index of a numeric column over equal-weight bins of the base."""
-    edges = exact_quantiles(base, column, [i / bins for i in range(1, bins)])
-    code = sum(((F.col(column) >= e).cast("int") for e in edges[1:]), (F.col(column) >= edges[0]).cast("int"))
-    shares = []
-    for df in (base, now):
-        counts = {r["b"]: r["count"] for r in df.where(F.col(column).isNotNull()).groupBy(code.alias("b")).count().collect()}
-        total = max(sum(counts.values()), 1)
-        shares.append([max(counts.get(i, 0) / total, eps) for i in range(bins)])
-    return float(sum((b - a) * np.log(b / a) for a, b in zip(*shares, strict=True)))
+    return drift_from(baseline(base, [column], bins), now, eps)[column]
+
+
+def baseline(base: DataFrame, columns: Sequence[str], bins: int = 10) -> dict:
+    """What a monitor keeps of a table: for each numeric column the edges of equal-weight bins and the share of rows in each, in one scan more than the quantiles take."""
+    edges = dict(zip(columns, exact_quantiles_of(base, columns, [i / bins for i in range(1, bins)]), strict=True))
+    return {"bins": bins, "edges": edges, "shares": _shares(base, edges, bins)}
+
+
+def drift_from(kept: dict, now: DataFrame, eps: float = 1e-4) -> dict[str, float]:
+    """Population stability index of each column of a baseline, in one scan of the table now."""
+    found, out = _shares(now, kept["edges"], kept["bins"]), {}
+    for c, before in kept["shares"].items():
+        pairs = [(max(a, eps), max(b, eps)) for a, b in zip(before, found[c], strict=True)]
+        out[c] = float(sum((b - a) * np.log(b / a) for a, b in pairs))
+    return out
+
+
+def _shares(df: DataFrame, edges: dict[str, list], bins: int) -> dict[str, list[float]]:
+    code = lambda c, at: sum(((F.col(c) >= e).cast("int") for e in at[1:]), (F.col(c) >= at[0]).cast("int"))
+    known = {c: at for c, at in edges.items() if at[0] is not None}
+    cells = [F.count_if(F.col(c).isNotNull() & (code(c, at) == i)) for c, at in known.items() for i in range(bins)]
+    counts = list(df.agg(*[x.alias(f"n{i}") for i, x in enumerate(cells)]).first()) if cells else []
+    out = {c: [0.0] * bins for c in edges}
+    for k, c in enumerate(known):
+        mine = counts[k * bins : (k + 1) * bins]
+        out[c] = [n / max(sum(mine), 1) for n in mine]
+    return out
+
+
+class Monitors:
+    """Monitors by name: what is watched, by which window and segments, and the baseline that later rows are held against."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.catalog = spark, JsonCatalog(spark, root)
+
+    def register(self, name: str, base: DataFrame, ts: str, ids: Sequence[str], predictions: Sequence[str], actuals: Sequence[str] = (), segments: Sequence[str] = (), window: str = "1 day", task: str = "regression", bins: int = 10) -> None:
+        """Check the source and keep the baseline of its numeric predictions and actuals; a name that is taken raises."""
+        check_monitor_source(base, ts, ids, predictions, actuals, segments, task)
+        numbers = [c for c in (*predictions, *actuals) if isinstance(base.schema[c].dataType, NumericType)]
+        self.catalog.put("monitor", name, {"ts": ts, "window": window, "segments": list(segments), "baseline": baseline(base, numbers, bins)}, expected=0)
+
+    def names(self) -> list[str]:
+        return self.catalog.names("monitor")
+
+    def _record(self, name: str) -> dict:
+        if (d := self.catalog.get("monitor", name)) is None:
+            raise ValueError(f"no monitor {name}")
+        return d
+
+    def drift(self, name: str, now: DataFrame) -> dict[str, float]:
+        return drift_from(self._record(name)["baseline"], now)
+
+    def metrics(self, name: str, now: DataFrame, metrics: dict[str, "F.Column"]) -> DataFrame:
+        d = self._record(name)
+        return windowed_metrics(now, d["ts"], d["window"], metrics, d["segments"])
+
+    def delete(self, name: str) -> None:
+        self._record(name)
+        self.catalog.delete("monitor", name)
 
 
 def _penalised(absolute: float, quadratic: float, deviation: float | None, params: dict):
@@ -494,3 +546,14 @@ class Experiments:
         params = pivoted(rows.where("kind = 'param'"), "run", "name", F.max("text"))
         metrics = pivoted(rows.where("kind = 'metric'"), "run", "name", F.max_by("value", "step"))
         return params.join(metrics, "run", "full")
+
+    def log_artifact(self, run: str, name: str, content: bytes) -> None:
+        """A small file of a run; logged again, the later one counts."""
+        rows = self.spark.createDataFrame([(run, name, bytearray(content))], "run string, name string, content binary")
+        rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}.artifacts")
+
+    def artifacts(self, run: str | None = None) -> DataFrame:
+        """run, name and content of what was logged last under each name."""
+        rows = self.spark.read.parquet(f"{self.path}.artifacts")
+        newest = rows.groupBy("run", "name").agg(F.max_by("content", "at").alias("content"))
+        return newest if run is None else newest.where(F.col("run") == run)

@@ -284,10 +284,35 @@ class FeatureStore:
                 rows.append((d["name"], d["version"], d["entities"], d["refresh_freq"], d["status"], d["desc"]))
         return self.spark.createDataFrame(rows, "name string, version string, entities array<string>, refresh_freq string, status string, desc string")
 
-    def update_feature_view(self, name: str, version: str, refresh_freq: str | None = None, desc: str | None = None) -> FeatureView:
+    def update_feature_view(self, name: str, version: str, refresh_freq: str | None = None, desc: str | None = None, query: str | None = None, compute: Callable[[SparkSession], DataFrame] | None = None) -> FeatureView:
+        """Change a view's record, or (append-only views) where its rows come from from now on.
+
+        A new query or function must give the columns so far, with those that
+        are new at the end. Rows that are there already have nulls in them; no
+        data are written.
+        """
         view = self.get_feature_view(name, version)
         given = {k: v for k, v in (("refresh_freq", refresh_freq), ("desc", desc)) if v is not None}
-        self.catalog.change("view", view.physical_name, lambda d: d | given)
+        if query is None and compute is None:
+            self.catalog.change("view", view.physical_name, lambda d: d | given)
+            return self.get_feature_view(name, version)
+        if not view.append_only:
+            raise ValueError("only append-only views take a new query; register others again with overwrite")
+        d, revision = self.catalog.get_revision("view", view.physical_name)
+        new = FeatureView(**{**view.__dict__, "query": query or "", "compute": compute, **given})
+        held = self._compute.pop(view.physical_name, None)
+        try:
+            self._check(new)
+            snapshot = self.tables.snapshot(view.physical_name)
+            wide = extend_schema(self.tables.read(snapshot), self._source(new)).schema
+            record = d | new.to_dict() | {"function": _pickled(compute), "computed": compute is not None}
+            self.tables.commit(view.physical_name, record, revision, Snapshot(snapshot.parts, wide, new.to_dict()), self.clock(), self.tables.fresh(view.physical_name), self.keep)
+        except Exception:
+            if held:
+                self._compute[view.physical_name] = held
+            raise
+        if compute:
+            self._compute[view.physical_name] = compute
         return self.get_feature_view(name, version)
 
     def refresh_feature_view(self, view: FeatureView, changed: DataFrame | None = None, batch: str | None = None) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.queries import features, flows, preprocess
+from millrace.queries import catalogue, features, flows, preprocess
 
-QUERIES = {**features.QUERIES, **preprocess.QUERIES, **flows.QUERIES}
-ORACLES = {**features.ORACLES, **preprocess.ORACLES, **flows.ORACLES}
+QUERIES = {**features.QUERIES, **preprocess.QUERIES, **flows.QUERIES, **catalogue.QUERIES}
+ORACLES = {**features.ORACLES, **preprocess.ORACLES, **flows.ORACLES, **catalogue.ORACLES}

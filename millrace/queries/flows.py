@@ -221,11 +221,14 @@ def run_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three runs with parameters and metrics by step: the last step counts."""
-    runs = Experiments(spark, f"{_scratch(spark)}/runs")
-    for i in range(3):
-        runs.log(f"run{i}", {"depth": str(i)}, [("loss", step, 1.0 / (1 + step + i)) for step in range(3)])
-    return runs.runs().select("run", "depth", F.round("loss", 6).alias("loss"))
+    """A run for each order status, with its share of orders as a parameter and the mean price up to each year as a metric by step: the last step counts."""
+    runs, orders = Experiments(spark, f"{_scratch(spark)}/runs"), _table(spark, sf_dir, "orders")
+    for status in "FOP":
+        mine = orders.where(F.col("o_orderstatus") == status)
+        means = mine.groupBy(F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("n")).orderBy("y").collect()  # a row for each year
+        steps = [("mean_price", r["y"], sum(x["s"] for x in means[: i + 1]) / sum(x["n"] for x in means[: i + 1])) for i, r in enumerate(means)]
+        runs.log(f"run{status}", {"orders": str(sum(r["n"] for r in means))}, steps)
+    return runs.runs().select("run", "orders", F.round("mean_price", 2).alias("mean_price"))
 
 
 def store_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,9 +290,8 @@ def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Exception:  # the failure that this query is about
         pass
     kept = store.read_feature_view(view).select("c_custkey", F.lit("first").alias("view"))
-    rows = spark.createDataFrame(kept.collect(), kept.schema)  # the folder goes with the next overwrite
     store.register_feature_view(made(customer.where("c_custkey % 2 = 1")), overwrite=True)
-    return rows.union(store.read_feature_view(view).select("c_custkey", F.lit("second")))
+    return kept.union(store.read_feature_view(view).select("c_custkey", F.lit("second")))
 
 
 def store_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,18 +371,17 @@ def connector_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of a model with default, alias, tag and metric, of which one is deleted."""
-    registry = Registry(spark, _scratch(spark))
-    sample = spark.createDataFrame([], "l_extendedprice double")
+    """Versions of a model with default, alias, tag and, as a metric, the sum of what each makes of a table; one is deleted."""
+    registry, df = Registry(spark, _scratch(spark)), _table(spark, sf_dir, "lineitem").select("l_extendedprice")
     for i in range(3):
-        registry.log_model(_Margin(rate=0.1 * i), "margin", f"v{i}", infer_signature(sample, spark.createDataFrame([], "net double")))
+        version = registry.log_model(_Margin(rate=0.5 * i), "margin", f"v{i}", infer_signature(df, spark.createDataFrame([], "net double")))
+        registry.set_metric("margin", f"v{i}", "total", round(version.run(df).agg(F.sum(F.round("net", 4))).first()[0], 2))
     registry.set_default("margin", "v1")
     registry.set_alias("margin", "v2", "next")
-    registry.set_metric("margin", "v2", "auc", 0.5)
     registry.set_tag("margin", "v1", "stage", "live")
     registry.delete("margin", "v0")
-    rows = [(v, registry.get("margin").version == v, registry.get("margin", "next").version == v, registry.get("margin", v).record["metrics"].get("auc"), registry.get("margin", v).record["tags"].get("stage")) for v in registry.versions("margin")]
-    return spark.createDataFrame(rows, "version string, is_default boolean, is_next boolean, auc double, stage string")
+    rows = [(v, registry.get("margin").version == v, registry.get("margin", "next").version == v, registry.get("margin", v).record["metrics"].get("total"), registry.get("margin", v).record["tags"].get("stage")) for v in registry.versions("margin")]
+    return spark.createDataFrame(rows, "version string, is_default boolean, is_next boolean, total double, stage string")
 
 
 def model_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +440,7 @@ QUERIES = {
 
 _TILES = f"WITH {_EVENTS_SQL} SELECT user_id, h AS tile_start, round(sum(value), 6) AS sum_value, count(value) AS count_value FROM e GROUP BY user_id, h"
 ORACLES = {
-    "experiment_runs": "SELECT 'run' || i AS run, CAST(i AS VARCHAR) AS depth, round(1.0::DOUBLE / (3 + i), 6) AS loss FROM range(3) t(i)",
+    "experiment_runs": "SELECT 'run' || o_orderstatus AS run, CAST(count(*) AS VARCHAR) AS orders, round(avg(o_totalprice), 2) AS mean_price FROM orders GROUP BY o_orderstatus",
     "store_catalog": "SELECT * FROM (VALUES ('entity', 'CUSTOMER', NULL, 'new'), ('view', 'BALANCE', 'V1', 'ACTIVE/'), ('view', 'BALANCE', 'V2', '2 days/SUSPENDED/daily'), ('group', 'ALL', NULL, '2'), ('stream', 'CLICKS', NULL, 'clicks'), ('lineage', 'entity:CUSTOMER', NULL, 'view:BALANCE$V1'), ('lineage', 'entity:CUSTOMER', NULL, 'view:BALANCE$V2'), ('lineage', 'view:BALANCE$V1', NULL, 'group:ALL'), ('lineage', 'view:BALANCE$V2', NULL, 'group:ALL')) t(kind, name, version, about)",
     "store_refresh": _TILES,
     "store_snapshots": "WITH a AS (SELECT c_custkey, NULL AS s FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0) SELECT c_custkey, count(*) AS times, max(s) AS segment FROM a GROUP BY c_custkey",
@@ -447,7 +448,7 @@ ORACLES = {
     "store_dataset": f"WITH {_SPINE_SQL}, {_EVENTS_SQL}, a AS ({_window_sql('coalesce(sum(value), 0) AS sum_24h', 86400)}) SELECT user_id, count(*) AS days, round(sum(sum_24h), 4) AS total FROM a GROUP BY user_id",
     "stream_two_tables": "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'bought' ELSE 'rest' END AS place FROM events",
     "connector_batches": "SELECT CAST(ceil(count(*) / 1000.0) AS BIGINT) AS batches, count(*) AS rows, CAST(sum(o_custkey) AS BIGINT) AS total FROM orders",
-    "registry_versions": "SELECT * FROM (VALUES ('v1', true, false, NULL::DOUBLE, 'live'), ('v2', false, true, 0.5::DOUBLE, NULL)) t(version, is_default, is_next, auc, stage)",
+    "registry_versions": "WITH s AS (SELECT sum(round(l_extendedprice * 0.5, 4)) AS half, sum(round(l_extendedprice, 4)) AS whole FROM lineitem) SELECT 'v1' AS version, true AS is_default, false AS is_next, round(half, 2) AS total, 'live' AS stage FROM s UNION ALL SELECT 'v2', false, true, round(whole, 2), NULL FROM s",
     "model_chain": "SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice * 0.5, 0) AS BIGINT) AS whole FROM lineitem",
     "penalised_regression": "WITH t AS (SELECT CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / 1000 AS y FROM lineitem), s AS (SELECT count(*) AS n, covar_pop(x, y) AS xy, var_pop(x) AS xx FROM t) SELECT round(n * xy / (n * xx + 1e6), 4) AS ridge, round(sign(xy) * greatest(abs(xy) - 10, 0) / xx, 4) AS lasso FROM s",
     "count_regressions": "WITH t AS (SELECT l_discount > 0.05 AS x, l_quantity + CASE WHEN l_discount > 0.05 THEN 5 ELSE 0 END AS y FROM lineitem), r AS (SELECT round(ln(avg(y) FILTER (WHERE x) / avg(y) FILTER (WHERE NOT x)), 4) AS v FROM t) SELECT v AS poisson, v AS gamma, v AS tweedie FROM r",

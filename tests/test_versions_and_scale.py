@@ -379,3 +379,39 @@ def test_small_answers(spark, root):
     with pytest.raises(ValueError, match="unknown"):
         sets.check_known(names, df, "k", "c")
     assert Registry(spark, f"{root}/m").models() == []
+
+
+def test_schema_change_monitors_artifacts_ids(spark, clocked, root):
+    from millrace.operators.windows import with_content_id
+    from millrace.plans.models import Experiments, Monitors
+
+    store, _ = clocked
+    key = store.register_entity(Entity("K", ("k",)))
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1), 2.0)], "k int, ts timestamp_ntz, v double")
+    store.register_feature_view(FeatureView("A", [key], timestamp_col="ts", refresh_freq="1 day", append_only=True, compute=lambda s: rows))
+    with pytest.raises(ValueError, match="at the end"):
+        store.update_feature_view("A", "V1", compute=lambda s: rows.drop("v"))
+    assert store.read_feature_view(store.get_feature_view("A", "V1")).columns == ["k", "ts", "v"]
+    view = store.update_feature_view("A", "V1", compute=lambda s: rows.withColumn("w", F.lit("x")))
+    assert [r["w"] for r in store.read_feature_view(view).collect()] == [None]
+    store.refresh_feature_view(view)
+    assert sorted(str(r["w"]) for r in store.read_feature_view(view).collect()) == ["None", "x"]
+    store.register_feature_view(FeatureView("B", [key], refresh_freq="1 day", compute=lambda s: rows))
+    with pytest.raises(ValueError, match="append-only"):
+        store.update_feature_view("B", "V1", query="SELECT 1")
+    monitors, base = Monitors(spark, f"{root}/m"), spark.createDataFrame([(1, datetime(2024, 1, 1), 2.0, p) for p in (0.0, 1.0)], "k int, ts timestamp_ntz, v double, p double")
+    monitors.register("m", base, "ts", ["k"], ["p"], ["v"])
+    with pytest.raises(ConcurrentChange):
+        monitors.register("m", base, "ts", ["k"], ["p"])
+    assert monitors.names() == ["m"] and monitors.drift("m", base) == {"p": 0.0, "v": 0.0} and monitors.drift("m", base.where("p > 0"))["p"] > 0
+    assert monitors.metrics("m", base, {"n": F.count("*")}).collect()[0]["n"] == 2
+    monitors.delete("m")
+    with pytest.raises(ValueError, match="no monitor"):
+        monitors.drift("m", base)
+    runs = Experiments(spark, f"{root}/runs")
+    runs.log_artifact("r", "a", b"1")
+    runs.log_artifact("r", "a", b"2")
+    assert [bytes(r["content"]) for r in runs.artifacts("r").collect()] == [b"2"] and runs.artifacts("x").count() == 0
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "i int, s string")
+    ids = [{r["row_id"] for r in with_content_id(d).collect()} for d in (df, df.repartition(3))]
+    assert len(ids[0]) == 3 and ids[0] == ids[1]
