@@ -60,6 +60,21 @@ def streaming_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tiles_out(newest)
 
 
+def streaming_tiles_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of a stream in three micro-batches: the second changes tiles of the first, and the third comes behind the watermark, so its events are left out."""
+    path, events = _scratch(spark), _table(spark, sf_dir, "events")
+    for i in range(3):
+        part = events.where(F.col("event_id") % 3 == i)
+        (part.where("ts < '2024-01-15'") if i == 2 else part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/tiles/part={number}")
+
+    stream_tiles(stream, _sum_spec(), "1 hour").writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return _tiles_out(latest_per_key(spark.read.parquet(f"{path}/tiles"), ["user_id", "tile_start"], "batch"))
+
+
 def streaming_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest and first values by user and hour of a stream whose events come in five micro-batches, each from the whole time: later batches change tiles of earlier ones."""
     path, events = _scratch(spark), _table(spark, sf_dir, "events")
@@ -431,7 +446,7 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        streaming_tiles, streaming_lists, store_pinned, store_refresh_day, store_many_views, ridge_search, streaming_append, backfill_range, incremental_refresh, store_training_set, store_feature_group, dataset_versions, fileset_roundtrip, sharded_read, keys_filtered, category_union_except,
+        streaming_tiles, streaming_tiles_late, streaming_lists, store_pinned, store_refresh_day, store_many_views, ridge_search, streaming_append, backfill_range, incremental_refresh, store_training_set, store_feature_group, dataset_versions, fileset_roundtrip, sharded_read, keys_filtered, category_union_except,
         realtime_view, model_run, model_run_partitioned, linear_regression, monitored_windows, run_pivot,
         experiment_runs, store_catalog, store_refresh, store_snapshots, store_overwrite, store_dataset, stream_two_tables, connector_batches, registry_versions, model_chain,
         penalised_regression, count_regressions, naive_bayes, best_feature, searched,
@@ -458,6 +473,7 @@ ORACLES = {
     "monitored_windows": "SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400 AS window_start, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY ALL",
     "run_pivot": "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey",
     "streaming_tiles": _TILES,
+    "streaming_tiles_late": _TILES.replace("FROM events)", "FROM events WHERE event_id % 3 <> 2)"),
     "streaming_lists": f"WITH {_EVENTS_SQL}, d AS (SELECT user_id, h, event_type, min(ts) AS t FROM e WHERE event_type IS NOT NULL GROUP BY ALL), f AS (SELECT user_id, h, array_to_string(list_slice(list(event_type ORDER BY t, event_type), 1, 2), ',') AS first_types FROM d GROUP BY ALL), l AS (SELECT user_id, h, array_to_string(list_slice(list(event_id ORDER BY ts DESC, event_id DESC), 1, 3), ',') AS newest FROM e GROUP BY ALL) SELECT user_id, h AS tile_start, newest, first_types FROM l LEFT JOIN f USING (user_id, h)",
     "store_pinned": "SELECT c_custkey, 'held' AS read FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'refreshed' FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'now' FROM customer WHERE c_custkey % 5 = 0",
     "store_refresh_day": _TILES,

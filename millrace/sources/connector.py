@@ -108,10 +108,10 @@ class DataConnector:
         return tf.data.Dataset.from_generator(rows, output_signature=signature)
 
     def to_huggingface_dataset(self, limit: int | None = None):
-        """A datasets.Dataset; needs datasets."""
+        """A datasets.Dataset, whose files the executors write; needs datasets."""
         import datasets
 
-        return datasets.Dataset.from_pandas(self.to_pandas(limit))
+        return datasets.Dataset.from_spark(self.df if limit is None else self.df.limit(limit))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

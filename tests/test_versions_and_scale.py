@@ -415,3 +415,24 @@ def test_schema_change_monitors_artifacts_ids(spark, clocked, root):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "i int, s string")
     ids = [{r["row_id"] for r in with_content_id(d).collect()} for d in (df, df.repartition(3))]
     assert len(ids[0]) == 3 and ids[0] == ids[1]
+
+
+def test_sinks_of_frameworks(spark, monkeypatch):
+    """The sinks through stand-ins for the frameworks, which are not installed."""
+    import sys
+    import types
+
+    torch, tf, datasets = (types.ModuleType(n) for n in ("torch", "tensorflow", "datasets"))
+    torch.utils = types.SimpleNamespace(data=types.SimpleNamespace(IterableDataset=object))
+    tf.TensorSpec, tf.as_dtype = lambda shape, dtype: (shape, dtype), lambda d: np.dtype(d).name
+    tf.data = types.SimpleNamespace(Dataset=types.SimpleNamespace(from_generator=lambda make, output_signature: (list(make()), output_signature)))
+    datasets.Dataset = types.SimpleNamespace(from_spark=lambda df: df.count())
+    for m in (torch, tf, datasets):
+        monkeypatch.setitem(sys.modules, m.__name__, m)
+    c = DataConnector(spark.range(25).select("id", (F.col("id") * 0.5).alias("x")))
+    batches = list(c.to_torch_dataset(10))
+    assert [len(b["id"]) for b in batches] == [10, 10, 5] and batches[0]["x"][2] == 1.0
+    assert sorted(i for b in c.to_torch_dataset(10, shuffle=True, drop_last_batch=True) for i in b["id"])[:1] != [] and len(list(c.to_torch_dataset(10, drop_last_batch=True))) == 2
+    rows, signature = c.to_tf_dataset(10)
+    assert [len(r["x"]) for r in rows] == [10, 10, 5] and signature == {"id": ((None,), "int64"), "x": ((None,), "float64")}
+    assert c.to_huggingface_dataset() == 25 and c.to_huggingface_dataset(limit=3) == 3
