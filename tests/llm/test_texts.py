@@ -85,6 +85,8 @@ def test_expressions():
     assert p("(MIT OR ISC) AND BSD-3-Clause") == ("AND", ("OR", "MIT", "ISC"), "BSD-3-Clause")
     assert p("MIT and then some words") == "MIT" and p("MIT */ text") == "MIT" and p("then MIT") is None
     assert p("GPL-2.0-only WITH MIT") == "GPL-2.0-only" and p("Made-Up-1.0") is None
+    assert [licenses.label_of(x) for x in ("BSD-3-Clause-Whatever", "AFL-3.2", "CC-BY-4.5", "(", "or")] == [None] * 5 and p("GPL-2.0-only WITH x-exception") == "GPL-2.0-only"
+    assert [licenses.label_of(x) for x in ("FTL", "HPND", "CNRI-Python", "npl-1.1", "GPL-2.0+", "LicenseRef-Mine")] == ["ftl", "hpnd", "cnri-python", "npl-1.1", "gpl", "custom"]
     assert p("AND MIT") is None and p("") is None and p("(MIT") is None
     tree = p("GPL-3.0 OR MIT")
     assert licenses.families(tree) == {"gpl", "mit"} and licenses.allowed(tree, {"mit"}) and not licenses.allowed(p("GPL-3.0 AND MIT"), {"mit"})
@@ -99,7 +101,14 @@ def brute_licenses(text):
     held = [x for p, x in phrases.items() if any(w[i : i + len(p.split())] == p.split() for i in range(len(w)))]
     strict = [licenses.LABEL_TERMS.get(label, 4) for label, _ in held]
     doubt, labels = math.prod([1 - x for _, x in held], start=1.0), {label for label, _ in held}
-    known = lambda x: next((k for k, v in licenses.IDENTIFIERS.items() if re.fullmatch(v, x, re.I)), None)
+    from packaging.licenses import _spdx
+
+    def known(x):
+        own = re.fullmatch(r"LicenseRef-[A-Za-z0-9.-]+", x, re.I)
+        if not own and re.sub(r"\+$", "", x.lower()) not in _spdx.LICENSES and x.lower() not in _spdx.LICENSES:
+            return None
+        return next((k for k, names in licenses.FAMILIES.items() for n in names.split() if re.fullmatch(rf"{n}(-.*)?\+?", x, re.I)), x.lower())
+
 
     def either(parts, i):
         terms, found, i = both(parts, i)
@@ -125,7 +134,7 @@ def brute_licenses(text):
             return (t, f, j + 1) if t is not None and j < len(parts) and parts[j] == ")" else (None, set(), i)
         if i < len(parts) and (label := known(parts[i])):
             t = licenses.LABEL_TERMS.get(label, 4)
-            if i + 2 < len(parts) + 0 and parts[i + 1].upper() == "WITH" and re.fullmatch(licenses.EXCEPTIONS, parts[i + 2], re.I):
+            if i + 2 < len(parts) + 0 and parts[i + 1].upper() == "WITH" and parts[i + 2].lower() in _spdx.EXCEPTIONS:
                 return (1 if t == 2 else t), {label}, i + 3
             return t, {label}, i + 1
         return None, set(), i
