@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -36,26 +34,25 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def saved(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; ``made`` gets its path, for discard().
 
     This cuts the lineage: later jobs read the table, and a lost executor
     costs no more than the tasks that ran on it.
     """
     path = fresh_dir(df.sparkSession, name)
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished steps: Spark deletes them once the driver has collected the plans they belong to, which else may take half an hour.
-
-    The first collection finds what Python let go of, the second what that held.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete tables that saved() wrote and that no later plan reads, and empty the list."""
+    for path in made:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    made.clear()
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, about; Spark's own default is eight times that.

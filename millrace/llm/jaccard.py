@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from millrace.llm.base import give_back, narrow_batches, release, saved, slices, text_column, unused
+from millrace.llm.base import discard, give_back, narrow_batches, saved, slices, text_column, unused
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
@@ -65,27 +65,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, id_column: s
 
 def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id", text_column: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, n_shingles, key, sample), and for each class with shingles its key, and its component's smallest doc_id with the smallest class that has it."""
-    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("same"))
+    rows = narrow_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("same"))
+    spark, made, held, kept = docs.sparkSession, [], [], []  # tables of a step, of a round, of all rounds: each goes when it has been used
     members = saved(rows.mapInArrow(_classes(n), "doc_id long, n_shingles long, key long, same long, sample binary"), "members")
-    buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members)), "token long, key long, n int")), "buckets")
-    release(docs.sparkSession)
-    nodes = saved(_nodes(rows, members, buckets, n), "nodes")
-    linked = lambda pairs: saved(_verified(rows, members, n, _possible(saved(pairs, "pairs"), nodes, percent), percent), "links")
+    # one row speaks for each class, so that copies are not hashed again nor sent
+    speakers = _wanted(saved(members.where("n_shingles > 0").groupBy("key").agg(F.min("same").alias("same")).select("same"), "asked", made))
+    buckets = saved(_shared(rows.mapInArrow(_prefixes(n, percent, _frequent(members), speakers), "token long, key long, n int")), "buckets", held)
+    nodes = saved(_nodes(rows, members, buckets, n, made), "nodes", kept)
+    linked = lambda pairs: saved(_verified(rows, members, n, _possible(saved(pairs, "pairs", made), nodes, percent, made), percent, made), "links", made)
 
     star = buckets.where("key != pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).distinct()
     star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    labels = saved(connected_components(linked(star.select("a", "b"))), "labels")
+    labels = saved(connected_components(linked(star.select("a", "b")), made), "labels")
+    discard(spark, made)
 
     partners = 1
     while True:
-        release(docs.sparkSession)
-        met = saved(_traversed(buckets, nodes, labels, percent, partners), "pairs")
+        met = saved(_traversed(buckets, nodes, labels, percent, partners, made), "pairs", made)
         more = linked(met.select("a", "b").distinct())
-        labels = saved(connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))), "labels")
+        labels = saved(connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), made), "labels")
         left = met.where("not whole").select("token").distinct()
         if not left.limit(1).count():
             break
-        buckets, partners = saved(buckets.join(left, "token", "left_semi"), "buckets"), 4 * partners
+        old, held = held, []
+        buckets, partners = saved(buckets.join(left, "token", "left_semi"), "buckets", held), 4 * partners
+        discard(spark, made + old)
+        made.clear()
+    discard(spark, made + held + kept)
 
     first = members.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
     first = first.join(labels, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label"))
@@ -141,7 +147,7 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, wanted=None) -> Iterator[tuple[int | None, int, int, np.ndarray]]:
-    """doc_id, hash of the text, class and shingles of each row; with ``wanted``, a test of the texts' hashes, of one row for each of those in a task."""
+    """doc_id, hash of id and text, class and shingles of each row; with ``wanted``, a test of those hashes, of one row for each of them in a task."""
     met: set[int] = set()
     for batch in slices(batches, "text", 1 << 20):
         if wanted is not None:
@@ -187,9 +193,9 @@ def _frequent(members: DataFrame) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
 
 
-def _prefixes(n: int, percent: int, frequent: np.ndarray):
+def _prefixes(n: int, percent: int, frequent: np.ndarray, speakers=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, tokens in _first_sets(batches, n):
+        for key, tokens in _first_sets(batches, n, speakers) if speakers else ():
             size = len(tokens)
             late = np.isin(tokens, frequent, assume_unique=True) if len(frequent) else np.zeros(size, bool)
             head = np.concatenate([tokens[~late], tokens[late]])[: size - -(-percent * size // 100) + 1]
@@ -226,9 +232,9 @@ def _wanted(numbers: DataFrame):
     return test
 
 
-def _chosen(nodes: DataFrame, keys: DataFrame) -> DataFrame:
+def _chosen(nodes: DataFrame, keys: DataFrame, made: list[str]) -> DataFrame:
     """The nodes (key first) of these keys, and perhaps some others, which never leave their scan for nothing."""
-    asked = _wanted(saved(keys.distinct(), "asked"))
+    asked = _wanted(saved(keys.distinct(), "asked", made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,16 +244,16 @@ def _chosen(nodes: DataFrame, keys: DataFrame) -> DataFrame:
     return nodes.mapInArrow(run, nodes.schema)
 
 
-def _asked(members: DataFrame, keys: DataFrame):
-    """Tests for the classes, and for the hashes of their texts."""
-    keys = saved(keys.distinct(), "asked")
-    texts = members.select("key", "same").join(keys, "key", "left_semi").select("same").distinct()
-    return _wanted(keys), _wanted(saved(texts, "asked"))
+def _asked(members: DataFrame, keys: DataFrame, made: list[str]):
+    """Tests for the classes, and for the hash of the row that speaks for each."""
+    keys = saved(keys.distinct(), "asked", made)
+    texts = members.select("key", "same").join(keys, "key", "left_semi").groupBy("key").agg(F.min("same").alias("same")).select("same")
+    return _wanted(keys), _wanted(saved(texts, "asked", made))
 
 
-def _nodes(rows: DataFrame, members: DataFrame, buckets: DataFrame, n: int) -> DataFrame:
+def _nodes(rows: DataFrame, members: DataFrame, buckets: DataFrame, n: int, made: list[str]) -> DataFrame:
     """Bitmaps of the classes in buckets; some others may be among them."""
-    asked, texts = _asked(members, buckets.select("key"))
+    asked, texts = _asked(members, buckets.select("key"), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for k, t in (_first_sets(batches, n, texts, asked) if asked else ()))
@@ -280,9 +286,9 @@ def _bits(signatures: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(signatures.to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE // 64)
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, made: list[str]) -> DataFrame:
     """Pairs (a, b) that their finer bitmaps don't rule out."""
-    one = _chosen(nodes.select("key", "n", "fine"), _ends(pairs))
+    one = _chosen(nodes.select("key", "n", "fine"), _ends(pairs), made)
     a = one.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
     b = one.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
 
@@ -314,10 +320,10 @@ def _count(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
-def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, percent: int, made: list[str]) -> DataFrame:
     """Those of the pairs (a, b) of classes that link, by their whole sets; only texts that a pair asks for are hashed again."""
-    pairs = saved(pairs, "pairs")
-    asked, texts = _asked(members, _ends(pairs))
+    pairs = saved(pairs, "pairs", made)
+    asked, texts = _asked(members, _ends(pairs), made)
     if asked is None:
         return pairs
 
@@ -335,12 +341,12 @@ def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, per
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
         give_back()
 
-    sets = saved(rows.mapInArrow(chosen, "key long, tokens binary"), "sets").groupBy("key").agg(F.first("tokens").alias("tokens"))
+    sets = saved(rows.mapInArrow(chosen, "key long, tokens binary"), "sets", made).groupBy("key").agg(F.first("tokens").alias("tokens"))
     a, b = (sets.select(F.col("key").alias(c), F.col("tokens").alias(f"t_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "t_a", "t_b").mapInArrow(count, "a long, b long")
 
 
-def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, partners: int) -> DataFrame:
+def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, partners: int, made: list[str]) -> DataFrame:
     """token, a, b, whole: pairs of classes in different components that the trees of their buckets don't rule out.
 
     whole: the group has given all its pairs; else it has given each class's
@@ -349,7 +355,7 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     labelled = buckets.select("token", "key").join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("label"))
     w = Window.partitionBy("token")
     many = labelled.withColumns({"_a": F.min("label").over(w), "_b": F.max("label").over(w), "size": F.count("*").over(w), "_who": F.sum(F.xxhash64("key").cast("decimal(38,0)")).over(w)}).where("_a != _b").drop("_a", "_b")
-    many = saved(many, "many")
+    many = saved(many, "many", made)
     one = many.groupBy("size", "_who").agg(F.min("token").alias("token")).select("token")  # buckets with the same members: one of them
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     dealt = many.drop("_who").join(one, "token", "left_semi").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
@@ -358,7 +364,7 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     dealt = dealt.select("token", "key", "label", "part", other).select("token", "key", "label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     light = nodes.select("key", "n", "signature")
     if partners > 1:  # few groups are left
-        light = _chosen(light, many.select("key"))
+        light = _chosen(light, many.select("key"), made)
     full = dealt.join(light, "key").select("token", "x", "y", "side", "key", "label", "n", "signature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
