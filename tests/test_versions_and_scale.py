@@ -417,6 +417,22 @@ def test_schema_change_monitors_artifacts_ids(spark, clocked, root):
     assert len(ids[0]) == 3 and ids[0] == ids[1]
 
 
+def test_content_ids_of_many_equal_rows(spark):
+    from millrace.operators import windows
+
+    n = 3 * windows.STRETCH + 5
+    df = spark.range(n, numPartitions=4).select(F.lit(1).alias("a"), F.lit(None).cast("int").alias("b"), F.lit(0.0).alias("x"))
+    rare = spark.createDataFrame([(None, 1, 0.0), (1, None, -0.0), (None, None, None), (2, 3, math.nan)], "a int, b int, x double")  # the first two share a hash with the many
+    out = windows.with_content_id(df.union(rare)).cache()
+    assert out.agg(F.count("*"), F.count_distinct("row_id")).first() == (n + 4, n + 4)
+    assert out.where("a = 1").count() == n + 1 and [str(r["x"]) for r in out.where("cast(x as string) = '-0.0'").collect()] == ["-0.0"]
+    shares = [len(p) for p in out.where("x = 0").select("a").rdd.glom().collect()]
+    assert max(shares) < n  # not all in one task
+    again = windows.with_content_id(df.union(rare).repartition(3))
+    assert out.select("row_id").exceptAll(again.select("row_id")).count() == 0
+    out.unpersist()
+
+
 def test_sinks_of_frameworks(spark, monkeypatch):
     """The sinks through stand-ins for the frameworks, which are not installed."""
     import sys
