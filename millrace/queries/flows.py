@@ -78,15 +78,15 @@ def streaming_tiles_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest and first values by user and hour of a stream whose events come in five micro-batches, each from the whole time: later batches change tiles of earlier ones."""
     path, events = _scratch(spark), _table(spark, sf_dir, "events")
-    for i in range(5):
-        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
     spec = TileSpec(("user_id",), "ts", "1h", (Feature.last_n("event_id", "24h", n=3), Feature.first_distinct_n("event_type", "24h", n=2)))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/tiles/part={number}")
 
-    stream_lists(stream, spec, "400 days").writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    for i in range(5):  # files of any number, which the next start of the stream takes as one batch
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == i).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        stream_lists(stream, spec, "400 days").writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
     newest = top_n(spark.read.parquet(f"{path}/tiles"), ["user_id", "tile_start"], [F.desc("batch")], 1)
     text = lambda name: F.array_join(F.transform(name, lambda x: x["value"].cast("string")), ",")
     return newest.select("user_id", "tile_start", text("_last_n_event_id").alias("newest"), text("_first_distinct_n_event_type").alias("first_types"))

@@ -9,10 +9,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from millrace.functions.intervals import micros_of, slice_start
 from millrace.operators.tiles import LISTS, TileSpec, _lists, _partials, build_tiles
@@ -67,41 +69,85 @@ def stream_tiles(events: DataFrame, spec: TileSpec, late: str = "1 hour") -> Dat
     return tiles.select(*keys, F.unix_timestamp("_w.start").alias("tile_start"), *partials)
 
 
-def stream_lists(events: DataFrame, spec: TileSpec, late: str = "1 hour") -> DataFrame:
+#: States that the keys of a tile are dealt out to.
+BUCKETS = 8
+
+
+def stream_lists(events: DataFrame, spec: TileSpec, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """The list partials of a stream's tiles, as build_tiles has them, by keys and tile_start (update mode: a tile that got events comes again, whole).
 
     A tile's state holds the n newest or oldest values of each list and goes
     when the watermark has passed the tile. Events later than that are left
     out; until then the order in which they come makes no difference. Arrays
-    are ordered as they rank.
+    are ordered as they rank. The keys of one tile share ``buckets`` states,
+    so that Python is called for many keys at once; with many small batches
+    and keys, more of them write less again. The number must stay the same
+    for a checkpoint.
     """
     lists = {name: (f, n) for name, (f, n) in _lists(spec).items()}
     if not lists or len(lists) != len({f.output for f in spec.features}):
         raise ValueError("list features only, one for each function and column")
     kinds, zone = dict(events.dtypes), dict(events.dtypes)[spec.ts]
     keys = list(spec.keys)
-    timed = events.where(F.col(spec.ts).isNotNull()).withColumn("_ts", F.timestamp_micros(micros_of(F.col(spec.ts)))).withWatermark("_ts", late)
-    rows = timed.select(*keys, slice_start(F.col(spec.ts), spec.seconds).alias("tile_start"), micros_of(F.col(spec.ts)).alias("_at"), "_ts", *[F.col(f.column).alias(name) for name, (f, _) in lists.items()])
-    items = ", ".join(f"`{name}` array<struct<at:bigint,value:{kinds[f.column]}>>" for name, (f, _) in lists.items())
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", tile_start bigint, {items}"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("_bucket")
+    stamped = F.timestamp_micros(micros_of(F.col(spec.ts))).alias("_ts")
+    rows = events.where(F.col(spec.ts).isNotNull()).select(slice_start(F.col(spec.ts), spec.seconds).alias("tile_start"), bucket, stamped, micros_of(F.col(spec.ts)).alias("_at"), *keys, *[F.col(f.column).alias(name) for name, (f, _) in lists.items()])
     plan, seconds = {name: (f.function.startswith("last"), "distinct" in f.function, n) for name, (f, n) in lists.items()}, spec.seconds
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys, time and values of a row as bytes: pandas frames would make floats of whole numbers with nulls."""
+        for batch in batches:
+            values = zip(*[c.to_pylist() for c in batch.columns[3:]], strict=True)
+            rows = pa.array([pickle.dumps(v) for v in values], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rows], names=["tile_start", "_bucket", "_ts", "_row"])
+
+    nan = float("nan")
+
+    def one(key: tuple) -> tuple:
+        """The key with one object for NaN, which only equals itself as an object."""
+        return tuple(nan if x != x else x for x in key)
+
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        if (int(key[-1]) + seconds) * 1000 <= state.getCurrentWatermarkMs():  # the tile is done; Spark lets events pass for a batch more
+        end = (int(key[0]) + seconds) * 1000
+        if end <= state.getCurrentWatermarkMs():  # the tile is done; Spark lets events pass for a batch more
             return
-        held = pickle.loads(state.get[0]) if state.exists else {name: [] for name in plan}
+        held: dict[tuple, list] = {one(k): items for k, items in pickle.loads(state.get[0])} if state.exists else {}
+        fresh: dict[tuple, list] = {}
         for frame in frames:
-            for name, (newest, distinct, n) in plan.items():
-                fresh = frame[["_at", name]].dropna()
-                held[name] = best_values([*held[name], *zip(fresh["_at"].tolist(), fresh[name].tolist(), strict=True)], newest, distinct, n)
-        state.update((pickle.dumps(held),))
-        state.setTimeoutTimestamp((int(key[-1]) + seconds) * 1000)
-        yield pd.DataFrame([[*key, *[[{"at": a, "value": v} for a, v in held[name]] or None for name in plan]]], columns=[*keys, "tile_start", *plan])
-
-    made = rows.groupBy(*keys, "tile_start").applyInPandasWithState(advance, schema, "held binary", "update", "EventTimeTimeout")
+            for row in frame["_row"]:
+                at, *row = pickle.loads(row)
+                k = one(tuple(row[: len(keys)]))
+                if k not in fresh:
+                    fresh[k] = [[] for _ in plan]
+                for items, value in zip(fresh[k], row[len(keys) :], strict=True):
+                    if value is not None and value == value:
+                        items.append((at, value))
+            for k, new in fresh.items():
+                old = held.get(k) or [[] for _ in plan]
+                held[k] = [best_values([*o, *i], *how) if i else o for o, i, how in zip(old, new, plan.values(), strict=True)]
+                for items in new:
+                    items.clear()
+        state.update((pickle.dumps(list(held.items())),))
+        state.setTimeoutTimestamp(end)
+        yield pd.DataFrame({"tile_start": [key[0]], "_tiles": [pickle.dumps([(k, held[k]) for k in fresh])]})
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, tiles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = pickle.loads(tiles)
+                columns = [[k[i] for k, _ in found] for i in range(len(keys))] + [[start] * len(found)]
+                columns += [[[{"at": a, "value": v} for a, v in items[i]] or None for _, items in found] for i in range(len(plan))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
+
+    fields = {f.name: f.dataType for f in events.schema.fields}
+    items = [StructField(name, ArrayType(StructType([StructField("at", LongType()), StructField("value", fields[f.column])]))) for name, (f, _) in lists.items()]
+    schema = StructType([*[StructField(k, fields[k]) for k in keys], StructField("tile_start", LongType()), *items])
+    types = to_arrow_schema(schema, timestamp_utc=True)
+    light = rows.mapInArrow(packed, "tile_start bigint, _bucket int, _ts timestamp, _row binary").withWatermark("_ts", late)
+    made = light.groupBy("tile_start", "_bucket").applyInPandasWithState(advance, "tile_start bigint, _tiles binary", "held binary", "update", "EventTimeTimeout").mapInArrow(unpacked, schema)
     stamp = lambda x: F.timestamp_add("MICROSECOND", x["at"], F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast(zone)
     return made.select(*keys, "tile_start", *[F.transform(name, lambda x: F.struct(stamp(x).alias("at"), x["value"].alias("value"))).alias(name) for name in plan])
 

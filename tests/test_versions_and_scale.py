@@ -303,6 +303,21 @@ def test_lists_on_a_stream_with_late_events(spark, root):
     assert {(r["k"], r["tile_start"]): (sorted(key(r["_last_n_v"])), sorted(key(r["_first_distinct_n_v"]))) for r in in_time} == {k: (sorted(key(r["_last_n_v"])), sorted(key(r["_first_distinct_n_v"]))) for k, r in found.items()}
 
 
+def test_lists_of_many_keys_take_few_calls(spark, root):
+    from millrace.streaming import stream as module
+
+    big, start = 2**53 + 1, datetime(2024, 1, 1)  # no float holds it
+    rows = [(k if k else None, start + timedelta(seconds=k), None if k % 3 else big + k) for k in range(500)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, v long")
+    df.write.parquet(f"{root}/in")
+    spec, found = TileSpec(("k",), "ts", "1h", (Feature.last_n("v", "2h", n=2),)), {}
+    stream = stream_lists(spark.readStream.schema(df.schema).parquet(f"{root}/in"), spec)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(lambda b, n: [found.__setitem__((r["k"], r["tile_start"]), r["_last_n_v"]) for r in b.collect()]).start()
+    query.awaitTermination()
+    assert {(r["k"], r["tile_start"]): r["_last_n_v"] for r in build_tiles(df, spec).collect()} == found and len(found) == 500
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= module.BUCKETS
+
+
 # --- selection, matrices, search, batches
 
 
