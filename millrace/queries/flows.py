@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -379,10 +381,15 @@ def connector_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 1,000 rows of several sources together."""
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     both = DataConnector.from_sources([DataConnector(orders.where("o_orderkey % 2 = 0")), orders.where("o_orderkey % 2 = 1")])
-    n = rows = total = 0
-    for batch in both.to_batches(1000, shuffle=True):  # a batch at a time
-        n, rows, total = n + 1, rows + batch.num_rows, total + sum(batch.column(1).to_pylist())
-    return spark.createDataFrame([(n, rows, total)], "batches long, rows long, total long")
+
+    def consume(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = rows = total = 0
+        for batch in batches:  # a batch at a time
+            n, rows, total = n + 1, rows + batch.num_rows, total + sum(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_pydict({"batches": [n], "rows": [rows], "total": [total]})
+
+    found = both.over_batches(consume, "batches long, rows long, total long", 1000, shuffle=True)
+    return found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("batches", "rows", "total")])
 
 
 def registry_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

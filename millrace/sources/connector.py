@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -67,17 +67,52 @@ class DataConnector:
             raise ValueError("batch_size and buffer_rows must be positive")
         schema = to_arrow_schema(self.df.schema, timestamp_utc=True)
         rng = np.random.default_rng(seed)
-        held, rows = [], 0
-        for batch in _buffered(_permuted(self.df, rng), buffer_rows, schema, rng) if shuffle else _record_batches(self.df):
-            held.append(batch.cast(schema) if batch.schema != schema else batch)
-            rows += batch.num_rows
-            while rows >= batch_size:
-                whole = pa.Table.from_batches(held, schema).combine_chunks()
-                yield _as_batch(whole.slice(0, batch_size))
-                rows -= batch_size
-                held = whole.slice(batch_size).to_batches() if rows else []
-        if rows and not drop_last_batch:
-            yield _as_batch(pa.Table.from_batches(held, schema))
+        for batch in _cut(_buffered(_permuted(self.df, rng), buffer_rows, schema, rng) if shuffle else _record_batches(self.df), batch_size, schema):
+            if batch.num_rows == batch_size or not drop_last_batch:
+                yield batch
+
+    def over_batches(self, consume: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, batch_size: int, shuffle: bool = False, drop_last_batch: bool = False, buffer_rows: int = 1 << 16) -> DataFrame:
+        """What ``consume`` makes of the batches of to_batches, on the executors: each task gets its share of them, and no row goes to the driver.
+
+        Batches are cut where the rows are read. What each partition leaves
+        over, less than a batch, goes to one task, which cuts it again: all
+        batches but one have batch_size rows. With shuffle, rows are drawn from
+        a buffer and batches are dealt out at random.
+        """
+        if batch_size < 1 or buffer_rows < 1:
+            raise ValueError("batch_size and buffer_rows must be positive")
+        types = to_arrow_schema(self.df.schema, timestamp_utc=True)
+        spread = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rng = np.random.default_rng()
+            for batch in _cut(_buffered(batches, buffer_rows, types, rng) if shuffle else batches, batch_size, types):
+                place = int(rng.integers(1, 1 << 62)) if batch.num_rows == batch_size else 0
+                for packed in _packed(iter([batch])):
+                    yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), packed.column(0)], names=["place", "data"])
+
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            left: list[pa.RecordBatch] = []
+
+            def batches() -> Iterator[pa.RecordBatch]:
+                nonlocal left
+                for part in rows:
+                    for place, data in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                        for batch in pa.ipc.open_stream(data.as_buffer()):
+                            if place:
+                                yield batch
+                                continue
+                            left.append(batch)
+                            if sum(b.num_rows for b in left) >= batch_size:
+                                whole = list(_cut(left, batch_size, types))
+                                left = [] if whole[-1].num_rows == batch_size else [whole.pop()]
+                                yield from whole
+                if left and not drop_last_batch:
+                    yield from _cut(left, batch_size, types)
+
+            yield from consume(batches())
+
+        return self.df.mapInArrow(pieces, "place bigint, data binary").repartition(spread, "place").mapInArrow(run, schema)
 
     def to_pandas(self, limit: int | None = None) -> pd.DataFrame:
         return (self.df if limit is None else self.df.limit(limit)).toPandas()
@@ -150,6 +185,22 @@ def _buffered(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema, r
         yield from pa.Table.from_batches(held, schema).take(pa.array(rng.permutation(rows))).to_batches()
 
 
+def _cut(batches: Iterable[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of exactly ``size`` rows (the last may have fewer), all of one schema."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch.cast(schema) if batch.schema != schema else batch)
+        rows += batch.num_rows
+        if rows >= size:
+            whole = pa.Table.from_batches(held, schema).combine_chunks()
+            for at in range(0, rows - size + 1, size):
+                yield _as_batch(whole.slice(at, size))
+            rest = whole.slice(rows - rows % size)
+            held, rows = rest.to_batches() if rest.num_rows else [], rest.num_rows
+    if rows:
+        yield _as_batch(pa.Table.from_batches(held, schema))
+
+
 def _as_batch(table: pa.Table) -> pa.RecordBatch:
     return table.combine_chunks().to_batches()[0]
 

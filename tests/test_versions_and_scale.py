@@ -381,6 +381,23 @@ def test_epochs_by_partitions_and_buffer(spark, root):
     assert [b.num_rows for b in c.to_batches(64, shuffle=True, drop_last_batch=True)] == [64] * 15
 
 
+def test_batches_on_executors(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "ids": [b.column(0).to_pylist()]})
+
+    c = DataConnector(spark.range(1003, numPartitions=7).select("id", (F.col("id") * 2).alias("x")))
+    for shuffle in (False, True):
+        got = c.over_batches(sizes, "n long, ids array<long>", 64, shuffle=shuffle).collect()
+        assert sorted(r["n"] for r in got) == [1003 % 64] + [64] * 15
+        assert sorted(i for r in got for i in r["ids"]) == list(range(1003))
+    assert [r["n"] for r in c.over_batches(sizes, "n long, ids array<long>", 64, drop_last_batch=True).collect()] == [64] * 15
+    assert [r["n"] for r in DataConnector(c.df.limit(0)).over_batches(sizes, "n long, ids array<long>", 64).collect()] == []
+    assert [r["n"] for r in c.over_batches(sizes, "n long, ids array<long>", 5000).collect()] == [1003]
+
+
 def test_small_answers(spark, root):
     df = spark.createDataFrame([("",), (None,), ("a",)], "c string")
     out = OneHotEncoder(["c"], ["o"], sparse=True).fit(df).transform(df).collect()
