@@ -237,9 +237,25 @@ class Estimator:
             stage.setLabelCol(self.label)
         if self.weight:
             stage.setWeightCol(self.weight)
-        self.model = stage.fit(self._assembled(df))
+        counted = self._counted(df) if _weighs(stage) else None
+        if counted is None:
+            self.model = stage.fit(self._assembled(df))
+            return self
+        counted = counted.persist()
+        try:
+            self.model = stage.setWeightCol("_weight").fit(self._assembled(counted))
+        finally:
+            counted.unpersist()
         return self
 
+    def _counted(self, df: DataFrame) -> DataFrame | None:
+        """Each distinct row of inputs and label once, with the sum of its rows' weights; None unless that leaves a row for REPEATED at most."""
+        columns = list(dict.fromkeys([*self.input_cols, self.label]))
+        rows, distinct = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*columns))).first()
+        if distinct * REPEATED > rows:
+            return None
+        return df.groupBy(*columns).agg(F.sum(self.weight or F.lit(1.0)).alias("_weight"))
+
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).predict(df)
 
@@ -264,6 +280,31 @@ class Estimator:
         return accuracy_score(out, "_y", self.output) if classifier else r2_score(out, "_y", self.output)
 
 
+#: Rows for each distinct one from which on an estimator is fitted on distinct rows with weights.
+REPEATED = 8
+
+
+def _weighs(stage) -> bool:
+    """Whether a stage makes of a row with a weight what it makes of as many equal rows.
+
+    Not where rows are drawn or counted by themselves (forests, least rows of
+    a node), nor with penalties, which go by deviations that Spark computes
+    otherwise for weights; nor where one pass over the rows is all there is,
+    or the loss has corners and the search may stop elsewhere (LinearSVC, Huber).
+    """
+    from pyspark.ml import classification as c
+    from pyspark.ml import regression as r
+
+    if isinstance(stage, c.OneVsRest):
+        return _weighs(stage.getClassifier())
+    if isinstance(stage, c.LogisticRegression):
+        return stage.getRegParam() == 0
+    if isinstance(stage, (c.DecisionTreeClassifier, c.GBTClassifier, r.DecisionTreeRegressor, r.GBTRegressor)):
+        drawn = isinstance(stage, (c.GBTClassifier, r.GBTRegressor)) and (stage.getSubsamplingRate() < 1 or stage.isDefined(stage.validationIndicatorCol))
+        return not drawn and stage.getMinInstancesPerNode() == 1
+    return False
+
+
 class VectorTransformer:
     """A pyspark.ml feature stage (PCA, selectors) with plain columns in and out: <output>_0, <output>_1, ..."""
 

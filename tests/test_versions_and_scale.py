@@ -381,6 +381,29 @@ def test_epochs_by_partitions_and_buffer(spark, root):
     assert [b.num_rows for b in c.to_batches(64, shuffle=True, drop_last_batch=True)] == [64] * 15
 
 
+def test_equal_rows_are_fitted_once_with_weights(spark, monkeypatch):
+    from millrace.plans import models
+
+    df = spark.range(4000).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"), (F.pmod(F.xxhash64("id"), F.lit(10)) < F.col("id") % 5 + 3).cast("double").alias("y")).cache()
+    fitted_on, assembled = [], models.Estimator._assembled
+    monkeypatch.setattr(models.Estimator, "_assembled", lambda self, d: (fitted_on.append(d.count()), assembled(self, d))[1])
+    families = {"LogisticRegression": {}, "DecisionTreeClassifier": {}, "GradientBoostingRegressor": {"maxIter": 2, "seed": 1}}
+    guesses = lambda e: [r[0] for r in e.predict(df.select("a", "b").distinct()).orderBy("a", "b").select("guess").collect()]
+    for name, params in families.items():
+        made = lambda: estimator(name, ["a", "b"], ["y"], ["guess"], **params)  # noqa: B023, E731
+        fitted_on.clear()
+        fast = guesses(made().fit(df))
+        assert fitted_on[0] <= 40, name
+        with monkeypatch.context() as m:
+            m.setattr(models, "REPEATED", 10**6)
+            assert fast == pytest.approx(guesses(made().fit(df)), abs=1e-3), name
+    for name in ("LinearSVC", "HuberRegressor", "RandomForestRegressor", "Ridge"):
+        fitted_on.clear()
+        estimator(name, ["a", "b"], ["y"]).fit(df)
+        assert fitted_on[0] == 4000, name
+    df.unpersist()
+
+
 def test_batches_on_executors(spark):
     import pyarrow as pa
 
