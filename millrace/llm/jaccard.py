@@ -9,6 +9,8 @@
 4. In the buckets that still hold several components, a signature tree over
    the classes is traversed against itself. A node holds the OR of its
    members' token bitmaps, their range of sizes, and their common component.
+   Bitmaps grow with the sets, so those of long texts tell them apart too;
+   each length has a tree, and trees of two lengths meet at the shorter one.
    A pair of nodes is left when the sizes, the largest possible overlap or an
    equal component rule out any new link. Large buckets are cut into chunks,
    and pairs of chunks go to different tasks.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +40,10 @@ from millrace.llm.base import discard, give_back, narrow_batches, saved, slices,
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
-#: Bits of a class's token bitmap in the trees, and most bits of the finer one that single pairs are tested with (four bits a token).
-SIGNATURE, MOST_BITS = 1024, 1 << 20
+#: Least and most bits of a class's token bitmap in the trees, and most bits of the finer one that single pairs are tested with (four bits a token).
+SIGNATURE, MOST_SIGNATURE, MOST_BITS = 1024, 1 << 17, 1 << 20
 #: Members of a leaf and children of a node; members that go to one task at once; pairs for each member up to which a group gives all of them.
-LEAF, FANOUT, CHUNK, MANY = 16, 8, 4096, 4
+LEAF, FANOUT, CHUNK, MANY = 16, 8, 4096, 32
 #: Frequent shingles: seen in so many classes of the sample (one class in SAMPLE), at most so many of them. They only set the order.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 65_536
 #: Bits for each asked class that tell a scan whose sets are wanted, and most bits (the join behind drops those that only share a bit).
@@ -197,13 +200,20 @@ def _prefixes(n: int, percent: int, frequent: np.ndarray, speakers=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, tokens in _first_sets(batches, n, speakers) if speakers else ():
             size = len(tokens)
-            late = np.isin(tokens, frequent, assume_unique=True) if len(frequent) else np.zeros(size, bool)
+            late = _among(tokens, frequent)
             head = np.concatenate([tokens[~late], tokens[late]])[: size - -(-percent * size // 100) + 1]
             yield pa.RecordBatch.from_pydict({"token": _signed(head), "key": np.full(len(head), key), "n": np.full(len(head), size, dtype=np.int32)})
 
     return run
 
 
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are in a sorted array; a set is small beside it, so each token is looked up."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 def _shared(entries: DataFrame) -> DataFrame:
     """Entries of the shingles that several classes have, one for each class, with the smallest class."""
     w = Window.partitionBy("token")
@@ -256,7 +266,7 @@ def _nodes(rows: DataFrame, members: DataFrame, buckets: DataFrame, n: int, made
     asked, texts = _asked(members, buckets.select("key"), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((k, len(t), bitmap(t, SIGNATURE), bitmap(t, fine_bits(len(t)))) for k, t in (_first_sets(batches, n, texts, asked) if asked else ()))
+        found = ((k, len(t), bitmap(t, signature_bits(len(t))), bitmap(t, fine_bits(len(t)))) for k, t in (_first_sets(batches, n, texts, asked) if asked else ()))
         yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary()}, 256)
 
     found = rows.mapInArrow(run, "key long, n long, signature binary, fine binary")
@@ -269,6 +279,11 @@ def bitmap(tokens: np.ndarray, size: int) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def signature_bits(n: int) -> int:
+    """A power of two of one to two bits a token."""
+    return min(MOST_SIGNATURE, max(SIGNATURE, 1 << max(n - 1, 0).bit_length()))
+
+
 def fine_bits(n: int) -> int:
     """A power of two of four to eight bits a token."""
     return min(MOST_BITS, max(SIGNATURE, 1 << (4 * n - 1).bit_length()))
@@ -283,7 +298,8 @@ def most_overlap(bits_a: np.ndarray, bits_b: np.ndarray, excess_a: np.ndarray, e
 
 
 def _bits(signatures: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures.to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE // 64)
+    """Bitmaps of one length, a row each."""
+    return np.frombuffer(b"".join(signatures.to_pylist()), dtype=np.uint64).reshape(len(signatures), -1)
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, made: list[str]) -> DataFrame:
@@ -370,11 +386,10 @@ def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             side, key, label, n = (group.column(i).to_numpy() for i in (3, 4, 5, 6))
-            bits = _bits(group.column(7))
-            left = Tree(key[side == 0], label[side == 0], n[side == 0], bits[side == 0])
+            left = trees(key, label, n, group.column(7), side == 0)
             same = group.column(1)[0].as_py() == group.column(2)[0].as_py()
-            right = left if same else Tree(key[side == 1], label[side == 1], n[side == 1], bits[side == 1])
-            a, b, whole = likeliest(traverse(left, right, percent), partners, MANY * len(key))
+            right = left if same else trees(key, label, n, group.column(7), side == 1)
+            a, b, whole = likeliest(meet(left, right, percent), partners, MANY * len(key))
             if len(a):
                 token = np.full(len(a), group.column(0)[0].as_py())
                 yield pa.RecordBatch.from_pydict({"token": token, "a": np.maximum(a, b), "b": np.minimum(a, b), "whole": np.full(len(a), whole)})
@@ -455,12 +470,39 @@ class Tree:
             self.first.append(np.append(at, len(low)))
             width = FANOUT
 
+    @property
+    def words(self) -> int:
+        """Length of the bitmaps, in words of 64 bits."""
+        return self.levels[0][0].shape[1]
+
+    def folded(self, words: int) -> Tree:
+        """The same members with bitmaps of a shorter length, as _folded() has them."""
+        bits, n, _, _, label, _ = self.levels[0]
+        return self if words == self.words else Tree(self.key, label, n, np.bitwise_or.reduce(bits.reshape(len(n), -1, words), axis=1))
+
+
+def trees(key: np.ndarray, label: np.ndarray, n: np.ndarray, signatures: pa.Array, chosen: np.ndarray) -> list[Tree]:
+    """A tree for each length of bitmaps among the chosen rows, the shortest first."""
+    lengths = pc.binary_length(signatures).to_numpy()
+    places = (np.flatnonzero(chosen & (lengths == x)) for x in np.unique(lengths[chosen]))
+    return [Tree(key[at], label[at], n[at], _bits(signatures.take(pa.array(at)))) for at in places]
+
+
+def meet(left: list[Tree], right: list[Tree], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """traverse() of all trees on the left with all on the right, or of one list with itself, each pair of trees once; those of two lengths at the shorter one."""
+    for i, x in enumerate(left):
+        for y in right[i if left is right else 0 :]:
+            (low_x, high_x), (low_y, high_y) = ((t.levels[-1][1][0], t.levels[-1][2][0]) for t in (x, y))
+            if 100 * min(high_x, high_y) >= percent * max(low_x, low_y):
+                words = min(x.words, y.words)
+                yield from traverse(x.folded(words), y.folded(words), percent)
+
 
-def traverse(left: Tree, right: Tree, percent: int, at_once: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Keys of the pairs that stay possible, and the share of their tokens that may be common; trees of unequal height are met by descending the higher one first."""
+def traverse(left: Tree, right: Tree, percent: int, at_once: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of the pairs that stay possible, and the share of their tokens that may be common; trees of unequal height are met by descending the higher one first. at_once: pairs of nodes that are compared together, by default as many as have 8 MB of bitmaps on a side."""
     if not len(left.key) or not len(right.key):
         return
-    same = left is right
+    same, at_once = left is right, at_once or max(1, (1 << 20) // left.words)
     stack = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         p, q, i, j = stack.pop()

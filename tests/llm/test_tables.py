@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import decontaminate, jaccard, lm, quality, topk, warc
@@ -258,6 +259,31 @@ def test_tree_traversal_keeps_every_linking_pair():
     assert not list(jaccard.traverse(one, one, 75))
 
 
+def test_trees_tell_long_sets_apart():
+    rng = np.random.default_rng(5)
+    shared, draw = rng.integers(0, 1 << 63, 300, dtype=np.uint64), lambda k: rng.integers(0, 1 << 63, int(k), dtype=np.uint64)
+    sets = [np.unique(np.append(shared, draw(k))) for k in rng.integers(1500, 4500, 40)] + [np.unique(np.append(shared, draw(20))) for _ in range(3)]
+    sets += [np.unique(np.append(s[: int(k * len(s))], draw(9))) for s, k in zip(sets, rng.uniform(0.7, 1, 20))]  # near copies, some of them with bitmaps of the next length
+    key, n = np.arange(len(sets)), np.array([len(s) for s in sets])
+    signatures = pa.array([jaccard.bitmap(s, jaccard.signature_bits(len(s))) for s in sets])
+    links = {(a, b) for a in key.tolist() for b in key.tolist() if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert any(len(signatures[a].as_py()) != len(signatures[b].as_py()) for a, b in links)
+    whole = jaccard.trees(key, key, n, signatures, np.ones(len(key), bool))
+    sides = [jaccard.trees(key, key, n, signatures, key % 2 == k) for k in (0, 1)]
+    for met in ([jaccard.meet(whole, whole, 75)], [jaccard.meet(a, b, 75) for a, b in ((sides[0], sides[0]), (sides[0], sides[1]), (sides[1], sides[1]))]):
+        got = [(min(a, b), max(a, b)) for found in met for x, y, _ in found for a, b in zip(x.tolist(), y.tolist())]
+        assert links <= set(got) and len(got) == len(set(got)) < len(links) + 10
+
+
+def test_frequent_shingles_are_looked_up():
+    rng = np.random.default_rng(6)
+    known = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    tokens = np.unique(np.append(rng.choice(known, 50), rng.integers(0, 1 << 64, 50, dtype=np.uint64)))
+    tokens = np.unique(np.append(tokens, np.array([known[0], known[-1], 0, (1 << 64) - 1], np.uint64)))
+    for few in (known, known[:1], known[:0]):
+        assert jaccard._among(tokens, few).tolist() == np.isin(tokens, few).tolist()
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (101, 101), (None, 3), (200, 200), (100, 102)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
