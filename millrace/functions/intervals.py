@@ -42,8 +42,17 @@ def micros_of(ts: Column) -> Column:
 
 def seconds_of(ts: Column) -> Column:
     """Seconds since 1970, cut down to whole ones, of a timestamp without time zone, whatever the session's zone."""
-    us = micros_of(ts)
-    return ((us - F.pmod(us, F.lit(1_000_000))) / 1_000_000).cast("long")
+    return _floor_div(F.shiftright(micros_of(ts), 6), 15_625, 1 << 58)  # a second is 64 times 15,625 microseconds
+
+
+def _floor_div(x: Column, by: int, least: int) -> Column:
+    """Whole part, rounded down, of x / by, for longs from -least on.
+
+    x is named once: slices of slices, and the filters that Spark derives from
+    them, would double with each mention.
+    """
+    up = -(-least // by)
+    return F.call_function("div", x + F.lit(up * by), F.lit(by).cast("long")) - F.lit(up)
 
 
 def from_seconds(s: Column) -> Column:
@@ -53,8 +62,7 @@ def from_seconds(s: Column) -> Column:
 
 def slice_start(ts: Column, seconds: int) -> Column:
     """Start, in seconds since 1970, of the slice that holds ``ts``; slices are aligned to 1970."""
-    s = seconds_of(ts)
-    return s - F.pmod(s, F.lit(seconds))
+    return _floor_div(seconds_of(ts), seconds, 10**13) * F.lit(seconds).cast("long")
 
 
 def guarded_ratio(a: Column, b: Column) -> Column:

@@ -1,9 +1,9 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.intervals import LIFETIME, parse_interval
+from millrace.functions.intervals import LIFETIME, from_seconds, parse_interval, seconds_of, slice_start
 from millrace.operators.asof import asof_join
 from millrace.operators.tiles import Feature, TileSpec, build_tiles, continuous_features, merge_tiles, rollup_tiles
 
@@ -41,6 +41,19 @@ def test_intervals():
             parse_interval(bad)
 
 
+def test_slices_of_times_before_and_after_1970(spark):
+    day, least = datetime(1970, 1, 1), timedelta(microseconds=1)
+    times = [day + k * timedelta(hours=7) + j * least for k in (-9 * 10**5, -3, -1, 0, 1, 10**6) for j in (-1, 0, 1)] + [datetime(1, 1, 1), datetime(9999, 12, 31, 23, 59, 59, 999999), datetime(2300, 1, 1) - least]
+    widths = (1, 7 * 3600, 86400)
+    rows = spark.createDataFrame([(t,) for t in [*times, None]], "t timestamp_ntz").select("t", seconds_of(F.col("t")), *[slice_start(F.col("t"), w) for w in widths]).collect()
+    for t, *got in rows:
+        s = None if t is None else (t - day) // timedelta(seconds=1)
+        assert got == [s] + [None if s is None else s // w * w for w in widths]
+    # a slice names its time once, so slices of slices don't double what is computed for each row
+    plan = spark.createDataFrame([], "time_column timestamp_ntz").select(slice_start(from_seconds(slice_start(F.col("time_column"), 86400)), 3600).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.splitlines()[0].count("time_column") == 1
+
+
 def test_sum_over_two_hours(spark, events):
     r = merged(spark, events, [Feature.sum("amount", "2h").alias("s"), Feature.count("amount", "2h").alias("n"), Feature.avg("amount", "2h").alias("a")], [(1, at("03:00")), (1, at("12:00")), (9, at("03:00"))])
     assert r[1, at("03:00")][2:] == (120.0, 3, 40.0)
