@@ -3,7 +3,10 @@
 1. Texts with equal shingle sets form a class; only classes are compared.
 2. Prefix filter. In one fixed order of all shingles (frequent ones last), two
    sets that link share one of the first n - ceil(0.75 n) + 1 shingles of
-   each. Classes that share such a shingle form a bucket.
+   each. Classes that share such a shingle form a bucket. Near copies share
+   many shingles, so the buckets that have the same smallest and the same
+   largest class, which are mostly the same classes, are one bucket; a pair is
+   met in few buckets then instead of one for each shingle it shares.
 3. Star step. Each class is compared with its bucket's smallest class, which
    joins most groups of near copies without looking at all their pairs.
 4. In the buckets that still hold several components, a signature tree over
@@ -17,8 +20,9 @@
    A group with many possible pairs first gives the likeliest partners of each
    class only; what they join is one component when the group is met again,
    with four times as many partners, until all its possible pairs are out.
-5. Pairs that these bitmaps don't rule out are tested with finer ones, whose
-   length follows the set's, and then verified on the whole sets.
+5. Pairs that the tree's bitmaps don't rule out are tested in the same task with
+   finer ones, whose length follows the set's, so that only likely links leave
+   it; they are then verified on the whole sets.
 
 No link is lost: a linking pair shares a bucket, and it is either inside one
 component already or met in a traversal.
@@ -40,7 +44,7 @@ from millrace.llm.base import discard, give_back, narrow_batches, saved, slices,
 from millrace.llm.components import connected_components
 from millrace.llm.wordhash import BLANK_WORDS, shingle_sets
 
-#: Least and most bits of a class's token bitmap in the trees, and most bits of the finer one that single pairs are tested with (four bits a token).
+#: Least and most bits of a class's token bitmap in the trees, where the finer one that pairs are tested with is cut to the same most bits, and most bits of the one that pairs are tested with before their sets are read (four bits a token).
 SIGNATURE, MOST_SIGNATURE, MOST_BITS = 1024, 1 << 17, 1 << 20
 #: Members of a leaf and children of a node; members that go to one task at once; pairs for each member up to which a group gives all of them.
 LEAF, FANOUT, CHUNK, MANY = 16, 8, 4096, 32
@@ -77,7 +81,7 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
     nodes = saved(_nodes(rows, members, buckets, n, made), "nodes", kept)
     linked = lambda pairs: saved(_verified(rows, members, n, _possible(saved(pairs, "pairs", made), nodes, percent, made), percent, made), "links", made)
 
-    star = buckets.where("key != pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b"), F.col("n").alias("n_a"), F.col("pivot.n").alias("n_b")).distinct()
+    star = buckets.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("n_a"), F.col("pivot_n").alias("n_b")).distinct()
     star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     labels = saved(connected_components(linked(star.select("a", "b")), made), "labels")
     discard(spark, made)
@@ -87,11 +91,11 @@ def _components(docs: DataFrame, n: int, percent: int, id_column: str = "doc_id"
         met = saved(_traversed(buckets, nodes, labels, percent, partners, made), "pairs", made)
         more = linked(met.select("a", "b").distinct())
         labels = saved(connected_components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))), made), "labels")
-        left = met.where("not whole").select("token").distinct()
+        left = met.where("not whole").select("bucket").distinct()
         if not left.limit(1).count():
             break
         old, held = held, []
-        buckets, partners = saved(buckets.join(left, "token", "left_semi"), "buckets", held), 4 * partners
+        buckets, partners = saved(buckets.join(left, "bucket", "left_semi"), "buckets", held), 4 * partners
         discard(spark, made + old)
         made.clear()
     discard(spark, made + held + kept)
@@ -215,11 +219,11 @@ def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """Entries of the shingles that several classes have, one for each class, with the smallest class."""
+    """bucket, key, n, pivot, pivot_n: the classes of the shingles that several classes have, once for each smallest and largest class (two that hash alike share a bucket, which loses nothing)."""
     w = Window.partitionBy("token")
-    pivot = F.min(F.struct("key", "n")).over(w)
-    shared = entries.withColumn("pivot", pivot).withColumn("_last", F.max("key").over(w)).where("pivot.key != _last").drop("_last")
-    return shared.dropDuplicates(["token", "key"])  # dealt by token already
+    ends = entries.withColumns({"_first": F.min(F.struct("key", "n")).over(w), "_last": F.max("key").over(w)}).where("_first.key != _last")
+    ends = ends.select(F.xxhash64("_first.key", "_last").alias("bucket"), "key", "n", F.col("_first.key").alias("pivot"), F.col("_first.n").alias("pivot_n"))
+    return ends.dropDuplicates(["bucket", "key"])
 
 
 def _wanted(numbers: DataFrame):
@@ -262,15 +266,16 @@ def _asked(members: DataFrame, keys: DataFrame, made: list[str]):
 
 
 def _nodes(rows: DataFrame, members: DataFrame, buckets: DataFrame, n: int, made: list[str]) -> DataFrame:
-    """Bitmaps of the classes in buckets; some others may be among them."""
+    """Bitmaps of the classes in buckets, and longer ones of the largest sets; some others may be among them."""
     asked, texts = _asked(members, buckets.select("key"), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = ((k, len(t), bitmap(t, signature_bits(len(t))), bitmap(t, fine_bits(len(t)))) for k, t in (_first_sets(batches, n, texts, asked) if asked else ()))
-        yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "signature": pa.binary(), "fine": pa.binary()}, 256)
+        found = ((k, len(t), fine_bits(len(t)), t) for k, t in (_first_sets(batches, n, texts, asked) if asked else ()))
+        found = ((k, m, bitmap(t, min(size, MOST_SIGNATURE)), bitmap(t, size) if size > MOST_SIGNATURE else None) for k, m, size, t in found)
+        yield from _rows(found, {"key": pa.int64(), "n": pa.int64(), "bits": pa.binary(), "longer": pa.binary()}, 256)
 
-    found = rows.mapInArrow(run, "key long, n long, signature binary, fine binary")
-    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "signature", "fine")])
+    found = rows.mapInArrow(run, "key long, n long, bits binary, longer binary")
+    return found.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "bits", "longer")])
 
 
 def bitmap(tokens: np.ndarray, size: int) -> bytes:
@@ -304,7 +309,7 @@ def _bits(signatures: pa.Array) -> np.ndarray:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int, made: list[str]) -> DataFrame:
     """Pairs (a, b) that their finer bitmaps don't rule out."""
-    one = _chosen(nodes.select("key", "n", "fine"), _ends(pairs), made)
+    one = _chosen(nodes.select("key", "n", F.coalesce("longer", "bits").alias("fine")), _ends(pairs), made)
     a = one.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("fine").alias("s_a"))
     b = one.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("fine").alias("s_b"))
 
@@ -326,9 +331,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _folded(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both bitmaps at the shorter length: a token's place there is its place in the longer one modulo that length."""
+    """The bitmaps of both, a row each, at the shorter length: a token's place there is its place in the longer one modulo that length."""
     size = min(x.shape[1], y.shape[1])
-    fold = lambda z: np.bitwise_or.reduce(z.reshape(-1, size), axis=0)[None]
+    fold = lambda z: np.bitwise_or.reduce(z.reshape(len(z), -1, size), axis=1)
     return fold(x), fold(y)
 
 
@@ -363,39 +368,72 @@ def _verified(rows: DataFrame, members: DataFrame, n: int, pairs: DataFrame, per
 
 
 def _traversed(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, partners: int, made: list[str]) -> DataFrame:
-    """token, a, b, whole: pairs of classes in different components that the trees of their buckets don't rule out.
+    """bucket, a, b, whole: pairs of classes in different components that neither the trees of their buckets nor their finer bitmaps rule out.
 
     whole: the group has given all its pairs; else it has given each class's
     likeliest ``partners``.
     """
-    labelled = buckets.select("token", "key").join(labels, F.col("key") == F.col("node"), "left").select("token", "key", F.coalesce("component", "key").alias("label"))
-    w = Window.partitionBy("token")
-    many = labelled.withColumns({"_a": F.min("label").over(w), "_b": F.max("label").over(w), "size": F.count("*").over(w), "_who": F.sum(F.xxhash64("key").cast("decimal(38,0)")).over(w)}).where("_a != _b").drop("_a", "_b")
+    labelled = buckets.select("bucket", "key").join(labels, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("label"))
+    w = Window.partitionBy("bucket")
+    many = labelled.withColumns({"_a": F.min("label").over(w), "_b": F.max("label").over(w), "size": F.count("*").over(w)}).where("_a != _b").drop("_a", "_b")
     many = saved(many, "many", made)
-    one = many.groupBy("size", "_who").agg(F.min("token").alias("token")).select("token")  # buckets with the same members: one of them
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
-    dealt = many.drop("_who").join(one, "token", "left_semi").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = many.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # a chunk meets itself and each other chunk in groups (x, y), x <= y
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = dealt.select("token", "key", "label", "part", other).select("token", "key", "label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    light = nodes.select("key", "n", "signature")
+    dealt = dealt.select("bucket", "key", "label", "part", other).select("bucket", "key", "label", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    light = nodes.select("key", "n", "bits")
     if partners > 1:  # few groups are left
         light = _chosen(light, many.select("key"), made)
-    full = dealt.join(light, "key").select("token", "x", "y", "side", "key", "label", "n", "signature")
+    full = dealt.join(light, "key").select("bucket", "x", "y", "side", "key", "label", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             side, key, label, n = (group.column(i).to_numpy() for i in (3, 4, 5, 6))
-            left = trees(key, label, n, group.column(7), side == 0)
+            short = tree_bitmaps(n, group.column(7))
+            left = trees(key, label, n, short, side == 0)
             same = group.column(1)[0].as_py() == group.column(2)[0].as_py()
-            right = left if same else trees(key, label, n, group.column(7), side == 1)
-            a, b, whole = likeliest(meet(left, right, percent), partners, MANY * len(key))
+            right = left if same else trees(key, label, n, short, side == 1)
+            found = finer(meet(left, right, percent), key, n, group.column(7), percent)
+            a, b, whole = likeliest(found, partners, MANY * len(key))
             if len(a):
-                token = np.full(len(a), group.column(0)[0].as_py())
-                yield pa.RecordBatch.from_pydict({"token": token, "a": np.maximum(a, b), "b": np.minimum(a, b), "whole": np.full(len(a), whole)})
+                bucket = np.full(len(a), group.column(0)[0].as_py())
+                yield pa.RecordBatch.from_pydict({"bucket": bucket, "a": np.maximum(a, b), "b": np.minimum(a, b), "whole": np.full(len(a), whole)})
         give_back()
 
-    return full.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "token long, a long, b long, whole boolean")
+    return full.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(run, "bucket long, a long, b long, whole boolean")
+
+
+def tree_bitmaps(n: np.ndarray, bitmaps: pa.Array) -> pa.Array:
+    """The bitmaps at the length that the trees have for sets of n tokens."""
+    out = []
+    for size, x in zip(n.tolist(), bitmaps, strict=True):
+        bits = np.frombuffer(x.as_buffer(), np.uint64)
+        out.append(np.bitwise_or.reduce(bits.reshape(-1, min(len(bits), signature_bits(size) // 64)), axis=0).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def finer(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], key: np.ndarray, n: np.ndarray, bitmaps: pa.Array, percent: int, at_once: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Those of the pairs found among the keys that these bitmaps don't rule out either, with the share of their tokens that may be common by them. at_once: words of bitmaps that are compared together."""
+    order = np.argsort(key)
+    words = pc.binary_length(bitmaps).to_numpy() // 8
+    place = np.zeros(len(key), np.int64)  # of a key among those with bitmaps of its length
+    tables = {}
+    for size in np.unique(words).tolist():
+        at = np.flatnonzero(words == size)
+        place[at], tables[size] = np.arange(len(at)), _bits(bitmaps.take(pa.array(at)))
+    for a, b, _ in found:
+        i, j = (order[np.searchsorted(key, x, sorter=order)] for x in (a, b))
+        for size_a, size_b in np.unique(np.stack([words[i], words[j]], axis=1), axis=0).tolist():
+            here = np.flatnonzero((words[i] == size_a) & (words[j] == size_b))
+            step = max(1, at_once // max(size_a, size_b))
+            for k in range(0, len(here), step):
+                pair = here[k : k + step]
+                x, y = _folded(tables[size_a][place[i[pair]]], tables[size_b][place[j[pair]]])
+                n_a, n_b = n[i[pair]], n[j[pair]]
+                most = most_overlap(x, y, n_a - _count(x), n_b - _count(y))
+                keep = most * (100 + percent) >= percent * (n_a + n_b)
+                yield a[pair[keep]], b[pair[keep]], (most / (n_a + n_b))[keep]
 
 
 def likeliest(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], partners: int, limit: int) -> tuple[np.ndarray, np.ndarray, bool]:

@@ -275,6 +275,40 @@ def test_trees_tell_long_sets_apart():
         assert links <= set(got) and len(got) == len(set(got)) < len(links) + 10
 
 
+def test_pairs_leave_few_buckets(spark, monkeypatch):
+    """A pair that shares many shingles is not met again for each of them."""
+    rng = np.random.default_rng(8)
+    passage = text(rng, 300)
+    texts = [t for _ in range(3) for t in family(rng, 30, 240, 7)] + [f"{passage} {text(rng, 110)}" for _ in range(30)]
+    real, seen = jaccard._traversed, []
+
+    def counted(*args):
+        met = real(*args)
+        seen.append((met.count(), met.select("a", "b").distinct().count()))
+        return met
+
+    monkeypatch.setattr(jaccard, "_traversed", counted)
+    documents = list(enumerate(texts))
+    got = jaccard.near_duplicates(docs(spark, documents)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_components(documents)
+    assert seen[0][1] and all(rows <= 8 * distinct for rows, distinct in seen)
+
+
+def test_finer_bitmaps_keep_every_linking_pair():
+    rng = np.random.default_rng(9)
+    draw = lambda k: rng.integers(0, 1 << 63, int(k), dtype=np.uint64)
+    base = draw(900)
+    sets = [np.unique(np.append(rng.choice(base, int(k), replace=False), draw(20))) for k in rng.integers(100, 900, 60)]
+    sets += [np.unique(np.append(s[: int(k * len(s))], draw(5))) for s, k in zip(sets, rng.uniform(0.7, 1, 60))]
+    key, n = rng.permutation(len(sets)) - 40, np.array([len(s) for s in sets])
+    bits = pa.array([jaccard.bitmap(s, jaccard.fine_bits(len(s))) for s in sets])
+    assert jaccard.tree_bitmaps(n, bits).to_pylist() == [jaccard.bitmap(s, jaccard.signature_bits(len(s))) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    links = {(key[a], key[b]) for a, b in zip(i, j) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    got = [x for a, b, _ in jaccard.finer(iter([(key[i], key[j], np.zeros(len(i)))]), key, n, bits, 75, at_once=200) for x in zip(a, b)]
+    assert links and links <= set(got) and len(got) == len(set(got)) < len(links) * 2
+
+
 def test_frequent_shingles_are_looked_up():
     rng = np.random.default_rng(6)
     known = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
